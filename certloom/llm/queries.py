@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certloom.llm import exact_dedup
+from certloom.llm import exact_dedup, pii
 from certloom.llm.common import read_table, tune
 
 
@@ -15,9 +15,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    tune(spark)
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op10_pii": op10_pii,
     }
 
 
