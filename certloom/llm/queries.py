@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certloom.llm import exact_dedup, pii
+import public_tokenizers
+
+from certloom.llm import exact_dedup, packed_ids, pii, word_bpe
 from certloom.llm.common import read_table, tune
 
+WORD_BPE = "word_bpe_49k.json"
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each group of equal texts stays, for every document."""
     return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the word-level BPE file."""
+    tune(spark)
+    return word_bpe.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
+
+
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are read back from packed ids in ascending doc_id order."""
+    tune(spark)
+    folder = packed_ids.fresh_folder(spark)
+    packed_ids.write_packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), folder, end_id=1)
+    return packed_ids.read_documents(spark, folder)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     tune(spark)
@@ -24,6 +42,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_token_counts": op6_token_counts,
+        "op8_packed_ids": op8_packed_ids,
         "op10_pii": op10_pii,
     }
 
