@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from certloom.llm import exact_dedup, packed_ids, pii, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document, and what the ids decode to."""
+    tune(spark)
+    path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
+    return byte_bpe.digests(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_token_counts": op6_token_counts,
         "op8_packed_ids": op8_packed_ids,
