@@ -5,16 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, quality, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def quality_ranking(spark: SparkSession, sf_dir: str) -> quality.Ranking:
+    """Learned from the labelled rows that are not held out (crc32 of doc_id mod 4 is 2)."""
+    usable = quality.bucket(F.col("_id"), 4) != 2
+    return quality.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", usable)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the pairwise ranking."""
+    tune(spark)
+    scored = quality.score(read_table(spark, sf_dir, "documents"), quality_ranking(spark, sf_dir))
+    return scored.select("doc_id", (quality.bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and what the ids decode to."""
     tune(spark)
@@ -49,6 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_token_counts": op6_token_counts,
