@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, quality, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, quality, toxicity, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
@@ -55,6 +55,14 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_documents(spark, folder)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows whose crc32 of doc_id mod 5 is 0 are held out."""
+    tune(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), "toxic", quality.bucket(F.col("_id"), 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (quality.bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, plain and disguised."""
     tune(spark)
@@ -68,6 +76,7 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_token_counts": op6_token_counts,
         "op8_packed_ids": op8_packed_ids,
+        "op9_toxicity": op9_toxicity,
         "op10_pii": op10_pii,
     }
 
