@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, packed_ids, pii, quality, toxicity, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, mixing, packed_ids, pii, quality, toxicity, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus mixed so that sources weigh as the square roots of their sizes."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), flatten=0.5, size=1.0)
+    return mixed.withColumn("rate", F.round("rate", 9))
+
+
 def quality_ranking(spark: SparkSession, sf_dir: str) -> quality.Ranking:
     """Learned from the labelled rows that are not held out (crc32 of doc_id mod 4 is 2)."""
     usable = quality.bucket(F.col("_id"), 4) != 2
@@ -71,6 +77,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
@@ -82,6 +89,24 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op1_mixing": """
+with recursive n as (select source, cast(count(*) as double) as mass from documents group by source),
+s as (select source, mass, sqrt(mass) as share from n),
+t as (select sum(share) as all_share, sum(mass) as all_mass from s),
+r as (select source, share * all_mass / (all_share * mass) as rate from s, t),
+p as (select source, rate, cast(ceil(rate / 16.0) as int) as parts, rate / ceil(rate / 16.0) as mean from r),
+c as (
+  select source, mean, 0 as k, exp(-mean) as term, exp(-mean) as below from p
+  union all
+  select source, mean, k + 1, term * mean / (k + 1), below + term * mean / (k + 1) from c where k < 80),
+u as (
+  select doc_id, source, cast('0x' || substr(md5('mix:' || doc_id || ':' || part), 1, 13) as bigint) / 4503599627370496.0 as u
+  from documents join p using (source), lateral (select unnest(generate_series(1, parts)) as part)),
+m as (select doc_id, count(*) as copies from u join c on u.source = c.source and c.below <= u.u group by doc_id),
+x as (select d.*, p.rate, unnest(generate_series(1, m.copies)) as copy from documents d join m using (doc_id) join p on d.source = p.source)
+select doc_id, text, lang, source, n_chars, cast(copy as int) as copy, round(rate, 9) as rate,
+  cast('0x' || substr(md5('mix:place:' || doc_id || ':' || copy), 1, 13) as bigint) / 4503599627370496.0 as position
+from x""",
     "op4_exact_dedup": """
 with t as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm
