@@ -61,8 +61,10 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("id
 CHUNKS = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("at", T.LongType()), T.StructField("text", T.StringType())]
 )
-MARKED = T.StructType([*CHUNKS.fields, T.StructField("copies", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("tail", T.ArrayType(T.LongType()))])
-PIECES = T.StructType([T.StructField("key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("ids", T.BinaryType())])
+ENDS = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("at", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("tail", T.ArrayType(T.LongType()))]
+)
+PIECES = T.StructType([T.StructField("key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
 def chunked(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -89,48 +91,67 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """doc_id and ids of texts by chunks that are split, stitched and encoded in parallel.
+def cut_places(parts: DataFrame, pattern: str, overlap: int) -> DataFrame:
+    """Where each chunk's own part of the text begins and ends: key, chunk, piece, own,
+    until (null at the end of the text) and alone (no other chunk is in its piece).
 
-    Ends of pre-tokens in the left chunk are sure but for the last two: the last touches
-    the cut, and a contraction that is cut makes two. Where two neighbours share no sure
-    boundary (a pre-token is longer than their overlap), the rest of the text is one
-    piece, as nothing proves later boundaries.
+    Only the ends of pre-tokens inside overlaps are moved, not the texts.
     """
 
     def mark():
         def step(cols):
-            ends = [boundaries(t, pattern) for t in cols[4]]
+            ends = [boundaries(t, pattern) for t in cols[3]]
             heads = [[x for x in e if x <= overlap] for e in ends]
-            tails = [[x for x in e[:-2] if x >= len(t) - overlap] for e, t in zip(ends, cols[4])]
-            return [*cols, heads, tails]
+            tails = [[x for x in e[:-2] if x >= len(t) - overlap] for e, t in zip(ends, cols[3])]
+            return [*cols[:3], heads, tails]
 
         return step
 
+    in_text = Window.partitionBy("key").orderBy("chunk")
+    marked = map_rows(parts, ENDS, mark).withColumns({"_tail": F.lag("tail").over(in_text), "_at": F.lag("at").over(in_text)})
+    # the place in the text from which a chunk takes over from the one before it
+    heads = F.concat(F.array("at"), F.transform("head", lambda x: x + F.col("at")))
+    tails = F.transform("_tail", lambda x: x + F.col("_at"))
+    placed = marked.withColumn("own", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.array_intersect(heads, tails))))
+    unproven = F.sum(F.col("own").isNull().cast("long")).over(in_text)
+    placed = placed.withColumn("_unproven", unproven).withColumn("own", F.when(F.col("_unproven") == 0, F.col("own")))
+    return placed.select(
+        "key",
+        "chunk",
+        F.sum(F.col("own").isNotNull().cast("long")).over(in_text).alias("piece"),
+        "own",
+        F.lead("own").over(in_text).alias("until"),
+        (F.col("own").isNotNull() & (F.coalesce(F.lead("_unproven").over(in_text), F.lit(0)) == 0)).alias("alone"),
+    )
+
+
+def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """doc_id and ids of texts by chunks that are split, stitched and encoded in parallel.
+
+    Ends of pre-tokens in the left chunk are sure but for the last two: the last touches
+    the cut, and a contraction that is cut makes two. Where two neighbours share no sure
+    boundary (a pre-token is longer than their overlap), the rest of the text is one
+    piece, as nothing proves later boundaries.
+    """
+
     # rows that repeat id and text are encoded once and counted
     parts = (
         chunked(docs, chunk, overlap)
         .groupBy("key", "chunk")
         .agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
-    marked = map_rows(parts.select("key", "doc_id", "chunk", "at", "text", "copies"), MARKED, mark)
-    in_text = Window.partitionBy("key").orderBy("chunk")
-    # the place in the text from which a chunk takes over from the one before it
-    heads = F.concat(F.array("at"), F.transform("head", lambda x: x + F.col("at")))
-    tails = F.transform(F.col("_tail"), lambda x: x + F.col("_at"))
-    placed = marked.withColumns({"_tail": F.lag("tail").over(in_text), "_at": F.lag("at").over(in_text)})
-    placed = placed.withColumn("from", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.array_intersect(heads, tails))))
-    proven = F.sum(F.col("from").isNull().cast("long")).over(in_text) == 0
-    placed = placed.withColumn("from", F.when(proven, F.col("from"))).drop("head", "tail", "_tail", "_at")
-    piece = placed.withColumn("piece", F.sum(F.col("from").isNotNull().cast("long")).over(in_text))
-    ends = piece.where("from is not null").select("key", "piece", F.col("from").alias("own"), F.lead("from").over(in_text).alias("until"))
-    pieces = (
-        piece.groupBy("key", "piece")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("chunks"))
-        .join(ends, ["key", "piece"])
-    )
+    cuts = cut_places(parts.select("key", "chunk", "at", "text"), pattern, overlap)
+
+    def encode_alone():
+        enc = encoding(path, pattern)
+
+        def step(cols):
+            *kept, at, texts, own, until = cols
+            return [*kept, [encode_piece(enc, t[a - x : None if b is None else b - x]) for x, t, a, b in zip(at, texts, own, until)]]
+
+        return step
 
-    def encode():
+    def encode_joined():
         enc = encoding(path, pattern)
 
         def step(cols):
@@ -141,14 +162,21 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
                 for c in chunks[1:]:
                     joined.append(c["text"][reached - c["at"] :])
                     reached = c["at"] + len(c["text"])
-                whole = "".join(joined)
-                ids.append(encode_piece(enc, whole[own - base : None if until is None else until - base]))
+                ids.append(encode_piece(enc, "".join(joined)[own - base : None if until is None else until - base]))
             return [*cols[:4], ids]
 
         return step
 
-    done = map_rows(pieces.select("key", "doc_id", "copies", F.col("piece").alias("chunk"), "chunks", "own", "until"), PIECES, encode)
-    joined = done.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
+    # both join on the keys that the chunks are dealt out by: their texts stay in place
+    alone = parts.join(cuts.where("alone"), ["key", "chunk"]).select("key", "doc_id", "copies", "piece", "at", "text", "own", "until")
+    together = (
+        parts.join(cuts.where("not alone"), ["key", "chunk"])
+        .groupBy("key", "piece")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("chunks"), F.max("own").alias("own"), F.max("until").alias("until"))
+        .select("key", "doc_id", "copies", "piece", "chunks", "own", "until")
+    )
+    done = map_rows(alone, PIECES, encode_alone).unionByName(map_rows(together, PIECES, encode_joined))
+    joined = done.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select("doc_id", F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), "").alias("_hex")).select("doc_id", F.unhex("_hex").alias("ids"))
 
