@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, mixing, packed_ids, pii, quality, toxicity, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, packed_ids, pii, quality, toxicity, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
@@ -53,6 +53,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    tune(spark)
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are read back from packed ids in ascending doc_id order."""
     tune(spark)
@@ -82,6 +88,7 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_token_counts": op6_token_counts,
+        "op7_near_dedup": op7_near_dedup,
         "op8_packed_ids": op8_packed_ids,
         "op9_toxicity": op9_toxicity,
         "op10_pii": op10_pii,
