@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import map_rows, text_or_empty
+from certloom.llm.common import cut, map_rows, text_or_empty
 
 #: Labelled rows that are learned from, terms learned, word forms kept as clean, at most.
 SAMPLE = 20_000
@@ -29,8 +29,8 @@ LEARNED = 4_000
 CLEAN_FORMS = 20_000
 #: A learned term is in so many toxic sample texts, after so many different words.
 LEAST = 5
-#: Lengths of the stems that are learned, and the words and contexts that one needs.
-STEMS, STEM_WORDS, STEM_CONTEXTS = range(4, 8), 3, 10
+#: Lengths of the stems that are learned, and the words and uses that one needs.
+STEMS, STEM_WORDS, STEM_USES = range(4, 8), 5, 10
 #: Words whose match a worker process remembers.
 REMEMBERED = 400_000
 
@@ -250,24 +250,19 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable:
 
     A term is learned if at least LEAST toxic texts have it, after different words (so
     that copies of one text don't vouch for its words), and of the texts that have it
-    more than nine in ten are toxic. Without labelled rows the fixed insults remain.
+    all but one in fifty are toxic. Without labelled rows the fixed insults remain.
     """
-    texts = sample_of(docs, labels, label_col, usable, sample)
-    pairs = texts.select("_id", "_toxic", words_of(F.col("text")).alias("_w")).select("_id", "_toxic", F.explode(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("previous"))).alias("p"))
-    seen = pairs.select("_id", "_toxic", "p.word", "p.previous").where("word is not null").groupBy("word", "previous").agg(F.count_distinct("_id").alias("n"), F.max("_toxic").alias("toxic"), F.min("_toxic").alias("least"))
-    by_word = seen.groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n_toxic"),
-        F.sum(F.when(F.col("least") == 0, F.col("n")).otherwise(0)).alias("n_clean"),
-        F.count_if(F.col("toxic") == 1).alias("contexts"),
-    )
-    terms = (
-        by_word.where((F.col("contexts") >= LEAST) & (F.col("n_toxic") >= LEAST) & (F.length("word") >= 4) & (F.col("n_clean") * 9 < F.col("n_toxic")))
-        .orderBy(F.desc("contexts"), "word")
-        .limit(LEARNED)
-        .collect()
-    )
+    texts = cut(sample_of(docs, labels, label_col, usable, sample))
+    own_words = texts.select("_toxic", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    by_word = cut(own_words.groupBy("word").agg(F.sum("_toxic").alias("n_toxic"), F.sum(1 - F.col("_toxic")).alias("n_clean")))
+    telling = (F.col("n_toxic") >= LEAST) & (F.col("n_clean") * 50 < F.col("n_toxic")) & (F.length("word") >= 4)
+    promising = by_word.where(telling).orderBy(F.desc("n_toxic"), "word").limit(4 * LEARNED).select("word")
+    uses = texts.where("_toxic = 1").select(words_of(F.col("text")).alias("_w")).select(F.explode(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("previous"))).alias("u"))
+    uses = uses.select("u.word", "u.previous").join(F.broadcast(promising), "word")
+    contexts = uses.groupBy("word").agg(F.count_distinct("previous").alias("contexts")).where(F.col("contexts") >= LEAST)
+    terms = contexts.orderBy(F.desc("contexts"), "word").limit(LEARNED).collect()
     weights = dict.fromkeys(INSULTS, 1.0) | {r["word"]: 1.0 for r in terms}
-    words = by_word.where("n_clean * 9 >= n_toxic and n_clean > 0").select("word", "n_clean")
+    words = by_word.where("n_clean * 50 >= n_toxic and n_clean > 0").select("word", "n_clean")
     near = clean_neighbours(words, Model(weights))
     clean, strict = frozenset(w for w, _ in near), frozenset(t for _, t in near)
     model = Model({k: v for k, v in weights.items() if k not in clean}, learned_stems(by_word), clean, strict)
@@ -281,10 +276,10 @@ def learned_stems(by_word: DataFrame) -> frozenset[str]:
         by_word.select("*", length.alias("k"))
         .where(F.length("word") >= F.col("k"))
         .groupBy(F.expr("substring(word, 1, k)").alias("stem"))
-        .agg(F.count(F.lit(1)).alias("words"), F.sum("contexts").alias("contexts"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-        .where((F.col("words") >= STEM_WORDS) & (F.col("contexts") >= STEM_CONTEXTS) & (F.col("n_clean") * 20 < F.col("n_toxic")))
+        .agg(F.count(F.lit(1)).alias("words"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
+        .where((F.col("words") >= STEM_WORDS) & (F.col("n_toxic") >= STEM_USES) & (F.col("n_clean") * 20 < F.col("n_toxic")))
     )
-    return frozenset(r["stem"] for r in stems.orderBy(F.desc("contexts"), "stem").limit(LEARNED).collect())
+    return frozenset(r["stem"] for r in stems.orderBy(F.desc("n_toxic"), "stem").limit(LEARNED).collect())
 
 
 NEIGHBOUR = T.StructType([T.StructField("word", T.StringType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
