@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, packed_ids, pii, quality, toxicity, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, nearest, packed_ids, pii, quality, toxicity, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,16 +22,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("rate", F.round("rate", 9))
 
 
-def quality_ranking(spark: SparkSession, sf_dir: str) -> quality.Ranking:
+def quality_ranking(docs: DataFrame, labels: DataFrame) -> quality.Ranking:
     """Learned from the labelled rows that are not held out (crc32 of doc_id mod 4 is 2)."""
-    usable = quality.bucket(F.col("_id"), 4) != 2
-    return quality.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", usable)
+    return quality.learn(docs, labels, "quality", quality.bucket(F.col("_id"), 4) != 2)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the pairwise ranking."""
     tune(spark)
-    scored = quality.score(read_table(spark, sf_dir, "documents"), quality_ranking(spark, sf_dir))
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_ranking(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (quality.bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -47,6 +47,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    tune(spark)
+    return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the word-level BPE file."""
     tune(spark)
@@ -87,6 +93,7 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_nearest": op5_nearest,
         "op6_token_counts": op6_token_counts,
         "op7_near_dedup": op7_near_dedup,
         "op8_packed_ids": op8_packed_ids,
