@@ -4,12 +4,12 @@
    an odd sketch: a bitmap in which each sample flips one bit. Texts with equal sets are
    one class, that of the smallest id, and only classes go on.
 2. Classes that agree in a band are candidates. In each bucket all members are first
-   held against three of them (stars, so that a large group of copies costs as many
-   pairs as it has members). What that leaves in different components of one bucket is
-   then held against each other, pair by pair.
+   held against a few of them (stars, so that a large group of copies costs as many
+   pairs as it has members), and again against others of another component while that
+   keeps finding links. What is left in different components of one bucket is then
+   held against each other, pair by pair.
 3. A pair survives if the set sizes allow the similarity and the odd sketches differ in
-   few enough bits. Surviving pairs are confirmed on the full sets, recomputed from the
-   whole texts of the classes concerned.
+   few enough bits. Surviving pairs are confirmed on the full sets of the whole texts.
 4. Links become components by alternating large and small stars.
 """
 
@@ -35,6 +35,8 @@ BANDS, ROWS = 40, 5
 SKETCH_WORDS = 8
 #: Standard deviations of the sketch's estimate that a pair may be worse than the limit.
 SLACK = 4.5
+#: Rounds of stars, at most, and the share of members that a round must link for another.
+ROUNDS, WORTHWHILE = 8, 0.002
 #: Ids up to which the classes to confirm are sent to every task (8 MB).
 BROADCAST_IDS = 1_000_000
 REMEMBERED = 400_000
@@ -174,18 +176,26 @@ SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("set", T.
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["cid"]).select("cid", "text")
+def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, set) of the classes named in ``classes``, from whole texts."""
 
-    def full():
+    def make():
         return lambda cols: [cols[0], [shingles(t).tobytes() for t in cols[1]]]
 
-    sets = map_rows(texts, SETS, full)
+    texts = docs.join(few(classes), docs["doc_id"] == classes["cid"]).select("cid", "text")
+    return map_rows(texts, SETS, make)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, to be sent to every task if there are not too many."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+    sets = sets.join(few(wanted), "cid", "left_semi")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check():
@@ -227,6 +237,47 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def mixed_buckets(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, cid, label) of the members of buckets that hold more than one component."""
+    if labels is None:
+        return crowded.select("key", "cid", F.col("cid").alias("label"))
+    labelled = crowded.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return cut(labelled.join(apart, "key"))
+
+
+def star_pairs(labelled: DataFrame, number: int) -> DataFrame:
+    """(a, b) of each member of a bucket with three of it, if of another component.
+
+    The three are the smallest and two that come first in a hashed order that changes
+    with the number of the round; as the order is the same in all buckets, members meet
+    the same few in many of them.
+    """
+    hubs = labelled.groupBy("key").agg(*[F.min_by(F.struct("cid", "label"), order).alias(f"h{i}") for i, order in enumerate([F.xxhash64("cid", F.lit(2 * number)), F.xxhash64("cid", F.lit(2 * number + 1)), F.col("cid")])])
+    hubs = hubs.select("key", F.explode(F.array("h0", "h1", "h2")).alias("hub")).select("key", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label")).distinct()
+    met = labelled.join(hubs, (labelled["key"] == hubs["key"]) & (F.col("label") != F.col("hub_label")))
+    return met.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+
+
+def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs that set sizes and odd sketches permit."""
+
+    def renamed(side: str) -> DataFrame:
+        return sizes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(f"s{i}").alias(f"{side}_{i}") for i in range(SKETCH_WORDS)])
+
+    return pairs.join(renamed("a"), "a").join(renamed("b"), "b").where(allowed("a_", "b_", "n_a", "n_b")).select("a", "b").distinct()
+
+
+def pairs_across(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b) of all permitted pairs of a bucket's members from different components."""
+    rest = cut(labelled.join(sizes, "cid"))
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
+    left = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "label", "n")], *[F.col(w).alias(f"a_{w[1:]}") for w in words])
+    right = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "label", "n")], *[F.col(w).alias(f"b_{w[1:]}") for w in words])
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & allowed("a_", "b_", "a_n", "b_n"))
+    return met.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -244,34 +295,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = cut(nodes)
 
     banded = nodes.select("cid", F.explode("bands").alias("key"))
-    order = F.xxhash64("cid")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.min_by("cid", order).alias("other")).where("size > 1")
-    crowded = cut(banded.join(buckets.drop("size"), "key"))
-
-    # stars
-    hub = F.explode(F.array_distinct(F.array("low", "high", "other")))
-    stars = crowded.select("cid", hub.alias("hub")).where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    tried = cut(stars)
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    crowded = cut(banded.join(buckets, "key"))
+    n_crowded = crowded.count()
+    sets = cut(full_sets(docs, cut(crowded.select("cid").distinct())))
     sizes = nodes.select("cid", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])
 
-    def renamed(side: str) -> DataFrame:
-        return sizes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(f"s{i}").alias(f"{side}_{i}") for i in range(SKETCH_WORDS)])
-
-    candidates = tried.join(renamed("a"), "a").join(renamed("b"), "b").where(allowed("a_", "b_", "n_a", "n_b")).select("a", "b").distinct()
-    links = confirmed(candidates, docs)
-    labels = components(links)
-
-    # what stars left apart in a bucket
-    labelled = crowded.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = cut(labelled.join(apart, "key").join(sizes, "cid"))
-    left = rest.select("key", *[F.col(c).alias(f"a_{c}" if c[0] != "s" else f"a_{c[1:]}") for c in rest.columns if c != "key"])
-    right = rest.select("key", *[F.col(c).alias(f"b_{c}" if c[0] != "s" else f"b_{c[1:]}") for c in rest.columns if c != "key"])
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & allowed("a_", "b_", "a_n", "b_n"))
-    pairs = across.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirmed(pairs, docs)
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    labels = None
+    for number in range(ROUNDS):
+        labelled = mixed_buckets(crowded, labels)
+        found = confirmed(plausible(star_pairs(labelled, number), sizes), sets)
+        n = found.count()
+        if n:
+            labels = components(found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+        if n <= WORTHWHILE * n_crowded:
+            break
+
+    found = confirmed(pairs_across(mixed_buckets(crowded, labels), sizes), sets)
+    if labels is None:
+        labels = components(found)
+    elif not found.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
 
     groups = members.select("doc_id", "cid").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     found = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("label", "cid")).alias("_group"))
