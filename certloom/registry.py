@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from certloom.plans import rule_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+MODULES = (rule_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
