@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to a Python worker, so that long texts do not
 #: multiply with the row limit of a batch.
-BATCH_BYTES = 16 * 1024 * 1024
-BATCH_ROWS = 2048
+BATCH_BYTES = 4 * 1024 * 1024
+BATCH_ROWS = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(ids: DataFrame, most: int) -> DataFrame:
+    """The rows, to be sent to every task if there are not more than ``most``."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -9,9 +9,13 @@ group arrives as one row for each map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certloom.llm.common import cut, few
+
+#: Dropped rows up to which they are sent to every task (about 20 MB).
+BROADCAST_ROWS = 150_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -57,10 +61,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """``docs`` without the copies, all columns kept (see :func:`mark_copies`).
 
-    Rows that repeat both id and text are returned once.
+    Rows that repeat both the id that stays and its text all stay. The rows to drop are
+    few in a corpus with few copies; then texts are shuffled for the comparison only.
     """
-    stays = mark_copies(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = cut(mark_copies(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
+    gone = few(gone, BROADCAST_ROWS)
     rows = docs.withColumns({"_own_id": docs[id_col], "_own_sha": F.sha2(normalised(text_col), 256)})
-    joined = rows.join(stays, rows["_own_id"].eqNullSafe(stays["_id"]) & (rows["_own_sha"] == stays["_sha"]))
-    once = Window.partitionBy("_own_id", "_own_sha").orderBy(F.lit(1))
-    return joined.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    return rows.join(gone, rows["_own_id"].eqNullSafe(gone["_id"]) & (rows["_own_sha"] == gone["_sha"]), "left_anti").select(*docs.columns)

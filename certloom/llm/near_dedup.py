@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import cut, map_rows, text_or_empty
+from certloom.llm.common import cut, few, map_rows, text_or_empty
 
 WORDS = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -39,7 +39,7 @@ SLACK = 4.5
 ROUNDS, WORTHWHILE = 8, 0.002
 #: Ids up to which the classes to confirm are sent to every task (8 MB).
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _ODD = np.random.default_rng(2024).integers(0, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,20 +182,15 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def make():
         return lambda cols: [cols[0], [shingles(t).tobytes() for t in cols[1]]]
 
-    texts = docs.join(few(classes), docs["doc_id"] == classes["cid"]).select("cid", "text")
+    texts = docs.join(few(classes, BROADCAST_IDS), docs["doc_id"] == classes["cid"]).select("cid", "text")
     return map_rows(texts, SETS, make)
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """The ids, to be sent to every task if there are not too many."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    sets = sets.join(few(wanted), "cid", "left_semi")
+    sets = sets.join(few(wanted, BROADCAST_IDS), "cid", "left_semi")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check():
@@ -329,5 +324,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat the id that stays, all stay.
     """
-    gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = few(gone, BROADCAST_IDS)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
