@@ -4,13 +4,14 @@
    an odd sketch: a bitmap in which each sample flips one bit. Texts with equal sets are
    one class, that of the smallest id, and only classes go on.
 2. Classes that agree in a band are candidates. In each bucket all members are first
-   held against a few of them (stars, so that a large group of copies costs as many
-   pairs as it has members), and again against others of another component while that
-   keeps finding links. What is left in different components of one bucket is then
-   held against each other, pair by pair.
+   held against two of them (stars, so that a large group of copies costs as many pairs
+   as it has members); where a component then dominates a bucket, the others are held
+   against more of its members while that keeps finding links. What is left in different
+   components of one bucket is then held against each other, pair by pair.
 3. A pair survives if the set sizes allow the similarity and the odd sketches differ in
-   few enough bits. Surviving pairs are confirmed on the full sets of the whole texts.
-4. Links become components by alternating large and small stars.
+   few enough bits; for pairs across components a finer sketch decides. Surviving pairs
+   are confirmed on the full sets of the whole texts.
+4. Links become components by alternating large and small stars of nodes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom.llm.common import cut, few, map_rows, text_or_empty
+from certloom.operators.graph import components
 
 WORDS = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -33,10 +35,14 @@ PERCENT = 75
 #: At similarity 0.75 all bands miss a pair with probability (1 - 0.75**5)**40 = 2e-5.
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 8
+#: Samples and 64-bit words of the finer sketch of texts that share a bucket.
+FINE_SAMPLES, FINE_WORDS = 1024, 32
 #: Standard deviations of the sketch's estimate that a pair may be worse than the limit.
 SLACK = 4.5
-#: Rounds of stars, at most, and the share of members that a round must link for another.
+#: Rounds of stars, at most, and the links for a member that a round must find for another.
 ROUNDS, WORTHWHILE = 8, 0.002
+#: After the first round stars are for buckets of which one component holds this share.
+DOMINANT = 8
 #: Ids up to which the classes to confirm are sent to every task (8 MB).
 BROADCAST_IDS = 1_000_000
 REMEMBERED = 150_000
@@ -45,9 +51,8 @@ _ODD = np.random.default_rng(2024).integers(0, 2**63, size=64, dtype=np.uint64)
 
 
 @cache
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(5)
-    n = BANDS * ROWS
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(n)
     return rng.integers(0, 2**32, size=n, dtype=np.uint64).astype(np.uint32), (rng.integers(0, 2**31, size=n, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
@@ -92,14 +97,14 @@ def shingles(text: str) -> np.ndarray:
         return np.unique(mixed(total))
 
 
-def samples(hashes: np.ndarray) -> np.ndarray:
-    """The MinHash of a set: BANDS x ROWS minima under as many permutations."""
-    xor, times = permutations()
+def samples(hashes: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The MinHash of a set: ``n`` minima under as many permutations."""
+    xor, times = permutations(n)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(xor), 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(low), 1024):
-            part = low[at : at + 1024]
+        for at in range(0, len(low), 256):
+            part = low[at : at + 256]
             best = np.minimum(best, ((part[None, :] ^ xor[:, None]) * times[:, None]).min(axis=1))
     return best
 
@@ -111,17 +116,17 @@ def band_keys(values: np.ndarray) -> np.ndarray:
         return mixed((rows * _ODD[None, 8 : 8 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[20]).view(np.int64)
 
 
-def odd_sketch(values: np.ndarray) -> np.ndarray:
+def odd_sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """A bitmap in which every sample, with its number, flips one bit."""
     with np.errstate(over="ignore"):
-        bits = mixed(values.astype(np.uint64) + (np.arange(len(values), dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * SKETCH_WORDS)
-    parity = (np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+        bits = mixed(values.astype(np.uint64) + (np.arange(len(values), dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * words)
+    parity = (np.bincount(bits.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def sketch_limit(percent: int = PERCENT) -> int:
-    """Differing bits up to which two sketches may belong to a linked pair."""
-    n, k, s = 64 * SKETCH_WORDS, BANDS * ROWS, percent / 100
+def sketch_limit(k: int = BANDS * ROWS, words: int = SKETCH_WORDS) -> int:
+    """Differing bits up to which sketches of k samples may belong to a linked pair."""
+    n, s = 64 * words, PERCENT / 100
     differing = 2 * k * (1 - s)
     expected = n / 2 * (1 - math.exp(-2 * differing / n))
     slope = math.exp(-2 * differing / n)
@@ -161,26 +166,32 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_rows(docs, SIGNED, make)
 
 
-def sketch_columns(prefix: str) -> list[Column]:
-    return [F.col("sketch")[i].alias(f"{prefix}{i}") for i in range(SKETCH_WORDS)]
+def differing(left: str, right: str, words: int) -> Column:
+    """Bits in which two sketches, kept as columns, differ."""
+    total = F.bit_count(F.col(f"{left}0").bitwiseXOR(F.col(f"{right}0")))
+    for i in range(1, words):
+        total = total + F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}")))
+    return total
 
 
-def allowed(left: str, right: str, n_left: str, n_right: str) -> Column:
-    """Sizes and sketches of a pair permit the similarity."""
-    bits = sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{left}0").bitwiseXOR(F.col(f"{right}0"))))
-    sizes = F.least(n_left, n_right) * 100 >= F.greatest(n_left, n_right) * PERCENT
-    return sizes & (bits <= sketch_limit())
+def allowed(n_left: str, n_right: str) -> Column:
+    """The sizes of two sets permit the similarity."""
+    return F.least(n_left, n_right) * 100 >= F.greatest(n_left, n_right) * PERCENT
 
 
-SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("set", T.BinaryType())])
+SETS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("fine", T.ArrayType(T.LongType()))])
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, set) of the classes named in ``classes``, from whole texts."""
+    """(cid, set, fine): full set and finer sketch of the named classes, from whole texts."""
 
     def make():
-        return lambda cols: [cols[0], [shingles(t).tobytes() for t in cols[1]]]
+        def step(cols):
+            sets = [shingles(t) for t in cols[1]]
+            return [cols[0], [s.tobytes() for s in sets], [odd_sketch(samples(s, FINE_SAMPLES), FINE_WORDS).tolist() if len(s) else None for s in sets]]
+
+        return step
 
     texts = docs.join(few(classes, BROADCAST_IDS), docs["doc_id"] == classes["cid"]).select("cid", "text")
     return map_rows(texts, SETS, make)
@@ -190,7 +201,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-    sets = sets.join(few(wanted, BROADCAST_IDS), "cid", "left_semi")
+    sets = sets.select("cid", "set").join(few(wanted, BROADCAST_IDS), "cid", "left_semi")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check():
@@ -208,30 +219,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(map_rows(both.select("a", "b", "set_a", "set_b"), PAIR, check).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of an edge list (a, b): the smallest node reachable.
-
-    Alternating large and small stars (Kiveris et al., 2014): each step is a grouping
-    and a join on one node, and the number of steps grows with the logarithm of the
-    longest path. Every step is checkpointed.
-    """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = cut(edges)
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = state
-
-
 def mixed_buckets(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(key, cid, label) of the members of buckets that hold more than one component."""
     if labels is None:
@@ -242,37 +229,64 @@ def mixed_buckets(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(labelled: DataFrame, number: int) -> DataFrame:
-    """(a, b) of each member of a bucket with three of it, if of another component.
+    """(a, b) of the members of a bucket with two of it, if of another component.
 
-    The three are the smallest and two that come first in a hashed order that changes
-    with the number of the round; as the order is the same in all buckets, members meet
-    the same few in many of them.
+    In the first round the two are the smallest and the first in a hashed order. Later
+    they are of the component that dominates the bucket, in an order that changes with
+    the number of the round; buckets without such a component are left for later. As
+    the order is the same in all buckets, members meet the same few in many of them.
     """
-    hubs = labelled.groupBy("key").agg(*[F.min_by(F.struct("cid", "label"), order).alias(f"h{i}") for i, order in enumerate([F.xxhash64("cid", F.lit(2 * number)), F.xxhash64("cid", F.lit(2 * number + 1)), F.col("cid")])])
-    hubs = hubs.select("key", F.explode(F.array("h0", "h1", "h2")).alias("hub")).select("key", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label")).distinct()
+    if number:
+        counted = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        ruled = counted.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where(F.col("top.n") * DOMINANT >= F.greatest("size", F.lit(2 * DOMINANT)))
+        labelled = labelled.join(ruled.select("key", F.col("top.label").alias("top")), "key")
+        centres = labelled.where("label = top")
+    else:
+        centres = labelled
+    orders = [F.xxhash64("cid", F.lit(number)), F.xxhash64("cid", F.lit(-number)) if number else F.col("cid")]
+    hubs = centres.groupBy("key").agg(*[F.min_by(F.struct("cid", "label"), order).alias(f"h{i}") for i, order in enumerate(orders)])
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("h0", "h1"))).alias("hub")).select("key", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label"))
     met = labelled.join(hubs, (labelled["key"] == hubs["key"]) & (F.col("label") != F.col("hub_label")))
     return met.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
 
 
-def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that set sizes and odd sketches permit."""
 
     def renamed(side: str) -> DataFrame:
-        return sizes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), *[F.col(f"s{i}").alias(f"{side}_{i}") for i in range(SKETCH_WORDS)])
+        return nodes.select(F.col("cid").alias(side), F.col("n").alias(f"n_{side}"), *[F.col("sketch")[i].alias(f"{side}_{i}") for i in range(SKETCH_WORDS)])
 
-    return pairs.join(renamed("a"), "a").join(renamed("b"), "b").where(allowed("a_", "b_", "n_a", "n_b")).select("a", "b").distinct()
+    met = pairs.join(renamed("a"), "a").join(renamed("b"), "b")
+    return met.where(allowed("n_a", "n_b") & (differing("a_", "b_", SKETCH_WORDS) <= sketch_limit())).select("a", "b").distinct()
 
 
-def pairs_across(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b) of all permitted pairs of a bucket's members from different components."""
-    rest = cut(labelled.join(sizes, "cid"))
-    words = [f"s{i}" for i in range(SKETCH_WORDS)]
-    left = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cid", "label", "n")], *[F.col(w).alias(f"a_{w[1:]}") for w in words])
-    right = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cid", "label", "n")], *[F.col(w).alias(f"b_{w[1:]}") for w in words])
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label")) & allowed("a_", "b_", "a_n", "b_n"))
+def pairs_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of a bucket's members from different components that sizes
+    and both sketches permit."""
+    known = nodes.select("cid", "n", "sketch").join(sets.select("cid", "fine"), "cid")
+    rest = cut(labelled.join(known, "cid"))
+
+    def side(x: str) -> DataFrame:
+        words = [F.col("sketch")[i].alias(f"{x}_{i}") for i in range(SKETCH_WORDS)] + [F.col("fine")[i].alias(f"{x}f_{i}") for i in range(FINE_WORDS)]
+        return rest.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("cid", "label", "n")], *words)
+
+    left, right = side("a"), side("b")
+    coarse = differing("a_", "b_", SKETCH_WORDS) <= sketch_limit()
+    fine = differing("af_", "bf_", FINE_WORDS) <= sketch_limit(FINE_SAMPLES, FINE_WORDS)
+    apart = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
+    met = left.join(right, (left["key"] == right["key"]) & apart & allowed("a_n", "b_n") & coarse & fine)
     return met.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) of the components after more links (a, b)."""
+    if labels is None:
+        return components(links)
+    if links.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -286,31 +300,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("cid"))
     members = cut(usable.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "cid", "set_hash"))
     own = members.where("doc_id = cid").select("set_hash", "cid").distinct()
-    nodes = usable.join(own, (usable["doc_id"] == own["cid"]) & (usable["set_hash"] == own["set_hash"])).select("cid", "n", "bands", *sketch_columns("s")).dropDuplicates(["cid", "n", "s0", "s1", "s2"])
-    nodes = cut(nodes)
+    nodes = usable.join(own, (usable["doc_id"] == own["cid"]) & (usable["set_hash"] == own["set_hash"])).select("cid", "n", "bands", "sketch", usable["set_hash"])
+    nodes = cut(nodes.dropDuplicates(["cid", "set_hash"]).drop("set_hash"))
 
     banded = nodes.select("cid", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     crowded = cut(banded.join(buckets, "key"))
-    n_crowded = crowded.count()
-    sets = cut(full_sets(docs, cut(crowded.select("cid").distinct())))
-    sizes = nodes.select("cid", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])
+    shared = cut(crowded.select("cid").distinct())
+    worthwhile = WORTHWHILE * shared.count()
+    sets = cut(full_sets(docs, shared))
 
     labels = None
     for number in range(ROUNDS):
-        labelled = mixed_buckets(crowded, labels)
-        found = confirmed(plausible(star_pairs(labelled, number), sizes), sets)
-        n = found.count()
-        if n:
-            labels = components(found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
-        if n <= WORTHWHILE * n_crowded:
+        found = confirmed(plausible(star_pairs(mixed_buckets(crowded, labels), number), nodes), sets)
+        labels = joined(labels, found)
+        if found.count() <= worthwhile:
             break
-
-    found = confirmed(pairs_across(mixed_buckets(crowded, labels), sizes), sets)
-    if labels is None:
-        labels = components(found)
-    elif not found.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+    labels = joined(labels, confirmed(pairs_across(mixed_buckets(crowded, labels), nodes, sets), sets))
 
     groups = members.select("doc_id", "cid").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     found = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("label", "cid")).alias("_group"))
