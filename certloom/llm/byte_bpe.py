@@ -208,17 +208,43 @@ DIGESTS = T.StructType(
 )
 
 
+def digest(enc: tiktoken.Encoding, ids: bytes) -> tuple[int, str, str]:
+    """Tokens, and the digests of the ids and of the bytes that they decode to."""
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(enc, ids)).hexdigest()
+
+
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts (doc_id, ids)."""
 
     def make():
         enc = encoding(path, pattern)
 
         def step(cols):
-            ids = cols[1]
-            texts = [decode(enc, x) for x in ids]
-            return [cols[0], [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in texts]]
+            found = [digest(enc, x) for x in cols[1]]
+            return [cols[0], *([f[i] for f in found] for i in range(3))]
 
         return step
 
     return map_rows(encoded.select("doc_id", "ids"), DIGESTS, make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digests of every text's ids and of what they decode to (see ``encode``).
+
+    Texts of one chunk are encoded and decoded in one pass, so that a task needs one
+    Python worker.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    is_long = F.length("text") > chunk
+
+    def make():
+        enc = encoding(path, pattern)
+
+        def step(cols):
+            found = [digest(enc, encode_piece(enc, t)) for t in cols[1]]
+            return [cols[0], *([f[i] for f in found] for i in range(3))]
+
+        return step
+
+    long = encode_long(texts.where(is_long), path, pattern, chunk, overlap)
+    return map_rows(texts.where(~is_long), DIGESTS, make).unionByName(digests(long, path, pattern))

@@ -75,6 +75,9 @@ def map_rows(
             step = step or make()
             cols = step([c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            del batch, cols
+        # workers outlive their tasks: what Arrow keeps for later goes back
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -45,7 +45,7 @@ ROUNDS, WORTHWHILE = 8, 0.002
 DOMINANT = 8
 #: Ids up to which the classes to confirm are sent to every task (8 MB).
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 _ODD = np.random.default_rng(2024).integers(0, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

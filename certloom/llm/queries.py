@@ -39,7 +39,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and what the ids decode to."""
     tune(spark)
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    return byte_bpe.digests(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path, pattern)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
