@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.operators import rules, similarity
+from certloom.plans.audit import batch_analyze, batch_result
 from certloom.sources.records import CREDENTIALS_SQL, FACES_SQL, HASHES_SQL, METRICS_SQL, credentials, faces, forensic_metrics, region_hashes
 
 CERTS = f"with {CREDENTIALS_SQL}"
@@ -134,8 +135,9 @@ QUERIES = {
         risk_levels,
         cross_validate_summary,
         cross_validate_run,
+        batch_result,
     )
-}
+} | {"batch_analyze_stream": batch_analyze}
 
 _G, _E, _B, _I = (as_int(c) for c in ("grad_year", "enrollment_year", "birth_year", "issue_year"))
 _RULE1 = f"""select entity_id, '学制年限异常' as rule, '入学 '||enrollment_year||' 至毕业 '||grad_year||'，共 '||({_G}-{_E})||' 年，不在合理范围 [2, 3, 4, 5]' as detail,
@@ -187,6 +189,12 @@ SQL = {
  select c.entity_id, cast(coalesce(i.n, 0) as int) as n_issues, cast(coalesce(n.n_flags, 0) as int) as n_flags,
  case when coalesce(i.severe, false) or coalesce(n.n_flags, 0) >= 2 then '高' when coalesce(i.n, 0) > 0 or coalesce(n.n_flags, 0) > 0 then '中' else '低' end as risk_level
  from certs c left join i using (entity_id) left join n using (entity_id)""",
+    **dict.fromkeys(
+        ("batch_result", "batch_analyze_stream"),
+        f"""{CERTS}, s as ({_RULE1} union all {_RULE2} union all {_RULE3}), i as (select entity_id, count(*) as n, bool_or(severity = '高') as severe from s group by 1)
+ select c.entity_id, case when ocr_error then 'error' else 'ok' end as status, case when ocr_error then null when coalesce(i.severe, false) then '高' when coalesce(i.n, 0) > 0 then '中' else '低' end as risk_level,
+ cast(case when ocr_error then 0 else coalesce(i.n, 0) end as int) as n_issues from certs c left join i using (entity_id)""",
+    ),
     "cross_validate_summary": f"{_SUMMARY} select rule, severity, count(*) as issues, cast(sum(n) as bigint) as related from i group by all",
     "cross_validate_run": f"""{_SUMMARY} select (select count(*) from certs) as total_certs, (select count(*) from certs where not ocr_error) as ocr_success,
  (select count(*) from i) as issue_count, (select count(*) from i where severity = '高') as high_severity_count""",
