@@ -6,6 +6,7 @@ A packed table is a folder of Parquet files. Every row is one block:
     block     long           number of the block in its shard, from 0
     first     long           ids of the shard before this block
     bits      int            bits of each id: as many as the vocabulary needs
+    room      int            ids that a block holds
     n_ids     int            ids in the block
     numbers   array<long>    for each piece of a document in it: the document's number
     doc_ids   array<long>    ... its doc_id
@@ -13,8 +14,8 @@ A packed table is a folder of Parquet files. Every row is one block:
     payload   binary         the ids, id i in bits [i * bits, (i + 1) * bits) counted
                              from the lowest bit of the first byte
 
-Blocks hold BLOCK_IDS ids but for the last of a shard, so the block with the id at
-position p of a shard is p // BLOCK_IDS, and a fixed width makes any id of it readable
+Blocks are full but for the last of a shard, so the block with the id at position p of
+a shard is p // room, and a fixed width makes any id of it readable
 without those before it. Spark's own writer commits the files, so a lost executor or a
 repeated task leaves no half-written block behind.
 """
@@ -66,6 +67,7 @@ BLOCKS = T.StructType(
         T.StructField("block", T.LongType()),
         T.StructField("first", T.LongType()),
         T.StructField("bits", T.IntegerType()),
+        T.StructField("room", T.IntegerType()),
         T.StructField("n_ids", T.IntegerType()),
         T.StructField("numbers", T.ArrayType(T.LongType())),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
@@ -76,10 +78,10 @@ BLOCKS = T.StructType(
 
 
 class Blocks:
-    """Gathers documents of one shard into blocks of BLOCK_IDS ids."""
+    """Gathers documents of one shard into blocks of ``room`` ids."""
 
-    def __init__(self, shard: int, bits: int):
-        self.shard, self.bits, self.block, self.number = shard, bits, 0, 0
+    def __init__(self, shard: int, bits: int, room: int):
+        self.shard, self.bits, self.room, self.block, self.number = shard, bits, room, 0, 0
         self.parts: list[np.ndarray] = []
         self.pieces: list[tuple] = []
         self.size = 0
@@ -88,12 +90,12 @@ class Blocks:
         """Rows of the blocks that this document completes."""
         at = 0
         while True:
-            take = min(len(ids) - at, BLOCK_IDS - self.size)
+            take = min(len(ids) - at, self.room - self.size)
             self.parts.append(ids[at : at + take])
             self.pieces.append((self.number, doc_id, take))
             self.size += take
             at += take
-            if self.size == BLOCK_IDS:
+            if self.size == self.room:
                 yield self.close()
             if at == len(ids):
                 break
@@ -101,13 +103,13 @@ class Blocks:
 
     def close(self) -> tuple:
         numbers, doc_ids, lengths = (list(x) for x in zip(*self.pieces))
-        row = (self.shard, self.block, self.block * BLOCK_IDS, self.bits, self.size, numbers, doc_ids, lengths, pack(np.concatenate(self.parts), self.bits))
+        row = (self.shard, self.block, self.block * self.room, self.bits, self.room, self.size, numbers, doc_ids, lengths, pack(np.concatenate(self.parts), self.bits))
         self.parts, self.pieces, self.size = [], [], 0
         self.block += 1
         return row
 
 
-def write_packed(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
+def write_packed(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, room: int = BLOCK_IDS) -> None:
     """Encode every text with the tokenizer file at ``path``, append ``end_id``, and
     write the ids in ascending order of the id column as a packed table to ``folder``.
 
@@ -126,7 +128,7 @@ def write_packed(docs: DataFrame, path: str, folder: str, end_id: int, id_col: s
 
         words, ids = words_of(path), remembered_ids(path)
         bits = width(words.library.get_vocab_size(with_added_tokens=True))
-        blocks = Blocks(TaskContext.get().partitionId(), bits)
+        blocks = Blocks(TaskContext.get().partitionId(), bits, room)
         rows = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -188,7 +190,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     rows, at = [], 0
                     last = len(block["numbers"]) - 1
                     for i, (number, doc_id, n) in enumerate(zip(block["numbers"], block["doc_ids"], block["lengths"])):
-                        if crossing == (i == 0 and block["block"] > 0 or i == last and block["n_ids"] == BLOCK_IDS):
+                        if crossing == (i == 0 and block["block"] > 0 or i == last and block["n_ids"] == block["room"]):
                             data = ids[at : at + n].tobytes()
                             rows.append((block["shard"], number, block["block"], doc_id, block["first"] + at, n, zlib.crc32(data), data if crossing else None))
                         at += n
