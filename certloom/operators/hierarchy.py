@@ -8,7 +8,8 @@ in one task: that step is sequential by nature, and an edge is 24 bytes.
 
 Clusters are those of greatest excess of mass (Campello et al., 2013); one that is born
 below ``epsilon`` gives way to its first ancestor born above it (Malzer and Baum, 2020).
-The root is never a cluster.
+The root is never a cluster. Merges at equal distances are one split, so that ties don't
+depend on an order.
 """
 
 from __future__ import annotations
@@ -97,19 +98,22 @@ def condensed(n: int, edges: list[tuple[int, int, float]], least: int) -> tuple[
         if x < n:
             continue
         lam = 1 / height[x] if height[x] > 0 else np.inf
-        kids = (left[x], right[x])
+        kids, merged = [], [left[x], right[x]]
+        while merged:
+            k = merged.pop()
+            if k >= n and height[k] == height[x]:  # merged at one distance: one split
+                merged += [left[k], right[k]]
+            else:
+                kids.append(k)
         big = [k for k in kids if size[k] >= least]
-        if len(big) == 2:
-            for k in kids:
-                rows.append((label, fresh, lam, size[k]))
-                todo.append((k, fresh))
-                fresh += 1
-        else:
-            for k in kids:
-                if k in big:
-                    todo.append((k, label))
-                else:
-                    rows += [(label, p, lam, 1) for p in points(k)]
+        rows += [(label, p, lam, 1) for k in kids if size[k] < least for p in points(k)]
+        if len(big) == 1:
+            todo.append((big[0], label))
+            continue
+        for k in big:
+            rows.append((label, fresh, lam, size[k]))
+            todo.append((k, fresh))
+            fresh += 1
     return rows, fresh
 
 
