@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files, broadcasts and checkpoints that nothing refers to.
+
+    Its cleaner acts on the driver's garbage; a job of many short rounds makes too
+    little of that by itself, and disks of the executors fill with what is done with.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node reachable.
 
@@ -35,6 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
+        del both, nearest, large, small, moved
+        release(edges.sparkSession)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             hung = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
