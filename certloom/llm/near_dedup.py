@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom.llm.common import cut, few, map_rows, text_or_empty
-from certloom.operators.graph import components
+from certloom.operators.graph import components, release
 
 WORDS = 5
 #: A pair is linked if 100 * intersection >= PERCENT * union.
@@ -310,13 +310,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     worthwhile = WORTHWHILE * shared.count()
     sets = cut(full_sets(docs, shared))
 
-    labels = None
+    labels, links = None, None
     for number in range(ROUNDS):
         found = confirmed(plausible(star_pairs(mixed_buckets(crowded, labels), number), nodes), sets)
-        labels = joined(labels, found)
+        links = found if links is None else links.union(found)
+        release(docs.sparkSession)
         if found.count() <= worthwhile:
             break
-    labels = joined(labels, confirmed(pairs_across(mixed_buckets(crowded, labels), nodes, sets), sets))
+        labels, links = joined(labels, links), None
+    found = confirmed(pairs_across(mixed_buckets(crowded, labels), nodes, sets), sets)
+    labels = joined(labels, found if links is None else links.union(found))
 
     groups = members.select("doc_id", "cid").distinct().join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     found = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.coalesce("label", "cid")).alias("_group"))
