@@ -128,6 +128,22 @@ with t as (
 select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
   doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
 from t""",
+    "op7_near_dedup": """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') as words
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i : i + 4], ' ')) end) as shingle
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)),
+both_ways as (select a, b from e union all select b, a from e),
+reach as (select doc_id as id, doc_id as seen from documents union select r.id, v.b from reach r join both_ways v on r.seen = v.a),
+c as (select id, min(seen) as component_id from reach group by id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join c on c.id = d.doc_id""",
 }
 
 
