@@ -64,38 +64,40 @@ def envelope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (extract_regex_fields, parse_json_fields, cn_year, cn_date, ps_result_parse, envelope_text)}
 
 _WRITTEN = "translate(grad_year, '0123456789', '〇一二三四五六七八九')"
-_OF_RE = "case when {k} then {a} else {b} end"
 _MODERN, _OLD = "entity_id % 4 = 0", "entity_id % 4 = 1"
-_YEAR = "case when regexp_full_match({c}, '[0-9]{{4}}') then {c} end"
-_GRAD4 = "case when grad_year = 'N/A' then null else grad_year end"
+_YEAR = "case when grad_year <> 'N/A' then grad_year end"
 
 
-def _expected(modern: str, old: str) -> str:
-    return f"case when {_MODERN} then {modern} else {old} end"
+def _said(modern: str, old: str, json: str = "null") -> str:
+    return f"case when {_MODERN} then {modern} when {_OLD} then {old} else {json} end"
 
 
-#: What the texts say, by construction: patterns and JSON keys have to find it again.
+#: What the texts say, by construction: patterns and JSON keys have to find it again. An
+#: empty value lets a pattern reach the next one, as in the modern layout.
 _FIELDS = {
-    "cert_type": _expected("'毕业证书'", "null"),
-    "student_name": _expected("'张三丰'", "'李四光'"),
+    "cert_type": _said("'毕业证书'", "null"),
+    "student_name": _said("'张三丰'", "'李四光'"),
     "school": "school",
-    "department": _expected("regexp_extract(school, '([^\\s，,。\\n]{2,15}(?:学院|系|学部|专业|学科))', 1)", "'历史系'"),
-    "principal": _expected("case when principal is not null then substr(principal, 1, 6) end", "null"),
-    "grad_year": _expected(f"coalesce({_GRAD4}, null)", _GRAD4),
+    "department": _said("null", "'历史系'"),
+    "principal": _said("coalesce(substr(principal, 1, 6), 'NATION')", "null", "principal"),
+    "grad_year": _said(f"coalesce({_YEAR}, enrollment_year)", _YEAR, "grad_year"),
     "enrollment_year": "enrollment_year",
-    "issue_year": _expected("null", "issue_year"),
-    "issue_date": _expected("null", "issue_year||'-07-20'"),
+    "issue_year": _said("null", "issue_year"),
+    "issue_date": _said("null", "issue_year||'-07-20'"),
     "cert_no": "cert_no",
-    "student_id_no": "null",
+    "student_id_no": "cast(null as varchar)",
     "gender": "gender",
-    "birth_year": "null",
-    "supervisor": "null",
+    "birth_year": "cast(null as varchar)",
+    "supervisor": "cast(null as varchar)",
 }
+_ALL_FIELDS = ", ".join(f"{sql} as {name}" for name, sql in _FIELDS.items())
 _DAY_SQL = "[" + ",".join(f"'{d}'" for d in _DAYS) + "]"
 _NUMBERS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12, "十五": 15, "十九": 19, "二十": 20, "廿": 20, "廿一": 21, "廿九": 29, "卅": 30, "卅一": 31}
 _VALUE_SQL = "[" + ",".join(str(_NUMBERS[d]) for d in _DAYS) + "]"
 
 SQL = {
+    "extract_regex_fields": f"with {CREDENTIALS_SQL} select entity_id, {_ALL_FIELDS} from certs where entity_id % 4 < 2",
+    "parse_json_fields": f"with {CREDENTIALS_SQL} select entity_id, {_ALL_FIELDS} from certs",
     "cn_year": f"with {CREDENTIALS_SQL} select entity_id, {_WRITTEN} as written, case when grad_year <> 'N/A' then grad_year end as year from certs",
     "cn_date": f"""with {CREDENTIALS_SQL} select entity_id, {_WRITTEN}||'年'||{_DAY_SQL}[entity_id % 12 + 1]||'月'||{_DAY_SQL}[entity_id % {len(_DAYS)} + 1]||case when entity_id % 10 = 3 then '' else '日' end as written,
  case when grad_year <> 'N/A' and entity_id % 10 <> 3 then grad_year||'-'||lpad(cast({_VALUE_SQL}[entity_id % 12 + 1] as varchar), 2, '0')||'-'||lpad(cast({_VALUE_SQL}[entity_id % {len(_DAYS)} + 1] as varchar), 2, '0') end as issue_date from certs""",
