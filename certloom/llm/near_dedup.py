@@ -36,7 +36,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 SKETCH_WORDS = 8
 #: Samples and 64-bit words of the finer sketch of texts that share a bucket.
-FINE_SAMPLES, FINE_WORDS = 1024, 32
+FINE_SAMPLES, FINE_WORDS = 2048, 48
 #: Standard deviations of the sketch's estimate that a pair may be worse than the limit.
 SLACK = 4.5
 #: Rounds of stars, at most, and the links for a member that a round must find for another.
