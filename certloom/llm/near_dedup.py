@@ -262,19 +262,21 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def pairs_across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of all pairs of a bucket's members from different components that sizes
-    and both sketches permit."""
-    known = nodes.select("cid", "n", "sketch").join(sets.select("cid", "fine"), "cid")
+    and both sketches permit. A pair is made in the first of the buckets it shares, all
+    of which hold both of its components."""
+    known = nodes.select("cid", "n", "sketch", "bands").join(sets.select("cid", "fine"), "cid")
     rest = cut(labelled.join(known, "cid"))
 
     def side(x: str) -> DataFrame:
         words = [F.col("sketch")[i].alias(f"{x}_{i}") for i in range(SKETCH_WORDS)] + [F.col("fine")[i].alias(f"{x}f_{i}") for i in range(FINE_WORDS)]
-        return rest.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("cid", "label", "n")], *words)
+        return rest.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("cid", "label", "n", "bands")], *words)
 
     left, right = side("a"), side("b")
     coarse = differing("a_", "b_", SKETCH_WORDS) <= sketch_limit()
     fine = differing("af_", "bf_", FINE_WORDS) <= sketch_limit(FINE_SAMPLES, FINE_WORDS)
     apart = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
-    met = left.join(right, (left["key"] == right["key"]) & apart & allowed("a_n", "b_n") & coarse & fine)
+    first = left["key"] == F.array_min(F.array_intersect("a_bands", "b_bands"))
+    met = left.join(right, (left["key"] == right["key"]) & apart & allowed("a_n", "b_n") & coarse & fine & first)
     return met.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
 
