@@ -134,14 +134,11 @@ LOOKALIKES = {
 }
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 
-#: Only these dashes and dots rewrite; alone they don't make a text suspicious.
-QUIET = set("‐‑‒–−。")
-
 
 @cache
 def characters() -> tuple[dict[str, str], re.Pattern, frozenset[str]]:
-    """What each disguised character stands for, a pattern of all of them, and the set
-    of those whose presence calls for a second look. Compatibility forms (full-width,
+    """What each disguised character stands for, a pattern of all of them, and their set:
+    any of them calls for a second look. Compatibility forms (full-width,
     mathematical, circled, superscript) come from Unicode's own decompositions."""
     table = {}
     for code in range(0x80, 0x20000):
@@ -157,12 +154,10 @@ def characters() -> tuple[dict[str, str], re.Pattern, frozenset[str]]:
     for c in "ªº":  # ordinary signs of Romance languages
         table.pop(c, None)
     every = re.compile("[" + "".join(map(re.escape, table)) + "]+")
-    return table, every, frozenset(table) - QUIET
+    return table, every, frozenset(table)
 
 
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Some of these is in every spelled number long enough to be an identifier.
-TELLING = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|dev|app|example|test|io|ai|co|me|tv|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be|pl|ru|cn|jp|in|br|au"
 
 _D = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
@@ -177,6 +172,10 @@ BRACKET_AT = re.compile(_AT_SIGN, re.I)
 BRACKET_DOT = re.compile(r"\s*[\(\[\{<]\s*(?:dot|punkt|punto|\.)\s*[\)\]\}>]\s*", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s+@\s*|\s*@\s+)(?=[A-Za-z0-9-]+(?:\s*\.\s*|\s+dot\s+)[A-Za-z])", re.I)
 WORDED = re.compile(rf"\b{_NAME}(?:\s+dot\s+{_NAME})*(?:\s+(?:at|arroba)\s+|@){_HOST}(?:{_DOT}|\.)(?:{_HOST}(?:{_DOT}|\.))*(?:{ENDINGS})\b", re.I)
+#: As WORDED, with any ending: the dot before it is spelled, and after a plain @ all are.
+SPELLED_OUT = re.compile(rf"\b{_NAME}(?:\s+dot\s+{_NAME})*(?:\s+(?:at|arroba)\s+{_HOST}(?:(?:{_DOT}|\.){_HOST})*|@{_HOST}(?:{_DOT}{_HOST})*){_DOT}[A-Za-z]{{2,24}}\b", re.I)
+#: "Look at the dot in it": after these a dot is a thing, unless a known ending follows.
+DETERMINERS = frozenset("the a an this that each every any some my your his her its our their".split())
 NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 WORD_DOT = re.compile(_DOT, re.I)
 WORD_AT = re.compile(r"\s+(?:at|arroba)\s+", re.I)
@@ -206,30 +205,39 @@ def _worded(m: re.Match) -> str | None:
     return WORD_DOT.sub(".", name) + "@" + WORD_DOT.sub(".", host)
 
 
+def _spelled_out(m: re.Match) -> str | None:
+    name, _, host = (WORD_AT.sub("@", m[0], count=1) if "@" not in m[0] else m[0]).partition("@")
+    host = WORD_DOT.sub(".", host)
+    return None if host.partition(".")[0].lower() in DETERMINERS else WORD_DOT.sub(".", name) + "@" + host
+
+
+def _lower(text: str) -> str:
+    """Lower case of what a pattern took for ASCII letters, a dotted capital I among them."""
+    return text.lower().replace("i\u0307", "i")
+
+
 def _digits(m: re.Match) -> str:
-    words = re.split(r"[\s,-]+", m[0].lower())
+    words = re.split(r"[\s,-]+", _lower(m[0]))
     return "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in words)
 
 
 def _spelled_ip(m: re.Match) -> str:
-    return ".".join("".join(DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", part.strip().lower())) for part in WORD_DOT.split(m[0]))
+    return ".".join("".join(DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", _lower(part.strip()))) for part in WORD_DOT.split(m[0]))
 
 
 def undisguised(text: str) -> View | None:
     """The text after all transducers, or None if nothing in it calls for them."""
-    table, every, loud = characters()
-    odd = not text.isascii() and not loud.isdisjoint(text)
-    lower = text.lower()
-    words = _calls_for_address(lower)
-    digits = sum(w in lower for w in TELLING) >= 2 and (SPELLED.search(text) or SPELLED_IP.search(text))
-    if not (odd or words or digits):
+    table, every, disguised = characters()
+    odd = not text.isascii() and not disguised.isdisjoint(text)
+    # each is a necessary condition; the dots of a spelled IP call for an address, too
+    if not (odd or _calls_for_address(text.lower()) or SPELLED.search(text)):
         return None
     view = View.of(text)
     if odd:
         view = view.rewrite(every, lambda m: "".join(table[c] for c in m[0]))
     view = view.rewrite(SPELLED_IP, _spelled_ip).rewrite(SPELLED, _digits).rewrite(NUMBER_DOT, lambda m: ".")
     view = view.rewrite(BRACKET_AT, lambda m: "@").rewrite(BRACKET_DOT, lambda m: ".").rewrite(SPACED_AT, lambda m: "@")
-    return view.rewrite(WORDED, _worded)
+    return view.rewrite(SPELLED_OUT, _spelled_out).rewrite(WORDED, _worded)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -227,6 +227,30 @@ def test_clean_text_has_none(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("card 4111–1111–1111–1111 now", "card", "4111–1111–1111–1111"),
+        ("call +1 415‑555‑7713 now", "phone", "+1 415‑555‑7713"),
+        ("call +1 415 – 555 – 7713 now", "phone", "+1 415 – 555 – 7713"),
+        ("mail a@b。com now", "email", "a@b。com"),
+        ("call plus one four one one one one four one one now", "phone", "plus one four one one one one four one one"),
+        ("host one dot one dot one dot one ok", "ip", "one dot one dot one dot one"),
+        ("call plus one oh one oh one oh one oh one oh now", "phone", "plus one oh one oh one oh one oh one oh"),
+        ("mail john at example dot museum now", "email", "john at example dot museum"),
+        ("mail john dot doe at mail dot example dot photography now", "email", "john dot doe at mail dot example dot photography"),
+    ],
+)
+def test_disguises_alone_call_for_a_second_look(text, kind, part):
+    span = (pii.KINDS.index(kind), text.index(part), text.index(part) + len(part))
+    assert span in pii.find(text)[1] and span in pii.find(text + " m²")[1]
+
+
+@pytest.mark.parametrize("text", ["look at the dot on the page", "1990–1995 – two three fİve"])
+def test_second_look_finds_nothing_in_clean_text(text):
+    assert pii.find(text) == ([], [])
+
+
 def test_identifiers_odd(odd, empty):
     got = pii.find_personal_data(odd).collect()
     assert len(got) == len(ODD) and {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
