@@ -123,6 +123,12 @@ class View:
             return self
         return View("".join([*text, self.text[last:]]), starts + self.starts[last:], ends + self.ends[last:])
 
+    def translated(self, table: dict[str, str]) -> View:
+        """Each character by what stands for it in ``table``: one character, or none."""
+        new = [table.get(c, c) for c in self.text]
+        kept = [i for i, c in enumerate(new) if c]
+        return View("".join(new), [self.starts[i] for i in kept], [self.ends[i] for i in kept])
+
 
 # Letters of other scripts that look like ASCII letters.
 LOOKALIKES = {
@@ -136,9 +142,9 @@ INVISIBLE = "­​‌‍‎‏⁠﻿"
 
 
 @cache
-def characters() -> tuple[dict[str, str], re.Pattern, frozenset[str]]:
-    """What each disguised character stands for, a pattern of all of them, and their set:
-    any of them calls for a second look. Compatibility forms (full-width,
+def characters() -> tuple[dict[str, str], frozenset[str]]:
+    """What each disguised character stands for, and the set of them: any of them calls
+    for a second look. Compatibility forms (full-width,
     mathematical, circled, superscript) come from Unicode's own decompositions."""
     table = {}
     for code in range(0x80, 0x20000):
@@ -153,8 +159,7 @@ def characters() -> tuple[dict[str, str], re.Pattern, frozenset[str]]:
     table |= dict.fromkeys(INVISIBLE, "")
     for c in "ªº":  # ordinary signs of Romance languages
         table.pop(c, None)
-    every = re.compile("[" + "".join(map(re.escape, table)) + "]+")
-    return table, every, frozenset(table)
+    return table, frozenset(table)
 
 
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -227,14 +232,14 @@ def _spelled_ip(m: re.Match) -> str:
 
 def undisguised(text: str) -> View | None:
     """The text after all transducers, or None if nothing in it calls for them."""
-    table, every, disguised = characters()
+    table, disguised = characters()
     odd = not text.isascii() and not disguised.isdisjoint(text)
     # each is a necessary condition; the dots of a spelled IP call for an address, too
     if not (odd or _calls_for_address(text.lower()) or SPELLED.search(text)):
         return None
     view = View.of(text)
     if odd:
-        view = view.rewrite(every, lambda m: "".join(table[c] for c in m[0]))
+        view = view.translated(table)
     view = view.rewrite(SPELLED_IP, _spelled_ip).rewrite(SPELLED, _digits).rewrite(NUMBER_DOT, lambda m: ".")
     view = view.rewrite(BRACKET_AT, lambda m: "@").rewrite(BRACKET_DOT, lambda m: ".").rewrite(SPACED_AT, lambda m: "@")
     return view.rewrite(SPELLED_OUT, _spelled_out).rewrite(WORDED, _worded)

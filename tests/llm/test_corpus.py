@@ -246,6 +246,19 @@ def test_disguises_alone_call_for_a_second_look(text, kind, part):
     assert span in pii.find(text)[1] and span in pii.find(text + " m²")[1]
 
 
+@pytest.mark.parametrize(
+    "text,parts",
+    [
+        ("（＋１４１５５５５７７１３）", ["＋１４１５５５５７７１３"]),
+        ("（ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ）", ["ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"]),
+        ("（ａ＠ｂ．ｃｏｍ）（ｃ＠ｄ．ｃｏｍ）", ["ａ＠ｂ．ｃｏｍ", "ｃ＠ｄ．ｃｏｍ"]),
+        ("（\u200bｊｏ\u200bｈｎ＠ｂ．ｃｏｍ\u200b）", ["ｊｏ\u200bｈｎ＠ｂ．ｃｏｍ"]),
+    ],
+)
+def test_spans_of_disguised_characters_end_where_the_identifier_does(text, parts):
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == parts
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the page", "1990–1995 – two three fİve"])
 def test_second_look_finds_nothing_in_clean_text(text):
     assert pii.find(text) == ([], [])
