@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.operators import rules, similarity
-from certloom.plans.audit import batch_analyze, batch_result
+from certloom.plans.audit import batch_analyze, batch_result, cross_validate
 from certloom.sources.records import CREDENTIALS_SQL, FACES_SQL, HASHES_SQL, METRICS_SQL, credentials, faces, forensic_metrics, region_hashes
 
 CERTS = f"with {CREDENTIALS_SQL}"
@@ -98,22 +98,15 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of the grouping rules by rule and severity, with the records they relate."""
-    records = credentials(spark, sf_dir)
-    found = None
-    for issues in (rules.principal_conflicts(records), rules.shared_principals(records), rules.long_tenures(records), rules.duplicate_numbers(records)):
-        part = issues.select("rule", "severity", F.size("related_ids").alias("n"))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("issues"), F.sum("n").cast("long").alias("related"))
+    """Issues of all rules across records by rule and severity, with the records they relate."""
+    issues = rules.cross_issues(credentials(spark, sf_dir))
+    return issues.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("issues"), F.sum(F.size("related_ids")).cast("long").alias("related"))
 
 
 def cross_validate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header of a run: records, readable ones, issues and severe ones."""
-    records = credentials(spark, sf_dir)
-    issues = cross_validate_summary(spark, sf_dir).agg(F.sum("issues").alias("issue_count"), F.sum(F.when(F.col("severity") == rules.HIGH, F.col("issues")).otherwise(0)).alias("high_severity_count"))
-    totals = records.agg(F.count(F.lit(1)).alias("total_certs"), F.count_if(~F.col("ocr_error")).alias("ocr_success"))
-    one = F.lit(1)
-    return totals.withColumn("_one", one).join(issues.withColumn("_one", one), "_one").drop("_one")
+    _, header = cross_validate(credentials(spark, sf_dir))
+    return header.select("total_certs", "ocr_success", "issue_count", "high_severity_count")
 
 
 QUERIES = {
