@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from certloom.plans import rule_queries
+from certloom.plans import extract_queries, rule_queries
 from certloom.sources.records import credentials
 
 
@@ -57,3 +57,15 @@ def test_cross_validation_counts_the_issues_of_all_rules(spark, folder):
     assert got == want and got["证书编号高度相似", "高"][0] > 0
     header = rule_queries.cross_validate_run(spark, folder).first()
     assert tuple(header) == (len(records), sum(not r["ocr_error"] for r in records), len(found), sum(s == "高" for _, s, _ in found))
+
+
+def test_patterns_apply_to_every_recognised_text(spark, folder):
+    records = credentials(spark, folder).collect()
+    rows = {r["entity_id"]: {k: v for k, v in r.asDict().items() if v is not None and k != "entity_id"} for r in extract_queries.extract_regex_fields(spark, folder).collect()}
+    assert set(rows) == {r["entity_id"] for r in records}
+    for r in records:
+        k = r["entity_id"]
+        if k % 4 < 2:  # in Chinese: the number is found
+            assert rows[k]["cert_no"] == r["cert_no"]
+        else:  # JSON has no Chinese keys; the pattern of schools takes up to 20 characters
+            assert rows[k] == {"school": ('{"school":"' + r["school"].removesuffix("大学"))[-20:] + "大学"}
