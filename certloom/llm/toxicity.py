@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -41,13 +42,47 @@ slut stupid trash vermin whore wanker worthless""".split()
 
 # Words that speak about a term.
 MENTIONS = frozenset("word words term terms called call calls calling said says say quote quoted quotes wrote writes slur slurs insult insults phrase meaning means definition spelled etymology dictionary".split())
-OPENING, CLOSING = "\"“„«‹‘`", "\"”“»›’`"
+#: Quotation marks, each with what closes it.
+CLOSED_BY = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’", "`": "`"}
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
-WINDOW = 5
 FAR_EDIT, QUOTED = 0.8, 0.08
 
 TOKEN = re.compile(r"[^\W_](?:[\w@$*!|'’-]*[\w@$])?|[@$][\w@$]+")
 RUN = re.compile(r"(.)\1{2,}")
+#: Signs that join words into one token, or stand in one; a term has less than PIECES.
+JOINT, PIECES = re.compile(r"[-'’_!|*]+"), 16
+MARK = re.compile(r"[\"“”„«»‹›‘’`]")
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Disjoint ranges between quotation marks and those that close them, in order.
+
+    Marks that open and close alike open before a word and close after one; one that
+    opens again makes the one before it a stray, and one that nothing closes quotes
+    nothing. Inside a word a mark is an apostrophe.
+    """
+    opened: dict[str, int] = {}
+    found = []
+    for m in MARK.finditer(text):
+        c, at = m[0], m.start()
+        left, right = text[at - 1 : at], text[at + 1 : at + 2]
+        if c == "’" and left.isalnum() and right.isalnum():
+            continue
+        begins = right != "" and not right.isspace() and not left.isalnum()
+        ends = left != "" and not left.isspace() and not right.isalnum()
+        alike = CLOSED_BY.get(c) == c
+        closing = [q for q in opened if c in CLOSED_BY[q]]
+        if closing and (not alike or ends or not begins):
+            found += [(opened.pop(q), at) for q in closing]
+        elif c in CLOSED_BY and (not alike or begins or not ends):
+            opened[c] = at
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def edits_allowed(term: str) -> int:
@@ -179,14 +214,26 @@ class Matcher:
         self.known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        """What one use of a word counts; 0 for a word that is no form of a term."""
+        """What one use of a word counts, as a whole or by the words that signs join in
+        it; 0 for a word that is no form of a term."""
         w = self.known.get(word)
         if w is None:
-            w = self.look_up(word)
+            w = self.joined(word)
             if len(self.known) < REMEMBERED:
                 self.known[word] = w
         return w
 
+    def joined(self, word: str) -> float:
+        """The most that a word counts, as a whole or cut at some of the signs in it."""
+        signs = [m.span() for m in JOINT.finditer(word)]
+        if not signs:
+            return self.look_up(word)
+        starts, ends = [0, *[b for _, b in signs]], [*[a for a, _ in signs], len(word)]
+        best = [0.0]
+        for j, end in enumerate(ends):
+            best.append(max(best[i] + self.look_up(word[starts[i] : end]) for i in range(max(0, j + 1 - PIECES), j + 1)))
+        return max(best[-1], self.look_up(word))
+
     def look_up(self, word: str) -> float:
         if word in self.model.terms:
             return self.model.terms[word]
@@ -199,8 +246,6 @@ class Matcher:
 
     def near(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term, signs for letters and long runs undone."""
-        if len(word) > 40:
-            return None
         plain = RUN.sub(r"\1", word.translate(LEET).replace("'", "").replace("’", "").replace("-", ""))
         hit = self.automaton.match(plain)
         return self.automaton.match(word) if hit is None and plain != word else hit
@@ -213,22 +258,20 @@ class Matcher:
         if not any(map(weight, set(words))):
             return 0.0
         spots = [m.span() for m in TOKEN.finditer(lower)]
+        quoted = quotations(lower)
         total = 0.0
         for i, word in enumerate(words):
             w = weight(word)
             if w:
-                total += w * self.context(lower, words, spots, i)
+                total += w * self.context(words, spots[i], quoted, i)
         return total
 
-    def context(self, lower: str, words: list[str], spots: list[tuple[int, int]], i: int) -> float:
+    def context(self, words: list[str], spot: tuple[int, int], quoted: list[tuple[int, int]], i: int) -> float:
         """Between 0 and 1: lower where a term is quoted or spoken about, not used."""
-        a, b = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-        before = lower[spots[a][0] : spots[i][0]]
-        after = lower[spots[i][1] : spots[b - 1][1]]
-        opened = any(before.count(q) % 2 if q == c else before.count(q) > before.count(c) for q, c in zip(OPENING, CLOSING))
-        quoted = opened and any(q in after for q in CLOSING)
-        mentioned = any(w in MENTIONS for w in words[max(0, i - 3) : i + 3])
-        return QUOTED if quoted or (mentioned and opened) else 0.5 if mentioned else 1.0
+        at = bisect_left(quoted, spot) - 1
+        if at >= 0 and spot[1] <= quoted[at][1]:
+            return QUOTED
+        return 0.5 if any(w in MENTIONS for w in words[max(0, i - 3) : i + 3]) else 1.0
 
 
 def words_of(column: Column) -> Column:

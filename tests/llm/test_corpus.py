@@ -347,6 +347,26 @@ def test_context_separates_quotation_from_abuse():
     assert total("") == 0 == total("the thing")
 
 
+@pytest.mark.parametrize(
+    "text,least,most",
+    [
+        ("you idi" + "o" * 50 + "t", 1.0, 1.0),
+        ("you-idiot", 1.0, 1.0),
+        ("idiot!moron", 2.0, 2.0),
+        ("you_sh!thead|moron", 1.6, 2.0),
+        ("you f*cking", 0.5, 1.0),
+        ('they wrote "one two three four five six seven eight idiot nine ten eleven twelve thirteen" and left', 0.0, 0.1),
+        ('she said "good day to you" and then you idiot took my "best" hat', 1.0, 1.0),
+        ('a 5" pipe, you idiot, and a 6" pipe', 1.0, 1.0),
+        ("er schrieb „du bist ein idiot und mehr nicht“ gestern", 0.0, 0.1),
+        ("it’s you, idiot, and it’s so", 1.0, 1.0),
+        ('"never closed, you idiot', 1.0, 1.0),
+    ],
+)
+def test_joined_and_long_drawn_terms_and_quotations(text, least, most):
+    assert least <= toxicity.Model(dict.fromkeys(toxicity.INSULTS, 1.0)).matcher().total(text) <= most
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}
