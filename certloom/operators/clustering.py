@@ -96,7 +96,7 @@ def histogram(distances: DataFrame, bins: int = 20) -> DataFrame:
 
 def eps_sweep(vectors: DataFrame, radii: list[float], metric: str = "cosine") -> DataFrame:
     """(eps, n_clusters, n_noise) of several radii; distances are measured once."""
-    from certloom.operators.graph import cut
+    from certloom.operators.lineage import cut
 
     links = cut(pairs.distances(vectors, metric, max(radii)))
     n = vectors.count()

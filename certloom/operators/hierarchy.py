@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certloom.operators.graph import cut
+from certloom.operators.lineage import cut
 from certloom.operators.pairs import METRICS, _matrix, block_pairs
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certloom.operators.graph import cut
+from certloom.operators.lineage import cut
 
 _IN_PARTITION = (1 << 33) - 1
 

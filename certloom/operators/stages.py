@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from certloom.config import SETTINGS, Settings
 from certloom.operators import pairs
-from certloom.operators.graph import components, cut
+from certloom.operators.graph import components
+from certloom.operators.lineage import cut
 from certloom.operators.order import numbered
 
 

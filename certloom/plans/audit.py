@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from certloom.config import SETTINGS, Settings
 from certloom.operators import rules
-from certloom.operators.graph import cut
+from certloom.operators.lineage import cut, scratch_folder
 from certloom.operators.similarity import similar_hashes
 from certloom.sources.records import credentials
 from certloom.streaming.audit_stream import audited, batch_analyze_stream
@@ -48,9 +48,7 @@ def cross_validate(records: DataFrame, hashes: DataFrame | None = None, s: Setti
 
 def batch_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming audit of the credentials of a folder, read back when it has ended."""
-    from certloom.operators.graph import checkpoint_folder
-
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     records = credentials(spark, sf_dir)
     records.write.parquet(f"{folder}/records")
     batch_analyze_stream(spark, f"{folder}/records", records.schema, f"{folder}/results", f"{folder}/progress", f"{folder}/checkpoint").awaitTermination()

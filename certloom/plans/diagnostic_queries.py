@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from certloom.functions.vectors import fused, norm
 from certloom.operators import faces, pairs
-from certloom.operators.graph import cut
+from certloom.operators.lineage import cut
 from certloom.sources.records import table, vectors
 
 

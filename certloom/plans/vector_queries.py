@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from certloom.operators import clustering, hierarchy, pairs, stages
 from certloom.operators import search as searching
-from certloom.operators.graph import cut
+from certloom.operators.lineage import cut
 from certloom.sources.records import face_vectors, vectors
 
 #: Radii that give clusters on these vectors, which are far from each other.

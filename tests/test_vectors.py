@@ -107,3 +107,24 @@ def test_histogram_ends(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "distance double")
     got = [r["count"] for r in clustering.histogram(df, 4).orderBy("bin").collect()]
     assert got == [1, 0, 1, 1]
+
+
+def test_components_in_one_tile_and_in_many(spark):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(a) + 1) for a in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (250, 2))] + [(None, 5), (7, 7)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for x in up}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for tile in (200_000, 40):
+        assert {tuple(r) for r in components(df, tile).collect()} == want
+    assert components(df.where("false")).count() == 0
