@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: reading tables, batches, checkpoints."""
+"""Helpers shared by the corpus operators: reading tables, batches, small sides of joins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from certloom.operators.lineage import cut, scratch_folder  # noqa: F401 (for the operators)
+
 #: Bytes of one Arrow batch handed to a Python worker, so that long texts do not
 #: multiply with the row limit of a batch.
 BATCH_BYTES = 4 * 1024 * 1024
@@ -26,26 +28,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or "/tmp/certloom-checkpoints"
-        sc.setCheckpointDir(folder)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share, for intermediate tables."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def few(ids: DataFrame, most: int) -> DataFrame:
     """The rows, to be sent to every task if there are not more than ``most``."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

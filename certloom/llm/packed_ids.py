@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import shared_folder, text_or_empty, to_arrow
+from certloom.llm.common import scratch_folder, text_or_empty, to_arrow
 from certloom.llm.word_bpe import remembered_ids, words_of
 
 BLOCK_IDS = 65_536
@@ -222,4 +222,4 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/packed-{uuid.uuid4().hex}"
