@@ -376,27 +376,53 @@ def test_toxicity_odd(spark, odd, empty):
 # neighbours
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("n,kinds", [(900, 0), (6000, 60)])
+def test_neighbours_against_brute_force(spark, n, kinds):
+    """The sample and the lists are far smaller than the table, whose vectors are loose
+    or in clusters; many copies of one vector tie."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((900, 24)) * rng.uniform(0.5, 2, (900, 1))
+    x = rng.standard_normal((n, 24)) * rng.uniform(0.5, 2, (n, 1))
+    if kinds:
+        x = rng.standard_normal((kinds, 24))[rng.integers(kinds, size=n)] * 3 + x * 0.5
     x[300:500] = x[300]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    rows += [(2000, None, 1), (2001, [0.0] * 24, 1), (2020, [float("nan")] * 24, 1), (2040, [float("inf")] + [1.0] * 23, 1), (None, x[0].tolist(), 1), (2060, [1.0], 1)]
+    rows += [(20000, None, 1), (20001, [0.0] * 24, 1), (20020, [float("nan")] * 24, 1), (20040, [float("inf")] + [1.0] * 23, 1), (None, x[0].tolist(), 1), (20060, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = defaultdict(list)
-    for r in nearest.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0, 20, sample=n // 6, per_list=n // 15).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert set(got) == set(range(0, 900, 20))
+    assert set(got) == set(range(0, n, 20))
     hits = 0
     for q, found in got.items():
         scores = x @ x[q]
         scores[q] = -np.inf
-        want = np.lexsort((np.arange(900), -scores))[:20]
+        want = np.lexsort((np.arange(n), -scores))[:20]
         hits += len(set(want) & {i for i, _ in found})
         assert len(found) == 20 and all(abs(scores[i] - s) < 1e-9 for i, s in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
     assert hits / (20 * len(got)) > 0.9
 
 
+def test_lists_in_two_levels(spark):
+    x = np.random.default_rng(2).standard_normal((3000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index, n = nearest.fit(df, 20, sample=320, per_list=30)
+    assert n == 3000 and len(index.coarse) == 10 == len(index.fine) and index.n_lists == 100
+    assert (index.order(x[:50])[:, : index.n_lists // 2] == index.own_list(x[:50])[:, None]).any(axis=1).mean() > 0.8
+
+
+def test_scan_gives_the_best_of_a_block():
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((1500, 40)), rng.standard_normal((30, 40))
+    none = np.zeros((1, 41))
+    index = nearest.Index(np.linalg.qr(rng.standard_normal((41, 41)))[0], float((x * x).sum(axis=1).max()), none, none, 1, x[:1], np.zeros(1), np.zeros(1, dtype=np.int64))
+    for test in (True, False):
+        query, found, score = nearest.scan_block(q, np.arange(30) + 10**6, np.full(30, nearest.NOTHING), x, np.arange(1500), index, 20, test)
+        want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+        hits = sum(len(set(found[query == i + 10**6]) & set(want[i])) for i in range(30))
+        assert hits > 0.99 * 600 and np.allclose(score, (q[query - 10**6] * x[found]).sum(axis=1))
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
