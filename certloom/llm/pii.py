@@ -107,14 +107,10 @@ class View:
     def of(cls, text: str) -> View:
         return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
 
-    def rewrite(self, pattern: re.Pattern, replace) -> View:
-        """Replace each match by ``replace(match)``; None leaves a match alone."""
+    def replaced(self, changes: list[tuple[int, int, str]]) -> View:
+        """With each (start, end, new) put in; they are in order and don't overlap."""
         text, starts, ends, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = replace(m)
-            if new is None or m.end() == m.start():
-                continue
-            a, b = m.span()
+        for a, b, new in changes:
             text += [self.text[last:a], new]
             starts += self.starts[last:a] + [self.starts[a]] * len(new)
             ends += self.ends[last:a] + [self.ends[b - 1]] * len(new)
@@ -162,72 +158,183 @@ def characters() -> tuple[dict[str, str], frozenset[str]]:
     return table, frozenset(table)
 
 
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|dev|app|example|test|io|ai|co|me|tv|eu|de|fr|es|it|nl|uk|us|ca|ch|at|be|pl|ru|cn|jp|in|br|au"
+# The digits in English, Spanish, French and German.
+DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+}
+# Endings that make an address of "name at host.ending".
+ENDINGS = frozenset("com org net edu gov mil int info biz name dev app example test io ai co me tv eu de fr es it nl uk us ca ch at be pl ru cn jp in br au".split())
+#: "Look at the dot in it": after these a dot is a thing, unless a known ending of three
+#: letters or more follows.
+DETERMINERS = frozenset("the a an this that each every any some my your his her its our their".split())
 
+# Every pattern takes time in proportion to the text: runs are possessive, and each
+# starts at a sign or a word that no other start shares.
 _D = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_SEQ = rf"{_D}(?:[\s,-]+{_D})*"
-_DOT = r"(?:\s+(?:dot|punkt|punto)\s+|\s*[\(\[\{{<]\s*(?:dot|punkt|punto|\.)\s*[\)\]\}}>]\s*)".replace("{{", "{").replace("}}", "}")
-_AT_SIGN = r"\s*[\(\[\{<]\s*(?:at|arroba|@)\s*[\)\]\}>]\s*"
-_NAME, _HOST = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
-
-SPELLED = re.compile(rf"(?:\bplus[\s,-]+)?\b{_D}(?:[\s,-]+{_D}){{2,}}\b", re.I)
-SPELLED_IP = re.compile(rf"\b{_SEQ}(?:{_DOT}{_SEQ}){{3}}\b", re.I)
-BRACKET_AT = re.compile(_AT_SIGN, re.I)
-BRACKET_DOT = re.compile(r"\s*[\(\[\{<]\s*(?:dot|punkt|punto|\.)\s*[\)\]\}>]\s*", re.I)
-SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s+@\s*|\s*@\s+)(?=[A-Za-z0-9-]+(?:\s*\.\s*|\s+dot\s+)[A-Za-z])", re.I)
-WORDED = re.compile(rf"\b{_NAME}(?:\s+dot\s+{_NAME})*(?:\s+(?:at|arroba)\s+|@){_HOST}(?:{_DOT}|\.)(?:{_HOST}(?:{_DOT}|\.))*(?:{ENDINGS})\b", re.I)
-#: As WORDED, with any ending: the dot before it is spelled, and after a plain @ all are.
-SPELLED_OUT = re.compile(rf"\b{_NAME}(?:\s+dot\s+{_NAME})*(?:\s+(?:at|arroba)\s+{_HOST}(?:(?:{_DOT}|\.){_HOST})*|@{_HOST}(?:{_DOT}{_HOST})*){_DOT}[A-Za-z]{{2,24}}\b", re.I)
-#: "Look at the dot in it": after these a dot is a thing, unless a known ending follows.
-DETERMINERS = frozenset("the a an this that each every any some my your his her its our their".split())
-NUMBER_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
-WORD_DOT = re.compile(_DOT, re.I)
-WORD_AT = re.compile(r"\s+(?:at|arroba)\s+", re.I)
+_SPACED_DOT = r"\s++(?:dot|punkt|punto)\s++"
+_BRACKETS = r"[\(\[\{<]\s*+(?:%s)\s*+[\)\]\}>]"
+_GAP = r"[\s,-]++"
+#: A run of spelled digits, with separators and spelled dots between them.
+SPELLED = re.compile(rf"(?:\b(?:plus|más){_GAP})?+\b{_D}\b(?:(?:{_SPACED_DOT}|\s*+{_BRACKETS % '(?:dot|punkt|punto|[.])'}\s*+|{_GAP}){_D}\b)*+", re.I)
+SPELLED_PART = re.compile(rf"(?P<plus>\b(?:plus|más){_GAP})|(?P<digit>\b{_D}\b)|(?P<dot>\s*+(?:dot|punkt|punto|{_BRACKETS % '(?:dot|punkt|punto|[.])'})\s*+)|(?P<gap>{_GAP})", re.I)
+BRACKETED = re.compile(_BRACKETS % r"(?P<at>at|arroba|arobase|@)|dot|punkt|punto|point|[.]", re.I)
+NUMBER_DOT = re.compile(rf"(?<=[0-9]){_SPACED_DOT}(?=[0-9])", re.I)
+#: The sign of an address in words, and the labels of its host.
+AT = re.compile(r"@|(?<=\s)(?:at|arroba|arobase)(?=\s)", re.I)
+_HOST = r"[A-Za-z0-9-]++"
+HOST = re.compile(_HOST)
+NEXT_LABEL = re.compile(rf"(?P<dot>\.|\s++(?:dot|punkt|punto|(?P<point>point))\s++)(?P<label>{_HOST})", re.I)
+AFTER_SPACED_AT = re.compile(rf"{_HOST}(?:\s*+\.\s*+|\s++dot\s++)[A-Za-z]", re.I)
+NAME_DOT = re.compile(r"\s+dot$", re.I)
 #: What calls for the address transducers, in lower-cased text.
-BRACKETED = re.compile(r"[\(\[\{<]\s*(?:at|arroba|@|dot|punkt|punto|\.)\s*[\)\]\}>]")
-SIGN_WORDS = re.compile(r"\s(?:dot|punkt|punto|arroba)\s")
+SIGN_WORDS = re.compile(r"\s(?:dot|punkt|punto|point|arroba|arobase)\s")
 LOOSE_SIGN = re.compile(r"\s@|@\s")
-AT_HOST = re.compile(rf"at\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{ENDINGS})\b")
+AT_HOST = re.compile(r"at\s++[a-z0-9-]++\.[a-z0-9-]")
 DOTTED_DIGITS = re.compile(r"[0-9]\.[0-9]")
 
 
 def _calls_for_address(lower: str) -> bool:
-    if any(w in lower for w in ("dot", "punkt", "punto", "arroba")) and SIGN_WORDS.search(lower):
+    if any(w in lower for w in ("dot", "punkt", "punto", "point", "arroba", "arobase")) and SIGN_WORDS.search(lower):
         return True
     if "@" in lower and LOOSE_SIGN.search(lower):
         return True
     return bool(BRACKETED.search(lower) or AT_HOST.search(lower))
 
 
-def _worded(m: re.Match) -> str | None:
-    """An address in words: both signs spelled, or a name that can't be a plain word."""
-    text = m[0]
-    spelled_dot = WORD_DOT.search(text) is not None
-    name, _, host = (WORD_AT.sub("@", text, count=1) if "@" not in text else text).partition("@")
-    if not spelled_dot and ("@" in text or not re.search(r"[._0-9]", name)):
-        return None
-    return WORD_DOT.sub(".", name) + "@" + WORD_DOT.sub(".", host)
-
-
-def _spelled_out(m: re.Match) -> str | None:
-    name, _, host = (WORD_AT.sub("@", m[0], count=1) if "@" not in m[0] else m[0]).partition("@")
-    host = WORD_DOT.sub(".", host)
-    return None if host.partition(".")[0].lower() in DETERMINERS else WORD_DOT.sub(".", name) + "@" + host
-
-
 def _lower(text: str) -> str:
     """Lower case of what a pattern took for ASCII letters, a dotted capital I among them."""
     return text.lower().replace("i\u0307", "i")
 
 
-def _digits(m: re.Match) -> str:
-    words = re.split(r"[\s,-]+", _lower(m[0]))
-    return "".join("+" if w == "plus" else DIGIT_WORDS[w] for w in words)
-
-
-def _spelled_ip(m: re.Match) -> str:
-    return ".".join("".join(DIGIT_WORDS[w] for w in re.split(r"[\s,-]+", _lower(part.strip()))) for part in WORD_DOT.split(m[0]))
+def spelled_digits(view: View) -> View:
+    """Digits in words as digits, each on its own range: where three or more follow each
+    other, and where dots between them make an address of four numbers."""
+    changes = []
+    for run in SPELLED.finditer(view.text):
+        parts = list(SPELLED_PART.finditer(view.text, *run.span()))
+        groups = [[]]
+        for m in parts:
+            groups[-1].append(m)
+            if m.lastgroup == "dot":
+                groups.append([])
+        as_address = len(groups) >= 4
+        for group in groups:
+            digits = sum(m.lastgroup == "digit" for m in group)
+            if not as_address and digits < 3:
+                continue
+            for m in group:
+                new = DIGIT_WORDS[_lower(m[0])] if m.lastgroup == "digit" else "+" if m.lastgroup == "plus" else "." if m.lastgroup == "dot" else ""
+                if m.lastgroup != "dot" or as_address:
+                    changes.append((m.start(), m.end(), new))
+    return view.replaced(changes)
+
+
+def bracketed_signs(view: View) -> View:
+    """(at), [dot] and the like, with the blanks around them, as the signs."""
+    text, changes, free = view.text, [], 0
+    for m in BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        changes.append((a, b, "@" if m["at"] else "."))
+        free = b
+    return view.replaced(changes)
+
+
+def spaced_signs(view: View) -> View:
+    """An @ with blanks beside it, between a name and a host, without them."""
+    text, changes, free = view.text, [], 0
+    at = text.find("@")
+    while at >= 0:
+        a, b = at, at + 1
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        if b - a > 1 and a > 0 and text[a - 1] in LOCAL and AFTER_SPACED_AT.match(text, b):
+            changes.append((a, b, "@"))
+        free = b
+        at = text.find("@", b)
+    return view.replaced(changes)
+
+
+def _name_start(text: str, end: int, free: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where a name that ends at ``end`` begins, and its spelled dots."""
+    start, dots = end, []
+    while start > free and text[start - 1] in LOCAL:
+        start -= 1
+    while start < end:
+        a = start
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        b = a - 3
+        if a == start or b < free or text[b:a].lower() != "dot":
+            break
+        c = b
+        while c > free and text[c - 1].isspace():
+            c -= 1
+        d = c
+        while d > free and text[d - 1] in LOCAL:
+            d -= 1
+        if c == b or d == c:
+            break
+        dots.append((c, start))
+        start = d
+    return start, dots[::-1]
+
+
+def addresses_in_words(view: View) -> View:
+    """name at host dot ending, looked for around each sign.
+
+    The sign in words needs a last dot in words, too; with a known ending a dot in words
+    anywhere will do, or a name that can't be a plain word. After an @ all dots of the
+    host are in words, or some and the ending is known.
+    """
+    text, changes, free, at = view.text, [], 0, 0
+    while (sign := AT.search(text, at)) is not None:
+        at = sign.end()
+        plain, right = sign[0] == "@", sign.end()
+        while not plain and right < len(text) and text[right].isspace():
+            right += 1
+        host = HOST.match(text, right)
+        if host is None:
+            continue
+        labels, end = [(None, host)], host.end()
+        while (m := NEXT_LABEL.match(text, end)) is not None and (m["point"] is None or sign[0].lower() == "arobase"):
+            labels.append((m["dot"], m))
+            end = m.end()
+        while len(labels) > 1 and not re.fullmatch("[A-Za-z]{2,24}", labels[-1][1]["label"]):
+            labels.pop()
+        if len(labels) == 1:
+            continue
+        end = labels[-1][1].end()
+        left = sign.start()
+        while not plain and left > free and text[left - 1].isspace():
+            left -= 1
+        start, dots = _name_start(text, left, free)
+        if start == left:
+            continue
+        spelled = [dot != "." for dot, _ in labels[1:]]
+        ending = labels[-1][1]["label"].lower()
+        known = ending in ENDINGS
+        any_spelled = any(spelled) or bool(dots)
+        out = all(spelled) if plain else spelled[-1]
+        if host[0].lower() in DETERMINERS and not (known and len(ending) > 2):
+            continue
+        odd_name = not plain and re.search("[._0-9]", text[start:left]) is not None
+        if not (out or known and (any_spelled or odd_name)):
+            continue
+        changes += [(a, b, ".") for a, b in dots]
+        if not plain:
+            changes.append((left, right, "@"))
+        changes += [(m.start("dot"), m.end("dot"), ".") for dot, m in labels[1:] if dot != "."]
+        free = at = end
+    return view.replaced(changes)
 
 
 def undisguised(text: str) -> View | None:
@@ -235,14 +342,14 @@ def undisguised(text: str) -> View | None:
     table, disguised = characters()
     odd = not text.isascii() and not disguised.isdisjoint(text)
     # each is a necessary condition; the dots of a spelled IP call for an address, too
-    if not (odd or _calls_for_address(text.lower()) or SPELLED.search(text)):
+    if not (odd or _calls_for_address(text.lower()) or any(m.end() - m.start() > 8 for m in SPELLED.finditer(text))):
         return None
     view = View.of(text)
     if odd:
         view = view.translated(table)
-    view = view.rewrite(SPELLED_IP, _spelled_ip).rewrite(SPELLED, _digits).rewrite(NUMBER_DOT, lambda m: ".")
-    view = view.rewrite(BRACKET_AT, lambda m: "@").rewrite(BRACKET_DOT, lambda m: ".").rewrite(SPACED_AT, lambda m: "@")
-    return view.rewrite(SPELLED_OUT, _spelled_out).rewrite(WORDED, _worded)
+    view = spelled_digits(view)
+    view = view.replaced([(*m.span(), ".") for m in NUMBER_DOT.finditer(view.text)])
+    return addresses_in_words(spaced_signs(bracketed_signs(view)))
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
