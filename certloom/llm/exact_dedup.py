@@ -19,12 +19,12 @@ BROADCAST_ROWS = 150_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def normalised(name: str = "text") -> Column:
+def normalised(column: Column) -> Column:
     """The text with A-Z lower-cased and nothing else changed; null becomes empty.
 
     For pure ASCII texts ``lower`` does the same as ``translate`` and is faster.
     """
-    text = F.coalesce(F.col(name), F.lit(""))
+    text = F.coalesce(column, F.lit(""))
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
@@ -38,7 +38,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of them ``kept`` when their id is the one that stays. Other columns are ignored.
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(docs[text_col]).alias("_t"))
     # the 128-bit hash and the digest are taken from the same normalised text
     groups = (
         rows.withColumn("_h", F.md5("_t"))
@@ -63,8 +63,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat both the id that stays and its text all stay. The rows to drop are
     few in a corpus with few copies; then texts are shuffled for the comparison only.
+    Columns may have any names; an empty table stays empty.
     """
     gone = cut(mark_copies(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
     gone = few(gone, BROADCAST_ROWS)
-    rows = docs.withColumns({"_own_id": docs[id_col], "_own_sha": F.sha2(normalised(text_col), 256)})
-    return rows.join(gone, rows["_own_id"].eqNullSafe(gone["_id"]) & (rows["_own_sha"] == gone["_sha"]), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == gone["_sha"]), "left_anti")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from certloom.llm.common import cut
+
 #: A rate is split into equal parts of at most this mean, whose counts are added: exp()
 #: of a large mean would underflow, and short sums are exact.
 PART = 16.0
@@ -38,7 +40,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, flatten: flo
     corpus's. A null source is a source of its own.
     """
     by_source = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.lit(1.0) if mass is None else mass.cast("double")).alias("mass"))
-    by_source = by_source.where("mass > 0")
+    by_source = cut(by_source.where("mass > 0"))  # one scan of the documents
     if weights is None:
         share = F.pow("mass", F.lit(float(flatten)))
     else:
@@ -69,19 +71,19 @@ def copies(key: Column, rate: Column, seed: str) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda n, i: n + poisson(uniform(seed, key, i), rate / parts))
 
 
-def with_rates(docs: DataFrame, table: DataFrame, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with the rate of each row's source as ``_rate``.
+def with_rates(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (_row, _key, _source) with the rate of each row's source as ``_rate``.
 
     The table goes to every task if its sources, counted first, are few; else the join
     shuffles on the source and a salt, so that a hot source is spread.
     """
-    small = table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    small = table.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
     if small.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(small), docs[source_col].eqNullSafe(small["_source"]), "left").drop("_source")
+        return rows.join(F.broadcast(small), rows["_source"].eqNullSafe(small["_of"]), "left").drop("_of")
     salts = 64
-    left = docs.withColumn("_salt", F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
     right = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, left[source_col].eqNullSafe(right["_source"]) & (left["_salt"] == right["_salt2"]), "left").drop("_source", "_salt", "_salt2")
+    return left.join(right, left["_source"].eqNullSafe(right["_of"]) & (left["_salt"] == right["_salt2"]), "left").drop("_of", "_salt", "_salt2")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, flatten: float = 0.5, size: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", partitions: int | None = None) -> DataFrame:
@@ -91,12 +93,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, flatten: float
     which copies are dealt to partitions and ordered in them) and ``rate``. Rows that
     repeat an id get the same count each; a null id is an id; null and empty texts are
     documents like others. An empty table gives an empty mixture. Columns of ``docs``
-    with one of the new names are replaced.
+    with one of the three new names are replaced; all others may have any name.
     """
     table = rates(docs, weights, flatten, size, source_col)
-    rated = with_rates(docs, table, id_col, source_col).withColumn("_copies", copies(F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.col("_rate"), seed))
     kept = [c for c in docs.columns if c not in ("copy", "position", "rate")]
-    repeated = rated.where("_copies > 0").select(*kept, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
-    placed = repeated.withColumn("position", uniform(seed, "place", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy")))
+    # the documents travel as one struct, so that their names meet none of ours
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), F.coalesce(docs[id_col].cast("string"), F.lit("null")).alias("_key"), docs[source_col].alias("_source"))
+    rated = with_rates(rows, table).withColumn("_copies", copies(F.col("_key"), F.col("_rate"), seed))
+    repeated = rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    placed = repeated.withColumn("_position", uniform(seed, "place", F.col("_key"), F.col("_copy")))
     count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(count, "position").sortWithinPartitions("position")
+    dealt = placed.repartition(count, "_position").sortWithinPartitions("_position")
+    return dealt.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_rate").alias("rate"), F.col("_copy").alias("copy"), F.col("_position").alias("position"))

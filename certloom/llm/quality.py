@@ -157,7 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable
     """A ranking from at most ``sample`` labelled rows of each label.
 
     ``labels``: doc_id and the label (1 good, 0 bad; rows with another label or none are
-    left out). ``usable`` says which rows may be learned from.
+    left out; rows that repeat an id count as often as they meet). ``usable`` says which
+    rows may be learned from, by their ``_id``. Null texts count as empty; without
+    labelled rows all texts pass. Other columns, whatever their names, are ignored.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label_col).cast("long").alias("_good")).where("_id is not null")
     if usable is not None:
@@ -170,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable
         return lambda cols: [cols[0], [features(t).tolist() for t in cols[1]]]
 
     # the sample is bounded, so that its ids can go to every task
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("_good", text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "_id").select("_good", "text")
     rows = map_rows(texts, FEATURES, make).collect()
     rows.sort(key=lambda r: (r["good"], r["x"]))
     total = sum(counts.values())
@@ -199,7 +201,11 @@ def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the texts that are predicted bad; all columns, no shuffle."""
+    """``docs`` without the texts that are predicted bad; all columns, no shuffle.
+
+    Null texts count as empty and are judged like any other; rows that repeat an id are
+    judged each by its own text; an empty table stays empty.
+    """
 
     def verdict(batches):
         import pyarrow as pa
