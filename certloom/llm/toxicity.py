@@ -1,10 +1,11 @@
 """Toxicity by a lexicon, its misspellings and the words around each hit.
 
 The lexicon is a short list of insults and the terms and stems that labelled toxic texts
-have and clean ones lack (bounded lists, counted by Spark over a bounded sample of
-labelled rows). A term with a clean word next to it is matched without misspellings. Words are matched by an automaton: the Levenshtein automata of all terms
-intersected with the terms' trie, made deterministic state by state as words need it.
-It reads a word once and leaves most words after a few characters.
+have and clean ones lack, counted by Spark over a bounded sample of labelled rows. A term
+with a clean word next to it is matched without misspellings. Words are matched by an
+automaton: the Levenshtein automata of all terms intersected with the terms' trie, made
+deterministic state by state as words need it. A stem is a state that accepts whatever
+follows. The automaton reads a word once and leaves most words after a few characters.
 
 A hit counts for less inside quotation marks or next to words that mention rather than
 use a term, and a document's score is a logistic function of what its hits add up to.
@@ -22,16 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import cut, map_rows, text_or_empty
+from certloom.llm.common import cut, few, map_rows, text_or_empty
 
-#: Labelled rows that are learned from, terms learned, word forms kept as clean, at most.
+#: Labelled rows that are learned from, at most; all that is learned is bounded by their
+#: words and by the counts that a term and a stem need.
 SAMPLE = 20_000
-LEARNED = 4_000
-CLEAN_FORMS = 20_000
 #: A learned term is in so many toxic sample texts, after so many different words.
 LEAST = 5
 #: Lengths of the stems that are learned, and the words and uses that one needs.
 STEMS, STEM_WORDS, STEM_USES = range(4, 8), 5, 10
+#: Words up to which the promising ones are sent to every task.
+BROADCAST_WORDS = 100_000
 #: Words whose match a worker process remembers.
 REMEMBERED = 400_000
 
@@ -49,8 +51,8 @@ FAR_EDIT, QUOTED = 0.8, 0.08
 
 TOKEN = re.compile(r"[^\W_](?:[\w@$*!|'’-]*[\w@$])?|[@$][\w@$]+")
 RUN = re.compile(r"(.)\1{2,}")
-#: Signs that join words into one token, or stand in one; a term has less than PIECES.
-JOINT, PIECES = re.compile(r"[-'’_!|*]+"), 16
+#: Signs that join words into one token, or stand in one.
+JOINT = re.compile(r"[-'’_!|*]+")
 MARK = re.compile(r"[\"“”„«»‹›‘’`]")
 
 
@@ -98,8 +100,8 @@ class Automaton:
 
     ROOM = 200_000
 
-    def __init__(self, terms: dict[str, int]):
-        """``terms``: each with the edits that it allows."""
+    def __init__(self, terms: dict[str, int], stems: frozenset[str] = frozenset()):
+        """``terms``: each with the edits that it allows. ``stems``: beginnings of words."""
         self.children: list[dict[str, int]] = [{}]
         self.most = [0]  # edits that some term below the node allows
         self.ends: list[tuple[str, int] | None] = [None]
@@ -115,6 +117,17 @@ class Automaton:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], allowed)
             self.ends[node] = (term, allowed)
+        self.beginnings: dict[int, str] = {}
+        for stem in sorted(stems):
+            node = 0
+            for c in stem:
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.most.append(0)
+                    self.ends.append(None)
+                node = self.children[node][c]
+            self.beginnings[node] = stem
         self.reset()
 
     def reset(self) -> None:
@@ -122,6 +135,7 @@ class Automaton:
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[tuple[int, str] | None] = []
+        self.begun: list[str | None] = []
         self.start = self.number(self.closed({(0, 0)}))
 
     def closed(self, items: set) -> frozenset:
@@ -147,6 +161,7 @@ class Automaton:
             self.moves.append({})
             hits = [(s[1], self.ends[s[0]][0]) for s in state if len(s) == 2 and self.ends[s[0]] and s[1] <= self.ends[s[0]][1]]
             self.found.append(min(hits, default=None))
+            self.begun.append(min((self.beginnings[s[0]] for s in state if s[-1] == 0 and len(s) == 2 and s[0] in self.beginnings), default=None))
         return n
 
     def move(self, state: int, c: str) -> int:
@@ -169,10 +184,10 @@ class Automaton:
         return n
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term, or None."""
+        """(edits, term) of the nearest term, (0, stem) of a stem it begins with, or None."""
         if len(self.states) > self.ROOM:
             self.reset()
-        state, moves = self.start, self.moves
+        state, moves, begun = self.start, self.moves, self.begun
         for c in word:
             after = moves[state].get(c)
             if after is None:
@@ -180,6 +195,8 @@ class Automaton:
             if after < 0:
                 return None
             state = after
+            if begun[state] is not None:
+                return 0, begun[state]
         return self.found[state]
 
 
@@ -210,7 +227,8 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = Automaton({t: 0 if t in model.strict else edits_allowed(t) for t in model.terms})
+        self.automaton = Automaton({t: 0 if t in model.strict else edits_allowed(t) for t in model.terms}, model.stems)
+        self.pieces = 4 + max(map(len, [*model.terms, *model.stems]), default=0)  # signs that a term can be drawn out by
         self.known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
@@ -231,24 +249,21 @@ class Matcher:
         starts, ends = [0, *[b for _, b in signs]], [*[a for a, _ in signs], len(word)]
         best = [0.0]
         for j, end in enumerate(ends):
-            best.append(max(best[i] + self.look_up(word[starts[i] : end]) for i in range(max(0, j + 1 - PIECES), j + 1)))
+            best.append(max(best[i] + self.look_up(word[starts[i] : end]) for i in range(max(0, j + 1 - self.pieces), j + 1)))
         return max(best[-1], self.look_up(word))
 
     def look_up(self, word: str) -> float:
-        if word in self.model.terms:
-            return self.model.terms[word]
         if word in self.model.clean:
             return 0.0
-        if any(word[:k] in self.model.stems for k in STEMS):
-            return 1.0
         hit = self.near(word)
-        return 0.0 if hit is None else self.model.terms[hit[1]] * FAR_EDIT ** hit[0]
+        return 0.0 if hit is None else self.model.terms.get(hit[1], 1.0) * FAR_EDIT ** hit[0]
 
     def near(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term, signs for letters and long runs undone."""
+        """(edits, term) of the nearest term or stem, as the word is written and with
+        signs for letters and long runs undone."""
         plain = RUN.sub(r"\1", word.translate(LEET).replace("'", "").replace("’", "").replace("-", ""))
-        hit = self.automaton.match(plain)
-        return self.automaton.match(word) if hit is None and plain != word else hit
+        hits = [hit for hit in map(self.automaton.match, {plain, word}) if hit is not None]
+        return min(hits, default=None)
 
     def total(self, text: str) -> float:
         """What the hits of a text add up to, each by its weight and its context."""
@@ -276,7 +291,7 @@ class Matcher:
 
 def words_of(column: Column) -> Column:
     """The words of a text in lower case, in order, for counting in Spark."""
-    return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}@$*]+"), lambda w: (F.length(w) >= 3) & (F.length(w) <= 40))
+    return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}@$*]+"), lambda w: F.length(w) >= 3)
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None, sample: int) -> DataFrame:
@@ -285,7 +300,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column
     if usable is not None:
         known = known.where(usable)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("_id", "_toxic", text_or_empty().alias("text"))
+    return docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "_id").select("_id", "_toxic", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -293,17 +308,19 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable:
 
     A term is learned if at least LEAST toxic texts have it, after different words (so
     that copies of one text don't vouch for its words), and of the texts that have it
-    all but one in fifty are toxic. Without labelled rows the fixed insults remain.
+    all but one in fifty are toxic. Without labelled rows the fixed insults remain. Rows
+    that repeat an id count as often as they meet, null texts count as empty, and other
+    columns, whatever their names, are ignored.
     """
     texts = cut(sample_of(docs, labels, label_col, usable, sample))
     own_words = texts.select("_toxic", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
     by_word = cut(own_words.groupBy("word").agg(F.sum("_toxic").alias("n_toxic"), F.sum(1 - F.col("_toxic")).alias("n_clean")))
     telling = (F.col("n_toxic") >= LEAST) & (F.col("n_clean") * 50 < F.col("n_toxic")) & (F.length("word") >= 4)
-    promising = by_word.where(telling).orderBy(F.desc("n_toxic"), "word").limit(4 * LEARNED).select("word")
+    promising = few(by_word.where(telling).select("word"), BROADCAST_WORDS)
     uses = texts.where("_toxic = 1").select(words_of(F.col("text")).alias("_w")).select(F.explode(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("previous"))).alias("u"))
-    uses = uses.select("u.word", "u.previous").join(F.broadcast(promising), "word")
+    uses = uses.select("u.word", "u.previous").join(promising, "word")
     contexts = uses.groupBy("word").agg(F.count_distinct("previous").alias("contexts")).where(F.col("contexts") >= LEAST)
-    terms = contexts.orderBy(F.desc("contexts"), "word").limit(LEARNED).collect()
+    terms = contexts.orderBy("word").collect()
     weights = dict.fromkeys(INSULTS, 1.0) | {r["word"]: 1.0 for r in terms}
     words = by_word.where("n_clean * 50 >= n_toxic and n_clean > 0").select("word", "n_clean")
     near = clean_neighbours(words, Model(weights))
@@ -322,7 +339,7 @@ def learned_stems(by_word: DataFrame) -> frozenset[str]:
         .agg(F.count(F.lit(1)).alias("words"), F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
         .where((F.col("words") >= STEM_WORDS) & (F.col("n_toxic") >= STEM_USES) & (F.col("n_clean") * 20 < F.col("n_toxic")))
     )
-    return frozenset(r["stem"] for r in stems.orderBy(F.desc("n_toxic"), "stem").limit(LEARNED).collect())
+    return frozenset(r["stem"] for r in stems.collect())
 
 
 NEIGHBOUR = T.StructType([T.StructField("word", T.StringType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
@@ -341,7 +358,7 @@ def clean_neighbours(words: DataFrame, model: Model) -> list[tuple[str, str]]:
 
         return step
 
-    found = map_rows(words, NEIGHBOUR, make).orderBy(F.desc("n"), "word").limit(CLEAN_FORMS).collect()
+    found = map_rows(words, NEIGHBOUR, make).orderBy("word").collect()
     return [(r["word"], r["term"]) for r in found]
 
 
