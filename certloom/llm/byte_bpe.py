@@ -5,7 +5,8 @@ own, in parallel. Where the boundaries of two neighbours coincide inside their o
 the splits have resynchronised: a match of the pattern depends only on what follows its
 start, so from a shared boundary on both chains are the same. The text is cut at those
 places, the pieces are encoded in parallel, and their ids are joined in order. A text
-of one chunk is one piece. Decoding concatenates the bytes of the ids.
+of one chunk is one piece; how many pieces a text had is reported with its digests.
+Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from certloom.llm.common import map_rows, text_or_empty, to_arrow
 
 #: Code points of a chunk and of the part that it shares with the next one.
-CHUNK = 32_768
-OVERLAP = 1_024
+CHUNK = 4_096
+OVERLAP = 256
 
 
 @cache
@@ -126,7 +127,8 @@ def cut_places(parts: DataFrame, pattern: str, overlap: int) -> DataFrame:
 
 
 def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """doc_id and ids of texts by chunks that are split, stitched and encoded in parallel.
+    """doc_id and parts (the ids of its pieces, in order) of texts by chunks that are
+    split, stitched and encoded in parallel.
 
     Ends of pre-tokens in the left chunk are sure but for the last two: the last touches
     the cut, and a contraction that is cut makes two. Where two neighbours share no sure
@@ -178,7 +180,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
     done = map_rows(alone, PIECES, encode_alone).unionByName(map_rows(together, PIECES, encode_joined))
     joined = done.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select("doc_id", F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), "").alias("_hex")).select("doc_id", F.unhex("_hex").alias("ids"))
+    return repeated.select("doc_id", F.transform("parts", lambda x: x["ids"]).alias("parts"))
 
 
 def encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -200,36 +202,43 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     is_long = F.length("text") > chunk
-    return encode_short(texts.where(~is_long), path, pattern).unionByName(encode_long(texts.where(is_long), path, pattern, chunk, overlap))
+    long = encode_long(texts.where(is_long), path, pattern, chunk, overlap)
+    whole = map_rows(long, ENCODED, lambda: lambda cols: [cols[0], [b"".join(p) for p in cols[1]]])
+    return encode_short(texts.where(~is_long), path, pattern).unionByName(whole)
 
 
 DIGESTS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_pieces", T.LongType())]
 )
 
 
-def digest(enc: tiktoken.Encoding, ids: bytes) -> tuple[int, str, str]:
-    """Tokens, and the digests of the ids and of the bytes that they decode to."""
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(enc, ids)).hexdigest()
+def digest(enc: tiktoken.Encoding, parts: list[bytes]) -> tuple[int, str, str, int]:
+    """Tokens, the digests of the ids and of the bytes that they decode to, and pieces."""
+    ids, text = hashlib.sha256(), hashlib.sha256()
+    for part in parts:
+        ids.update(part)
+        text.update(decode(enc, part))
+    return sum(map(len, parts)) // 4, ids.hexdigest(), text.hexdigest(), len(parts)
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts (doc_id, ids)."""
+    """The digests of encoded texts (doc_id, parts)."""
 
     def make():
         enc = encoding(path, pattern)
 
         def step(cols):
             found = [digest(enc, x) for x in cols[1]]
-            return [cols[0], *([f[i] for f in found] for i in range(3))]
+            return [cols[0], *([f[i] for f in found] for i in range(4))]
 
         return step
 
-    return map_rows(encoded.select("doc_id", "ids"), DIGESTS, make)
+    return map_rows(encoded.select("doc_id", "parts"), DIGESTS, make)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digests of every text's ids and of what they decode to (see ``encode``).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_pieces of every text (see
+    ``encode``): the digests of its ids and of what they decode to.
 
     Texts of one chunk are encoded and decoded in one pass, so that a task needs one
     Python worker.
@@ -241,8 +250,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
         enc = encoding(path, pattern)
 
         def step(cols):
-            found = [digest(enc, encode_piece(enc, t)) for t in cols[1]]
-            return [cols[0], *([f[i] for f in found] for i in range(3))]
+            found = [digest(enc, [encode_piece(enc, t)]) for t in cols[1]]
+            return [cols[0], *([f[i] for f in found] for i in range(4))]
 
         return step
 
