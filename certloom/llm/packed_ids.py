@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ def write_packed(docs: DataFrame, path: str, folder: str, end_id: int, id_col: s
     Documents are dealt out to ``shards`` ranges of ids (as many as Spark shuffles into,
     by default); a shard's blocks are made in one task, one after the other. Null texts
     count as empty, null ids come first, repeated ids follow each other in the order of
-    a hash of their texts.
+    a hash of their texts. An empty table gives a table without blocks.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -168,13 +169,56 @@ PIECES = T.StructType(
         T.StructField("at", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("crc", T.LongType()),
-        T.StructField("part", T.BinaryType()),
     ]
 )
+JOINED = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("at", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+
+#: The polynomial of zlib's CRC-32, lowest power at the highest bit.
+POLYNOMIAL = 0xEDB88320
+
+
+def _times(matrix: list[int], bits: int) -> int:
+    """A vector of 32 bits by a matrix of 32 columns, over the field of two."""
+    total, i = 0, 0
+    while bits:
+        if bits & 1:
+            total ^= matrix[i]
+        bits >>= 1
+        i += 1
+    return total
+
+
+def crc_joined(first: int, second: int, n_second: int) -> int:
+    """The CRC-32 of two byte strings end to end, from theirs and the second's length.
+
+    Appending a zero bit is linear in the CRC, so that appending many is a power of one
+    matrix, taken by squaring.
+    """
+    matrix, n = [POLYNOMIAL, *(1 << i for i in range(31))], n_second * 8
+    while n:
+        if n & 1:
+            first = _times(matrix, first)
+        matrix = [_times(matrix, column) for column in matrix]
+        n >>= 1
+    return first ^ second
+
+
+def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in parts with the CRC of the whole, from those of the parts."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            crc = 0
+            for part in row["parts"]:
+                crc = crc_joined(crc, part["crc"], 4 * part["n"])
+            rows.append((row["shard"], row["doc_id"], row["at"], row["n_tokens"], crc))
+        if rows:
+            yield as_batch(rows, to_arrow(JOINED))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of a packed table.
+    """doc_id, start, n_tokens and ids_crc32 of every document of a packed table; of an
+    empty table none.
 
     ``start`` counts the ids of all documents before it over all shards. A document
     in one block is done where its block is read; only the parts of those that cross
@@ -192,7 +236,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     for i, (number, doc_id, n) in enumerate(zip(block["numbers"], block["doc_ids"], block["lengths"])):
                         if crossing == (i == 0 and block["block"] > 0 or i == last and block["n_ids"] == block["room"]):
                             data = ids[at : at + n].tobytes()
-                            rows.append((block["shard"], number, block["block"], doc_id, block["first"] + at, n, zlib.crc32(data), data if crossing else None))
+                            rows.append((block["shard"], number, block["block"], doc_id, block["first"] + at, n, zlib.crc32(data)))
                         at += n
                     if rows:
                         yield as_batch(rows, schema)
@@ -211,9 +255,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     joined = (
         stored.mapInArrow(pieces_of(crossing=True), PIECES)
         .groupBy("shard", "number")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))
-        .select("shard", "doc_id", "at", "n_tokens", F.crc32(F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["part"]))).alias("ids_crc32"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "n", "crc"))).alias("parts"))
+        .select("shard", "doc_id", "at", "n_tokens", "parts")
     )
+    joined = joined.mapInArrow(combined, JOINED)
     return (
         whole.unionByName(joined)
         .join(F.broadcast(bases), "shard")
@@ -221,5 +266,17 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_ids(spark: SparkSession, folder: str, shard: int, position: int, n: int) -> np.ndarray:
+    """Ids [position, position + n) of a shard, from the blocks that hold them alone; a
+    span that ends beyond the shard is cut there."""
+    stored = spark.read.parquet(folder).where(F.col("shard") == shard)
+    inside = (F.col("first") < position + n) & (F.col("first") + F.col("n_ids") > position)
+    out = []
+    for block in stored.where(inside).select("first", "bits", "n_ids", "payload").orderBy("first").toLocalIterator():
+        start = max(0, position - block["first"])
+        out.append(unpack(block["payload"], block["bits"], min(block["n_ids"], position + n - block["first"]) - start, start))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+
+
 def fresh_folder(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/packed-{uuid.uuid4().hex}"
