@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -190,6 +191,22 @@ def test_byte_tokens_by_small_chunks(spark, odd):
     assert sorted(r["decoded_sha256"] for r in digests) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
 
 
+def test_crc_of_joined_parts():
+    rng = random.Random(8)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(60)), rng.randbytes(rng.randrange(60))
+        assert packed_ids.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_ids_at_a_position(spark, library, docs, tmp_path):
+    folder = str(tmp_path / "one")
+    df = docs.orderBy("doc_id").limit(30)
+    packed_ids.write_packed(df, WORD, folder, end_id=1, shards=1, room=700)
+    ids = [i for r in df.orderBy("doc_id").collect() for i in [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]]
+    for at, n in ((0, 5), (690, 30), (1399, 1500), (len(ids) - 3, 50)):
+        assert packed_ids.read_ids(spark, folder, 0, at, n).tolist() == ids[at : at + n]
+
+
 # personal data
 
 PLAIN = ["john.doe+x@mail.example.com, a@b", "1.2.3.4.5 300.1.1.1 10.0.0.255", "4845168114407329 4845-1681-1440-7329 4845168114407328", "+1 (415) 555-7713, +12 +1234567890123456", "@@ x@y.z..q a@b.c@d.e"]
@@ -264,6 +281,51 @@ def test_second_look_finds_nothing_in_clean_text(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("mail bob at host dot xyz now", "email", "bob at host dot xyz"),
+        ("ruf plus eins vier eins fünf fünf fünf fünf eins zwei an", "phone", "plus eins vier eins fünf fünf fünf fünf eins zwei"),
+        ("llame más uno cuatro uno cinco cinco cinco cinco uno ya", "phone", "más uno cuatro uno cinco cinco cinco cinco uno"),
+        ("tél plus un quatre un cinq cinq cinq cinq un zéro vite", "phone", "plus un quatre un cinq cinq cinq cinq un zéro"),
+        ("jean arobase exemple point fr merci", "email", "jean arobase exemple point fr"),
+        ("ip one dot two dot three dot four dot five", "ip", "one dot two dot three dot four"),
+        ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
+    ],
+)
+def test_disguises_in_words(text, kind, part):
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text)[1]] == [(kind, part)]
+
+
+def test_base_spans_of_all_documents(docs):
+    """Against the patterns as they are stated, without the operator's short cuts."""
+    stated = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := re.sub("[ -]", "", m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= sum(c in "0123456789" for c in m) <= 15),
+    }
+    texts = by_id(docs.collect())
+    for r in pii.find_personal_data(docs).collect():
+        text = texts[r["doc_id"]]["text"] or ""
+        want = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in stated.items() for m in re.finditer(p, text) if ok(m[0])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(filter(None, r["spans"].split(",")))
+
+
+@pytest.mark.parametrize("unit,end", [("a.", " x dot y"), (" ", " x dot y ("), ("one ", ""), ("one dot ", ""), ("at a dot ", ""), ("( ", " dot"), ("a@", ""), ("a at b dot 1 ", ""), ("-,", "one"), ("１２", "")])
+def test_time_in_proportion_to_the_text(unit, end):
+    def least(n):
+        text = unit * (n // len(unit)) + end
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            pii.find(text)
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert least(400_000) < 3 * least(200_000) + 0.1
+
+
 def test_identifiers_odd(odd, empty):
     got = pii.find_personal_data(odd).collect()
     assert len(got) == len(ODD) and {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
@@ -286,6 +348,39 @@ def test_mixture_meets_weights(spark):
     assert mixing.mix(df).count() == mixing.mix(df).count()
 
 
+def test_clashing_names(spark):
+    """Columns named as the operators name theirs inside."""
+    ours = ["_rate", "_source", "_of", "_copies", "_copy", "_position", "_row", "_key", "_salt", "_salt2", "_good", "_toxic", "_id", "_t", "_h", "_sha", "_own_id", "_own_sha", "_gone", "cid", "key", "label", "n", "set_hash", "_query", "list", "part", "keep_id", "size", "component"]
+    rows = [(i, "some words that say nothing at all " * (1 + i % 3) + str(i // 3), "ab"[i % 2], *range(len(ours))) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *ours])
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 1, 1, 1) for i in range(12)], "doc_id long, quality int, toxic int, _id int, _good int, _toxic int")
+    kept = mixing.mix(df, size=2.0)
+    assert kept.columns == [*df.columns, "rate", "copy", "position"] and all(tuple(r)[3 : 3 + len(ours)] == tuple(range(len(ours))) for r in kept.collect())
+    ranking = quality.learn(df, labels)
+    assert quality.keep_good(df, ranking).columns == df.columns and quality.score(df, ranking).count() == 12
+    assert toxicity.score(df, toxicity.learn(df, labels)).count() == 12
+    for stage in (exact_dedup.drop_copies, near_dedup.keep_one):
+        after = stage(df)
+        assert after.columns == df.columns and all(tuple(r)[3:] == tuple(range(len(ours))) for r in after.collect())
+    assert near_dedup.near_groups(df).count() == 12 == exact_dedup.mark_copies(df).count()
+    assert byte_bpe.round_trip(df, BYTES, public_tokenizers.PATTERN).count() == 12 == word_bpe.count_tokens(df, WORD).count() == pii.find_personal_data(df).count()
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte and more through every operator on texts."""
+    long = ["word " * 250_000, "x" * 1_000_000, "idiot " * 200_000, "one dot " * 150_000, " " * 1_000_000]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(long)], "doc_id long, text string, source string").repartition(5)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.score(df, quality.learn(df, labels)).count() == 5
+    assert by_id(toxicity.score(df, toxicity.learn(df, labels)).collect())[2]["predicted"] == 1
+    assert by_id(near_dedup.near_groups(df).collect())[0]["n_shingles"] == 1
+    assert {r["n_email"] for r in pii.find_personal_data(df).collect()} == {0}
+    assert exact_dedup.mark_copies(df).where("kept").count() == 5
+    enc = byte_bpe.encoding(BYTES, public_tokenizers.PATTERN)
+    got = by_id(byte_bpe.round_trip(df.where("doc_id in (0, 2, 3)"), BYTES, public_tokenizers.PATTERN).collect())
+    assert all(r["n_tokens"] == len(enc.encode_ordinary(long[i])) and r["n_pieces"] > 100 for i, r in got.items())
+
+
 def test_mixing_odd(odd, empty, monkeypatch):
     small = sorted((str(r["doc_id"]), r["copy"]) for r in mixing.mix(odd, size=3.0).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
@@ -367,6 +462,14 @@ def test_joined_and_long_drawn_terms_and_quotations(text, least, most):
     assert least <= toxicity.Model(dict.fromkeys(toxicity.INSULTS, 1.0)).matcher().total(text) <= most
 
 
+def test_stems_are_states_of_the_automaton():
+    automaton = toxicity.Automaton({"moron": 1}, frozenset(["idio", "mo"]))
+    assert automaton.match("idiotic") == (0, "idio") and automaton.match("idi") is None and automaton.match("mors") == (0, "mo")
+    assert automaton.match("noron") == (1, "moron") and automaton.match("xidiot") is None
+    total = toxicity.Model({"moron": 1.0}, stems=frozenset(["idio"]), clean=frozenset(["idiom"])).matcher().total
+    assert total("an idiom") == 0 and total("idiots, " + "i" * 50 + "diot") == 2
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}
