@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from certloom.llm.common import map_rows, text_or_empty, to_arrow
 
 #: Code points of a chunk and of the part that it shares with the next one.
-CHUNK = 4_096
+CHUNK = 8_192
 OVERLAP = 256
 
 
@@ -53,17 +53,28 @@ def encode_piece(enc: tiktoken.Encoding, text: str) -> bytes:
     return array("I", enc.encode_ordinary(text)).tobytes()
 
 
+def narrow(enc: tiktoken.Encoding, ids: bytes) -> bytes:
+    """The ids of a piece as they are moved: with 16 bits each if the vocabulary allows."""
+    return np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if enc.n_vocab <= 1 << 16 else ids
+
+
+def wide(enc: tiktoken.Encoding, ids: bytes) -> bytes:
+    return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if enc.n_vocab <= 1 << 16 else ids
+
+
 def decode(enc: tiktoken.Encoding, ids: bytes) -> bytes:
     """The text's bytes: those of its ids, one after the other."""
     return enc.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
+# keys are declared without nulls, so that no filter makes the plans of shared shuffles differ
 CHUNKS = T.StructType(
-    [T.StructField("key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("at", T.LongType()), T.StructField("text", T.StringType())]
+    [T.StructField("key", T.StringType(), False), T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.LongType(), False), T.StructField("at", T.LongType()), T.StructField("text", T.StringType())]
 )
+PARTS = ("key", "chunk", "doc_id", "at", "text", "copies")
 ENDS = T.StructType(
-    [T.StructField("key", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("at", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("tail", T.ArrayType(T.LongType()))]
+    [T.StructField("key", T.StringType(), False), T.StructField("chunk", T.LongType(), False), T.StructField("at", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("tail", T.ArrayType(T.LongType()))]
 )
 PIECES = T.StructType([T.StructField("key", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -101,10 +112,11 @@ def cut_places(parts: DataFrame, pattern: str, overlap: int) -> DataFrame:
 
     def mark():
         def step(cols):
-            ends = [boundaries(t, pattern) for t in cols[3]]
+            keys, chunks, _, at, texts, _ = cols
+            ends = [boundaries(t, pattern) for t in texts]
             heads = [[x for x in e if x <= overlap] for e in ends]
-            tails = [[x for x in e[:-2] if x >= len(t) - overlap] for e, t in zip(ends, cols[3])]
-            return [*cols[:3], heads, tails]
+            tails = [[x for x in e[:-2] if x >= len(t) - overlap] for e, t in zip(ends, texts)]
+            return [keys, chunks, at, heads, tails]
 
         return step
 
@@ -127,8 +139,8 @@ def cut_places(parts: DataFrame, pattern: str, overlap: int) -> DataFrame:
 
 
 def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """doc_id and parts (the ids of its pieces, in order) of texts by chunks that are
-    split, stitched and encoded in parallel.
+    """doc_id and parts (the ids of its pieces, in order, as ``narrow`` has them) of texts
+    by chunks that are split, stitched and encoded in parallel.
 
     Ends of pre-tokens in the left chunk are sure but for the last two: the last touches
     the cut, and a contraction that is cut makes two. Where two neighbours share no sure
@@ -141,15 +153,17 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
         chunked(docs, chunk, overlap)
         .groupBy("key", "chunk")
         .agg(F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        .select(*PARTS)
     )
-    cuts = cut_places(parts.select("key", "chunk", "at", "text"), pattern, overlap)
+    # all columns go along, so that the chunks are shuffled once for this and for encoding
+    cuts = cut_places(parts, pattern, overlap)
 
     def encode_alone():
         enc = encoding(path, pattern)
 
         def step(cols):
             *kept, at, texts, own, until = cols
-            return [*kept, [encode_piece(enc, t[a - x : None if b is None else b - x]) for x, t, a, b in zip(at, texts, own, until)]]
+            return [*kept, [narrow(enc, encode_piece(enc, t[a - x : None if b is None else b - x])) for x, t, a, b in zip(at, texts, own, until)]]
 
         return step
 
@@ -164,7 +178,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
                 for c in chunks[1:]:
                     joined.append(c["text"][reached - c["at"] :])
                     reached = c["at"] + len(c["text"])
-                ids.append(encode_piece(enc, "".join(joined)[own - base : None if until is None else until - base]))
+                ids.append(narrow(enc, encode_piece(enc, "".join(joined)[own - base : None if until is None else until - base])))
             return [*cols[:4], ids]
 
         return step
@@ -203,7 +217,12 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     is_long = F.length("text") > chunk
     long = encode_long(texts.where(is_long), path, pattern, chunk, overlap)
-    whole = map_rows(long, ENCODED, lambda: lambda cols: [cols[0], [b"".join(p) for p in cols[1]]])
+
+    def join():
+        enc = encoding(path, pattern)
+        return lambda cols: [cols[0], [b"".join(wide(enc, x) for x in p) for p in cols[1]]]
+
+    whole = map_rows(long, ENCODED, join)
     return encode_short(texts.where(~is_long), path, pattern).unionByName(whole)
 
 
@@ -228,7 +247,7 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = encoding(path, pattern)
 
         def step(cols):
-            found = [digest(enc, x) for x in cols[1]]
+            found = [digest(enc, [wide(enc, x) for x in parts]) for parts in cols[1]]
             return [cols[0], *([f[i] for f in found] for i in range(4))]
 
         return step
