@@ -47,7 +47,7 @@ FINE_SAMPLES, FINE_WORDS = 2048, 48
 #: Standard deviations of the sketch's estimate that a pair may be worse than the limit.
 SLACK = 4.5
 #: Further rounds of stars, at most; pairs for each member that call for one.
-ROUNDS, PAIRS_A_ROW = 6, 64
+ROUNDS, PAIRS_A_ROW = 6, 8
 #: In further rounds stars are for buckets of which one component holds this share.
 DOMINANT = 8
 #: Members of a bucket that a task holds against others at once.
@@ -171,21 +171,22 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 SETS = T.StructType(
-    [T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()), T.StructField("set", T.BinaryType())]
+    [T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("fine", T.BinaryType()), T.StructField("bands", T.BinaryType()), T.StructField("set", T.BinaryType())]
 )
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, n, sketch, fine, set): size, sketches and full set of the named classes, from
-    whole texts."""
+    """(cid, n, sketch, fine, bands, set): size, sketches, band keys and full set of the
+    named classes, from whole texts."""
 
     def make():
         def step(cols):
             out = [[] for _ in SETS]
             for cid, text in zip(*cols):
                 s = shingles(text)
-                row = (cid, len(s), odd_sketch(samples(s)).tolist(), odd_sketch(samples(s, FINE_SAMPLES), FINE_WORDS).tobytes(), s.tobytes()) if len(s) else (cid, 0, None, None, None)
+                v = samples(s)
+                row = (cid, len(s), odd_sketch(v).tolist(), odd_sketch(samples(s, FINE_SAMPLES), FINE_WORDS).tobytes(), band_keys(v).tobytes(), s.tobytes()) if len(s) else (cid, 0, *[None] * 4)
                 for col, value in zip(out, row):
                     col.append(value)
             return out
@@ -280,7 +281,8 @@ def pairs_across(members: DataFrame, buckets: DataFrame, sets: DataFrame, block:
     and both sketches permit.
 
     The members of the largest component of a bucket go to other blocks than the rest
-    and are not held against each other; a bucket of one block is left whole.
+    and are not held against each other; a bucket of one block is left whole. A pair is
+    made in the first bucket that it shares, as all that it shares hold both components.
     """
     whole = F.col("size") <= block
     rest = F.when(whole, 1).otherwise(F.ceil((F.col("size") - F.col("n_top")) / block)).cast("long")
@@ -290,16 +292,16 @@ def pairs_across(members: DataFrame, buckets: DataFrame, sets: DataFrame, block:
     placed = placed.withColumn("own", number)
     zero = F.lit(0).cast("long")
     others = F.when(F.col("_is_top"), F.sequence(zero, F.col("_rest") - 1)).otherwise(F.sequence(zero, F.col("_rest") + F.col("_tops") - 1))
-    known = sets.select("cid", "n", "sketch", "fine")
-    dealt = placed.select("key", "cid", "label", "own", others.alias("others")).join(few(known, BROADCAST_SKETCHES // 5), "cid")
-    dealt = dealt.select("key", F.explode("others").alias("other"), F.struct("own", "cid", "label", "n", "sketch", "fine").alias("row")).select("key", F.least("row.own", "other").alias("p"), F.greatest("row.own", "other").alias("q"), "row")
-    met = dealt.groupBy("key", "p", "q").agg(F.collect_list("row").alias("rows")).select("p", "q", "rows")
+    known = sets.select("cid", "n", "sketch", "fine", "bands")
+    dealt = placed.select("key", "cid", "label", "own", others.alias("others")).join(few(known, BROADCAST_SKETCHES // 10), "cid")
+    dealt = dealt.select("key", F.explode("others").alias("other"), F.struct("own", "cid", "label", "n", "sketch", "fine", "bands").alias("row")).select("key", F.least("row.own", "other").alias("p"), F.greatest("row.own", "other").alias("q"), "row")
+    met = dealt.groupBy("key", "p", "q").agg(F.collect_list("row").alias("rows")).select("key", "p", "q", "rows")
     coarse_limit, fine_limit = sketch_limit(), sketch_limit(FINE_SAMPLES, FINE_WORDS)
 
     def make():
         def step(cols):
             found = set()
-            for p, q, rows in zip(*cols):
+            for key, p, q, rows in zip(*cols):
                 left = [r for r in rows if r["own"] == p]
                 right = left if p == q else [r for r in rows if r["own"] == q]
                 if not left or not right:
@@ -307,6 +309,7 @@ def pairs_across(members: DataFrame, buckets: DataFrame, sets: DataFrame, block:
                 x, y = ({k: np.array([r[k] for r in side]) for k in ("cid", "label", "n")} for side in (left, right))
                 sx, sy = (sketch_rows([r["sketch"] for r in side], SKETCH_WORDS) for side in (left, right))
                 fx, fy = (np.frombuffer(b"".join(r["fine"] for r in side), dtype=np.uint64).reshape(-1, FINE_WORDS) for side in (left, right))
+                bx, by = (np.frombuffer(b"".join(r["bands"] for r in side), dtype=np.int64).reshape(-1, BANDS) for side in (left, right))
                 for i in range(len(left)):
                     after = i + 1 if p == q else 0
                     low, high = np.minimum(x["n"][i], y["n"][after:]), np.maximum(x["n"][i], y["n"][after:])
@@ -314,6 +317,8 @@ def pairs_across(members: DataFrame, buckets: DataFrame, sets: DataFrame, block:
                     ok &= np.bitwise_count(sx[i] ^ sy[after:]).sum(axis=1, dtype=np.int64) <= coarse_limit
                     js = np.flatnonzero(ok) + after
                     js = js[np.bitwise_count(fx[i] ^ fy[js]).sum(axis=1, dtype=np.int64) <= fine_limit]
+                    first = (bx[i] == by[js]).argmax(axis=1)
+                    js = js[bx[i][first] == key]
                     one = int(x["cid"][i])
                     found.update((min(one, j), max(one, j)) for j in y["cid"][js].tolist())
             return [[a for a, _ in found], [b for _, b in found]]
