@@ -40,12 +40,22 @@ def is_object(json: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), F.lit(False))
 
 
-def string_list(value: Column) -> Column:
-    """A list of strings: a list without its empty items, one string as a list, or none."""
-    items = F.from_json(value, "array<string>")
-    listed = F.filter(items, lambda x: x.isNotNull() & ~x.isin("", "0", "false"))
-    number = value.rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$") | value.isin("true", "false") | value.startswith("{")
-    return F.when(value.isNull() | (value == ""), F.array().cast("array<string>")).when(value.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).when(number, F.array().cast("array<string>")).otherwise(F.array(value))
+def string_list(json: Column, key: str) -> Column:
+    """A list of strings at a key: a list without its empty items (null, "", 0, false and
+    empty lists and objects), one string that is not empty as a list, else none."""
+    none = F.array().cast("array<string>")
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+    def text(x: Column) -> Column:
+        return F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+
+    def given(x: Column) -> Column:
+        is_text = F.schema_of_variant(x) == "STRING"
+        return F.coalesce(F.when(is_text, text(x) != "").otherwise(~text(x).isin("0", "0.0", "false", "[]", "{}", "null")), F.lit(False))
+
+    return F.when(kind.startswith("ARRAY"), F.transform(F.filter(items, given), text)).when((kind == "STRING") & (text(value) != ""), F.array(text(value))).otherwise(none)
 
 
 def regions(value: Column) -> Column:
@@ -77,8 +87,8 @@ def assessment(json: Column, prefix: str = "ps_") -> dict[str, Column]:
         "risk_level": risk(authenticity),
         "tampering_probability": value("tampering_probability").try_cast("double"),
         "confidence": value("confidence").try_cast("double"),
-        "key_evidence": string_list(value("key_evidence")),
-        "no_tampering_evidence": string_list(value("no_tampering_evidence")),
+        "key_evidence": string_list(json, prefix + "key_evidence"),
+        "no_tampering_evidence": string_list(json, prefix + "no_tampering_evidence"),
         "suspect_regions": regions(value("suspect_regions")),
         "recommendation": F.trim(F.coalesce(value("recommendation"), F.lit(""))),
     }

@@ -106,3 +106,40 @@ def eps_sweep(vectors: DataFrame, radii: list[float], metric: str = "cosine") ->
         row = found.agg(F.count_distinct("label").alias("n_clusters"), (F.lit(n) - F.count(F.lit(1))).alias("n_noise")).select(F.lit(eps).alias("eps"), "n_clusters", "n_noise")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def members(labelled: DataFrame, names: DataFrame | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """(entity_id, group_id, is_noise, count, is_abnormal, filename) of every item.
+
+    The membership is a table, so that no group is gathered; ``names``: entity_id,
+    filename, null where there is none.
+    """
+    placed = group_ids(labelled)
+    counted = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("count"))
+    out = placed.join(counted, "group_id").withColumn("is_abnormal", ~F.col("is_noise") & (F.col("count") >= s.abnormal_min_size))
+    if names is not None:
+        out = out.join(names.select("entity_id", "filename"), "entity_id", "left")
+    return out
+
+
+def visible(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups that are no noise, and how many are (n_hidden)."""
+    return grouped.where("not is_noise"), grouped.agg(F.count_if("is_noise").alias("n_hidden"))
+
+
+def cluster_debug(vectors: DataFrame, metric: str = "cosine", s: Settings = SETTINGS) -> dict:
+    """What helps to choose a radius: the k-distance curve, a histogram of 20 bins, the
+    clusters of 13 radii from 0.03 to 0.15, the suggested radius and the vectors' number.
+
+    The first three are DataFrames; k is 4, or one less than the vectors if they are few.
+    """
+    n = vectors.count()
+    k = max(1, min(4, n - 1))
+    radii = [round(0.03 + 0.01 * i, 2) for i in range(13)]
+    return {
+        "k_distance_curve": k_distances(vectors, k, metric),
+        "distance_histogram": histogram(pairs.distances(vectors, metric), 20),
+        "eps_candidates": eps_sweep(vectors, radii, metric),
+        "suggested_eps": round(estimate_eps(vectors, k, metric, s), 4),
+        "sample_count": n,
+    }

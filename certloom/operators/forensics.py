@@ -136,17 +136,19 @@ def shrunk(plane: np.ndarray, size: int) -> np.ndarray:
     return cells(cells(plane.astype(np.float64), rows).T, cols).T
 
 
-REGIONS = {"photo": (0.0, 0.45, 0.6, 1.0), "seal": (0.5, 1.0, 0.5, 1.0), "bottom": (0.75, 1.0, 0.0, 1.0), "full": (0.0, 1.0, 0.0, 1.0)}
+# Parts of an image (top, bottom, left, right) that are hashed.
+REGIONS = {"photo": (0.0, 0.5, 0.55, 1.0), "seal": (0.55, 1.0, 0.0, 1.0), "bottom": (0.8, 1.0, 0.0, 1.0), "full": (0.0, 1.0, 0.0, 1.0)}
 
 
-def mean_hash(rgb: np.ndarray, region: str = "full", size: int = 16) -> str | None:
-    """The cells of a region that are brighter than its mean, as hexadecimal digits."""
+def mean_hash(rgb: np.ndarray, region: str = "full", size: int = 16) -> str:
+    """The cells of a region that are brighter than its mean, as hexadecimal digits; of
+    the whole image if the region has no pixels."""
     plane = gray(rgb)
     a, b, c, d = REGIONS[region]
     h, w = plane.shape
     part = plane[int(h * a) : int(h * b), int(w * c) : int(w * d)]
     if not part.size:
-        return None
+        part = plane
     small = shrunk(part, size)
     return np.packbits((small > small.mean()).ravel()).tobytes().hex()
 
@@ -180,12 +182,92 @@ def thin_edges(plane: np.ndarray, low: float, high: float) -> np.ndarray:
         strong = grown | strong
 
 
+def median_blurred(rgb: np.ndarray, size: int = 5) -> np.ndarray:
+    """The median of the size x size pixels around each, edges repeated."""
+    half = size // 2
+    padded = np.pad(rgb, ((half, half), (half, half), (0, 0)), mode="edge")
+    views = np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(0, 1))
+    # row by row, so that memory is that of one row's windows
+    return np.stack([np.median(row.reshape(row.shape[0], row.shape[1], -1), axis=2) for row in views]).astype(np.uint8)
+
+
+def lab(rgb: np.ndarray) -> np.ndarray:
+    """CIE L*a*b* (D65) of sRGB pixels, scaled to 0-255 with a and b around 128."""
+    x = rgb.astype(np.float64) / 255
+    linear = np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)
+    xyz = linear @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]).T / [0.950456, 1.0, 1.088754]
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    light = np.where(xyz[..., 1] > 0.008856, 116 * np.cbrt(xyz[..., 1]) - 16, 903.3 * xyz[..., 1])
+    out = np.stack([light * 255 / 100, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], axis=2)
+    return np.clip(np.round(out), 0, 255)
+
+
 def color_features(rgb: np.ndarray) -> list[float]:
-    """Histograms of three opponent colour axes, their means and the share of red."""
-    x = rgb.astype(np.float64)
-    axes = [x @ [0.299, 0.587, 0.114], (x[..., 0] - x[..., 1]) / 2 + 128, (x[..., 2] - x[..., :2].mean(axis=2)) / 2 + 128]
+    """52 numbers of the blurred image: histograms of L, a and b in 16 bins, their means
+    and the share of red."""
+    soft = median_blurred(rgb)
+    axes = np.moveaxis(lab(soft), 2, 0)
     out = [v for a in axes for v in (np.histogram(a, bins=16, range=(0, 256))[0] / a.size)]
-    return [float(v) for v in (*out, *(a.mean() / 255 for a in axes), red(rgb, 170, 70).mean())]
+    return [float(v) for v in (*out, *(a.mean() / 255 for a in axes), red(soft, 170, 70).mean())]
+
+
+def border_histogram(rgb: np.ndarray, ratio: float = 0.13, bins: tuple[int, int, int] = (32, 16, 16)) -> list[float]:
+    """Hue, saturation and value of the border as one unit vector; the values are brought
+    to a mean of 128, so that the scan's brightness does not count."""
+    h, w = rgb.shape[:2]
+    bh, bw = int(h * ratio), int(w * ratio)
+    border = np.ones((h, w), dtype=bool)
+    border[bh : h - bh, bw : w - bw] = False
+    pixels = hue_saturation_value(rgb)[border]
+    if not len(pixels):
+        return [0.0] * sum(bins)
+    hue, saturation, value = np.floor(pixels[:, 0] * 255 / 180), pixels[:, 1], pixels[:, 2]
+    if value.mean() > 1:
+        value = np.floor(np.clip(value / value.mean() * 128, 0, 255))
+    parts = [np.histogram(x, bins=n, range=(0, 255))[0] / (len(x) * 255 / n) for x, n in zip((hue, saturation, value), bins)]
+    out = np.concatenate(parts)
+    size = np.linalg.norm(out)
+    return [float(v) for v in (out / size if size > 1e-8 else out)]
+
+
+def mean_color(rgb: np.ndarray) -> list[float]:
+    """Mean blue, green and red of the pixels that are neither nearly black nor nearly
+    white, and ten times the share of red."""
+    soft = median_blurred(rgb)
+    inside = ((soft >= 20) & (soft <= 235)).all(axis=2)
+    mean = (soft[inside] if inside.any() else soft.reshape(-1, 3)).mean(axis=0)[::-1] / 255
+    return [float(v) for v in (*mean, red(soft, 170, 70).mean() * 10)]
+
+
+def layout_diagnostics(rgb: np.ndarray) -> dict[str, float]:
+    """Aspect, and how unlike the halves are in their gray levels, edges and brightness."""
+    plane = gray(rgb)
+    half = plane.shape[1] // 2
+    left, right = (np.histogram(x, bins=64, range=(0, 256))[0] / max(1, x.size) for x in (plane[:, :half], plane[:, half:]))
+    chi = float((((left - right) ** 2) / (left + right + 1e-8)).sum() / 2)
+    dark = abs(float(plane[:, :half].mean() if half else 0.0) - float(plane[:, half:].mean())) / 255
+    return {"aspect_ratio": plane.shape[1] / plane.shape[0], "hist_chi2": chi, "edge_asymmetry": asymmetry(rgb), "brightness_diff": dark}
+
+
+def fold(rgb: np.ndarray) -> dict[str, float | bool]:
+    """Signs of a fold down the middle: the strip's share of sideways gradients (5 x 5
+    Sobel), and how much darker it is than the sides."""
+    plane = gray(rgb).astype(np.float64)
+    w, centre = plane.shape[1], plane.shape[1] // 2
+    p = np.pad(plane, 2, mode="edge")
+    across = sum(k * p[:, i : i + w] for i, k in enumerate((-1, -2, 0, 2, 1)))
+    size = np.abs(sum(k * across[i : i + plane.shape[0]] for i, k in enumerate((1, 4, 6, 4, 1))))
+
+    def split(x: np.ndarray, strip: int, margin: int = 0):
+        return x[..., max(0, centre - strip) : centre + strip], x[..., margin : max(0, centre - strip)], x[..., centre + strip : w - margin]
+
+    middle, left, right = split(size, max(int(w * 0.025), 3))
+    sides = np.concatenate([left, right], axis=1)
+    ratio = float(middle.mean() / sides.mean()) if sides.size and sides.mean() > 1e-6 else 0.0
+    middle, left, right = split(plane.mean(axis=0), max(int(w * 0.03), 3), int(w * 0.1))
+    side = (left.mean() + right.mean()) / 2 if left.size and right.size else 0.0
+    dip = float((side - middle.mean()) / side) if side > 1e-6 else 0.0
+    return {"edge_ratio": ratio, "brightness_dip": dip, "is_fold": ratio > 1.3 or dip > 0.03}
 
 
 MEASURED = (

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from certloom.operators.lineage import cut
+
 #: Variants of one number that are listed, at most; longer ones use pieces.
 MOST_VARIANTS = 300
 
@@ -51,32 +53,52 @@ def similar_numbers(numbers: DataFrame, threshold: float) -> DataFrame:
     their length pair and what is left after deletions; long ones on pieces that a hit
     leaves intact. Pairs of records are made after verification.
     """
-    distinct = numbers.select("cert_no").distinct()
+    distinct = cut(numbers.select(F.col("cert_no").alias("no"), F.length("cert_no").alias("l")).distinct())
+    # one number for each length that occurs
+    lengths = sorted(r["l"] for r in distinct.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect())
+    bounds = {(l1, l2): b for l1 in lengths for l2 in lengths if l1 <= l2 and (b := length_bounds(l1, l2, threshold)) is not None}
+    single = {pair: b for pair, b in bounds.items() if max(b) <= 1}
+    candidates = by_pieces(distinct, {pair: b for pair, b in bounds.items() if pair not in single})
+    for (l1, l2), (d1, d2) in single.items():
+        left = distinct.where(F.col("l") == l1).select(F.col("no").alias("no1"), F.explode(single_deletions(F.col("no"), l1, d1)).alias("key"))
+        right = distinct.where(F.col("l") == l2).select(F.col("no").alias("no2"), F.explode(single_deletions(F.col("no"), l2, d2)).alias("key"))
+        candidates = candidates.union(left.join(right, "key").where("no1 <> no2").select("no1", "no2"))
+    candidates = candidates.distinct()
+    near = candidates.where(F.levenshtein("no1", "no2") <= F.ceil((F.length("no1") + F.length("no2")) * (1 - threshold)))
+    verified = near.withColumn("similarity", ratio("no1", "no2")).where(F.col("similarity") >= threshold)
+    first = numbers.select(F.col("entity_id").alias("id1"), F.col("cert_no").alias("no1"))
+    second = numbers.select(F.col("entity_id").alias("id2"), F.col("cert_no").alias("no2"))
+    pairs = verified.join(first, "no1").join(second, "no2")
+    ordered = (F.length("no1") < F.length("no2")) | (F.col("id1") < F.col("id2"))
+    return pairs.where(ordered).select("id1", "no1", "id2", "no2", F.round("similarity", 6).alias("similarity"))
+
+
+def single_deletions(no: Column, length: int, n: int) -> Column:
+    """A number's different rests after ``n`` deletions, none or one; the hashes of them."""
+    rests = F.array(no) if n == 0 else F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.concat(F.substring(no, F.lit(1), i - 1), F.substring(no, i + 1, F.lit(length)))))
+    return F.transform(rests, lambda x: F.xxhash64(x))
+
+
+def by_pieces(distinct: DataFrame, bounds: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """(no1, no2) of the pairs of lengths that need more than one deletion on a side."""
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
-            for no in frame["cert_no"]:
-                n = len(no)
-                for l2 in range(n, int(n / threshold * 2) + 2):
-                    if (b := length_bounds(n, l2, threshold)) is not None:
-                        out += [(no, n, l2, True, key) for key in keys(no, b[0], b[1], True)]
-                for l1 in range(max(1, int(n * threshold / 2) - 1), n + 1):
-                    if (b := length_bounds(l1, n, threshold)) is not None:
-                        out += [(no, l1, n, False, key) for key in keys(no, b[0], b[1], False)]
+            for no in frame["no"]:
+                for (l1, l2), (d1, d2) in bounds.items():
+                    for short in (True, False):
+                        if len(no) == (l1 if short else l2):
+                            out += [(no, l1, l2, short, key) for key in keys(no, d1, d2, short)]
             yield pd.DataFrame(out, columns=["no", "l1", "l2", "short", "key"])
 
-    keyed = distinct.mapInPandas(variants, "no string, l1 int, l2 int, short boolean, key string")
+    if not bounds:
+        return distinct.select(F.col("no").alias("no1"), F.col("no").alias("no2")).where("false")
+    lengths = {n for pair in bounds for n in pair}
+    keyed = distinct.where(F.col("l").isin(*lengths)).select("no").mapInPandas(variants, "no string, l1 int, l2 int, short boolean, key string")
     short = keyed.where("short").select(F.col("no").alias("no1"), "l1", "l2", "key")
     long = keyed.where("not short").select(F.col("no").alias("no2"), "l1", "l2", "key")
-    candidates = short.join(long, ["l1", "l2", "key"]).where("no1 <> no2").select("no1", "no2").distinct()
-    near = candidates.where(F.levenshtein("no1", "no2") <= F.ceil((F.length("no1") + F.length("no2")) * (1 - threshold)))
-    verified = near.withColumn("similarity", ratio("no1", "no2")).where(F.col("similarity") >= threshold)
-    first = numbers.select(F.col("entity_id").alias("id1"), F.col("cert_no").alias("no1"))
-    second = numbers.select(F.col("entity_id").alias("id2"), F.col("cert_no").alias("no2"))
-    pairs = verified.join(first, "no1").join(second, "no2")
-    ordered = (F.length("no1") < F.length("no2")) | (F.col("id1") < F.col("id2"))
-    return pairs.where(ordered).select("id1", "no1", "id2", "no2", F.round("similarity", 6).alias("similarity"))
+    return short.join(long, ["l1", "l2", "key"]).where("no1 <> no2").select("no1", "no2")
 
 
 def keys(no: str, d1: int, d2: int, short: bool) -> list[str]:

@@ -16,14 +16,16 @@ from certloom.streaming.audit_stream import audited, batch_analyze_stream
 
 
 def analyze(record: DataFrame, flags: DataFrame | None = None, s: Settings = SETTINGS) -> DataFrame:
-    """(entity_id, issues, risk_flags, risk_level) of records, with forensic flags if given."""
+    """(entity_id, issues, risk_flags, risk_level, all_flags) of records, with forensic flags
+    if given; all_flags are those flags and the names of the rules."""
     found = record.select("entity_id", rules.record_issues(s).alias("issues"))
     if flags is not None:
         found = found.join(flags.select("entity_id", "risk_flags"), "entity_id", "left")
     else:
         found = found.withColumn("risk_flags", F.lit(None).cast("array<string>"))
     found = found.withColumn("risk_flags", F.coalesce("risk_flags", F.array().cast("array<string>")))
-    return found.withColumn("risk_level", rules.risk_level(F.col("issues"), F.col("risk_flags")))
+    named = F.concat("risk_flags", F.transform("issues", lambda i: i["rule"]))
+    return found.withColumns({"risk_level": rules.risk_level(F.col("issues"), F.col("risk_flags")), "all_flags": named})
 
 
 def hash_issues(hashes: DataFrame, s: Settings = SETTINGS) -> DataFrame:

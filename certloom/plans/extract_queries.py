@@ -91,12 +91,15 @@ _FIELDS = {
     "supervisor": "cast(null as varchar)",
 }
 _ALL_FIELDS = ", ".join(f"{sql} as {name}" for name, sql in _FIELDS.items())
+_IN_JSON = """'{"school":"' || school"""
+#: Patterns find nothing in the JSON layouts but a school, with the key before it.
+_BY_PATTERN = ", ".join(f"case when entity_id % 4 < 2 then {sql} else {_IN_JSON if name == 'school' else 'null'} end as {name}" for name, sql in _FIELDS.items())
 _DAY_SQL = "[" + ",".join(f"'{d}'" for d in _DAYS) + "]"
 _NUMBERS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "十一": 11, "十二": 12, "十五": 15, "十九": 19, "二十": 20, "廿": 20, "廿一": 21, "廿九": 29, "卅": 30, "卅一": 31}
 _VALUE_SQL = "[" + ",".join(str(_NUMBERS[d]) for d in _DAYS) + "]"
 
 SQL = {
-    "extract_regex_fields": f"with {CREDENTIALS_SQL} select entity_id, {_ALL_FIELDS} from certs where entity_id % 4 < 2",
+    "extract_regex_fields": f"with {CREDENTIALS_SQL} select entity_id, {_BY_PATTERN} from certs",
     "parse_json_fields": f"with {CREDENTIALS_SQL} select entity_id, {_ALL_FIELDS} from certs",
     "cn_year": f"with {CREDENTIALS_SQL} select entity_id, {_WRITTEN} as written, case when grad_year <> 'N/A' then grad_year end as year from certs",
     "cn_date": f"""with {CREDENTIALS_SQL} select entity_id, {_WRITTEN}||'年'||{_DAY_SQL}[entity_id % 12 + 1]||'月'||{_DAY_SQL}[entity_id % {len(_DAYS)} + 1]||case when entity_id % 10 = 3 then '' else '日' end as written,

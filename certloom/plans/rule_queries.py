@@ -154,8 +154,6 @@ _TENURE = f"""select school, principal, '校长任期异常' as rule, '【'||sch
  where n >= 2 and y-x+1 > 12"""
 _DUPLICATES = """select cert_no, '证书编号重复' as rule, '证书编号『'||cert_no||'』被 '||len(ids)||' 人共用：'||array_to_string(ids, '、') as detail, '高' as severity, ids as related_ids
  from (select cert_no, list_sort(list(entity_id)) as ids from certs where not ocr_error and cert_no <> '' group by all) where len(ids) > 1"""
-_SUMMARY = f"""{CERTS}, i as (select rule, severity, len(related_ids) as n from ({_CONFLICTS}) union all select rule, severity, len(related_ids) from ({_SHARED})
- union all select rule, severity, len(related_ids) from ({_TENURE}) union all select rule, severity, len(related_ids) from ({_DUPLICATES}))"""
 _FLAGS = """array_to_string(list_filter([case when ela_std > 45 or bright_ratio > 0.20 or (ela_std > 25 and bright_ratio > 0.10) then 'ELA检测到可疑修改区域' end,
  case when max_gradient > 200 and noise_ratio > 1.5 then '照片边缘异常锐利，疑似贴片' end, case when red_count >= 200 and color_variance < 600 then '印章疑似打印，非实体盖章' end], lambda x: x is not null), ',')"""
 _SINGLE = f"{_RULE1} union all {_RULE2} union all {_RULE3} union all {_RULE4} union all {_RULE5}"
@@ -188,7 +186,4 @@ SQL = {
  select c.entity_id, case when ocr_error then 'error' else 'ok' end as status, case when ocr_error then null when coalesce(i.severe, false) then '高' when coalesce(i.n, 0) > 0 then '中' else '低' end as risk_level,
  cast(case when ocr_error then 0 else coalesce(i.n, 0) end as int) as n_issues from certs c left join i using (entity_id)""",
     ),
-    "cross_validate_summary": f"{_SUMMARY} select rule, severity, count(*) as issues, cast(sum(n) as bigint) as related from i group by all",
-    "cross_validate_run": f"""{_SUMMARY} select (select count(*) from certs) as total_certs, (select count(*) from certs where not ocr_error) as ocr_success,
- (select count(*) from i) as issue_count, (select count(*) from i where severity = '高') as high_severity_count""",
 }

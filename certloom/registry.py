@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certloom.plans import diagnostic_queries, extract_queries, rule_queries, store_queries, vector_queries
+from certloom.plans import diagnostic_queries, extract_queries, ledger_queries, rule_queries, store_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (rule_queries, extract_queries, vector_queries, store_queries, diagnostic_queries)
+MODULES = (rule_queries, extract_queries, vector_queries, store_queries, diagnostic_queries, ledger_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -57,6 +57,17 @@ class Store:
     def delete(self, table: str, ids: DataFrame, key: str = "entity_id") -> None:
         self.replace(table, without(self.read(table), ids, key))
 
+    def append_run(self, header: DataFrame, issues: DataFrame) -> int:
+        """Append the header of a run under the next number, then its issues with it."""
+        last = self.read("cross_validate_runs").agg(F.max("run_id").alias("n")).first()["n"]
+        run_id = (last or 0) + 1
+        self.append("cross_validate_runs", with_run(header, run_id))
+        self.append("fraud_issues", with_run(issues.withColumn("issue_type", F.lit("cross")), run_id))
+        return run_id
+
+    def replace_single_issues(self, issues: DataFrame, ids: DataFrame) -> None:
+        self.replace("fraud_issues", single_issues_replaced(self.read("fraud_issues"), issues, ids))
+
     def counts(self) -> DataFrame:
         """(table, n) of all tables that exist."""
         out = None
@@ -139,3 +150,59 @@ def truncated(rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Long texts cut to what their columns hold."""
     limits = {"raw_text": s.raw_text_limit, "raw_response": s.raw_response_limit}
     return rows.withColumns({c: F.substring(c, 1, n) for c, n in limits.items() if c in rows.columns})
+
+
+def with_run(rows: DataFrame, run_id: int) -> DataFrame:
+    return rows.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("created_at", F.current_timestamp())
+
+
+def single_issues_replaced(stored: DataFrame, issues: DataFrame, ids: DataFrame) -> DataFrame:
+    """The stored issues without those of type single of the named records, and the new ones.
+
+    ``issues``: entity_id, rule, detail, severity. Issues of other types and records stay.
+    """
+    of_them = (stored["issue_type"] == "single") & (stored["entity_id"] == ids["entity_id"])
+    new = issues.select("entity_id", F.col("rule").alias("rule_name"), "detail", "severity", F.array("entity_id").alias("related_ids"), F.lit("single").alias("issue_type"))
+    return stored.join(ids, of_them, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def flat_forensics(nested: DataFrame) -> DataFrame:
+    """The forensic table's columns from nested measurements: ela, photo_edge, seal,
+    risk_level, risk_flags."""
+    return nested.select(
+        "entity_id",
+        F.col("ela.ela_std").alias("ela_std"),
+        F.coalesce("ela.suspicious", F.lit(False)).alias("ela_suspicious"),
+        F.coalesce("photo_edge.suspicious", F.lit(False)).alias("photo_edge_suspicious"),
+        F.coalesce("seal.has_red_seal", F.lit(False)).alias("has_red_seal"),
+        F.coalesce("seal.printed", F.lit(False)).alias("seal_printed"),
+        "risk_level",
+        F.coalesce("risk_flags", F.array().cast("array<string>")).alias("risk_flags"),
+    )
+
+
+def encoded_assessments(rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """Assessments with their lists as JSON text and the raw response cut to its column."""
+    lists = ("key_evidence", "no_tampering_evidence", "suspect_regions")
+    return truncated(rows.withColumns({c: F.to_json(F.coalesce(F.col(c), F.from_json(F.lit("[]"), rows.schema[c].dataType))) for c in lists if c in rows.columns}), s)
+
+
+def search_columns(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Rows of which some column holds the text, whatever its case."""
+    needle = F.lit(text.lower())
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), needle), F.lit(False))
+    return rows.where(found)
+
+
+def by_severity(issues: DataFrame, first: int | None = None) -> DataFrame:
+    """Issues from 高 over 中 to 低, by rule and detail within; the first few if asked."""
+    place = F.when(F.col("severity") == "高", 0).when(F.col("severity") == "中", 1).otherwise(2)
+    ordered = issues.orderBy(place, "rule", "detail")
+    return ordered if first is None else ordered.limit(first)
+
+
+def public_columns(rows: DataFrame) -> DataFrame:
+    """Without the columns whose names begin with an underscore."""
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")])
