@@ -46,8 +46,9 @@ SKETCH_WORDS = 8
 FINE_SAMPLES, FINE_WORDS = 2048, 48
 #: Standard deviations of the sketch's estimate that a pair may be worse than the limit.
 SLACK = 4.5
-#: Further rounds of stars, at most; pairs for each member that call for one.
-ROUNDS, PAIRS_A_ROW = 6, 8
+#: Further rounds of stars, at most; pairs for each member that call for one, and the links
+#: for a member that a round must find for another.
+ROUNDS, PAIRS_A_ROW, WORTHWHILE = 6, 8, 0.002
 #: In further rounds stars are for buckets of which one component holds this share.
 DOMINANT = 8
 #: Members of a bucket that a task holds against others at once.
@@ -338,26 +339,24 @@ def class_components(tables: Tables, docs: DataFrame, nodes: DataFrame) -> DataF
 
     links = tables.keep("links", confirmed(tables, plausible(star_pairs(crowded), sets), sets))
     labels = tables.keep("labels", components(links))
+    worthwhile = WORTHWHILE * shared.count()
     for number in range(1, ROUNDS + 1):
-        members = labelled(crowded, labels)
+        members = tables.keep("members", labelled(crowded, labels))
         buckets = tables.keep("buckets", mixed_buckets(members))
         left = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("size").alias("rows")).first()
         if left["pairs"] is None:
             return labels
+        links = labels.toDF("a", "b")
         if left["pairs"] <= PAIRS_A_ROW * left["rows"]:
             break
         more = tables.keep("links", confirmed(tables, plausible(later_stars(members, buckets, number), sets), sets))
-        if more.isEmpty():
+        links = links.union(more)
+        if number == ROUNDS or more.count() <= worthwhile:
             break
-        labels = tables.keep("labels", components(labels.toDF("a", "b").union(more)))
-        buckets = None
-    if buckets is None:
-        members = labelled(crowded, labels)
-        buckets = tables.keep("buckets", mixed_buckets(members))
-    inside = few(buckets.select("key"), BROADCAST_IDS)
-    members = labelled(crowded.join(inside, "key", "left_semi"), labels)
-    more = tables.keep("links", confirmed(tables, pairs_across(members, few(buckets, BROADCAST_IDS // 3), sets), sets))
-    return components(labels.toDF("a", "b").union(more))
+        labels = tables.keep("labels", components(links))
+    # the labels of the last round do: links that it found only make components larger
+    across = tables.keep("across", confirmed(tables, pairs_across(members, few(buckets, BROADCAST_IDS // 3), sets), sets))
+    return components(links.union(across))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
