@@ -48,7 +48,7 @@ FINE_SAMPLES, FINE_WORDS = 2048, 48
 SLACK = 4.5
 #: Further rounds of stars, at most; pairs for each member that call for one, and the links
 #: for a member that a round must find for another.
-ROUNDS, PAIRS_A_ROW, WORTHWHILE = 6, 8, 0.002
+ROUNDS, PAIRS_A_ROW, WORTHWHILE = 6, 64, 0.002
 #: In further rounds stars are for buckets of which one component holds this share.
 DOMINANT = 8
 #: Members of a bucket that a task holds against others at once.
