@@ -3,8 +3,10 @@
 With min_samples 1 mutual reachability is the distance itself, so that the hierarchy is
 that of single linkage and needs only a minimum spanning tree. Each pair of blocks gives
 the spanning tree of its own distances: by the cycle property the whole tree is among
-those edges. The hierarchy is built from the tree's edges, one for each vector, sorted,
-in one task: that step is sequential by nature, and an edge is 24 bytes.
+those edges. Trees of neighbouring pairs are merged in rounds, each of which leaves half
+of the edges, until one tree of an edge less than there are vectors is left: a task of
+the last round meets at most two edges for each vector. The hierarchy is built from that
+tree, sorted, in one task: that step is sequential.
 
 Clusters are those of greatest excess of mass (Campello et al., 2013); one that is born
 below ``epsilon`` gives way to its first ancestor born above it (Malzer and Baum, 2020).
@@ -21,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certloom.operators.lineage import cut
+from certloom.operators.lineage import Tables, cut
 from certloom.operators.pairs import METRICS, _matrix, block_pairs
 
+EDGES = "p long, q long, a long, b long, distance double"
+
 
 class Sets:
     """Disjoint sets of numbers."""
@@ -38,35 +42,78 @@ class Sets:
         return x
 
 
-def tree_edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
-    """Edges of a minimum spanning forest over candidate edges, ties by ids."""
+def tree_edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges of a minimum spanning forest over candidate edges, in order, ties by ids."""
     low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    sets = Sets(len(ids))
-    for e in np.lexsort((high, low, d)):
+    sets, found = Sets(len(ids)), []
+    for e in np.lexsort((high, low, d)).tolist():
         a, b = sets.find(int(i[e])), sets.find(int(j[e]))
         if a != b:
             sets.up[a] = b
-            yield int(low[e]), int(high[e]), float(d[e])
+            found.append((int(low[e]), int(high[e]), float(d[e])))
+            if len(found) == len(ids) - 1:
+                break
+    return found
+
+
+def dense_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of a minimum spanning tree over a whole matrix of distances, in
+    which pairs that don't count are infinite."""
+    n = len(d)
+    near, via, out = d[0].copy(), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    out[0] = False
+    i, j, length = np.zeros(max(n - 1, 0), dtype=np.int64), np.zeros(max(n - 1, 0), dtype=np.int64), np.zeros(max(n - 1, 0))
+    for step in range(n - 1):
+        left = np.flatnonzero(out)
+        new = left[near[left].argmin()]
+        i[step], j[step], length[step] = via[new], new, near[new]
+        out[new] = False
+        closer = out & (d[new] < near)
+        near[closer], via[closer] = d[new][closer], new
+    return i, j, length
 
 
 def candidate_edges(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(a, b, distance): the spanning trees of all pairs of blocks."""
+    """(p, q, a, b, distance): the spanning trees of all pairs of blocks p, q."""
     measure = METRICS[metric]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
-                (ida, x), (idb, y) = _matrix(a), _matrix(b)
+            for same, a, b, p, q in zip(*(frame[c] for c in ("same", "a", "b", "block", "other"))):
+                (ids, x), (idb, y) = _matrix(a), _matrix(b)
                 d = measure(x, y)
-                if same:
-                    i, j = np.triu_indices(len(ida), 1)
-                    rows = list(tree_edges(ida, i, j, d[i, j]))
-                else:
-                    i, j = (g.ravel() for g in np.indices(d.shape))
-                    rows = list(tree_edges(np.concatenate([ida, idb]), i, j + len(ida), d.ravel()))
-                yield pd.DataFrame(rows, columns=["a", "b", "distance"])
+                if not same:
+                    ids, n = np.concatenate([ids, idb]), len(ids)
+                    across, d = d, np.full((len(ids), len(ids)), np.inf)
+                    d[:n, n:], d[n:, :n] = across, across.T
+                i, j, length = dense_tree(d)
+                yield pd.DataFrame({"p": p, "q": q, "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "distance": length})
+
+    return block_pairs(vectors).mapInPandas(run, EDGES)
+
+
+def merged(edges: DataFrame) -> DataFrame:
+    """The forests of two by two pairs of blocks as one."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([frame["a"], frame["b"]]))
+        rows = tree_edges(ids, np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"]), frame["distance"].to_numpy())
+        return pd.DataFrame(rows, columns=["a", "b", "distance"]).assign(p=frame["p"].iloc[0], q=frame["q"].iloc[0])[["p", "q", "a", "b", "distance"]]
+
+    halved = edges.withColumns({"p": F.shiftright("p", 1), "q": F.shiftright("q", 1)})
+    return halved.groupBy("p", "q").applyInPandas(run, EDGES)
+
 
-    return block_pairs(vectors).mapInPandas(run, "a long, b long, distance double").distinct()
+def spanning_tree(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(a, b, distance) of a minimum spanning tree: an edge less than there are ids."""
+    tables = Tables(vectors.sparkSession)
+    edges = tables.keep("edges", candidate_edges(vectors.select("entity_id", "vector"), metric))
+    last = edges.agg(F.max("q")).first()[0] or 0
+    while last > 0:
+        edges, last = tables.keep("edges", merged(edges)), last >> 1
+    tree = cut(edges.select("a", "b", "distance"))
+    tables.drop_all()
+    return tree
 
 
 def condensed(n: int, edges: list[tuple[int, int, float]], least: int) -> tuple[list[tuple[int, int, float, int]], int]:
@@ -159,17 +206,16 @@ def ancestors(c: int, parent: dict[int, int]) -> list[int]:
 
 def hdbscan(vectors: DataFrame, epsilon: float, least: int = 2, metric: str = "cosine") -> DataFrame:
     """(entity_id, label): labels from 0 in the order of first members, -1 for noise."""
-    edges = cut(candidate_edges(vectors.select("entity_id", "vector"), metric))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["distance", "a", "b"])
         ids = np.unique(np.concatenate([frame["a"], frame["b"]]))
         i, j = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"])
-        tree = list(tree_edges(ids, i, j, frame["distance"].to_numpy()))
-        order = sorted(tree, key=lambda e: e[2])
-        rows, fresh = condensed(len(ids), [(int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b)), d) for a, b, d in order], least)
+        rows, fresh = condensed(len(ids), list(zip(i.tolist(), j.tolist(), frame["distance"].tolist())), least)
         of = select(len(ids), rows, fresh, epsilon)
         number: dict[int, int] = {}
         return pd.DataFrame({"entity_id": ids, "label": [number.setdefault(of[p], len(number)) if p in of else -1 for p in range(len(ids))]})
 
-    found = edges.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(build, "entity_id long, label long")
+    tree = spanning_tree(vectors, metric).withColumn("_all", F.lit(1))
+    found = tree.groupBy("_all").applyInPandas(build, "entity_id long, label long")
     return vectors.select("entity_id").join(found.withColumnRenamed("entity_id", "_id"), F.col("entity_id") == F.col("_id"), "left").select("entity_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))

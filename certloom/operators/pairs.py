@@ -20,14 +20,15 @@ BLOCK = 1024
 
 
 def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): all unordered pairs of blocks, each an array of (entity_id, vector)."""
+    """(same, a, b, block, other): all unordered pairs of blocks, each an array of
+    (entity_id, vector), and the numbers of both."""
     n = vectors.count()
     count = max(1, math.ceil(n / block))
     blocks = vectors.select(F.pmod(F.xxhash64("entity_id"), F.lit(count)).alias("block"), F.struct("entity_id", "vector").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
     # a block is named once for every block at or after it, and meets each by equality
     left = blocks.select("block", F.explode(F.sequence(F.col("block"), F.lit(count - 1).cast("long"))).alias("other"), F.col("rows").alias("a"))
     right = blocks.select(F.col("block").alias("other"), F.col("rows").alias("b"))
-    return left.join(right, "other").select((F.col("block") == F.col("other")).alias("same"), "a", "b")
+    return left.join(right, "other").select((F.col("block") == F.col("other")).alias("same"), "a", "b", "block", "other")
 
 
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:

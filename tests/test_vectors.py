@@ -36,6 +36,28 @@ def test_golden_groups(golden):
     assert partition(hierarchy.hdbscan(golden, 0.2)) == want
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_spanning_tree_is_one_edge_a_vector(spark, block, monkeypatch):
+    """Merged trees have the lengths of the tree over all pairs, ties and copies too."""
+    monkeypatch.setattr(pairs.block_pairs, "__defaults__", (block,))
+    x = np.random.default_rng(3).integers(0, 4, size=(60, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    tree = hierarchy.spanning_tree(df, "euclidean").collect()
+    i, j = np.triu_indices(60, 1)
+    want = hierarchy.tree_edges(np.arange(60), i, j, pairs.METRICS["euclidean"](x, x)[i, j])
+    assert len(tree) == 59
+    assert np.allclose(sorted(r["distance"] for r in tree), [d for _, _, d in want])
+    labels = {r["entity_id"]: r["label"] for r in hierarchy.hdbscan(df, 0.5, metric="euclidean").collect()}
+    monkeypatch.setattr(pairs.block_pairs, "__defaults__", (60,))
+    assert labels == {r["entity_id"]: r["label"] for r in hierarchy.hdbscan(df, 0.5, metric="euclidean").collect()}
+
+
+def test_hierarchy_of_none_and_one(spark):
+    one = spark.createDataFrame([(5, [1.0, 0.0])], "entity_id long, vector array<double>")
+    assert [tuple(r) for r in hierarchy.hdbscan(one, 0.2).collect()] == [(5, -1)]
+    assert hierarchy.hdbscan(one.limit(0), 0.2).count() == 0
+
+
 def test_labels_follow_first_members(golden):
     labels = {r["entity_id"]: r["label"] for r in clustering.dbscan(golden, 0.085).collect()}
     assert [labels[m[0]] for m in GROUPS.values()] == [0, 1, 2, 3, 4]
