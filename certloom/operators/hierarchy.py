@@ -8,7 +8,7 @@ of the edges, until one tree of an edge less than there are vectors is left: a t
 the last round meets at most two edges for each vector. The hierarchy is built from that
 tree, sorted, in one task: that step is sequential.
 
-Clusters are those of greatest excess of mass (Campello et al., 2013); one that is born
+Clusters are those of greatest excess of mass (Campello et al., 2013) or the leaves; one that is born
 below ``epsilon`` gives way to its first ancestor born above it (Malzer and Baum, 2020).
 The root is never a cluster. Merges at equal distances are one split, so that ties don't
 depend on an order.
@@ -164,8 +164,11 @@ def condensed(n: int, edges: list[tuple[int, int, float]], least: int) -> tuple[
     return rows, fresh
 
 
-def select(n: int, rows: list[tuple[int, int, float, int]], fresh: int, epsilon: float) -> dict[int, int]:
-    """The cluster of each point that has one, as a label of the condensed tree."""
+def select(n: int, rows: list[tuple[int, int, float, int]], fresh: int, epsilon: float, method: str = "eom") -> dict[int, int]:
+    """The cluster of each point that has one, as a label of the condensed tree.
+
+    ``method``: "eom", greatest excess of mass, or "leaf", clusters without clusters below.
+    """
     birth, parent, kids, mass = {n: 0.0}, {}, {}, {}
     for p, c, lam, _ in rows:
         if c >= n:
@@ -177,7 +180,7 @@ def select(n: int, rows: list[tuple[int, int, float, int]], fresh: int, epsilon:
     chosen = {}
     for c in range(fresh - 1, n, -1):
         below = sum(mass.get(k, 0.0) for k in kids.get(c, []))
-        chosen[c] = not kids.get(c) or mass.get(c, 0.0) >= below
+        chosen[c] = not kids.get(c) or method == "eom" and mass.get(c, 0.0) >= below
         if not chosen[c]:
             mass[c] = below
     clusters, todo = [], list(kids.get(n, []))
@@ -204,18 +207,36 @@ def ancestors(c: int, parent: dict[int, int]) -> list[int]:
     return out
 
 
-def hdbscan(vectors: DataFrame, epsilon: float, least: int = 2, metric: str = "cosine") -> DataFrame:
-    """(entity_id, label): labels from 0 in the order of first members, -1 for noise."""
+def labelled(frame: pd.DataFrame, epsilon: float, least: int, method: str) -> pd.DataFrame:
+    """(entity_id, label) of the ids of a spanning tree."""
+    frame = frame.sort_values(["distance", "a", "b"])
+    ids = np.unique(np.concatenate([frame["a"], frame["b"]]))
+    i, j = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"])
+    rows, fresh = condensed(len(ids), list(zip(i.tolist(), j.tolist(), frame["distance"].tolist())), least)
+    of = select(len(ids), rows, fresh, epsilon, method)
+    number: dict[int, int] = {}
+    return pd.DataFrame({"entity_id": ids, "label": [number.setdefault(of[p], len(number)) if p in of else -1 for p in range(len(ids))]})
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["distance", "a", "b"])
-        ids = np.unique(np.concatenate([frame["a"], frame["b"]]))
-        i, j = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"])
-        rows, fresh = condensed(len(ids), list(zip(i.tolist(), j.tolist(), frame["distance"].tolist())), least)
-        of = select(len(ids), rows, fresh, epsilon)
-        number: dict[int, int] = {}
-        return pd.DataFrame({"entity_id": ids, "label": [number.setdefault(of[p], len(number)) if p in of else -1 for p in range(len(ids))]})
-
-    tree = spanning_tree(vectors, metric).withColumn("_all", F.lit(1))
-    found = tree.groupBy("_all").applyInPandas(build, "entity_id long, label long")
-    return vectors.select("entity_id").join(found.withColumnRenamed("entity_id", "_id"), F.col("entity_id") == F.col("_id"), "left").select("entity_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+
+def hdbscan_sweep(vectors: DataFrame, settings: list[tuple[str, float, int]], metric: str = "cosine") -> DataFrame:
+    """(method, epsilon, least, entity_id, label) for every setting (method, epsilon, least).
+
+    All settings share one spanning tree and are worked on side by side.
+    """
+    tried = "array<struct<method:string,epsilon:double,least:int>>"
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(e)).alias("epsilon"), F.lit(n).alias("least")) for m, e, n in settings]).cast(tried))
+    keys = ["method", "epsilon", "least"]
+
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        method, epsilon, least = key
+        return labelled(frame, epsilon, least, method).assign(method=method, epsilon=epsilon, least=least)[[*keys, "entity_id", "label"]]
+
+    edges = spanning_tree(vectors, metric).withColumn("_s", each).select("_s.*", "a", "b", "distance")
+    found = edges.groupBy(*keys).applyInPandas(build, "method string, epsilon double, least int, entity_id long, label long")
+    wanted = vectors.select("entity_id", each.alias("_s")).select("_s.*", "entity_id")
+    return wanted.join(found, [*keys, "entity_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1)).cast("long"))
+
+
+def hdbscan(vectors: DataFrame, epsilon: float, least: int = 2, metric: str = "cosine", method: str = "eom") -> DataFrame:
+    """(entity_id, label): labels from 0 in the order of first members, -1 for noise."""
+    return hdbscan_sweep(vectors, [(method, epsilon, least)], metric).select("entity_id", "label")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.operators import clustering, hierarchy, pairs, stages
+from certloom.operators import clustering, hierarchy, pairs, stages, variants
 from certloom.operators import search as searching
 from certloom.operators.lineage import cut
-from certloom.sources.records import face_vectors, vectors
+from certloom.sources.records import face_vectors, table, vectors
 
 #: Radii that give clusters on these vectors, which are far from each other.
 EPS, FACE_EPS, PAIRS_MOST = 0.60, 0.62, 0.62
@@ -131,11 +131,37 @@ def template_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.group_ids(items.select("entity_id", "label"))
 
 
+def template_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hierarchical clusterings by radius and method, scored against the labels of the table."""
+    wanted = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").alias("group"))
+    return variants.sweep(vectors(spark, sf_dir), RADII, expected=wanted, metric="cosine")
+
+
+def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("entity_id", "vector", F.slice("vector", 1, 4).alias("color"), F.abs(F.col("vector")[0]).alias("asymmetry"), (F.col("entity_id") <= 14).alias("is_key"))
+
+
+def template_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and colours in one clustering."""
+    return variants.fused_pipeline(_colored(spark, sf_dir), epsilon=0.9, near=MERGE)
+
+
+def template_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters within groups of colours, whose numbers follow a seed."""
+    return variants.grouped_pipeline(_colored(spark, sf_dir), epsilon=EPS, near=RECOVER, layout=ASYMMETRY)
+
+
+def group_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of each group and its place by size."""
+    return variants.group_folders(clustering.dbscan(vectors(spark, sf_dir), EPS)).select("folder", "count", "position")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         search_by_id, search_by_vector, search_exclude_self, search_abnormal, pair_distances, nearest_neighbours, kdist_curve, eps_estimate, distance_histogram, eps_sweep, dbscan_image, dbscan_face,
         abnormal_groups, group_order, layout_split, cluster_centroids, cluster_merge, noise_recover, noise_pair, noise_diagnostics, hdbscan_template, template_pipeline,
+        template_sweep, template_fused, template_grouped, group_folders,
     )
 }
 
@@ -197,6 +223,8 @@ SQL = {
     "dbscan_face": f"{_dbscan(_FACES_V, FACE_EPS)} select * from named",
     "abnormal_groups": f"{_dbscan(_V, EPS)} select group_id, list_sort(list(entity_id)) as items, count(*) as count from named where not is_noise group by group_id having count(*) >= 2",
     "group_order": f"{_dbscan(_V, EPS)} select group_id, is_noise, not is_noise and count(*) >= 2 as is_abnormal, count(*) as count from named group by group_id, is_noise",
+    "group_folders": f"""{_dbscan(_V, EPS)} select case when label < 0 then 'unique_or_noise' else printf('template_%02d', label) end as folder, count(*) as count,
+ row_number() over (order by count(*) desc, min(entity_id)) - 1 as position from g group by label""",
     "layout_split": f"""with {_ITEMS}, s as (select label, count(*) filter (asym < {ASYMMETRY}) as lo, count(*) filter (asym >= {ASYMMETRY}) as hi from v where label >= 0 group by label),
  n as (select label, (select max(label) from v) + row_number() over (order by label) as fresh from s where lo >= 2 and hi >= 2)
  select v.id as entity_id, cast(case when asym >= {ASYMMETRY} and fresh is not null then fresh else v.label end as bigint) as label from v left join n using (label)""",

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from certloom.operators import clustering, hierarchy, pairs, search, stages
+from certloom.operators import clustering, hierarchy, pairs, search, stages, variants
 from certloom.operators.graph import components
 from certloom.operators.order import numbered
 
@@ -52,6 +52,52 @@ def test_spanning_tree_is_one_edge_a_vector(spark, block, monkeypatch):
     assert labels == {r["entity_id"]: r["label"] for r in hierarchy.hdbscan(df, 0.5, metric="euclidean").collect()}
 
 
+def test_sweep_scores_groups(spark, golden):
+    """One tree for all settings gives what each setting gives alone; all seven groups are found."""
+    expected = spark.createDataFrame([(i, g) for g, ids in GROUPS.items() for i in ids] + [(4, "4"), (14, "14")], "entity_id long, group string")
+    radii = [0.01, 0.03, 0.5, 1.6]
+    got = {(r["method"], r["epsilon"]): r for r in variants.sweep(golden, radii, expected=expected).collect()}
+    assert len(got) == 8 and got["leaf", 0.03]["score"] == 7
+    for method, epsilon in got:
+        groups, noise = partition(hierarchy.hdbscan(golden, epsilon, metric="euclidean", method=method))
+        score = sum(sorted(ids) in groups for ids in GROUPS.values()) + sum(i in noise for i in (4, 14))
+        assert tuple(got[method, epsilon])[3:] == (len(groups), len(noise), score), (method, epsilon)
+
+
+def test_leaves_and_greatest_mass(spark):
+    """Two close pairs of pairs: leaves are four clusters, the greatest mass may be two."""
+    places = [0.0, 0.1, 0.3, 0.4, 9.0, 9.1, 9.3, 9.4]
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate(places)], "entity_id long, vector array<double>")
+    assert partition(hierarchy.hdbscan(df, 0.0, metric="euclidean", method="leaf"))[0] == [[0, 1], [2, 3], [4, 5], [6, 7]]
+    assert partition(hierarchy.hdbscan(df, 1.0, metric="euclidean", method="leaf"))[0] == [[0, 1, 2, 3], [4, 5, 6, 7]]
+
+
+def test_fused_and_grouped_pipelines(spark, golden):
+    """Items of one colour keep their groups; noise left over is one label each; key clusters aren't merged."""
+    plain = golden.selectExpr("entity_id", "vector", "array(0.5D, 1D) as color", "0D as asymmetry", "entity_id = 1 as is_key")
+    groups, noise = partition(variants.fused_pipeline(plain))
+    assert (groups, noise) == (sorted([*map(list, GROUPS.values()), [4], [14]]), set())
+    groups, noise = partition(variants.fused_pipeline(plain, near=1.5))
+    assert groups == [[1, 2, 3], [4, 14], [5, 6, 7, 8, 9, 10, 11, 12, 13]]
+    assert partition(variants.fused_pipeline(plain.where("entity_id <= 7"), near=0.01)) == ([[1, 2, 3], [5, 6, 7]], {4})
+    folded = plain.selectExpr("entity_id", "vector", "color", "is_key", "if(entity_id in (8, 9), 1D, 0D) as asymmetry")
+    assert partition(variants.grouped_pipeline(folded, k=1)) == (sorted(map(list, GROUPS.values())), {4, 14})
+    assert partition(variants.grouped_pipeline(folded, k=1, near=1.5))[0] == [[1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 13, 14], [8, 9]]
+    two = plain.selectExpr("entity_id", "vector", "array(if(entity_id < 8, 0D, 9D), 0D) as color", "asymmetry", "is_key")
+    assert partition(variants.grouped_pipeline(two, k=2)) == (sorted(map(list, GROUPS.values())), {4, 14})
+    empty = plain.where("false")
+    assert variants.fused_pipeline(empty).count() == variants.grouped_pipeline(empty).count() == variants.sweep(empty, [0.1]).count() == 0
+
+
+def test_group_folders(spark, golden, tmp_path):
+    labels = clustering.dbscan(golden, 0.085)
+    names = golden.selectExpr("entity_id", "concat(entity_id, '.png') as filename")
+    assert [tuple(r) for r in variants.group_folders(labels).orderBy("position").select("folder", "count").collect()][:3] == [("template_00", 3), ("template_01", 3), ("unique_or_noise", 2)]
+    variants.write_groups(labels, names, str(tmp_path / "groups"))
+    got = spark.read.parquet(str(tmp_path / "groups")).where("folder = 'unique_or_noise'").collect()
+    assert {r["filename"] for r in got} == {"4.png", "14.png"}
+
+
 def test_hierarchy_of_none_and_one(spark):
     one = spark.createDataFrame([(5, [1.0, 0.0])], "entity_id long, vector array<double>")
     assert [tuple(r) for r in hierarchy.hdbscan(one, 0.2).collect()] == [(5, -1)]
