@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from certloom.llm import byte_bpe, exact_dedup, mixing, near_dedup, nearest, packed_ids, pii, quality, toxicity, word_bpe
+from certloom.llm import byte_bpe, exact_dedup, fill_middle, mixing, near_dedup, nearest, packed_ids, pii, quality, repeats, toxicity, vector_codes, word_bpe
 from certloom.llm.common import read_table, tune
 
 WORD_BPE = "word_bpe_49k.json"
@@ -87,6 +87,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeated strings of 100 bytes cover."""
+    tune(spark)
+    left = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, in eight parts of sixteen entries."""
+    tune(spark)
+    found = vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_errors(found.rows)
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.codebooks_sha256()).alias("codebooks_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle at the end, and restored from that."""
+    tune(spark)
+    moved = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -99,10 +122,54 @@ def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packed_ids": op8_packed_ids,
         "op9_toxicity": op9_toxicity,
         "op10_pii": op10_pii,
+        "op11_repeats": op11_repeats,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of the vector codes as SQL: a pair of tables for each."""
+    near = """a{r} as (
+  select v.id, v.p, arg_min(b.j, (b.d, b.j)) as j, min(b.d) as d from v, lateral (
+    select b.j, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from b{r} b where b.p = v.p) b
+  group by v.id, v.p)"""
+    mean = """m{r} as (
+  select a.p, a.j, i, floor(sum(v.x[i]) / count(*))::bigint as x from a{r} a join v on v.id = a.id and v.p = a.p, generate_series(1, {width}) t(i) group by a.p, a.j, i),
+b{next} as (
+  select b.p, b.j, coalesce(m.x, b.x) as x from b{r} b left join (select p, j, list(x order by i) as x from m{r} group by p, j) m on m.p = b.p and m.j = b.j)"""
+    steps = ",\n".join(near.format(r=r) + ",\n" + mean.format(r=r, next=r + 1, width=64 // parts) for r in range(rounds))
+    return f"""
+with u as (
+  select vec_id as id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (select id, p, x[p * 8 + 1 : p * 8 + 8] as x from u, generate_series(0, {parts - 1}) t(p)),
+o as (select id, row_number() over (order by id) - 1 as j from u order by id limit {entries}),
+b0 as (select v.p, o.j, v.x from v join o using (id)),
+{steps},
+{near.format(r=rounds)},
+c as (select string_agg(b.x[i]::varchar, ',' order by p, j, i) as codebooks from b{rounds} b, generate_series(1, {64 // parts}) t(i)),
+e as (select a.id, any_value(u.label) as label, string_agg(printf('%02x', a.j), '' order by a.p) as code, sum(a.d)::bigint as error from a{rounds} a join u on u.id = a.id group by a.id)
+select id as vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha256(codebooks) as codebooks_sha256 from e, c"""
+
+
 SQL = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_fill_middle": """
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || doc_id) as h from documents),
+n as (
+  select doc_id, text, u, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from n),
+c as (
+  select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from c""",
     "op1_mixing": """
 with recursive n as (select source, cast(count(*) as double) as mass from documents group by source),
 s as (select source, mass, sqrt(mass) as share from n),
