@@ -49,9 +49,9 @@ LEVELS = (9, 1)
 #: Different contexts of a bucket up to which it goes to a block as it is.
 CROWD = 64
 #: Bytes of contexts in an index, and in a task that makes one index after the other.
-BLOCK_BYTES, TASK_BYTES = 1_000_000, 8_000_000
+BLOCK_BYTES, TASK_BYTES = 250_000, 8_000_000
 #: Bytes of a document of which anchors are found at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 #: Rows up to which spans or groups are sent to every task (about 10 MB).
 BROADCAST_ROWS = 300_000
 #: Groups of more than this share of the rows meet them by broadcast.
@@ -153,26 +153,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def ranks(symbols: np.ndarray, most: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """Ranks of the suffixes by their first 4, 8, ... symbols (by width), and the suffix
-    array. ``most``: symbols within which all suffixes differ."""
-    n, bits = len(symbols), int(symbols.max()).bit_length()
-    width = 4 if 4 * bits <= 63 else 2
-    key = np.zeros(n, dtype=np.int64)
-    for i in range(width):
-        key <<= bits
-        key[: n - i] |= symbols[i:]
-    by_width = {}
+    """Ranks of the suffixes by their first 2, 4, 8, ... symbols (by width), and the
+    suffix array. ``most``: symbols within which all suffixes differ.
+
+    A rank is the place of the first suffix with the same symbols. Only suffixes that
+    still share theirs are sorted again, as numbers of two ranks and a place.
+    """
+    n = len(symbols)
+    bits = max(n, int(symbols.max()) + 1).bit_length()
+    low = np.int64((1 << bits) - 1)
+    rank, by_width, width = symbols, {}, 1
+    order, slots = np.arange(n), np.arange(n)
+    todo = order
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, dtype=np.int64)
-        ordered = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        after = np.zeros(len(todo), dtype=np.int64)
+        inside = todo + width < n
+        after[inside] = rank[todo[inside] + width] + 1
+        key = np.sort((((rank[todo] << bits) | after) << bits) | todo)
+        places, pair = key & low, key >> bits
+        order[slots] = places
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = pair[1:] != pair[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(pair))
+        rank = rank.copy()
+        rank[places] = np.repeat(slots[first], size)
+        width *= 2
         by_width[width] = rank
-        if width >= most or rank[order[-1]] == n - 1:
+        shared = np.repeat(size > 1, size)
+        if width >= most or not shared.any():
             return by_width, order
-        key = rank * n
-        key[: n - width] += rank[width:]
-        width *= 2
+        todo, slots = places[shared], slots[shared]
 
 
 def common_prefix(symbols: np.ndarray, by_width: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -369,8 +380,13 @@ def found_spans(tables: Tables, docs: DataFrame) -> DataFrame:
     """(rid, start, end) of the stretches of ``docs`` (rid, text) that repeats cover."""
     rows, spans = tables.keep("rows0", occurrences(docs)), []
     for level, windows in enumerate([*LEVELS, None]):
+        # most anchors are alone in the corpus; what follows is about the rest
+        again = F.max(F.col("last") > F.col("end")).alias("again")
+        keys = tables.keep(f"keys{level}", rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), again).where("n > 1 or again").select("key", "n"))
+        rows = tables.keep(f"shared{level}", met(rows, keys, ["key"], "n").drop("n"))
+        tables.drop(f"rows{level}", f"keys{level}")
         first = F.min(F.struct("rid", "start", "end", "at"))
-        counted = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.max(F.col("last") > F.col("end")).alias("again"))
+        counted = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("first"), again)
         groups = tables.keep(f"groups{level}", counted)
         # equal contexts: all but the first are repeats from end to end
         copied = groups.where("n > 1 or again").select("key", "ctx", "n", F.col("first.rid").alias("_rid"), F.col("first.start").alias("_start"))
@@ -381,7 +397,7 @@ def found_spans(tables: Tables, docs: DataFrame) -> DataFrame:
         # different contexts of one anchor: the first of each goes on
         crowds = tables.keep(f"crowds{level}", groups.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1"))
         mixed = tables.keep(f"mixed{level}", met(groups.select("key", "first"), crowds, ["key"], "different").select("key", "different", "first.*"))
-        tables.drop(f"rows{level}", f"groups{level}", f"copied{level}")
+        tables.drop(f"shared{level}", f"groups{level}", f"copied{level}", f"crowds{level}")
         small = mixed.where(F.col("different") <= CROWD)
         size = small.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
         if size:
@@ -392,6 +408,7 @@ def found_spans(tables: Tables, docs: DataFrame) -> DataFrame:
         if windows is None or large.isEmpty():
             break
         rows = tables.keep(f"rows{level + 1}", pieces(with_bytes(docs, large), windows))
+        tables.drop(f"mixed{level}")
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
