@@ -335,21 +335,21 @@ def by_document(docs: DataFrame, rows: DataFrame, columns: list[str], how: str =
 
 
 def with_bytes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (key, rid, start, end, at) with their bytes as ``context``."""
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("context", pa.binary())])
+    """``rows`` (key, rid, start, end, at, different) with their bytes as ``context``."""
+    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("different", pa.int64()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = memoryview(batch.column(1)[i].as_buffer())
                 own = batch.column(2)[i].values
-                key, start, end, at = (own.field(c) for c in ("key", "start", "end", "at"))
+                key, start, end, at, different = (own.field(c) for c in ("key", "start", "end", "at", "different"))
                 contexts = [text[a:b].tobytes() for a, b in zip(start.to_pylist(), end.to_pylist())]
-                yield pa.RecordBatch.from_arrays([key, pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()), start, end, at, pa.array(contexts, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([key, pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()), start, end, at, different, pa.array(contexts, pa.binary())], schema=schema)
         pa.default_memory_pool().release_unused()
 
-    asked = by_document(docs.select("rid", F.col("text").cast("binary").alias("text")), rows, ["key", "start", "end", "at"])
-    return asked.select("rid", "text", "rows").mapInArrow(run, "key long, rid long, start int, end int, at int, context binary")
+    asked = by_document(docs.select("rid", F.col("text").cast("binary").alias("text")), rows, ["key", "start", "end", "at", "different"])
+    return asked.select("rid", "text", "rows").mapInArrow(run, "key long, rid long, start int, end int, at int, different long, context binary")
 
 
 def pieces(contexts: DataFrame, windows: int) -> DataFrame:
@@ -378,7 +378,7 @@ def pieces(contexts: DataFrame, windows: int) -> DataFrame:
 
 def found_spans(tables: Tables, docs: DataFrame) -> DataFrame:
     """(rid, start, end) of the stretches of ``docs`` (rid, text) that repeats cover."""
-    rows, spans = tables.keep("rows0", occurrences(docs)), []
+    rows, spans, whole = tables.keep("rows0", occurrences(docs)), [], None
     for level, windows in enumerate([*LEVELS, None]):
         # most anchors are alone in the corpus; what follows is about the rest
         again = F.max(F.col("last") > F.col("end")).alias("again")
@@ -398,17 +398,21 @@ def found_spans(tables: Tables, docs: DataFrame) -> DataFrame:
         crowds = tables.keep(f"crowds{level}", groups.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1"))
         mixed = tables.keep(f"mixed{level}", met(groups.select("key", "first"), crowds, ["key"], "different").select("key", "different", "first.*"))
         tables.drop(f"shared{level}", f"groups{level}", f"copied{level}", f"crowds{level}")
-        small = mixed.where(F.col("different") <= CROWD)
+        if mixed.isEmpty():
+            break
+        # their bytes, from the texts or from the contexts that they are pieces of
+        held = with_bytes(docs, mixed) if level == 0 else mixed.join(whole, ["rid", "at"]).withColumn("context", F.substring("whole", F.col("start") - F.col("_start") + 1, F.col("end") - F.col("start")))
+        held = tables.keep(f"contexts{level}", held.select("key", "rid", "start", "end", "at", "different", "context"))
+        tables.drop(f"mixed{level}")
+        small, large = held.where(F.col("different") <= CROWD), held.where(F.col("different") > CROWD)
         size = small.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
         if size:
-            contexts = tables.keep("contexts", with_bytes(docs, small))
-            spans.append(tables.keep(f"indexed{level}", indexed(contexts, max(1, math.ceil(size / TASK_BYTES), _least_tasks(docs, size)))))
-            tables.drop("contexts")
-        large = mixed.where(F.col("different") > CROWD)
+            spans.append(tables.keep(f"indexed{level}", indexed(small, max(1, math.ceil(size / TASK_BYTES), _least_tasks(docs, size)))))
         if windows is None or large.isEmpty():
             break
-        rows = tables.keep(f"rows{level + 1}", pieces(with_bytes(docs, large), windows))
-        tables.drop(f"mixed{level}")
+        if level == 0:
+            whole = large.select("rid", "at", F.col("start").alias("_start"), F.col("context").alias("whole"))
+        rows = tables.keep(f"rows{level + 1}", pieces(large, windows))
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
