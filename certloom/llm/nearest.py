@@ -9,7 +9,8 @@ centroids of what is left after the coarse ones, so that lists stay of bounded s
 A task holds one block and one batch of queries at a time and reads a few columns of the
 rotated vectors after the other: the partial distance over the columns read, scaled up,
 is held against the distance to beat by a hypothesis test, and candidates that are surely
-too far are abandoned. Survivors get the exact inner product of the original vectors.
+too far are abandoned. Survivors get the exact inner product of the original vectors,
+summed in one order, so that equal vectors tie and batches don't matter.
 
 The distance to beat is first that of the k-th best of the sample in the lists probed,
 then that of the k-th best of the nearest list, and falls while a block is read. How many
@@ -43,6 +44,8 @@ BLOCK, BATCH = 2_048, 512
 STEP = 512
 #: Columns that are read between two tests, and how surely a candidate is too far.
 COLUMNS, EPSILON = 16, 2.5
+#: Queries times lists that are put in order at once.
+TILE = 2_000_000
 #: Share of live candidates below which a tile is read pair by pair.
 SPARSE = 0.2
 RECALL = 0.985
@@ -105,12 +108,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL, per_list: int = LIST) -> tuple[Index, int] | None:
-    """The index of usable ``vectors`` (id, v), and how many there are; None without any."""
-    totals = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("bound")).first()
-    if not totals["n"]:
+    """The index of the usable ``vectors`` (id, v) of the most frequent length, and how
+    many these are; None without any."""
+    lengths = vectors.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("bound"))
+    totals = lengths.orderBy(F.desc("n"), "dim").first()
+    if totals is None:
         return None
-    rows = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    rows = [r for r in rows if len(r["v"]) == len(rows[0]["v"])]
+    rows = vectors.where(F.size("v") == totals["dim"]).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     x, ids = np.array([r["v"] for r in rows], dtype=np.float64), np.array([r["id"] for r in rows])
     dim = x.shape[1] + 1
     rotation = np.linalg.qr(np.random.default_rng(3).standard_normal((dim, dim)))[0]
@@ -152,21 +156,38 @@ def scan_block(q: np.ndarray, query_ids: np.ndarray, least: np.ndarray, x: np.nd
         i, j = survivors(rq, rx[at : at + STEP], beat, dim) if test else (a.ravel() for a in np.indices((len(q), len(rows))))
         apart = names[j] != query_ids[i]
         i, j = i[apart], j[apart]
-        if len(i) * 4 > len(q) * len(rows):
-            score = (q @ rows.T)[i, j]
-        else:
-            score = np.einsum("ij,ij->i", q[i], rows[j])
-        useful = score >= least[i] - 1e-9 * (1 + np.abs(least[i]))
-        best = tuple(np.concatenate([a, b]) for a, b in zip(best, (i[useful], names[j[useful]], score[useful])))
-        order = np.lexsort((best[1], -best[2], best[0]))
-        place = np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order])
-        order = order[place < k]
+        # a quick score says which may be among the best; these get the exact one
+        rough = (q @ rows.T)[i, j] if len(i) * 4 > len(q) * len(rows) else np.einsum("ij,ij->i", q[i], rows[j])
+        order, place = places(np.concatenate([best[0], i]), np.concatenate([best[2], rough]))
+        kth = least.copy()
+        last = order[place == k - 1]
+        kth[np.concatenate([best[0], i])[last]] = np.maximum(kth[np.concatenate([best[0], i])[last]], np.concatenate([best[2], rough])[last])
+        useful = rough >= kth[i] - 1e-9 * (1 + np.abs(kth[i]))
+        i, j = i[useful], j[useful]
+        best = tuple(np.concatenate([a, b]) for a, b in zip(best, (i, names[j], inner_products(q[i], rows[j]))))
+        order, place = places(best[0], best[2], best[1])
+        order, place = order[place < k], place[place < k]
         best = tuple(a[order] for a in best)
-        last = place[place < k] == k - 1
+        last = place == k - 1
         least[best[0][last]] = np.maximum(least[best[0][last]], best[2][last])
     return query_ids[best[0]], best[1], best[2]
 
 
+def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with that of y, component by component in their order: equal
+    vectors have equal scores, whatever else a task holds."""
+    total = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        total += x[:, c] * y[:, c]
+    return total
+
+
+def places(query: np.ndarray, score: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by query, falling score and ties, and each one's place in its query."""
+    order = np.lexsort((*ties, -score, query))
+    return order, np.arange(len(order)) - np.searchsorted(query[order], query[order])
+
+
 def survivors(rq: np.ndarray, rx: np.ndarray, beat: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the queries and candidates that no test has abandoned.
 
@@ -203,7 +224,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     Returns query_id, rank (from 1), vec_id and score. A query is no candidate of its
     own. Null, zero and non-finite vectors take no part, nor do rows with a null id or
-    of another length than the first of the sample; ties go to the smaller id; of rows
+    of another length than the most frequent one; ties go to the smaller id; of rows
     that repeat an id the best counts. Other columns are ignored. Without usable rows
     the result is empty.
     """
@@ -236,9 +257,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = max(1, TILE // index.n_lists)
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             ids = batch.column(0).to_numpy()
             q = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float64).reshape(-1, dim)
             order = index.order(q)

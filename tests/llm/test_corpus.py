@@ -549,3 +549,37 @@ def test_pipeline_stages_keep_columns(spark, docs):
     enc = byte_bpe.encoding(BYTES, public_tokenizers.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert all(r["n_tokens"] == len(enc.encode_ordinary(texts[r["doc_id"]])) for r in last.collect())
+
+
+def plain_product(x, y):
+    total = 0.0
+    for a, b in zip(x, y):
+        total += a * b
+    return total
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    """Copies of a query's nearest vector, in several blocks: those of the smallest ids
+    are found, and the batches of queries change no score."""
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((6000, 24)).astype(np.float32).astype(np.float64)
+    near = np.argsort(-(x[::600] @ x.T), axis=1)[:, 1]
+    for q, j in zip(range(0, 6000, 600), near):
+        copies = rng.choice(np.setdiff1d(np.arange(6000), np.arange(0, 6000, 600)), 40, replace=False)
+        x[copies] = x[j] * 3
+    ids = np.arange(6000)
+    none = np.zeros((1, 25))
+    index = nearest.Index(np.linalg.qr(rng.standard_normal((25, 25)))[0], float((x * x).sum(axis=1).max()), none, none, 1, x[:1], np.zeros(1), np.zeros(1, dtype=np.int64))
+    queries_at = np.arange(0, 6000, 600)
+
+    def best(at, block):
+        found = [nearest.scan_block(x[at], at, np.full(len(at), nearest.NOTHING), x[b : b + block], ids[b : b + block], index, 20) for b in range(0, 6000, block)]
+        rows = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found))), key=lambda r: (r[0], -r[2], r[1]))
+        return {int(q): [(c, s) for o, c, s in rows if o == q][:20] for q in at}
+
+    whole = best(queries_at, 2048)
+    for q in queries_at:
+        exact = [(int(j), plain_product(x[q].tolist(), x[j].tolist())) for j in ids if j != q]
+        want = sorted(exact, key=lambda r: (-r[1], r[0]))[:20]
+        assert whole[int(q)] == want
+        assert best(np.array([q]), 512)[int(q)] == want
