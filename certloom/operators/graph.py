@@ -54,6 +54,12 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def in_tiles(edges: DataFrame, tiles: int) -> DataFrame:
+    """The edges in so many tiles of about equal size: they are dealt anew, as joining
+    partitions would leave a large one as it is."""
+    return edges.coalesce(1) if tiles == 1 else edges.repartition(tiles)
+
+
 def components(edges: DataFrame, tile: int = TILE) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node reachable.
 
@@ -66,7 +72,7 @@ def components(edges: DataFrame, tile: int = TILE) -> DataFrame:
     while True:
         n = edges.count()
         tiles = max(1, math.ceil(n / tile))
-        small = _contracted(edges.coalesce(tiles))
+        small = _contracted(in_tiles(edges, tiles))
         if tiles == 1:
             break
         hung = tables.keep("hung", small.distinct())

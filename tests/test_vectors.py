@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from certloom.operators import clustering, hierarchy, pairs, search, stages, variants
-from certloom.operators.graph import components
+from certloom.operators.graph import components, in_tiles
 from certloom.operators.order import numbered
 
 GROUPS = {"A": (1, 2, 3), "B": (5, 6, 7), "C": (8, 9), "D": (10, 11), "E": (12, 13)}
@@ -196,3 +198,10 @@ def test_components_in_one_tile_and_in_many(spark):
     for tile in (200_000, 40):
         assert {tuple(r) for r in components(df, tile).collect()} == want
     assert components(df.where("false")).count() == 0
+
+
+def test_tiles_are_bounded(spark):
+    """Also if all edges are in one partition, which joining partitions can't split."""
+    edges = spark.range(10_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).coalesce(1)
+    sizes = [r["n"] for r in in_tiles(edges, 25).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 25 and max(sizes) <= 2 * 10_000 // 25
