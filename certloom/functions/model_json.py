@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from certloom.config import SETTINGS
-from certloom.functions.fields import regex_fields
+from certloom.functions.fields import bound, regex_fields
 
 # The risk of each verdict on authenticity.
 AUTHENTIC = "真实"
 VERDICTS = {"真实": "低", "疑似修改": "中", "高度疑似PS": "高", "几乎确定伪造": "高"}
-#: Places of the text in a response, in order.
+# Places of the text in a response, in order.
 ENVELOPES = ("$.choices[0].message.content", "$.data.content", "$.data.text", "$.data.result", "$.data.output", "$.content", "$.text", "$.result", "$.output")
 
 
@@ -49,11 +49,13 @@ def string_list(json: Column, key: str) -> Column:
     items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
 
     def text(x: Column) -> Column:
-        return F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+        """As text; true is spelled True."""
+        spelled = F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+        return F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(spelled)).otherwise(spelled)
 
     def given(x: Column) -> Column:
-        is_text = F.schema_of_variant(x) == "STRING"
-        return F.coalesce(F.when(is_text, text(x) != "").otherwise(~text(x).isin("0", "0.0", "false", "[]", "{}", "null")), F.lit(False))
+        is_text, number = F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "double")
+        return F.coalesce(F.when(is_text, text(x) != "").otherwise(~text(x).isin("False", "[]", "{}", "null") & ((F.schema_of_variant(x) == "BOOLEAN") | number.isNull() | (number != 0))), F.lit(False))
 
     return F.when(kind.startswith("ARRAY"), F.transform(F.filter(items, given), text)).when((kind == "STRING") & (text(value) != ""), F.array(text(value))).otherwise(none)
 
@@ -97,13 +99,17 @@ def assessment(json: Column, prefix: str = "ps_") -> dict[str, Column]:
 def readable_json(json: Column) -> Column:
     """A JSON object whose scores, where given, are numbers."""
     scores = [json_value(json, f"ps_{k}") for k in ("tampering_probability", "confidence")]
-    fine = [s.isNull() | s.try_cast("double").isNotNull() for s in scores]
+    fine = [bound(s, lambda v: v.isNull() | v.try_cast("double").isNotNull()) for s in scores]
     return is_object(json) & fine[0] & fine[1]
 
 
-def parsed_fields(text: Column) -> dict[str, Column]:
-    """The 14 fields: from JSON if the text is a readable object, else by patterns."""
-    json = unfenced(text)
-    structured = readable_json(json)
-    by_pattern = regex_fields(text)
-    return {name: F.when(structured, clean(json_value(json, name))).otherwise(by_pattern[name]) for name in SETTINGS.fields}
+def parsed_fields(text: Column) -> Column:
+    """A struct of the 14 fields: from JSON if the text is a readable object, else by
+    patterns. The JSON is looked for once, and only where an object may begin."""
+    by_pattern = F.struct(*[c.alias(name) for name, c in sorted(regex_fields(text).items())])
+
+    def from_json(json: Column) -> Column:
+        values = {name: bound(json_value(json, name), clean).alias(name) for name in SETTINGS.fields}
+        return F.when(readable_json(json), F.struct(*[values[name] for name in sorted(values)]))
+
+    return F.coalesce(F.when(F.contains(text, F.lit("{")), bound(unfenced(text), from_json)), by_pattern)

@@ -14,7 +14,7 @@ _ONES = "一二三四五六七八九"
 def cn_year(text: Column) -> Column:
     """Four digits of a year in Chinese or Arabic digits, other characters left out."""
     year = F.regexp_replace(F.translate(text, CN_DIGITS, DIGITS), "[^0-9]", "")
-    return F.when(F.length(year) == 4, year)
+    return F.try_element_at(F.filter(F.array(year), lambda y: F.length(y) == 4), F.lit(1))
 
 
 def _position(c: Column) -> Column:
@@ -48,7 +48,15 @@ DATE = f"([{CN}]{{4}})年({_PART})月({_PART})[日号]"
 
 
 def cn_date(text: Column) -> Column:
-    """YYYY-MM-DD of the first date in Chinese numerals with a day, or null."""
-    year = cn_year(F.regexp_extract(text, DATE, 1))
-    month, day = cn_number(F.regexp_extract(text, DATE, 2)), cn_number(F.regexp_extract(text, DATE, 3))
-    return F.when(year.isNotNull() & (month > 0) & (day > 0), F.format_string("%s-%02d-%02d", year, month, day))
+    """YYYY-MM-DD of the first date in Chinese numerals with a day, or null.
+
+    The text is searched once; the parts are read from what is found.
+    """
+
+    def read(found: Column) -> Column:
+        year = cn_year(F.substring(found, 1, 4))
+        month, day = cn_number(F.regexp_extract(found, DATE, 2)), cn_number(F.regexp_extract(found, DATE, 3))
+        parts = F.filter(F.array(F.struct(year.alias("y"), month.alias("m"), day.alias("d"))), lambda p: p["y"].isNotNull() & (p["m"] > 0) & (p["d"] > 0))
+        return F.try_element_at(F.transform(parts, lambda p: F.format_string("%s-%02d-%02d", p["y"], p["m"], p["d"])), F.lit(1))
+
+    return F.element_at(F.transform(F.array(F.regexp_extract(text, DATE, 0)), lambda v: F.when(v != "", read(v))), 1)

@@ -3,10 +3,18 @@
 With min_samples 1 mutual reachability is the distance itself, so that the hierarchy is
 that of single linkage and needs only a minimum spanning tree. Each pair of blocks gives
 the spanning tree of its own distances: by the cycle property the whole tree is among
-those edges. Trees of neighbouring pairs are merged in rounds, each of which leaves half
-of the edges, until one tree of an edge less than there are vectors is left: a task of
-the last round meets at most two edges for each vector. The hierarchy is built from that
-tree, sorted, in one task: that step is sequential.
+those edges. Trees of neighbouring pairs are merged while a task meets at most MERGED
+vectors; beyond that rounds of shortest edges out of each component finish the tree.
+
+The hierarchy grows from below, by subtrees. Edges up to a distance, chosen so that the
+components they make fit a task, are condensed component by component, each task holding
+those of its partition. A component goes up as one node: its size, and of the cluster
+that is still open in it the sums that its mass will follow from. Clusters that end leave
+as rows, points leave with the cluster that they fall out of. If one distance alone makes
+a component that no task can hold, its nodes meet at one split, which is a grouping. What
+is selected follows from the clusters' table, by pointer jumping if it has more than TASK
+rows. A task never holds more than about TASK edges or clusters, and nothing but quantiles and counts goes through the driver; a
+tree that adds point by point to one component takes a round for TASK of them.
 
 Clusters are those of greatest excess of mass (Campello et al., 2013) or the leaves; one that is born
 below ``epsilon`` gives way to its first ancestor born above it (Malzer and Baum, 2020).
@@ -17,15 +25,26 @@ depend on an order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from certloom.operators.graph import components
 from certloom.operators.lineage import Tables, cut
-from certloom.operators.pairs import METRICS, _matrix, block_pairs
+from certloom.operators.order import numbered
+from certloom.operators.pairs import BLOCK, METRICS, _matrix, block_pairs
 
+#: Vectors of which a task merges trees, and edges that a task condenses.
+MERGED, TASK = 65_536, 200_000
+#: What 1 / distance is cut at.
+LARGEST = 1e12
 EDGES = "p long, q long, a long, b long, distance double"
 
 
@@ -104,137 +123,344 @@ def merged(edges: DataFrame) -> DataFrame:
     return halved.groupBy("p", "q").applyInPandas(run, EDGES)
 
 
+def least_edges(edges: DataFrame) -> DataFrame:
+    """(a, b, distance) of a minimum spanning forest over any edges, in rounds.
+
+    Each component picks its shortest edge outward (ties by ids), picked edges join
+    components, and of the edges between two components the shortest goes on.
+    """
+    tables, tree, number = Tables(edges.sparkSession), None, 0
+    edge = F.struct("distance", "a", "b")
+    left = tables.keep("left", edges.select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e")))
+    while not left.isEmpty():
+        both = left.union(left.select("y", "x", "e"))
+        picked = cut(both.groupBy("x").agg(F.min("e").alias("e")).select("e").distinct().join(left, "e").select("x", "y", "e"))
+        rows = picked.select("e.a", "e.b", "e.distance")
+        tree = rows if tree is None else tree.unionByName(rows)
+        labels = tables.keep(f"labels{number}", components(picked.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        for side in ("x", "y"):
+            left = left.join(labels.select(F.col("node").alias(side), F.col("label").alias("_to")), side).withColumn(side, F.col("_to")).drop("_to")
+        across = left.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e"))
+        left = tables.keep("left", across)
+        tables.drop(f"labels{number}")
+        number += 1
+    found = edges.sparkSession.createDataFrame([], "a long, b long, distance double") if tree is None else cut(tree)
+    tables.drop_all()
+    return found
+
+
 def spanning_tree(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
     """(a, b, distance) of a minimum spanning tree: an edge less than there are ids."""
     tables = Tables(vectors.sparkSession)
     edges = tables.keep("edges", candidate_edges(vectors.select("entity_id", "vector"), metric))
-    last = edges.agg(F.max("q")).first()[0] or 0
-    while last > 0:
-        edges, last = tables.keep("edges", merged(edges)), last >> 1
-    tree = cut(edges.select("a", "b", "distance"))
+    last, vectors_each = edges.agg(F.max("q")).first()[0] or 0, 2 * BLOCK
+    while last > 0 and 2 * vectors_each <= MERGED:
+        edges, last, vectors_each = tables.keep("edges", merged(edges)), last >> 1, 2 * vectors_each
+    tree = cut(edges.select("a", "b", "distance") if last == 0 else least_edges(edges.select("a", "b", "distance")))
     tables.drop_all()
     return tree
 
 
-def condensed(n: int, edges: list[tuple[int, int, float]], least: int) -> tuple[list[tuple[int, int, float, int]], int]:
-    """(parent, child, lambda, size) of the condensed tree; points below n, root n."""
-    sets, node, size = Sets(2 * n), list(range(2 * n)), [1] * n + [0] * n
-    left, right, height = [0] * (2 * n), [0] * (2 * n), [0.0] * (2 * n)
-    top = n
-    for a, b, d in edges:
-        ra, rb = sets.find(a), sets.find(b)
-        left[top], right[top], height[top], size[top] = node[ra], node[rb], d, size[node[ra]] + size[node[rb]]
-        sets.up[ra] = rb
-        node[rb] = top
-        top += 1
-    root, rows, fresh = top - 1, [], n + 1
-
-    def points(x: int) -> list[int]:
-        out, todo = [], [x]
-        while todo:
-            y = todo.pop()
-            if y < n:
-                out.append(y)
-            else:
-                todo += [left[y], right[y]]
-        return out
+# the hierarchy
+
+
+@dataclass
+class Node:
+    """A part of the hierarchy that is still to be joined: ``members`` while it is smaller
+    than a cluster, else the open ``cluster`` with what its mass follows from."""
+
+    size: int
+    first: int
+    members: list[int]
+    cluster: str | None = None
+    weight: float = 0.0  # sum of 1 / distance over the points that have left
+    below: float = 0.0  # mass of the best selection among the clusters below
+    parted: bool = False  # there are clusters below
 
-    todo = [(root, n)]
-    while todo:
-        x, label = todo.pop()
-        if x < n:
-            continue
-        lam = 1 / height[x] if height[x] > 0 else np.inf
-        kids, merged = [], [left[x], right[x]]
-        while merged:
-            k = merged.pop()
-            if k >= n and height[k] == height[x]:  # merged at one distance: one split
-                merged += [left[k], right[k]]
-            else:
-                kids.append(k)
-        big = [k for k in kids if size[k] >= least]
-        rows += [(label, p, lam, 1) for k in kids if size[k] < least for p in points(k)]
-        if len(big) == 1:
-            todo.append((big[0], label))
-            continue
+
+def inverse(distance: float) -> float:
+    return min(1 / distance, LARGEST) if distance > 0 else LARGEST
+
+
+def joined(kids: list[Node], distance: float, least: int, closed: list[tuple], left: list[tuple]) -> Node:
+    """The node that ``kids`` make at a distance; ended clusters go to ``closed`` as
+    (cluster, parent, birth, parted, greatest), points to ``left`` as (id, cluster)."""
+    lam, size, first = inverse(distance), sum(k.size for k in kids), min(k.first for k in kids)
+    big, small = [k for k in kids if k.cluster], [p for k in kids for p in k.members]
+    if not big and size < least:
+        return Node(size, first, small)
+    if len(big) == 1:
+        out = replace(big[0], size=size, first=first, weight=big[0].weight + lam * len(small))
+    else:
+        out = Node(size, first, [], f"{first}:{size}", lam * size, 0.0, bool(big))
         for k in big:
-            rows.append((label, fresh, lam, size[k]))
-            todo.append((k, fresh))
-            fresh += 1
-    return rows, fresh
+            mass = k.weight - lam * k.size
+            greatest = not k.parted or mass >= k.below
+            closed.append((k.cluster, out.cluster, distance, k.parted, greatest))
+            out.below += mass if greatest else k.below
+    left += [(p, out.cluster) for p in small]
+    return out
+
+
+def grown(nodes: dict[int, Node], a: list[int], b: list[int], distance: list[float], least: int) -> tuple[dict[int, Node], list[tuple], list[tuple]]:
+    """(roots, closed, left) after all edges between nodes, which are in rising order;
+    edges of one distance make one split."""
+    up, closed, left = {x: x for x in nodes}, [], []
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    at = 0
+    while at < len(a):
+        end, parts = at, {}
+        while end < len(a) and distance[end] == distance[at]:
+            x, y = find(a[end]), find(b[end])
+            if x != y:
+                up[y] = x
+                parts[x] = parts.pop(x, [x]) + parts.pop(y, [y])
+            end += 1
+        for root, kids in parts.items():
+            nodes[root] = joined([nodes.pop(k) for k in kids], distance[at], least, closed, left)
+        at = end
+    return nodes, closed, left
+
 
+CLOSED = "cluster string, parent string, birth double, parted boolean, greatest boolean"
+#: Nodes and edges of a step, and what it makes: nodes, ended clusters and points that leave.
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType())}
+_COLUMNS = "kind string, component long, a long, b long, distance double, node long, size long, first long, members longs, cluster string, weight double, below double, parted boolean, entity_id long, parent string, birth double, greatest boolean"
+_STEP = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in _COLUMNS.split(", "))])
 
-def select(n: int, rows: list[tuple[int, int, float, int]], fresh: int, epsilon: float, method: str = "eom") -> dict[int, int]:
-    """The cluster of each point that has one, as a label of the condensed tree.
 
-    ``method``: "eom", greatest excess of mass, or "leaf", clusters without clusters below.
+def _filled(df: DataFrame) -> DataFrame:
+    """With all columns of a step, null where ``df`` has none."""
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in _STEP])
+
+
+def condensed_step(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None, least: int, tasks: int) -> DataFrame:
+    """Rows of three kinds (node, closed, left) of the components that edges make.
+
+    ``labels``: the component of each node; without them all fit one task.
     """
-    birth, parent, kids, mass = {n: 0.0}, {}, {}, {}
-    for p, c, lam, _ in rows:
-        if c >= n:
-            birth[c], parent[c] = lam, p
-            kids.setdefault(p, []).append(c)
-    for p, _, lam, size in rows:
-        finite = min(lam, 1e12)
-        mass[p] = mass.get(p, 0.0) + (finite - min(birth[p], 1e12)) * size
-    chosen = {}
-    for c in range(fresh - 1, n, -1):
-        below = sum(mass.get(k, 0.0) for k in kids.get(c, []))
-        chosen[c] = not kids.get(c) or method == "eom" and mass.get(c, 0.0) >= below
-        if not chosen[c]:
-            mass[c] = below
-    clusters, todo = [], list(kids.get(n, []))
-    while todo:
-        c = todo.pop()
-        if chosen[c]:
-            clusters.append(c)
+    if labels is not None:
+        named = labels.select("node", F.col("label").alias("component"))
+        nodes, edges = nodes.join(named, "node"), edges.join(named.withColumnRenamed("node", "a"), "a")
+    of_nodes, of_edges = nodes.withColumn("kind", F.lit("node")), edges.withColumn("kind", F.lit("edge"))
+    arrow = to_arrow_schema(_STEP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        start = {r["node"]: Node(r["size"], r["first"], r["members"], r["cluster"], r["weight"], r["below"], r["parted"]) for r in rows if r["kind"] == "node"}
+        a, b, distance = zip(*sorted(((r["a"], r["b"], r["distance"]) for r in rows if r["kind"] == "edge"), key=lambda e: (e[2], e[0], e[1]))) if len(rows) > len(start) else ([], [], [])
+        del rows
+        roots, closed, left = grown(start, a, b, distance, least)
+        out = [{"kind": "node", "node": n.first, **vars(n)} for n in roots.values()]
+        out += [dict(zip(("kind", "cluster", "parent", "birth", "parted", "greatest"), ("closed", *c))) for c in closed]
+        out += [{"kind": "left", "entity_id": p, "cluster": c} for p, c in left]
+        for at in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=arrow)
+
+    rows = _filled(of_nodes).unionByName(_filled(of_edges))
+    return (rows.coalesce(1) if labels is None else rows.repartition(tasks, "component")).mapInArrow(run, _STEP)
+
+
+def flat_step(nodes: DataFrame, labels: DataFrame, distance: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As a step whose edges have all one distance, by grouping: (nodes, closed, left)."""
+    lam = inverse(distance)
+    met = nodes.join(labels.select("node", F.col("label").alias("component")), "node")
+    big, small = F.col("cluster").isNotNull(), F.when(F.col("cluster").isNull(), F.col("size")).otherwise(0)
+    mass = F.col("weight") - lam * F.col("size")
+    best = F.when(~F.col("parted") | (mass >= F.col("below")), mass).otherwise(F.col("below"))
+    whole = met.groupBy("component").agg(
+        F.sum("size").alias("size"), F.min("first").alias("first"), F.count_if(big).alias("n_big"), F.max("cluster").alias("only"), F.sum("weight").alias("weight"), F.sum(F.when(big, best)).alias("best"),
+        F.sum("below").alias("below"), F.sum(small).alias("n_small"), F.bool_or("parted").alias("was_parted"),
+    )
+    keeps, none = F.col("n_big") == 1, (F.col("n_big") == 0) & (F.col("size") < least)
+    name = F.when(none, None).when(keeps, F.col("only")).otherwise(F.concat_ws(":", F.col("first").cast("string"), F.col("size").cast("string")))
+    facts = whole.select(
+        "component", "size", "first", name.alias("cluster"), F.when(none, 0.0).when(keeps, F.col("weight") + lam * F.col("n_small")).otherwise(lam * F.col("size")).alias("weight"),
+        F.when(keeps, F.col("below")).otherwise(F.coalesce("best", F.lit(0.0))).alias("below"), F.when(keeps, F.col("was_parted")).otherwise(F.col("n_big") > 1).alias("parted"), keeps.alias("keeps"), none.alias("none"),
+    )
+    # members are gathered only where all of them are fewer than a cluster has
+    few = met.join(facts.where("none").select("component"), "component").groupBy("component").agg(F.flatten(F.collect_list("members")).alias("members"))
+    after = facts.join(few, "component", "left").select(F.col("first").alias("node"), "size", "first", F.coalesce("members", F.array().cast("array<long>")).alias("members"), "cluster", "weight", "below", "parted")
+    ends = met.where(big).join(facts.where("not keeps and not none").select("component", F.col("cluster").alias("parent")), "component")
+    closed = ends.select("cluster", "parent", F.lit(float(distance)).alias("birth"), "parted", (~F.col("parted") | (mass >= F.col("below"))).alias("greatest"))
+    loose = met.where(~big).select("component", F.explode("members").alias("entity_id"))
+    left = loose.join(facts.where("not none").select("component", "cluster"), "component").select("entity_id", "cluster")
+    return after, closed, left
+
+
+def condensed_tree(tree: DataFrame, least: int, task: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, points) of the condensed tree over the edges (a, b, distance) of a
+    spanning tree: clusters (cluster, parent, birth, parted, greatest) with a null parent
+    below the root, points (entity_id, cluster) without those that leave the root.
+
+    ``greatest``: a cluster's own mass is not less than that of the best below it.
+    """
+    task, spark = task or TASK, tree.sparkSession
+    tables = Tables(spark)
+    ids = tree.select(F.col("a").alias("node")).union(tree.select("b")).distinct()
+    start = {"size": F.lit(1).cast("long"), "first": F.col("node"), "members": F.array("node"), "cluster": F.lit(None).cast("string"), "weight": F.lit(0.0), "below": F.lit(0.0), "parted": F.lit(False)}
+    if least <= 1:
+        raise ValueError("a cluster has two members at least")
+    nodes, edges = tables.keep("nodes", ids.withColumns(start)), tables.keep("edges", tree.select("a", "b", "distance"))
+    closed, left, m, level = [], [], edges.count(), 0
+    while m:
+        if m <= task:
+            step = tables.keep(f"step{level}", condensed_step(nodes, edges, None, least, 1))
+            nodes = step.where("kind = 'node'").select(*nodes.columns)
+            closed.append(step.where("kind = 'closed'").select("cluster", "parent", "birth", "parted", "greatest"))
+            left.append(step.where("kind = 'left'").select("entity_id", "cluster"))
+            break
+        share, flat = 1.0, False
+        while True:  # the largest distance whose components fit
+            limit = edges.agg(F.max("distance") if share == 1.0 else F.percentile_approx("distance", share, 10_000)).first()[0]
+            lowest = edges.agg(F.min("distance")).first()[0]
+            low = edges.where(F.col("distance") <= limit)
+            labels = tables.keep("labels", components(low.select("a", "b")))
+            most = low.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").count().agg(F.max("count")).first()[0]
+            if most <= task or limit == lowest:
+                flat = most > task
+                break
+            share = min(share / 2, 0.8 * share * task / most) if share > 1e-6 else 0.0
+        if flat:
+            after, ended, gone = flat_step(nodes, labels, limit, least)
+            after, ended, gone = (tables.keep(f"{name}{level}", t) for name, t in (("after", after), ("closed", ended), ("left", gone)))
         else:
-            todo += kids.get(c, [])
-    final = set()
-    for c in clusters:
-        while birth[c] > 0 and 1 / birth[c] < epsilon and parent[c] != n:
-            c = parent[c]
-        final.add(c)
-    final = {c for c in final if not any(a in final for a in ancestors(c, parent))}
-    return {p: f for q, p, _, _ in rows if p < n for f in [q, *ancestors(q, parent)] if f in final}
-
-
-def ancestors(c: int, parent: dict[int, int]) -> list[int]:
-    out = []
-    while c in parent:
-        c = parent[c]
-        out.append(c)
+            step = tables.keep(f"step{level}", condensed_step(nodes, low, labels, least, max(1, -(-low.count() // task))))
+            after, ended, gone = (step.where(F.col("kind") == kind) for kind in ("node", "closed", "left"))
+        closed.append(ended.select("cluster", "parent", "birth", "parted", "greatest"))
+        left.append(gone.select("entity_id", "cluster"))
+        # a component goes on as its smallest node; nodes that no edge reached stay
+        moved = labels.select("node", F.col("label").alias("to"))
+        rest = nodes.join(moved, "node", "left_anti").select(*nodes.columns)
+        nodes = tables.keep("nodes", rest.unionByName(after.select(*nodes.columns)))
+        above = edges.where(F.col("distance") > limit)
+        for side in ("a", "b"):
+            above = above.join(moved.select(F.col("node").alias(side), "to"), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        edges = tables.keep("edges", above.select("a", "b", "distance"))
+        m, level = edges.count(), level + 1
+    roots = nodes.where("cluster is not null").select(F.col("cluster").alias("parent"))
+    clusters, points = (reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema) for found, schema in ((closed, CLOSED), (left, "entity_id long, cluster string")))
+    root = roots.first()  # a spanning tree has one
+    root = F.lit(root["parent"] if root else None).cast("string")
+    clusters = cut(clusters.select("cluster", F.when(~F.col("parent").eqNullSafe(root), F.col("parent")).alias("parent"), "birth", "parted", "greatest"))
+    points = cut(points.where(~F.col("cluster").eqNullSafe(root)).select("entity_id", "cluster"))
+    tables.drop_all()
+    return clusters, points
+
+
+SETTING = ["method", "epsilon"]
+
+
+def highest(clusters: DataFrame, marked: Column) -> DataFrame:
+    """(setting, cluster, top): the highest marked one of a cluster and those above it.
+
+    Pointers double their reach with every round.
+    """
+    tables = Tables(clusters.sparkSession)
+    state = tables.keep("state", clusters.select(*SETTING, "cluster", F.col("parent").alias("up"), F.when(marked, F.col("cluster")).alias("top")))
+    while not state.where("up is not null").isEmpty():
+        over = state.select(*SETTING, F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
+        state = tables.keep("state", state.join(over, [*SETTING, "up"], "left").select(*SETTING, "cluster", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
+    out = cut(state.where("top is not null").select(*SETTING, "cluster", "top"))
+    tables.drop_all()
     return out
 
 
-def labelled(frame: pd.DataFrame, epsilon: float, least: int, method: str) -> pd.DataFrame:
-    """(entity_id, label) of the ids of a spanning tree."""
-    frame = frame.sort_values(["distance", "a", "b"])
-    ids = np.unique(np.concatenate([frame["a"], frame["b"]]))
-    i, j = np.searchsorted(ids, frame["a"]), np.searchsorted(ids, frame["b"])
-    rows, fresh = condensed(len(ids), list(zip(i.tolist(), j.tolist(), frame["distance"].tolist())), least)
-    of = select(len(ids), rows, fresh, epsilon, method)
-    number: dict[int, int] = {}
-    return pd.DataFrame({"entity_id": ids, "label": [number.setdefault(of[p], len(number)) if p in of else -1 for p in range(len(ids))]})
+def lifted(clusters: DataFrame) -> DataFrame:
+    """(setting, cluster, to): the first of a cluster and those above it that is born at
+    the setting's epsilon or farther, or else the one below the root."""
+    tables = Tables(clusters.sparkSession)
+    stays = (F.col("birth") >= F.col("epsilon")) | F.col("parent").isNull()
+    state = tables.keep("state", clusters.select(*SETTING, "cluster", F.when(stays, F.col("cluster")).otherwise(F.col("parent")).alias("to")))
+    done = False
+    while not done:
+        over = state.select(*SETTING, F.col("cluster").alias("to"), F.col("to").alias("_to"))
+        further = state.join(over, [*SETTING, "to"]).select(*SETTING, "cluster", F.col("_to").alias("to"), (F.col("to") != F.col("_to")).alias("moved"))
+        state = tables.keep("state", further)
+        done = state.where("moved").isEmpty()
+    out = cut(state.select(*SETTING, "cluster", "to"))
+    tables.drop_all()
+    return out
+
+
+def resolved(clusters: DataFrame, own: Column) -> DataFrame:
+    """(setting, cluster, top): the final cluster that each is in, for so few clusters
+    that a task holds those of a setting."""
+    arrow = pa.schema([("method", pa.string()), ("epsilon", pa.float64()), ("cluster", pa.string()), ("top", pa.string())])
+
+    def tops(parent: dict, marked: set) -> dict:
+        out: dict = {}
+        for c in parent:
+            way = [c]
+            while way[-1] not in out and parent[way[-1]] is not None:
+                way.append(parent[way[-1]])
+            top = out.get(way[-1])
+            for w in reversed(way):
+                top = top if top is not None else w if w in marked else None
+                out[w] = top
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for r in b.to_pylist():
+                held.setdefault((r["method"], r["epsilon"]), []).append(r)
+        for (method, epsilon), rows in held.items():
+            parent = {r["cluster"]: r["parent"] for r in rows}
+            birth = {r["cluster"]: r["birth"] for r in rows}
+            chosen = {t for t in tops(parent, {r["cluster"] for r in rows if r["own"]}).values() if t is not None}
+            final = set()
+            for c in chosen:
+                while birth[c] < epsilon and parent[c] is not None:
+                    c = parent[c]
+                final.add(c)
+            found = [(c, t) for c, t in tops(parent, final).items() if t is not None]
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([method] * len(part)), pa.array([epsilon] * len(part), pa.float64()), pa.array([c for c, _ in part]), pa.array([t for _, t in part])], schema=arrow)
+
+    rows = clusters.select(*SETTING, "cluster", "parent", "birth", own.alias("own"))
+    return rows.repartition(*SETTING).mapInArrow(run, "method string, epsilon double, cluster string, top string")
+
+
+def selected(clusters: DataFrame, points: DataFrame, settings: list[tuple[str, float]], task: int | None = None) -> DataFrame:
+    """(method, epsilon, entity_id, label) of the points of selected clusters for every
+    setting; labels are numbered by first members."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(e)).alias("epsilon")) for m, e in settings]))
+    tried = clusters.withColumn("_s", each).select("_s.*", *clusters.columns)
+    own = F.when(F.col("method") == "leaf", ~F.col("parted")).otherwise(F.col("greatest"))
+    if clusters.count() <= (task or TASK):
+        tops = resolved(tried, own)
+    else:
+        tried = cut(tried)
+        chosen = highest(tried, own).select(*SETTING, F.col("top").alias("cluster")).distinct()
+        final = lifted(tried).join(chosen, [*SETTING, "cluster"]).select(*SETTING, F.col("to").alias("cluster")).distinct().withColumn("final", F.lit(True))
+        tops = highest(tried.join(final, [*SETTING, "cluster"], "left"), F.coalesce("final", F.lit(False)))
+    found = cut(points.join(tops, "cluster").select(*SETTING, "entity_id", "top"))
+    ranks = numbered(found.groupBy(*SETTING, "top").agg(F.min("entity_id").alias("first")), *SETTING, "first")
+    start = ranks.groupBy(*SETTING).agg(F.min("position").alias("start"))
+    labels = ranks.join(F.broadcast(start), SETTING).select(*SETTING, "top", (F.col("position") - F.col("start")).alias("label"))
+    return found.join(labels, [*SETTING, "top"]).select(*SETTING, "entity_id", "label")
 
 
 def hdbscan_sweep(vectors: DataFrame, settings: list[tuple[str, float, int]], metric: str = "cosine") -> DataFrame:
     """(method, epsilon, least, entity_id, label) for every setting (method, epsilon, least).
 
-    All settings share one spanning tree and are worked on side by side.
+    All settings share one spanning tree, and those of one size one condensed tree.
     """
-    tried = "array<struct<method:string,epsilon:double,least:int>>"
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(e)).alias("epsilon"), F.lit(n).alias("least")) for m, e, n in settings]).cast(tried))
-    keys = ["method", "epsilon", "least"]
-
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        method, epsilon, least = key
-        return labelled(frame, epsilon, least, method).assign(method=method, epsilon=epsilon, least=least)[[*keys, "entity_id", "label"]]
-
-    edges = spanning_tree(vectors, metric).withColumn("_s", each).select("_s.*", "a", "b", "distance")
-    found = edges.groupBy(*keys).applyInPandas(build, "method string, epsilon double, least int, entity_id long, label long")
-    wanted = vectors.select("entity_id", each.alias("_s")).select("_s.*", "entity_id")
-    return wanted.join(found, [*keys, "entity_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1)).cast("long"))
+    edges, out = spanning_tree(vectors, metric), []
+    for least in dict.fromkeys(n for _, _, n in settings):  # numbers given by the caller
+        own = [(m, float(e)) for m, e, n in settings if n == least]
+        labels = selected(*condensed_tree(edges, least), own)
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(e).alias("epsilon")) for m, e in own]))
+        every = vectors.select("entity_id", each.alias("_s")).select("_s.*", F.lit(least).alias("least"), "entity_id")
+        out.append(every.join(labels, [*SETTING, "entity_id"], "left").select(*SETTING, "least", "entity_id", F.coalesce("label", F.lit(-1)).cast("long").alias("label")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def hdbscan(vectors: DataFrame, epsilon: float, least: int = 2, metric: str = "cosine", method: str = "eom") -> DataFrame:

@@ -16,8 +16,8 @@ def extract_regex_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = model_json.parsed_fields(F.col("ocr_text"))
-    return ocr_texts(spark, sf_dir).select("entity_id", *[found[name].alias(name) for name in SETTINGS.fields])
+    found = ocr_texts(spark, sf_dir).select("entity_id", model_json.parsed_fields(F.col("ocr_text")).alias("found"))
+    return found.select("entity_id", *[F.col(f"found.{name}").alias(name) for name in SETTINGS.fields])
 
 
 def cn_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,13 @@ def _said(modern: str, old: str, json: str = "null") -> str:
     return f"case when {_MODERN} then {modern} when {_OLD} then {old} else {json} end"
 
 
+_BORN = "cast(cast(enrollment_year as int) - 18 as varchar)"
+
 #: What the texts say, by construction: patterns and JSON keys have to find it again. An
 #: empty value lets a pattern reach the next one, as in the modern layout.
 _FIELDS = {
     "cert_type": _said("'毕业证书'", "null"),
-    "student_name": _said("'张三丰'", "'李四光'"),
+    "student_name": _said("case when entity_id % 12 = 8 then '王小明' else '张三丰' end", "'李四光'"),
     "school": "school",
     "department": _said("null", "'历史系'"),
     "principal": _said("coalesce(substr(principal, 1, 6), 'NATION')", "null", "principal"),
@@ -85,10 +87,10 @@ _FIELDS = {
     "issue_year": _said("null", "issue_year"),
     "issue_date": _said("null", "issue_year||'-07-20'"),
     "cert_no": "cert_no",
-    "student_id_no": "cast(null as varchar)",
+    "student_id_no": _said("case when entity_id % 12 = 4 then lpad(cast(entity_id as varchar), 12, '2') end", "null"),
     "gender": "gender",
-    "birth_year": "cast(null as varchar)",
-    "supervisor": "cast(null as varchar)",
+    "birth_year": _said(f"case when entity_id % 16 in (0, 4) then {_BORN} end", f"case when entity_id % 8 = 1 then {_BORN} end"),
+    "supervisor": _said("case when entity_id % 12 = 0 then '河北省教育厅' end", "null"),
 }
 _ALL_FIELDS = ", ".join(f"{sql} as {name}" for name, sql in _FIELDS.items())
 _IN_JSON = """'{"school":"' || school"""
@@ -104,7 +106,7 @@ SQL = {
     "cn_year": f"with {CREDENTIALS_SQL} select entity_id, {_WRITTEN} as written, case when grad_year <> 'N/A' then grad_year end as year from certs",
     "cn_date": f"""with {CREDENTIALS_SQL} select entity_id, {_WRITTEN}||'年'||{_DAY_SQL}[entity_id % 12 + 1]||'月'||{_DAY_SQL}[entity_id % {len(_DAYS)} + 1]||case when entity_id % 10 = 3 then '' else '日' end as written,
  case when grad_year <> 'N/A' and entity_id % 10 <> 3 then grad_year||'-'||lpad(cast({_VALUE_SQL}[entity_id % 12 + 1] as varchar), 2, '0')||'-'||lpad(cast({_VALUE_SQL}[entity_id % {len(_DAYS)} + 1] as varchar), 2, '0') end as issue_date from certs""",
-    "ps_result_parse": f"""with {CREDENTIALS_SQL} select entity_id, case when entity_id % 8 = 2 then '高度疑似PS' else '真实' end as overall_authenticity,
- case when entity_id % 8 = 2 then '高' else '低' end as risk_level, cast(entity_id % 100 as double) as confidence, cast(0 as int) as n_evidence from certs where entity_id % 4 >= 2""",
+    "ps_result_parse": f"""with {CREDENTIALS_SQL} select entity_id, coalesce(['高度疑似PS', '疑似修改', '几乎确定伪造', '真实', null][(entity_id // 4) % 5 + 1], '真实') as overall_authenticity,
+ ['高', '中', '高', '低', '低'][(entity_id // 4) % 5 + 1] as risk_level, cast(entity_id % 100 as double) as confidence, cast(case entity_id % 3 when 0 then 2 when 1 then 1 else 0 end as int) as n_evidence from certs where entity_id % 4 >= 2""",
     "envelope_text": f"with {CREDENTIALS_SQL} select entity_id, case when entity_id % 4 < 3 then school end as text from certs",
 }

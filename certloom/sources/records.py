@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``df``, dealt anew for work that costs much a row, if the table it comes from is
+    read by fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scanned.rdd.getNumPartitions() < cores else df
+
+
 def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One credential record for each order; years and numbers are strings."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("ck"))
@@ -71,23 +78,33 @@ def _chinese(year: Column) -> Column:
 def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised text of the credentials in four layouts, by entity_id mod 4."""
     c = credentials(spark, sf_dir)
+    k, born = F.col("entity_id"), (F.col("enrollment_year").cast("int") - 18).cast("string")
     modern = F.concat_ws(
         "\n",
         F.lit("毕业证书"),
-        F.concat(F.lit("学生 张三丰 性别："), "gender"),
+        F.concat(F.when(k % 12 == 8, "兹证明 王小明 同学 性别：").otherwise("学生 张三丰 性别："), "gender"),
         F.concat(F.lit("毕业时间："), F.coalesce("grad_year", F.lit("")), F.lit(" 入学："), "enrollment_year"),
         F.concat(F.lit("证书编号："), "cert_no"),
         F.concat(F.lit("校长："), F.coalesce("principal", F.lit(""))),
         F.col("school"),
+        F.when(k % 12 == 4, F.concat(F.lit("学籍号："), F.lpad(k.cast("string"), 12, "2"))),
+        F.when(k % 16 == 0, F.concat(F.lit("身份证 110101"), born, F.lit("0101123X"))),
+        F.when(k % 16 == 4, F.concat(F.lit("出生："), born)),
+        F.when(k % 12 == 0, F.lit("河北省教育厅监制")),
     )
     old = F.concat(
         F.lit("学生李四光性别："), "gender", F.lit("，于"), _chinese(F.col("enrollment_year")), F.lit("年九月至"), _chinese(F.col("grad_year")), F.lit("年七月在本校 历史系 学习\n"),
         F.lit("编号："), "cert_no", F.lit("\n"), "school", F.lit("\n"), _chinese(F.col("issue_year")), F.lit("年七月廿日"),
+        F.when(k % 8 == 1, F.concat(F.lit("\n生于"), _chinese(born), F.lit("年"))).otherwise(""),
     )
-    as_json = F.to_json(F.struct("school", "principal", F.col("grad_year"), F.col("enrollment_year"), F.col("cert_no"), F.col("gender"), F.when(F.col("entity_id") % 8 == 2, "高度疑似PS").alias("ps_overall_authenticity"), (F.col("entity_id") % 100).cast("string").alias("ps_confidence")))
+    verdicts = F.array(*map(F.lit, ("高度疑似PS", "疑似修改", "几乎确定伪造", "真实", None)))
+    plain = F.to_json(F.struct("school", "principal", F.col("grad_year"), F.col("enrollment_year"), F.col("cert_no"), F.col("gender"), F.element_at(verdicts, (F.floor(k / 4) % 5 + 1).cast("int")).alias("ps_overall_authenticity"), (k % 100).cast("string").alias("ps_confidence")))
+    evidence = F.when(k % 3 == 0, F.lit('["甲", "", null, "乙"]')).when(k % 3 == 1, F.lit('"单条"')).otherwise(F.lit("[]"))
+    as_json = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"ps_key_evidence":'), evidence, F.lit("}"))
     fenced = F.concat(F.lit("```json\n"), as_json, F.lit("\n```"))
     kind = F.col("entity_id") % 4
-    return c.select("entity_id", F.when(kind == 0, modern).when(kind == 1, old).when(kind == 2, as_json).otherwise(fenced).alias("ocr_text"))
+    texts = c.select("entity_id", F.when(kind == 0, modern).when(kind == 1, old).when(kind == 2, as_json).otherwise(fenced).alias("ocr_text"))
+    return spread(texts, table(spark, sf_dir, "orders"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

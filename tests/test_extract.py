@@ -36,10 +36,10 @@ def test_fields_over_lines_and_widths(spark):
 
 
 def parsed(spark, text):
-    found = model_json.parsed_fields(F.col("t"))
     json = model_json.unfenced(F.col("t"))
     more = {f"ps_{k}": v for k, v in model_json.assessment(json).items()} | {"structured": model_json.readable_json(json)}
-    return spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in (found | more).items()]).first().asDict()
+    row = spark.createDataFrame([(text,)], "t string").select(model_json.parsed_fields(F.col("t")).alias("_fields"), *[v.alias(k) for k, v in more.items()]).first()
+    return row.asDict() | row["_fields"].asDict()
 
 
 def test_json_fields(spark):
@@ -54,7 +54,7 @@ def test_unreadable_scores_and_broken_json_fall_back(spark):
     assert not got["structured"] and got["school"] is not None
 
 
-@pytest.mark.parametrize("value,want", [('{"ps_key_evidence":"x"}', ["x"]), ('{"ps_key_evidence":["a",null,""]}', ["a"]), ('{"ps_key_evidence":5}', []), ("{}", [])])
+@pytest.mark.parametrize("value,want", [('{"ps_key_evidence":"x"}', ["x"]), ('{"ps_key_evidence":["a",null,""]}', ["a"]), ('{"ps_key_evidence":5}', []), ("{}", []), ('{"ps_key_evidence":[true, false, 0.00, -0, 2, "b"]}', ["True", "2", "b"])])
 def test_lists(spark, value, want):
     assert parsed(spark, value)["ps_key_evidence"] == want
 
