@@ -306,7 +306,7 @@ def condensed_tree(tree: DataFrame, least: int, task: int | None = None) -> tupl
     start = {"size": F.lit(1).cast("long"), "first": F.col("node"), "members": F.array("node"), "cluster": F.lit(None).cast("string"), "weight": F.lit(0.0), "below": F.lit(0.0), "parted": F.lit(False)}
     if least <= 1:
         raise ValueError("a cluster has two members at least")
-    nodes, edges = tables.keep("nodes", ids.withColumns(start)), tables.keep("edges", tree.select("a", "b", "distance"))
+    nodes, edges = ids.withColumns(start), tree.select("a", "b", "distance")
     closed, left, m, level = [], [], edges.count(), 0
     while m:
         if m <= task:

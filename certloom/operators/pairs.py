@@ -3,20 +3,32 @@
 Vectors are dealt into blocks of a bounded number of rows. Each unordered pair of blocks
 is one row of a join on block numbers, and a task multiplies two blocks at a time, so
 that no vector is held against others one by one and nothing whole is sent anywhere.
+
+Pairs within a radius need not all be looked at: vectors are gathered in cells around
+pivots, and two cells meet only if the triangle inequality lets them hold a near pair
+(cosine distances as chords between unit vectors). Of two cells that meet, a task
+multiplies only the vectors that are near enough to the other cell's pivot.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from certloom.operators.lineage import cut
+
 #: Vectors of a block on average.
 BLOCK = 1024
+#: Vectors from which on pairs within a radius are sought by cells, and pivots at most.
+CELLS_FROM, PIVOTS = 4_096, 1_024
+#: What bounds of distances may be wrong by, in floating point.
+SLACK = 1e-9
 
 
 def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -56,6 +68,8 @@ def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = N
     ``below``: the limit itself is too far.
     """
     measure = METRICS[metric]
+    if most is not None and (metric != "cosine" or most < 1) and vectors.limit(CELLS_FROM + 1).count() > CELLS_FROM:
+        return Cells.of(vectors, most, metric).near(below)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -71,6 +85,89 @@ def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = N
     return block_pairs(vectors).mapInPandas(run, "a long, b long, distance double")
 
 
+def chords(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """Distances that keep the triangle inequality: between unit vectors for cosine."""
+    if metric == "cosine":
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(norms > 0, norms, 1)
+    return euclidean_distances(x, pivots)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Vectors in cells around pivots, and the pairs of cells that may hold near pairs."""
+
+    placed: DataFrame  # entity_id, vector, cell
+    meeting: DataFrame  # cell, other: cell <= other
+    sizes: dict[int, int]
+    pivots: np.ndarray
+    radii: np.ndarray
+    most: float
+    metric: str
+    skipped: float  # share of all pairs of vectors that are in cells that don't meet
+
+    @classmethod
+    def of(cls, vectors: DataFrame, most: float, metric: str = "cosine") -> Cells:
+        """Pivots are a sample of a bounded number, by a hash of the ids. Zero vectors are
+        near nothing within a cosine distance below 1 and are left out."""
+        spark = vectors.sparkSession
+        rows = vectors.select("entity_id", "vector")
+        if metric == "cosine":
+            rows = rows.where(F.exists("vector", lambda x: x != 0))
+        wanted = min(PIVOTS, max(1, rows.count() // (BLOCK // 4)))
+        pivots = np.array([r["vector"] for r in rows.orderBy(F.xxhash64("entity_id", F.lit(5)), "entity_id").limit(wanted).collect()], dtype=np.float64)
+        if metric == "cosine" and len(pivots):
+            pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    d = chords(np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]]), pivots, metric)
+                    yield frame.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
+
+        placed = cut(rows.mapInPandas(place, "entity_id long, vector array<double>, cell long, far double"))
+        facts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
+        sizes, radii = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
+        for r in facts:
+            sizes[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+        reach = math.sqrt(2 * most) if metric == "cosine" else most
+        i, j = np.triu_indices(len(pivots))
+        apart = euclidean_distances(pivots, pivots)[i, j] if len(pivots) else np.zeros(0)
+        keep = (apart - radii[i] - radii[j] <= reach + SLACK) & (sizes[i] > 0) & (sizes[j] > 0)
+        together = float((sizes[i][keep] * sizes[j][keep]).sum())
+        skipped = 1 - together / max(1.0, float((sizes[i] * sizes[j]).sum()))
+        meeting = spark.createDataFrame(pd.DataFrame({"cell": i[keep], "other": j[keep]}), "cell long, other long")
+        return cls(placed.drop("far"), meeting, {k: int(n) for k, n in enumerate(sizes) if n}, pivots, radii, most, metric, skipped)
+
+    def near(self, below: bool = False) -> DataFrame:
+        """(a, b, distance) of all pairs within the radius, a < b."""
+        measure, most, metric, pivots, radii = METRICS[self.metric], self.most, self.metric, self.pivots, self.radii
+        reach = math.sqrt(2 * most) if metric == "cosine" else most
+        spark = self.placed.sparkSession
+        parts = spark.createDataFrame([(k, math.ceil(n / BLOCK)) for k, n in self.sizes.items()], "cell long, parts long")
+        dealt = self.placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")))
+        blocks = cut(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("entity_id", "vector")).alias("rows")))
+        left = blocks.join(F.broadcast(self.meeting), "cell").select("cell", "part", F.col("rows").alias("a"), "other")
+        right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("b"))
+        met = left.join(right, "other").where("cell < other or part <= other_part").select("cell", "other", (F.expr("cell = other and part = other_part")).alias("same"), "a", "b")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for cell, other, same, a, b in zip(*(frame[c] for c in ("cell", "other", "same", "a", "b"))):
+                    (ida, x), (idb, y) = _matrix(a), _matrix(b)
+                    if cell != other:
+                        at, to = (chords(v, pivots[c : c + 1], metric)[:, 0] <= radii[c] + reach + SLACK for v, c in ((x, other), (y, cell)))
+                        ida, x, idb, y = ida[at], x[at], idb[to], y[to]
+                    d = measure(x, y)
+                    keep = d < most if below else d <= most
+                    if same:
+                        keep &= ida[:, None] < idb[None, :]
+                    i, j = np.nonzero(keep)
+                    yield pd.DataFrame({"a": np.minimum(ida[i], idb[j]), "b": np.maximum(ida[i], idb[j]), "distance": d[i, j]})
+
+        return met.mapInPandas(run, "a long, b long, distance double")
+
+
 def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(entity_id, neighbour, distance, rank) of the k nearest others of every vector.
 

@@ -205,3 +205,23 @@ def test_tiles_are_bounded(spark):
     edges = spark.range(10_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).coalesce(1)
     sizes = [r["n"] for r in in_tiles(edges, 25).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) == 25 and max(sizes) <= 2 * 10_000 // 25
+
+
+@pytest.mark.parametrize(("metric", "most"), [("cosine", 0.02), ("euclidean", 0.7)])
+def test_cells_find_all_pairs_within_a_radius(spark, metric, most, monkeypatch):
+    """The same pairs as without cells, most of them never looked at where vectors lie in
+    clumps; copies and zero vectors too."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(rng.normal(size=12) * 3, 0.15, size=(40, 12)) for _ in range(12)])
+    x[5:9], x[17], x[333] = x[4], 0, 0
+    df = spark.createDataFrame([(i + 2**60, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    pairs_of = lambda rows: {(r["a"], r["b"]): r["distance"] for r in rows.collect()}
+    for below in (False, True):
+        monkeypatch.setattr(pairs, "CELLS_FROM", 10_000)
+        want = pairs_of(pairs.distances(df, metric, most, below))
+        monkeypatch.setattr(pairs, "CELLS_FROM", 10)
+        monkeypatch.setattr(pairs, "BLOCK", 60)
+        got = pairs_of(pairs.distances(df, metric, most, below))
+        assert len(want) > 100 and set(got) == set(want) and all(abs(got[k] - d) < 1e-6 for k, d in want.items())
+    assert pairs.Cells.of(df, most, metric).skipped > 0.6
+    assert pairs.Cells.of(df.where("false"), most, metric).near().count() == 0
