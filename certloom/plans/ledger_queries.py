@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certloom.operators import clustering, rules
 from certloom.operators.order import numbered
 from certloom.plans import audit
-from certloom.plans.rule_queries import CERTS, WITH_FACES, _FLAGS, _SINGLE, forensic_rollup, records_with_faces
+from certloom.plans.rule_queries import _CONFLICTS, _FLAGS, _SINGLE, _TENURE, CERTS, WITH_FACES, forensic_rollup, records_with_faces
 from certloom.plans.store_queries import certificates, finished
 from certloom.sources import ingest, store
 from certloom.sources.records import METRICS_SQL, credentials, table, vectors
@@ -194,6 +194,8 @@ SQL = {
  case when coalesce(i.severe, false) or coalesce(n.n_flags, 0) >= 2 then '高' when coalesce(i.n, 0) > 0 or coalesce(n.n_flags, 0) > 0 then '中' else '低' end as risk_level
  from certs c left join i using (entity_id) left join n using (entity_id)""",
     "cross_validate_regions": f"""with {_HASHES} select '区域图像高度相似' as rule, 'ID ' || x || ' 与 ID ' || y || ' 的' || region || '区域哈希距离 ' || d as detail, '高' as severity, x || ',' || y as related from p where d < 10""",
+    "issues_first_ten": f"""{CERTS} select rule, detail, severity from (select rule, detail, severity from ({_CONFLICTS}) union all select rule, detail, severity from ({_TENURE}))
+ order by case severity when '高' then 0 when '中' then 1 else 2 end, rule, detail limit 10""",
     "group_members": f"""with {_GROUPS}, {_CERTIFICATES} select n.entity_id, n.label, n.group_id, n.is_noise, k.count, not n.is_noise and k.count >= 2 as is_abnormal, c.filename
  from n join k using (group_id) left join (select * from c where entity_id % 2 = 0) c on c.entity_id = n.entity_id""",
     "hidden_groups": f"with {_GROUPS} select count(*) filter (not is_noise) as n_shown, cast(sum(count) filter (not is_noise) as bigint) as items, count(*) filter (is_noise) as n_hidden from k",
