@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from certloom.config import SETTINGS, Settings
 from certloom.functions.vectors import nonzero
-from certloom.operators import pairs
+from certloom.operators import pair_stats, pairs
 from certloom.operators.graph import components
 from certloom.operators.order import numbered
 
@@ -132,13 +132,16 @@ def cluster_debug(vectors: DataFrame, metric: str = "cosine", s: Settings = SETT
     clusters of 13 radii from 0.03 to 0.15, the suggested radius and the vectors' number.
 
     The first three are DataFrames; k is 4, or one less than the vectors if they are few.
+    ValueError for two vectors or fewer. Templates are measured with ``metric`` euclidean.
     """
     n = vectors.count()
-    k = max(1, min(4, n - 1))
+    if n <= 2:
+        raise ValueError("too few vectors to describe a clustering")
+    k = min(4, n - 1)
     radii = [round(0.03 + 0.01 * i, 2) for i in range(13)]
     return {
         "k_distance_curve": k_distances(vectors, k, metric),
-        "distance_histogram": histogram(pairs.distances(vectors, metric), 20),
+        "distance_histogram": pair_stats.Distances(vectors, metric).histogram(20),
         "eps_candidates": eps_sweep(vectors, radii, metric),
         "suggested_eps": round(estimate_eps(vectors, k, metric, s), 4),
         "sample_count": n,

@@ -27,22 +27,33 @@ from certloom.operators.lineage import cut
 BLOCK = 1024
 #: Vectors from which on pairs within a radius are sought by cells, and pivots at most.
 CELLS_FROM, PIVOTS = 4_096, 1_024
-#: What bounds of distances may be wrong by, in floating point.
-SLACK = 1e-9
+#: What bounds of distances may be wrong by: roots of what squares of unit length are wrong by.
+SLACK = 1e-7
 
 
-def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(same, a, b, block, other): all unordered pairs of blocks, each an array of
-    (entity_id, vector), and the numbers of both."""
-    n = vectors.count()
-    count = max(1, math.ceil(n / block))
-    blocks = vectors.select(F.pmod(F.xxhash64("entity_id"), F.lit(count)).alias("block"), F.struct("entity_id", "vector").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
+def blocks_of(vectors: DataFrame, block: int = BLOCK, *more: str) -> tuple[DataFrame, int]:
+    """(block, rows) with the vectors, by id, and further columns of each block, and how many
+    blocks there are."""
+    count = max(1, math.ceil(vectors.count() / block))
+    row = F.struct("entity_id", "vector", *more).alias("row")
+    blocks = vectors.select(F.pmod(F.xxhash64("entity_id"), F.lit(count)).alias("block"), row).groupBy("block")
+    return blocks.agg(F.sort_array(F.collect_list("row")).alias("rows")), count
+
+
+def meet(blocks: DataFrame, count: int) -> DataFrame:
+    """(same, a, b, block, other): all unordered pairs of ``count`` blocks."""
     # a block is named once for every block at or after it, and meets each by equality
     left = blocks.select("block", F.explode(F.sequence(F.col("block"), F.lit(count - 1).cast("long"))).alias("other"), F.col("rows").alias("a"))
     right = blocks.select(F.col("block").alias("other"), F.col("rows").alias("b"))
     return left.join(right, "other").select((F.col("block") == F.col("other")).alias("same"), "a", "b", "block", "other")
 
 
+def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(same, a, b, block, other): all unordered pairs of blocks, each an array of
+    (entity_id, vector), and the numbers of both."""
+    return meet(*blocks_of(vectors, block))
+
+
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["entity_id"] for r in rows], dtype=np.int64), np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certloom.config import SETTINGS, Settings
-from certloom.operators import pairs
+from certloom.operators import pair_stats, pairs
 from certloom.operators.graph import components
 from certloom.operators.lineage import cut
 from certloom.operators.order import numbered
@@ -101,13 +101,15 @@ def noise_diagnostics(items: DataFrame) -> DataFrame:
     Quartile and median are the values at a place of the sorted distances.
     """
     noise = items.where("label < 0").select("entity_id", "vector")
-    placed = cut(numbered(pairs.distances(noise, "euclidean"), "distance", "a", "b"))
-    n = placed.count()
-    at = lambda i: F.max(F.when(F.col("position") == i, F.round("distance", 4)))
-    least = F.array_sort(F.collect_list(F.when(F.col("position") < 10, F.round("distance", 4))))
-    wanted = placed.where((F.col("position") < 10) | F.col("position").isin(n // 4, n // 2))
-    facts = wanted.agg(at(0).alias("min_dist"), at(n // 4).alias("p25_dist"), at(n // 2).alias("median_dist"), least.alias("top10_smallest"))
-    return facts.select(F.lit(noise.count()).alias("count"), "*")
+    measured = pair_stats.Distances(noise, "euclidean")
+    n, least, _, _ = measured.extent()
+    at = measured.at([n // 4, n // 2])
+    top = [r["distance"] for r in measured.least(10).collect()]
+    row = noise.agg(F.count(F.lit(1)).alias("count"))
+    value = lambda x: F.round(F.lit(x).cast("double"), 4)
+    return row.select(
+        "count", value(least).alias("min_dist"), value(at.get(n // 4)).alias("p25_dist"), value(at.get(n // 2)).alias("median_dist"), F.array(*map(value, top)).cast("array<double>").alias("top10_smallest")
+    )
 
 
 def template_pipeline(items: DataFrame, s: Settings = SETTINGS) -> DataFrame:

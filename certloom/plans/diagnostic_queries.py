@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.functions.vectors import fused, norm
-from certloom.operators import faces, pairs
-from certloom.operators.lineage import cut
+from certloom.operators import faces, pair_stats
 from certloom.sources.records import table, vectors
 
 
@@ -21,33 +20,22 @@ def best_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten pairs of vectors that are nearest to each other."""
-    return pairs.distances(vectors(spark, sf_dir), "euclidean").orderBy("distance", "a", "b").limit(10).select("a", "b", F.round("distance", 6).alias("distance"))
+    return pair_stats.Distances(vectors(spark, sf_dir), "euclidean").least(10).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def farthest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.distances(vectors(spark, sf_dir), "euclidean").orderBy(F.desc("distance"), "a", "b").limit(10).select("a", "b", F.round("distance", 6).alias("distance"))
-
-
-def labelled_distances(items: DataFrame) -> DataFrame:
-    """(a, b, distance, x, y): all pairs with the labels of both."""
-    found = pairs.distances(items, "cosine")
-    for side, label in (("a", "x"), ("b", "y")):
-        found = found.join(items.select(F.col("entity_id").alias(side), F.col("label").alias(label)), side)
-    return found
+    return pair_stats.Distances(vectors(spark, sf_dir), "euclidean").least(10, greatest=True).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances within each pair of labels: pairs, least, greatest, mean."""
-    measured = labelled_distances(vectors(spark, sf_dir))
-    found = measured.groupBy(F.least("x", "y").alias("label1"), F.greatest("x", "y").alias("label2")).agg(F.count(F.lit(1)).alias("pairs"), F.min("distance").alias("least"), F.max("distance").alias("greatest"), F.avg("distance").alias("mean"))
+    found = pair_stats.between_groups(vectors(spark, sf_dir))
     return found.select("label1", "label2", "pairs", *[F.round(c, 6).alias(c) for c in ("least", "greatest", "mean")])
 
 
 def item_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each vector is from the others of its label."""
-    measured = labelled_distances(vectors(spark, sf_dir)).where("x = y")
-    both = cut(measured.select(F.col("a").alias("entity_id"), "distance").union(measured.select("b", "distance")))
-    found = both.groupBy("entity_id").agg(F.min("distance").alias("least"), F.max("distance").alias("greatest"), F.avg("distance").alias("mean"))
+    found = pair_stats.within_groups(vectors(spark, sf_dir))
     return found.select("entity_id", *[F.round(c, 6).alias(c) for c in ("least", "greatest", "mean")])
 
 

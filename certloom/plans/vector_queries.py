@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.operators import clustering, hierarchy, pairs, stages, variants
+from certloom.operators import clustering, hierarchy, pair_stats, pairs, stages, variants
 from certloom.operators import search as searching
-from certloom.operators.lineage import cut
+from certloom.operators.lineage import cut, scratch_folder
+from certloom.operators.search_index import Index
 from certloom.sources.records import face_vectors, table, vectors
 
 #: Radii that give clusters on these vectors, which are far from each other.
 EPS, FACE_EPS, PAIRS_MOST = 0.60, 0.62, 0.62
 ASYMMETRY, MERGE, RECOVER, NOISE_PAIR = 0.10, 0.20, 0.97, 1.12
-QUERY_ID = 7
+QUERY_ID, WITHIN = 7, 0.8
 RADII = [0.03, 0.05, 0.1, 0.15, 0.56, 0.58, 0.60, 0.62]
 
 
@@ -41,6 +44,25 @@ def search_abnormal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(searching.search_by_id(vectors(spark, sf_dir), QUERY_ID, 100)).where("is_abnormal")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    return Index.build(vectors(spark, sf_dir).withColumn("vector_field", F.lit("image")), f"{scratch_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred nearest vectors of one, by a stored index that is built for it."""
+    return _scored(_index(spark, sf_dir).search("image", _vector_of(spark, sf_dir), 100))
+
+
+def search_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors within a distance of one, by a stored index."""
+    found = _index(spark, sf_dir).within("image", _vector_of(spark, sf_dir), WITHIN)
+    return found.select("entity_id", F.round("distance", 6).alias("distance"))
+
+
+def _vector_of(spark: SparkSession, sf_dir: str) -> list[float]:
+    return vectors(spark, sf_dir).where(F.col("entity_id") == QUERY_ID).first()["vector"]
+
+
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.distances(vectors(spark, sf_dir), "cosine", PAIRS_MOST).select("a", "b", F.round("distance", 6).alias("distance"))
 
@@ -59,7 +81,7 @@ def eps_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.histogram(cut(pairs.distances(vectors(spark, sf_dir), "cosine").select("distance")))
+    found = pair_stats.Distances(vectors(spark, sf_dir), "cosine").histogram(20)
     return found.select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "count")
 
 
@@ -159,7 +181,7 @@ def group_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_by_id, search_by_vector, search_exclude_self, search_abnormal, pair_distances, nearest_neighbours, kdist_curve, eps_estimate, distance_histogram, eps_sweep, dbscan_image, dbscan_face,
+        search_by_id, search_by_vector, search_exclude_self, search_abnormal, search_indexed, search_within, pair_distances, nearest_neighbours, kdist_curve, eps_estimate, distance_histogram, eps_sweep, dbscan_image, dbscan_face,
         abnormal_groups, group_order, layout_split, cluster_centroids, cluster_merge, noise_recover, noise_pair, noise_diagnostics, hdbscan_template, template_pipeline,
         template_sweep, template_fused, template_grouped, group_folders,
     )
@@ -207,6 +229,8 @@ SQL = {
     "search_by_vector": _search("select list_transform(generate_series(1, (select len(x) from v limit 1)), lambda i: case when i % 2 = 1 then 1.0::double else (-0.5)::double end) as x", 20),
     "search_exclude_self": _search(_BY_ID, 20, "and 1 - score >= 0.001"),
     "search_abnormal": f"select * from ({_search(_BY_ID, 100)}) where is_abnormal",
+    "search_indexed": _search(_BY_ID, 100),
+    "search_within": f"select * from (with {_V}, q as ({_BY_ID}) select id as entity_id, round(1 - list_cosine_similarity(v.x, q.x), 6) as distance from v, q where 1 - list_cosine_similarity(v.x, q.x) <= {WITHIN})",
     "pair_distances": f"with {_PAIRS} select a, b, round(d, 6) as distance from p where d <= {PAIRS_MOST}",
     "nearest_neighbours": f"with {_NEAR} select id as entity_id, other as neighbour, cast(rank as int) as rank, round(d, 6) as distance from near where rank <= 4",
     "kdist_curve": f"with {_NEAR}, {_CURVE.format(k=4)} select position, round(d, 6) as distance from curve",
