@@ -11,7 +11,7 @@ from certloom.config import SETTINGS, Settings
 from certloom.operators import rules
 from certloom.operators.lineage import cut, scratch_folder
 from certloom.operators.similarity import similar_hashes
-from certloom.sources.records import credentials
+from certloom.sources.records import credentials, faces, forensic_metrics
 from certloom.streaming.audit_stream import audited, batch_analyze_stream
 
 
@@ -48,15 +48,41 @@ def cross_validate(records: DataFrame, hashes: DataFrame | None = None, s: Setti
     return issues, header.withColumn("message", message)
 
 
-def batch_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming audit of the credentials of a folder, read back when it has ended."""
+def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials with faces and forensic flags; some without an image or with a broken one."""
+    k = F.col("entity_id")
+    # of several measurements of one image the most suspicious values count
+    metrics = forensic_metrics(spark, sf_dir).groupBy("entity_id").agg(*[F.max(c).alias(c) for c in ("ela_std", "bright_ratio", "max_gradient", "noise_ratio", "red_count")], F.min("color_variance").alias("color_variance"))
+    flags = metrics.select("entity_id", rules.forensic_flags().alias("risk_flags"))
+    records = credentials(spark, sf_dir).join(faces(spark, sf_dir), "entity_id", "left").join(flags, "entity_id", "left")
+    broken = F.when(k % 83 == 0, "cannot identify image file")
+    return records.withColumns({"filename": F.concat(k.cast("string"), F.lit(".png")), "has_image": k % 89 != 0, "image_error": broken})
+
+
+def _outcome(outcomes: DataFrame) -> DataFrame:
+    return outcomes.select("entity_id", "status", "error", "risk_level", F.size("issues").alias("n_issues"), F.size("risk_flags").alias("n_flags"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> str:
+    """The folder in which the streaming audit of the records of a data folder has ended."""
     folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
-    records = credentials(spark, sf_dir)
+    records = batch_records(spark, sf_dir)
     records.write.parquet(f"{folder}/records")
     batch_analyze_stream(spark, f"{folder}/records", records.schema, f"{folder}/results", f"{folder}/progress", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/results").select("entity_id", "status", "risk_level", F.size("issues").alias("n_issues"))
+    return folder
+
+
+def batch_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming audit of the records of a folder, read back when it has ended."""
+    return _outcome(spark.read.parquet(f"{_stream(spark, sf_dir)}/results"))
+
+
+def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the streaming audit: how far it is at each record."""
+    found = spark.read.parquet(f"{_stream(spark, sf_dir)}/results_events")
+    return found.select("done", "total", "id", "filename", "status", "risk_level", "error")
 
 
 def batch_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same audit without a stream."""
-    return audited(credentials(spark, sf_dir)).select("entity_id", "status", "risk_level", F.size("issues").alias("n_issues"))
+    return _outcome(audited(batch_records(spark, sf_dir)))

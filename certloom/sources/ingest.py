@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from certloom.config import SETTINGS, Settings
 from certloom.functions.vectors import or_zeros
+from certloom.operators.lineage import cut
 from certloom.operators.order import numbered
 from certloom.sources.images import extension
 from certloom.sources.store import Store, insert_missing, without
@@ -59,14 +60,13 @@ def certificates_of(rows: DataFrame) -> DataFrame:
 def ingest(store: Store, files: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """Take in files (path, length, image_vector, face_vector, template_vector).
 
-    The three vectors of all files are one append, so that none is stored without the
-    others; certificates follow, without those that are there. Returns entity_id, path
-    and filename.
+    The vectors of all files and the certificates that aren't there yet are one commit, so
+    that none is stored without the others. Returns entity_id, path and filename.
     """
     known = store.read("vectors").select("entity_id")
-    rows = with_ids(accepted(files, s), known, s)
-    store.append("vectors", vector_rows(rows, {name: getattr(s, dim) for name, dim in VECTOR_FIELDS.items()}))
-    store.append("certificates", insert_missing(store.read("certificates"), certificates_of(rows)))
+    rows = cut(with_ids(accepted(files, s), known, s))
+    vectors = vector_rows(rows, {name: getattr(s, dim) for name, dim in VECTOR_FIELDS.items()})
+    store.commit(added={"vectors": vectors, "certificates": insert_missing(store.read("certificates"), certificates_of(rows))})
     return rows.select("entity_id", "path", "filename")
 
 

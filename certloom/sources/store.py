@@ -1,82 +1,188 @@
 """The stored tables: reads, upserts, deletions and the joins between them.
 
-Tables are folders of Parquet with the declared schemas. Upserts append; the latest row
-of an entity counts. Deletions rewrite what stays.
+Upserts append; the latest row of an entity counts. Deletions rewrite what stays.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from certloom.config import SETTINGS, Settings
+from certloom.operators.lineage import delete
 from certloom.schema import TABLES
 
+#: Folders of a table from which on a commit writes it as one.
+FOLDERS = 64
+
 
 class Store:
-    """Tables below one folder."""
+    """Tables with the declared schemas below one folder, changed by commits.
+
+    A commit writes the new rows of all its tables to folders of their own and then one
+    small file that names the folders of every table in the next version. Readers see a
+    version whole: a failure between the writes leaves the last version as it was, and what
+    was written is deleted. Files of versions are created exclusively, so that of two writers
+    of one version the second fails and may try again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
-
     def create(self) -> None:
-        """Write each table that is missing, empty."""
-        for name, schema in TABLES.items():
-            if not self.exists(name):
-                self.spark.createDataFrame([], schema).write.parquet(self.path(name))
-
-    def exists(self, table: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(table))
-            return True
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
-
-    def read(self, table: str) -> DataFrame:
-        """The table with its declared schema; columns added later are null in old rows."""
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+        """The first version, with all tables empty, if there is none."""
+        if not self._versions():
+            self._publish(1, {name: [] for name in TABLES}, {})
+
+    def version(self) -> int:
+        """The number of the last complete version, 0 if there is none."""
+        return self._last()[0]
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """The table in the last or in an earlier version that is kept; columns added later
+        are null in old rows."""
+        _, manifest = self._last() if version is None else (version, self._load(version))
+        if manifest is None:
+            raise LookupError(f"the store has no version {version}")
+        folders = manifest["tables"].get(table, [])
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*folders)
 
     def latest(self, table: str) -> DataFrame:
         return latest(self.read(table), "entity_id", "created_at")
 
+    def commit(self, added: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, source: str | None = None, number: int = 0) -> bool:
+        """Append and replace rows of several tables, all or none.
+
+        ``source`` and ``number`` name a step of a numbered run, as the batches of a stream: a
+        step that is not after the last committed one of its source is left out, and False
+        returned.
+        """
+        version, manifest = self._last()
+        steps = dict(manifest["steps"]) if manifest else {}
+        if source is not None:
+            if number <= steps.get(source, -1):
+                return False
+            steps[source] = number
+        tables = {name: list(folders) for name, folders in manifest["tables"].items()} if manifest else {}
+        new: list[str] = []
+        try:
+            for name, rows in (replaced or {}).items():
+                tables[name] = [self._write(name, rows, new)]
+            for name, rows in (added or {}).items():
+                folder = self._write(name, rows, new)
+                tables[name] = [*tables.get(name, []), folder]
+                if len(tables[name]) > FOLDERS:
+                    tables[name] = [self._write(name, self.spark.read.schema(TABLES[name]).parquet(*tables[name]), new)]
+            self._publish(version + 1, tables, steps)
+        except Exception:
+            for folder in new:
+                delete(self.spark, folder)
+            raise
+        return True
+
     def append(self, table: str, rows: DataFrame) -> None:
-        conform(rows, TABLES[table]).write.mode("append").parquet(self.path(table))
+        self.commit(added={table: rows})
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Write the rows beside the table and read them back before it is overwritten."""
-        beside = f"{self.path(table)}__new"
-        conform(rows, TABLES[table]).write.mode("overwrite").parquet(beside)
-        self.spark.read.schema(TABLES[table]).parquet(beside).write.mode("overwrite").parquet(self.path(table))
+        self.commit(replaced={table: rows})
 
     def delete(self, table: str, ids: DataFrame, key: str = "entity_id") -> None:
         self.replace(table, without(self.read(table), ids, key))
 
+    def purge_orphans(self, images: DataFrame) -> dict[str, int]:
+        """Delete the vectors whose image is gone. ``images``: entity_id. Returns how many
+        entities went (deleted) and how many are left (remaining)."""
+        vectors = self.read("vectors")
+        gone = orphans(vectors, images).select("entity_id").distinct()
+        before = vectors.select("entity_id").distinct().count()
+        self.delete("vectors", gone)
+        remaining = self.read("vectors").select("entity_id").distinct().count()
+        return {"deleted": before - remaining, "remaining": remaining}
+
     def append_run(self, header: DataFrame, issues: DataFrame) -> int:
-        """Append the header of a run under the next number, then its issues with it."""
+        """Append the header of a run under the next number and its issues with it."""
         last = self.read("cross_validate_runs").agg(F.max("run_id").alias("n")).first()["n"]
         run_id = (last or 0) + 1
-        self.append("cross_validate_runs", with_run(header, run_id))
-        self.append("fraud_issues", with_run(issues.withColumn("issue_type", F.lit("cross")), run_id))
+        self.commit(added={"cross_validate_runs": with_run(header, run_id), "fraud_issues": with_run(issues.withColumn("issue_type", F.lit("cross")), run_id)})
         return run_id
 
     def replace_single_issues(self, issues: DataFrame, ids: DataFrame) -> None:
         self.replace("fraud_issues", single_issues_replaced(self.read("fraud_issues"), issues, ids))
 
     def counts(self) -> DataFrame:
-        """(table, n) of all tables that exist."""
+        """(table, n) of all tables."""
         out = None
         for name in TABLES:
-            if self.exists(name):
-                row = self.read(name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
-                out = row if out is None else out.unionByName(row)
+            row = self.read(name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
+            out = row if out is None else out.unionByName(row)
         return out
 
+    def clean(self, keep: int = 2) -> None:
+        """Delete all but the last few versions, and the folders that only those named or that
+        a writer which failed left behind. Not for use while others write."""
+        versions = [v for v in self._versions() if self._load(v) is not None]
+        kept = versions[-keep:]
+        used = {folder.rsplit("/", 1)[1] for v in kept for folders in self._load(v)["tables"].values() for folder in folders}
+        for v in self._versions():
+            if v not in kept:
+                delete(self.spark, self._file(v))
+        for name in TABLES:
+            for folder in self._names(f"{self.folder}/{name}"):
+                if folder not in used:
+                    delete(self.spark, f"{self.folder}/{name}/{folder}")
+
+    def _write(self, table: str, rows: DataFrame, new: list[str]) -> str:
+        new.append(f"{self.folder}/{table}/{uuid.uuid4().hex}")
+        conform(rows, TABLES[table]).write.parquet(new[-1])
+        return new[-1]
+
+    def _file(self, version: int) -> str:
+        return f"{self.folder}/versions/{version:012d}"
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path(folder), self._fs()
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(name) for name in self._names(f"{self.folder}/versions") if name.isdigit())
+
+    def _publish(self, version: int, tables: dict[str, list[str]], steps: dict[str, int]) -> None:
+        out = self._fs().create(self.spark._jvm.org.apache.hadoop.fs.Path(self._file(version)), False)
+        out.write(bytearray(json.dumps({"tables": tables, "steps": steps}).encode()))
+        out.close()
+
+    def _load(self, version: int) -> dict | None:
+        """A version's tables; None if its file is absent or was not written to its end."""
+        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._file(version)), self._fs()
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
+    def _last(self) -> tuple[int, dict | None]:
+        """The number after which the next version comes, and the last complete version."""
+        versions = self._versions()
+        for v in reversed(versions):
+            manifest = self._load(v)
+            if manifest is not None:
+                return versions[-1], manifest
+        return (versions[-1] if versions else 0), None
+
 
 def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """The declared columns, cast; those that are absent are null."""
