@@ -133,28 +133,74 @@ def bits(left: list[Column], right: list[Column]) -> Column:
 WORDS = ("w0", "w1", "w2", "w3")
 
 
-def hash_bands(threshold: int) -> Column:
-    """The 256 bits in ``threshold`` bands: hashes within fewer bits share one whole."""
+#: Classes of one band from which on it is cut into further bands.
+HOT = 1_000
+
+
+def bands(binary: Column, length: int, threshold: int) -> Column:
+    """A text of bits in ``threshold`` bands: texts that differ in fewer bits share one whole.
+    ``rest``: the bits outside of the band."""
+    cuts = [round(i * length / threshold) for i in range(threshold + 1)]
+    return F.array(*[
+        F.struct(F.lit(i).alias("band"), F.substring(binary, a + 1, b - a).alias("bits"), F.concat(F.substring(binary, 1, a), F.substring(binary, b + 1, length - b)).alias("rest"))
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
+    ])
+
+
+def hash_classes(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal hashes: (c1, c2, distance) of different ones that differ in fewer than
+    ``threshold`` bits, and the members (entity_id, class) of all. With a region, by region.
+
+    A class is named by its smallest id. Classes meet in bands. A band that many share is
+    cut again: those of them that are near differ in fewer bits outside of it too, and share
+    one of as many bands of the rest.
+    """
+    keys = [region] if region else []
+    classes = cut(hashes.groupBy(*keys, *WORDS).agg(F.min("entity_id").alias("class")))
     binary = F.concat(*[F.lpad(F.bin(w), 64, "0") for w in WORDS])
-    cuts = [round(i * 256 / threshold) for i in range(threshold + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.substring(binary, a + 1, b - a).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    banded = classes.select(*keys, "class", *WORDS, F.explode(bands(binary, 256, threshold)).alias("b")).select(*keys, "class", *WORDS, "b.*")
+    counts = banded.groupBy(*keys, "band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(banded.join(counts, [*keys, "band", "bits"]))
+    crowded = F.col("n") > HOT
+    plain = met.where(~crowded).select(*keys, "class", *WORDS, "band", "bits", F.lit(-1).alias("band2"), F.lit("").alias("bits2"))
+    again = []
+    for band in range(threshold):  # the rest of a band has a length of its own
+        length = 256 - (round((band + 1) * 256 / threshold) - round(band * 256 / threshold))
+        more = met.where(crowded & (F.col("band") == band)).select(*keys, "class", *WORDS, "band", "bits", F.explode(bands(F.col("rest"), length, threshold)).alias("b"))
+        again.append(more.select(*keys, "class", *WORDS, "band", "bits", F.col("b.band").alias("band2"), F.col("b.bits").alias("bits2")))
+    for more in again:
+        plain = plain.unionByName(more)
+    on = [*keys, "band", "bits", "band2", "bits2"]
+    left = plain.select(*on, F.col("class").alias("c1"), *[F.col(w).alias(f"a{w}") for w in WORDS])
+    right = plain.select(*on, F.col("class").alias("c2"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    distance = bits([F.col(f"a{w}") for w in WORDS], [F.col(f"b{w}") for w in WORDS])
+    near = left.join(right, on).where((F.col("c1") < F.col("c2")) & (distance < threshold)).select(*keys, "c1", "c2", distance.alias("distance")).distinct()
+    return near, hashes.join(classes, [*keys, *WORDS]).select(*keys, "entity_id", "class")
+
+
+def hash_links(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> DataFrame:
+    """(entity_id, class, n_links): of each hash how many others are near, copies included;
+    no pair of records is made."""
+    keys = [region] if region else []
+    near, members = hash_classes(hashes, threshold, region)
+    near, members = cut(near), cut(members)
+    sizes = members.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("size"))
+    ends = near.select(*keys, F.col("c1").alias("class"), F.col("c2").alias("other")).unionByName(near.select(*keys, F.col("c2").alias("class"), F.col("c1").alias("other")))
+    others = ends.join(sizes.withColumnRenamed("class", "other"), [*keys, "other"]).groupBy(*keys, "class").agg(F.sum("size").alias("more"))
+    counted = sizes.join(others, [*keys, "class"], "left").select(*keys, "class", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return members.join(counted, [*keys, "class"]).select(*keys, "entity_id", "class", "n_links")
 
 
 def similar_hashes(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> DataFrame:
     """(id1, id2, distance) of hashes that differ in fewer than ``threshold`` bits.
 
     ``hashes``: entity_id, w0..w3 and, if named, a region within which they are held
-    against each other. Equal hashes are joined as classes first, so that copies meet
-    once in each band.
+    against each other. Classes are expanded to all pairs of their members, as issues ask
+    for; ``hash_classes`` and ``hash_links`` don't.
     """
     keys = [region] if region else []
-    classes = hashes.groupBy(*keys, *WORDS).agg(F.min("entity_id").alias("class"))
-    banded = classes.select(*keys, "class", *WORDS, F.explode(hash_bands(threshold)).alias("b")).select(*keys, "class", *WORDS, "b.band", "b.bits")
-    left = banded.select(*keys, "band", "bits", F.col("class").alias("c1"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-    right = banded.select(*keys, "band", "bits", F.col("class").alias("c2"), *[F.col(w).alias(f"b{w}") for w in WORDS])
-    distance = bits([F.col(f"a{w}") for w in WORDS], [F.col(f"b{w}") for w in WORDS])
-    close = left.join(right, [*keys, "band", "bits"]).where((F.col("c1") < F.col("c2")) & (distance < threshold)).select(*keys, "c1", "c2", distance.alias("distance")).distinct()
-    same = classes.select(*keys, F.col("class").alias("c1"), F.col("class").alias("c2"), F.lit(0).alias("distance"))
-    members = hashes.join(classes, [*keys, *WORDS]).select(*keys, "entity_id", "class")
-    pairs = close.unionByName(same).join(members.select(*keys, F.col("class").alias("c1"), F.col("entity_id").alias("x")), [*keys, "c1"]).join(members.select(*keys, F.col("class").alias("c2"), F.col("entity_id").alias("y")), [*keys, "c2"])
+    near, members = hash_classes(hashes, threshold, region)
+    classes = members.select(*keys, F.col("class").alias("c1")).distinct()
+    same = classes.select(*keys, "c1", F.col("c1").alias("c2"), F.lit(0).alias("distance"))
+    pairs = near.unionByName(same).join(members.select(*keys, F.col("class").alias("c1"), F.col("entity_id").alias("x")), [*keys, "c1"]).join(members.select(*keys, F.col("class").alias("c2"), F.col("entity_id").alias("y")), [*keys, "c2"])
     return pairs.where((F.col("c1") != F.col("c2")) | (F.col("x") < F.col("y"))).select(*keys, F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "distance")

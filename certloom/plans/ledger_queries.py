@@ -106,10 +106,17 @@ def cross_validate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_hashes_of_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from certloom.sources.records import region_hashes
-
-    region = F.element_at(F.array(*map(F.lit, ("photo", "seal", "bottom"))), (F.floor(F.col("entity_id") / 4) % 3 + 1).cast("int"))
-    return region_hashes(spark, sf_dir).withColumn("region", region)
+    """Hashes of three regions of each document, alike among as many neighbours as the region has."""
+    regions = "inline(array(named_struct('region', 'photo', 'k', 4), named_struct('region', 'seal', 'k', 3), named_struct('region', 'bottom', 'k', 5)))"
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", regions)
+    return rows.selectExpr(
+        "doc_id as entity_id",
+        "region",
+        "((doc_id div k + 1) * 2654435761L) ^ (shiftleft(1L, cast((doc_id % k) * 5 as int)) - 1) as w0",
+        "(doc_id div k + 1) * 2246822519L as w1",
+        "(doc_id div k + 1) * 3266489917L as w2",
+        "(doc_id div k + 1) * 668265263L as w3",
+    )
 
 
 def cross_validate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +174,9 @@ _LABELS = "g as (select doc_id as entity_id, case when doc_id % 10 < 3 then -1 e
 _GROUPS = f"""{_LABELS}, n as (select *, case when label < 0 then 'noise_' || entity_id else cast(label as varchar) end as group_id, label < 0 as is_noise from g),
  k as (select group_id, is_noise, count(*) as count from n group by all)"""
 _THREE_RULES = _SINGLE.split(" union all select entity_id, '照片年龄异常'")[0]
-_HASHES = """h as (select doc_id as id, ['photo', 'seal', 'bottom'][(doc_id // 4) % 3 + 1] as region, xor((doc_id//4+1)*2654435761, (cast(1 as bigint) << cast((doc_id%4)*5 as int)) - 1) as w0,
- (doc_id//4+1)*2246822519 as w1, (doc_id//4+1)*3266489917 as w2, (doc_id//4+1)*668265263 as w3 from documents),
+_HASHES = """r as (select 'photo' as region, 4 as k union all select 'seal', 3 union all select 'bottom', 5),
+ h as (select doc_id as id, region, xor((doc_id//k+1)*2654435761, (cast(1 as bigint) << cast((doc_id%k)*5 as int)) - 1) as w0,
+ (doc_id//k+1)*2246822519 as w1, (doc_id//k+1)*3266489917 as w2, (doc_id//k+1)*668265263 as w3 from documents, r),
  p as (select a.id as x, b.id as y, a.region, bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) as d from h a join h b on a.region = b.region and a.id < b.id)"""
 
 SQL = {

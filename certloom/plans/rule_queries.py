@@ -75,6 +75,11 @@ def region_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_hashes(region_hashes(spark, sf_dir))
 
 
+def region_hash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each image its class of equal hashes and how many others are near."""
+    return similarity.hash_links(region_hashes(spark, sf_dir)).select("entity_id", F.col("class").alias("class_id"), "n_links")
+
+
 def forensic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forensic_metrics(spark, sf_dir).withColumn("flags", rules.forensic_flags())
     return found.select("entity_id", F.array_join("flags", ",").alias("risk_flags"), F.size("flags").alias("n_flags"), rules.forensic_level(F.col("flags")).alias("risk_level"))
@@ -115,6 +120,7 @@ QUERIES = {
         rule9_dup_cert_no,
         rule10_similar_cert_no,
         region_hash_pairs,
+        region_hash_links,
         forensic_rollup,
         risk_levels,
         cross_validate_summary,
@@ -174,6 +180,10 @@ SQL = {
     "region_hash_pairs": f"""with {HASHES_SQL}, d as (select a.entity_id as id1, b.entity_id as id2,
  bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) as distance from hashes a join hashes b on a.entity_id < b.entity_id)
  select id1, id2, cast(distance as int) as distance from d where distance < 10""",
+    "region_hash_links": f"""with {HASHES_SQL}, d as (select a.entity_id as id1, b.entity_id as id2,
+ bit_count(xor(a.w0, b.w0)) + bit_count(xor(a.w1, b.w1)) + bit_count(xor(a.w2, b.w2)) + bit_count(xor(a.w3, b.w3)) as distance from hashes a join hashes b on a.entity_id < b.entity_id),
+ w as (select id1 as entity_id from d where distance < 10 union all select id2 from d where distance < 10), n as (select entity_id, count(*) as n from w group by 1)
+ select h.entity_id, min(h.entity_id) over (partition by w0, w1, w2, w3) as class_id, coalesce(n, 0) as n_links from hashes h left join n using (entity_id)""",
     "forensic_rollup": f"""with {METRICS_SQL}, f as (select entity_id, {_FLAGS} as risk_flags from metrics),
  n as (select *, case when risk_flags = '' then 0 else len(risk_flags) - len(replace(risk_flags, ',', '')) + 1 end as n_flags from f)
  select entity_id, risk_flags, cast(n_flags as int) as n_flags, case when n_flags >= 2 then '高' when n_flags = 1 then '中' else '低' end as risk_level from n""",

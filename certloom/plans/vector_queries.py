@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certloom.operators import clustering, hierarchy, pair_stats, pairs, stages, variants
+from certloom.operators import clustering, hierarchy, linkage, pair_stats, pairs, stages, variants
 from certloom.operators import search as searching
 from certloom.operators.lineage import cut, scratch_folder
 from certloom.operators.search_index import Index
@@ -16,7 +16,7 @@ from certloom.sources.records import face_vectors, table, vectors
 #: Radii that give clusters on these vectors, which are far from each other.
 EPS, FACE_EPS, PAIRS_MOST = 0.60, 0.62, 0.62
 ASYMMETRY, MERGE, RECOVER, NOISE_PAIR = 0.10, 0.20, 0.97, 1.12
-QUERY_ID, WITHIN = 7, 0.8
+QUERY_ID, WITHIN, LINKAGE = 7, 0.8, 1.1
 RADII = [0.03, 0.05, 0.1, 0.15, 0.56, 0.58, 0.60, 0.62]
 
 
@@ -144,6 +144,11 @@ def hdbscan_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.group_ids(hierarchy.hdbscan(vectors(spark, sf_dir), epsilon=EPS))
 
 
+def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters whose members are all within the radius of each other."""
+    return linkage.complete_linkage(vectors(spark, sf_dir), LINKAGE, "euclidean")
+
+
 def template_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All template stages after a hierarchical clustering."""
     first = hierarchy.hdbscan(vectors(spark, sf_dir), epsilon=EPS)
@@ -182,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_by_id, search_by_vector, search_exclude_self, search_abnormal, search_indexed, search_within, pair_distances, nearest_neighbours, kdist_curve, eps_estimate, distance_histogram, eps_sweep, dbscan_image, dbscan_face,
-        abnormal_groups, group_order, layout_split, cluster_centroids, cluster_merge, noise_recover, noise_pair, noise_diagnostics, hdbscan_template, template_pipeline,
+        abnormal_groups, group_order, layout_split, cluster_centroids, cluster_merge, noise_recover, noise_pair, noise_diagnostics, hdbscan_template, complete_linkage, template_pipeline,
         template_sweep, template_fused, template_grouped, group_folders,
     )
 }
