@@ -456,6 +456,16 @@ def test_context_separates_quotation_from_abuse():
         ("er schrieb „du bist ein idiot und mehr nicht“ gestern", 0.0, 0.1),
         ("it’s you, idiot, and it’s so", 1.0, 1.0),
         ('"never closed, you idiot', 1.0, 1.0),
+        ("you i.d.i.o.t", 1.0, 1.0),
+        ("you are an i d i o t", 1.0, 1.0),
+        ("so y o u i d i o t go", 1.0, 1.0),
+        ("i.d.o.i.t, m/o/r/o/n", 1.6, 1.8),
+        ("an i_d_i_o_t", 1.0, 1.0),
+        ("such an iidiiot", 0.8, 0.8),
+        ("the word i d i o t", 0.1, 0.45),
+        ('he wrote "i.d.i.o.t" here', 0.0, 0.1),
+        ("the word idiot", 0.1, 0.45),
+        ("plan a b c d e f, x.y.z.t and a fol", 0.0, 0.0),
     ],
 )
 def test_joined_and_long_drawn_terms_and_quotations(text, least, most):
@@ -470,6 +480,17 @@ def test_stems_are_states_of_the_automaton():
     assert total("an idiom") == 0 and total("idiots, " + "i" * 50 + "diot") == 2
 
 
+def test_everyday_words_count_by_the_sample(spark):
+    texts = ["take out the trash"] * 3 + ["you trash"] * 9 + ["what a clown you are"] * 2 + ["good day"] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(3 <= i < 14)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.learn(df, labels)
+    assert "trash" not in model.terms and "pig" not in model.terms and model.terms["clown"] == 1.0 and model.terms["idiot"] == 1.0
+    seldom = toxicity.learn(df, labels, usable=F.col("_id") < 12)
+    assert "clown" not in seldom.terms and seldom.matcher().total("a clown and a pig") == 0
+    assert model.score(model.matcher().total("the word idiot")) < 0.5 <= model.score(model.matcher().total("you idiot"))
+
+
 def test_toxicity_odd(spark, odd, empty):
     model = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in toxicity.score(odd, model).collect()} == {0}
