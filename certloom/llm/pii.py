@@ -173,7 +173,7 @@ DETERMINERS = frozenset("the a an this that each every any some my your his her
 
 # Every pattern takes time in proportion to the text: runs are possessive, and each
 # starts at a sign or a word that no other start shares.
-_D = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_D = r"(?:(?:double|triple)[\s-]++)?+(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPACED_DOT = r"\s++(?:dot|punkt|punto)\s++"
 _BRACKETS = r"[\(\[\{<]\s*+(?:%s)\s*+[\)\]\}>]"
 _GAP = r"[\s,-]++"
@@ -189,6 +189,19 @@ HOST = re.compile(_HOST)
 NEXT_LABEL = re.compile(rf"(?P<dot>\.|\s++(?:dot|punkt|punto|(?P<point>point))\s++)(?P<label>{_HOST})", re.I)
 AFTER_SPACED_AT = re.compile(rf"{_HOST}(?:\s*+\.\s*+|\s++dot\s++)[A-Za-z]", re.I)
 NAME_DOT = re.compile(r"\s+dot$", re.I)
+#: Signs of addresses as they are written in links and in markup.
+ESCAPED = re.compile(r"(?P<at>%40(?=[a-z0-9])|&#0*+64;|&#x0*+40;|&commat;)|&#0*+46;|&#x0*+2e;|&period;", re.I)
+#: nameAThostDOTending and name_at_host_dot_ending.
+CAPITALS = re.compile(r"(?<=[a-z0-9])AT[a-z0-9-]++(?:DOT[a-z0-9-]++)++")
+JOINED = re.compile(r"(?<=[A-Za-z0-9])([_-])at\1[A-Za-z0-9]++(?:\1dot\1[A-Za-z0-9]++)++(?![A-Za-z0-9_-])", re.I)
+#: Digits, with letters like them among them, and what stands between groups of digits.
+NUMBER = re.compile(r"(?<![A-Za-z0-9|])(?:\+[ (]?)?[0-9OoIl|]++(?:[ .()-]{1,2}+[0-9OoIl|]++)*+")
+LETTER_DIGITS = str.maketrans("OoIl|", "00111")
+LETTER_IN_NUMBER = re.compile(r"[0-9+](?:\.?[OoIl|]|(?<=[OoIl|][0-9])|(?<=[OoIl|]\.[0-9]))")
+DIGIT_GROUP = re.compile(r"[0-9OoIl|]+")
+#: An ending that no list knows and that has more letters is a word, "at noon dot everyone
+#: left", unless the name or a further label of the host says otherwise.
+PLAUSIBLE_ENDING = 6
 #: What calls for the address transducers, in lower-cased text.
 SIGN_WORDS = re.compile(r"\s(?:dot|punkt|punto|point|arroba|arobase)\s")
 LOOSE_SIGN = re.compile(r"\s@|@\s")
@@ -213,6 +226,11 @@ def spelled_digits(view: View) -> View:
     """Digits in words as digits, each on its own range: where three or more follow each
     other, and where dots between them make an address of four numbers."""
     changes = []
+
+    def written_out(word: str) -> str:
+        words = re.split(r"[\s-]+", _lower(word))
+        return DIGIT_WORDS[words[-1]] * {"double": 2, "triple": 3}.get(words[0], 1)
+
     for run in SPELLED.finditer(view.text):
         parts = list(SPELLED_PART.finditer(view.text, *run.span()))
         groups = [[]]
@@ -222,16 +240,66 @@ def spelled_digits(view: View) -> View:
                 groups.append([])
         as_address = len(groups) >= 4
         for group in groups:
-            digits = sum(m.lastgroup == "digit" for m in group)
+            digits = sum(len(written_out(m[0])) for m in group if m.lastgroup == "digit")
             if not as_address and digits < 3:
                 continue
             for m in group:
-                new = DIGIT_WORDS[_lower(m[0])] if m.lastgroup == "digit" else "+" if m.lastgroup == "plus" else "." if m.lastgroup == "dot" else ""
+                new = written_out(m[0]) if m.lastgroup == "digit" else "+" if m.lastgroup == "plus" else "." if m.lastgroup == "dot" else ""
                 if m.lastgroup != "dot" or as_address:
                     changes.append((m.start(), m.end(), new))
     return view.replaced(changes)
 
 
+def letters_as_digits(view: View) -> View:
+    """O, I, l and | as digits in numbers of seven signs or more, most of them digits.
+
+    They are so in groups that have a digit, that follow a dot or a plus sign, or that have
+    three signs; any other group may be a word or a line of a table.
+    """
+    changes, text = [], view.text
+    for m in NUMBER.finditer(text):
+        a, b = m.span()
+        if b < len(text) and (text[b].isalnum() or text[b] == "_"):  # its last group is the beginning of a word
+            while b > a and text[b - 1] in "0123456789OoIl|":
+                b -= 1
+        found, digits = [], 0
+        for g in DIGIT_GROUP.finditer(text, a, b):
+            n = sum(c in "0123456789" for c in g[0])
+            digits += n
+            if n < len(g[0]) and (n or len(g[0]) > 2 or text[g.start() - 1 : g.start()] in (".", "+")):
+                found += [(i, i + 1, c.translate(LETTER_DIGITS)) for i, c in enumerate(g[0], g.start()) if c in "OoIl|"]
+        if len(found) + digits >= 7 and digits >= 2 * len(found) or digits >= len(found) and text.count(".", a, b) == 3:
+            changes += found
+    return view.replaced(changes)
+
+
+def escaped_signs(view: View) -> View:
+    """%40, &#64;, &#46; and the like as the signs."""
+    return view.replaced([(*m.span(), "@" if m["at"] else ".") for m in ESCAPED.finditer(view.text)])
+
+
+def joined_words(view: View) -> View:
+    """nameAThostDOTending, and with a known ending name_at_host_dot_ending."""
+    text, changes = view.text, []
+    found = [(m, "AT", "DOT") for m in CAPITALS.finditer(text)]
+    found += [(m, m[1] + "at" + m[1], m[1] + "dot" + m[1]) for m in JOINED.finditer(text)]
+    for m, sign, dot in sorted(found, key=lambda f: f[0].start()):
+        host = m[0][len(sign) :]
+        labels = re.split(dot, host, flags=0 if sign == "AT" else re.I)
+        ending = labels[-1]
+        if changes and changes[-1][1] > m.start() or not re.fullmatch("[A-Za-z]{2,24}", ending) or not all(labels):
+            continue
+        if sign != "AT" and labels[0].lower() in DETERMINERS or ending.lower() not in ENDINGS and (sign != "AT" or len(ending) > PLAUSIBLE_ENDING):
+            continue
+        changes.append((m.start(), m.start() + len(sign), "@"))
+        at = m.start() + len(sign)
+        for label in labels[:-1]:
+            at += len(label)
+            changes.append((at, at + len(dot), "."))
+            at += len(dot)
+    return view.replaced(changes)
+
+
 def bracketed_signs(view: View) -> View:
     """(at), [dot] and the like, with the blanks around them, as the signs."""
     text, changes, free = view.text, [], 0
@@ -329,6 +397,8 @@ def addresses_in_words(view: View) -> View:
         odd_name = not plain and re.search("[._0-9]", text[start:left]) is not None
         if not (out or known and (any_spelled or odd_name)):
             continue
+        if sign[0].lower() == "at" and len(ending) > PLAUSIBLE_ENDING and not (known or odd_name or dots or len(labels) > 2):
+            continue
         changes += [(a, b, ".") for a, b in dots]
         if not plain:
             changes.append((left, right, "@"))
@@ -342,13 +412,20 @@ def undisguised(text: str) -> View | None:
     table, disguised = characters()
     odd = not text.isascii() and not disguised.isdisjoint(text)
     # each is a necessary condition; the dots of a spelled IP call for an address, too
-    if not (odd or _calls_for_address(text.lower()) or any(m.end() - m.start() > 8 for m in SPELLED.finditer(text))):
+    lower = text.lower()
+    escaped = any(x in lower for x in ("%40", "&#", "&commat;", "&period;"))
+    joined = "dot" in lower and ("AT" in text and "DOT" in text or "_at_" in lower or "-at-" in lower)
+    if not (odd or escaped or joined or LETTER_IN_NUMBER.search(text) or _calls_for_address(lower) or any(m.end() - m.start() > 8 for m in SPELLED.finditer(text))):
         return None
     view = View.of(text)
     if odd:
         view = view.translated(table)
-    view = spelled_digits(view)
+    if escaped:
+        view = escaped_signs(view)
+    view = spelled_digits(letters_as_digits(view))
     view = view.replaced([(*m.span(), ".") for m in NUMBER_DOT.finditer(view.text)])
+    if "dot" in view.text.lower():
+        view = joined_words(view)
     return addresses_in_words(spaced_signs(bracketed_signs(view)))
 
 
@@ -388,8 +465,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each row of ``docs`` with its identifiers.
 
     Counts (n_email, n_ip, n_card, n_phone) and ``spans`` are of all spans, plain and
-    disguised; ``base_sha256`` and ``n_base`` are of the plain ones. Offsets are code
-    points of the source text, the end exclusive. Null and empty texts have no spans,
+    disguised; ``base_sha256`` and ``n_base`` are of the plain ones. Plain spans always
+    stay, so that an identifier of which the patterns see a part only (after an invisible
+    character in a name) counts as that part and as the whole. Offsets are code points of the source text, the end exclusive. Null and empty texts have no spans,
     repeated rows are repeated, a null id stays null, other columns are ignored.
     """
 
