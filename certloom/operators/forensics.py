@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 # The standard JPEG quantisation tables, luminance and chrominance.
 LUMINANCE = np.array([
@@ -272,27 +275,43 @@ def fold(rgb: np.ndarray) -> dict[str, float | bool]:
 
 MEASURED = (
     "entity_id long, ela_std double, ela_mean double, bright_ratio double, max_gradient double, mean_gradient double, noise_ratio double, red_count long, red_ratio double,"
-    " color_variance double, asymmetry double, photo_hash string, seal_hash string, bottom_hash string, full_hash string, color array<double>, error string"
+    " color_variance double, asymmetry double, photo_hash string, seal_hash string, bottom_hash string, full_hash string, color array<double>,"
+    " border array<double>, mean_color array<double>, aspect_ratio double, hist_chi2 double, edge_asymmetry double, brightness_diff double,"
+    " edge_ratio double, brightness_dip double, is_fold boolean, error string"
 )
 
 
 def measure(images: DataFrame) -> DataFrame:
-    """All measurements of the rows of the image source; a failing image has an error."""
-    columns = [c.strip().split()[0] for c in MEASURED.split(",")]
-
-    def one(row) -> dict:
-        rgb = from_bgr(row.data, row.height, row.width, row.channels)
-        return {**error_level(rgb), **photo_edge(rgb), **seal(rgb), "asymmetry": asymmetry(rgb), **{f"{r}_hash": mean_hash(rgb, r) for r in REGIONS}, "color": color_features(rgb), "error": None}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples():
-                try:
-                    found = one(row)
-                except (ValueError, IndexError, TypeError) as e:
-                    found = {"error": str(e)}
-                rows.append({"entity_id": row.entity_id, **found})
-            yield pd.DataFrame(rows, columns=columns)
-
-    return images.mapInPandas(run, MEASURED)
+    """All measurements of the rows of the image source, a batch or a stream: re-compression
+    error, portrait, seal, hashes, colours, border, layout and fold. An image that doesn't
+    decode, or fails to be measured, is a row with an error and nulls. A batch of rows is
+    measured row by row, so that a task holds the pixels of one Arrow batch."""
+    schema = to_arrow_schema(StructType.fromDDL(MEASURED))
+
+    def one(row: dict) -> dict:
+        rgb = from_bgr(row["data"], row["height"], row["width"], row["channels"])
+        return {
+            **error_level(rgb), **photo_edge(rgb), **seal(rgb), **{f"{r}_hash": mean_hash(rgb, r) for r in REGIONS}, "asymmetry": asymmetry(rgb),
+            "color": color_features(rgb), "border": border_histogram(rgb), "mean_color": mean_color(rgb), **layout_diagnostics(rgb), **fold(rgb),
+        }
+
+    def measured(row: dict) -> dict:
+        found = {"entity_id": row["entity_id"], "error": row["error"]}
+        if row["error"] is None:
+            try:
+                found |= one(row)
+            except (ValueError, IndexError, TypeError) as e:
+                found["error"] = str(e)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([measured(row) for row in batch.to_pylist()], schema)
+
+    return images.select("entity_id", "height", "width", "channels", "data", "error").mapInArrow(run, MEASURED)
+
+
+def measured_stream(images: DataFrame, results: str, checkpoint: str) -> StreamingQuery:
+    """Measure the images that have arrived since the last call; each is one stored row, also
+    if a call fails and is repeated."""
+    return measure(images).writeStream.format("parquet").option("path", results).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

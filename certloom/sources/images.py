@@ -1,4 +1,4 @@
-"""Image files of a folder: validity, names and pixels, by Spark's own readers."""
+"""Image files of a folder: validity, names and pixels, by Spark's own readers, also as a stream."""
 
 from __future__ import annotations
 
@@ -36,7 +36,27 @@ def stored_ids(spark: SparkSession, folder: str, s: Settings = SETTINGS) -> Data
     return spark.read.format("binaryFile").load(folder).select(entity_of(path, s).alias("entity_id"), F.regexp_extract(path, "([^/]+)$", 1).alias("filename")).where("entity_id is not null")
 
 
-def pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(entity_id, height, width, channels, data) of the images that decode; data is BGR."""
-    found = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return found.select(entity_of(F.col("image.origin")).alias("entity_id"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+#: What the image reader gives; a stream needs it stated.
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+UNREADABLE = "image cannot be decoded"
+
+
+def pixels(spark: SparkSession, folder: str, stream: bool = False, s: Settings = SETTINGS) -> DataFrame:
+    """(path, entity_id, height, width, channels, data, error) of the images of a folder, or
+    of those that arrive in it.
+
+    Files with an allowed extension are images, others are left out. Data is BGR; a file
+    that doesn't decode is a row without sizes and data, and with an error. The id is null
+    if the name is no number. An empty folder has no rows, and Spark's
+    listing leaves out files without a byte: a join with the known ids shows those.
+    """
+    reader = (spark.readStream if stream else spark.read).format("image").schema(IMAGE).option("dropInvalid", False)
+    reader = reader.option("pathGlobFilter", "*.{%s}" % ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in s.extensions))
+    found = reader.load(folder)
+    path = F.col("image.origin")
+    decoded = F.coalesce(F.col("image.height") > 0, F.lit(False))
+    part = lambda name, new: F.when(decoded, F.col(f"image.{name}")).alias(new)
+    return found.select(
+        path.alias("path"), entity_of(path, s).alias("entity_id"), part("height", "height"), part("width", "width"), part("nChannels", "channels"), part("data", "data"),
+        F.when(~decoded, F.lit(UNREADABLE)).alias("error"),
+    )

@@ -65,8 +65,47 @@ def test_image_folder(spark, tmp_path):
     found = {r["path"].rsplit("/", 1)[1]: (r["entity_id"], r["is_valid"]) for r in images.files(spark, str(tmp_path)).collect()}
     assert found == {"12.bmp": (12, True), "13.BMP": (13, True), "notes.txt": (None, False)}
     assert sorted(r["entity_id"] for r in images.stored_ids(spark, str(tmp_path)).collect()) == [12, 13]
-    measured = forensics.measure(images.pixels(spark, str(tmp_path))).collect()
-    assert [(r["entity_id"], r["red_count"], r["error"]) for r in measured] == [(12, 1024, None)]
+    measured = {r["entity_id"]: r for r in forensics.measure(images.pixels(spark, str(tmp_path))).collect()}
+    assert {k: (r["red_count"], r["error"]) for k, r in measured.items()} == {12: (1024, None), 13: (None, images.UNREADABLE)}
+    good = measured[12]
+    assert good["aspect_ratio"] == 1 and not good["is_fold"] and good["hist_chi2"] == 0 == good["brightness_diff"]
+    assert len(good["border"]) == 64 and good["mean_color"][0] == 0 and good["mean_color"][3] == 10
+    assert measured[13]["border"] is None and measured[13]["is_fold"] is None
+
+
+def test_images_as_a_stream(spark, tmp_path):
+    folder, out, checkpoint = (tmp_path / x for x in ("in", "out", "checkpoint"))
+    folder.mkdir()
+    flat = np.full((20, 30, 3), 90, dtype=np.uint8)
+
+    def run():
+        forensics.measured_stream(images.pixels(spark, str(folder), stream=True), str(out), str(checkpoint)).awaitTermination()
+        return sorted((r["entity_id"], r["error"], r["aspect_ratio"]) for r in spark.read.parquet(str(out)).collect())
+
+    (folder / "1.bmp").write_bytes(bitmap(flat))
+    (folder / "notes.txt").write_text("x")
+    assert run() == [(1, None, 1.5)]
+    (folder / "2.png").write_bytes(b"no image")
+    (folder / "4.png").write_bytes(b"")
+    (folder / "3.BMP").write_bytes(bitmap(flat[:10]))
+    assert run() == [(1, None, 1.5), (2, images.UNREADABLE, None), (3, None, 3.0)]
+    assert len(run()) == 3, "nothing is measured twice"
+
+
+def test_rows_that_cannot_be_measured(spark):
+    rows = spark.createDataFrame([(1, 2, 2, 3, b"abc", None), (2, None, None, None, None, "gone"), (None, 1, 1, 1, b"x", None)], "entity_id long, height int, width int, channels int, data binary, error string")
+    got = {r["entity_id"]: r for r in forensics.measure(rows.withColumn("path", rows.error).withColumn("border", rows.width)).collect()}
+    assert got[1]["error"] and got[2]["error"] == "gone" and got[None]["error"] is None and got[None]["aspect_ratio"] == 1
+    assert forensics.measure(rows.where("false")).count() == 0
+
+
+def test_fold_and_halves():
+    page = np.full((60, 100, 3), 200, dtype=np.uint8)
+    page[:, 49:51] = 60
+    assert forensics.fold(page)["is_fold"] and not forensics.fold(np.full((60, 100, 3), 200, dtype=np.uint8))["is_fold"]
+    page[:, 50:] = 100
+    unlike = forensics.layout_diagnostics(page)
+    assert unlike["brightness_diff"] > 0.3 and unlike["hist_chi2"] > 0.9
 
 
 def test_store_round_trip(spark, tmp_path):
