@@ -22,6 +22,12 @@ from certloom.operators.lineage import cut
 MOST_VARIANTS = 300
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, not to be broadcast: rows that a short table is exploded to, or that compress
+    well, are many more than the size of its files says."""
+    return df.hint("merge")
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters (Ratcliff and Obershelp)."""
@@ -62,13 +68,13 @@ def similar_numbers(numbers: DataFrame, threshold: float) -> DataFrame:
     for (l1, l2), (d1, d2) in single.items():
         left = distinct.where(F.col("l") == l1).select(F.col("no").alias("no1"), F.explode(single_deletions(F.col("no"), l1, d1)).alias("key"))
         right = distinct.where(F.col("l") == l2).select(F.col("no").alias("no2"), F.explode(single_deletions(F.col("no"), l2, d2)).alias("key"))
-        candidates = candidates.union(left.join(right, "key").where("no1 <> no2").select("no1", "no2"))
+        candidates = candidates.union(shuffled(left).join(shuffled(right), "key").where("no1 <> no2").select("no1", "no2"))
     candidates = candidates.distinct()
     near = candidates.where(F.levenshtein("no1", "no2") <= F.ceil((F.length("no1") + F.length("no2")) * (1 - threshold)))
     verified = near.withColumn("similarity", ratio("no1", "no2")).where(F.col("similarity") >= threshold)
     first = numbers.select(F.col("entity_id").alias("id1"), F.col("cert_no").alias("no1"))
     second = numbers.select(F.col("entity_id").alias("id2"), F.col("cert_no").alias("no2"))
-    pairs = verified.join(first, "no1").join(second, "no2")
+    pairs = verified.join(shuffled(first), "no1").join(shuffled(second), "no2")
     ordered = (F.length("no1") < F.length("no2")) | (F.col("id1") < F.col("id2"))
     return pairs.where(ordered).select("id1", "no1", "id2", "no2", F.round("similarity", 6).alias("similarity"))
 
@@ -98,7 +104,7 @@ def by_pieces(distinct: DataFrame, bounds: dict[tuple[int, int], tuple[int, int]
     keyed = distinct.where(F.col("l").isin(*lengths)).select("no").mapInPandas(variants, "no string, l1 int, l2 int, short boolean, key string")
     short = keyed.where("short").select(F.col("no").alias("no1"), "l1", "l2", "key")
     long = keyed.where("not short").select(F.col("no").alias("no2"), "l1", "l2", "key")
-    return short.join(long, ["l1", "l2", "key"]).where("no1 <> no2").select("no1", "no2")
+    return shuffled(short).join(shuffled(long), ["l1", "l2", "key"]).where("no1 <> no2").select("no1", "no2")
 
 
 def keys(no: str, d1: int, d2: int, short: bool) -> list[str]:

@@ -101,3 +101,11 @@ def test_similar_hashes_against_all_pairs(spark):
     got = {(r["id1"], r["id2"], r["distance"]) for r in similarity.similar_hashes(df).collect()}
     want = {(i, j, d) for i, j in combinations(range(80), 2) if (d := (hashes[i] ^ hashes[j]).bit_count()) < 10}
     assert got == want
+
+
+@pytest.mark.parametrize("length", [9, 20])
+def test_exploded_numbers_are_not_broadcast(spark, length):
+    """A short table of numbers has many keys: its files' size must not choose a broadcast."""
+    df = spark.range(50).select(F.col("id").alias("entity_id"), F.lpad(F.col("id").cast("string"), length, "0").alias("cert_no"))
+    plan = similarity.similar_numbers(df, 0.85)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
