@@ -166,7 +166,7 @@ def hash_classes(hashes: DataFrame, threshold: int = 10, region: str | None = No
     binary = F.concat(*[F.lpad(F.bin(w), 64, "0") for w in WORDS])
     banded = classes.select(*keys, "class", *WORDS, F.explode(bands(binary, 256, threshold)).alias("b")).select(*keys, "class", *WORDS, "b.*")
     counts = banded.groupBy(*keys, "band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(banded.join(counts, [*keys, "band", "bits"]))
+    met = cut(banded.join(shuffled(counts), [*keys, "band", "bits"]))
     crowded = F.col("n") > HOT
     plain = met.where(~crowded).select(*keys, "class", *WORDS, "band", "bits", F.lit(-1).alias("band2"), F.lit("").alias("bits2"))
     again = []
@@ -180,8 +180,8 @@ def hash_classes(hashes: DataFrame, threshold: int = 10, region: str | None = No
     left = plain.select(*on, F.col("class").alias("c1"), *[F.col(w).alias(f"a{w}") for w in WORDS])
     right = plain.select(*on, F.col("class").alias("c2"), *[F.col(w).alias(f"b{w}") for w in WORDS])
     distance = bits([F.col(f"a{w}") for w in WORDS], [F.col(f"b{w}") for w in WORDS])
-    near = left.join(right, on).where((F.col("c1") < F.col("c2")) & (distance < threshold)).select(*keys, "c1", "c2", distance.alias("distance")).distinct()
-    return near, hashes.join(classes, [*keys, *WORDS]).select(*keys, "entity_id", "class")
+    near = shuffled(left).join(shuffled(right), on).where((F.col("c1") < F.col("c2")) & (distance < threshold)).select(*keys, "c1", "c2", distance.alias("distance")).distinct()
+    return near, hashes.join(shuffled(classes), [*keys, *WORDS]).select(*keys, "entity_id", "class")
 
 
 def hash_links(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> DataFrame:
@@ -192,9 +192,9 @@ def hash_links(hashes: DataFrame, threshold: int = 10, region: str | None = None
     near, members = cut(near), cut(members)
     sizes = members.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("size"))
     ends = near.select(*keys, F.col("c1").alias("class"), F.col("c2").alias("other")).unionByName(near.select(*keys, F.col("c2").alias("class"), F.col("c1").alias("other")))
-    others = ends.join(sizes.withColumnRenamed("class", "other"), [*keys, "other"]).groupBy(*keys, "class").agg(F.sum("size").alias("more"))
-    counted = sizes.join(others, [*keys, "class"], "left").select(*keys, "class", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-    return members.join(counted, [*keys, "class"]).select(*keys, "entity_id", "class", "n_links")
+    others = shuffled(ends).join(shuffled(sizes.withColumnRenamed("class", "other")), [*keys, "other"]).groupBy(*keys, "class").agg(F.sum("size").alias("more"))
+    counted = shuffled(sizes).join(shuffled(others), [*keys, "class"], "left").select(*keys, "class", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return shuffled(members).join(shuffled(counted), [*keys, "class"]).select(*keys, "entity_id", "class", "n_links")
 
 
 def similar_hashes(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> DataFrame:
@@ -208,5 +208,5 @@ def similar_hashes(hashes: DataFrame, threshold: int = 10, region: str | None =
     near, members = hash_classes(hashes, threshold, region)
     classes = members.select(*keys, F.col("class").alias("c1")).distinct()
     same = classes.select(*keys, "c1", F.col("c1").alias("c2"), F.lit(0).alias("distance"))
-    pairs = near.unionByName(same).join(members.select(*keys, F.col("class").alias("c1"), F.col("entity_id").alias("x")), [*keys, "c1"]).join(members.select(*keys, F.col("class").alias("c2"), F.col("entity_id").alias("y")), [*keys, "c2"])
+    pairs = near.unionByName(same).join(shuffled(members.select(*keys, F.col("class").alias("c1"), F.col("entity_id").alias("x"))), [*keys, "c1"]).join(shuffled(members.select(*keys, F.col("class").alias("c2"), F.col("entity_id").alias("y"))), [*keys, "c2"])
     return pairs.where((F.col("c1") != F.col("c2")) | (F.col("x") < F.col("y"))).select(*keys, F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "distance")

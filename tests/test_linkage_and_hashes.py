@@ -83,3 +83,10 @@ def test_many_equal_hashes_are_one_class(spark):
     assert near.count() == 0 and members.select("class").distinct().count() == 1
     assert similarity.hash_links(df).agg(F.min("n_links"), F.count("*")).first()[:] == (99_999, 100_000)
     assert similarity.hash_links(df.where("false")).count() == 0
+
+
+def test_bands_of_hashes_are_not_broadcast(spark):
+    df = spark.range(50).select(F.col("id").alias("entity_id"), F.lit("seal").alias("region"), *[(F.col("id") * 977 + k).alias(f"w{k}") for k in range(4)])
+    for found in (similarity.similar_hashes(df, 10, "region"), similarity.hash_links(df, 10, "region")):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
