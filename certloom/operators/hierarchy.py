@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from certloom.operators.graph import components
 from certloom.operators.lineage import Tables, cut
 from certloom.operators.order import numbered
-from certloom.operators.pairs import BLOCK, METRICS, _matrix, block_pairs
+from certloom.operators.pairs import BLOCK, METRICS, block_pairs, block_tiles
 
 #: Vectors of which a task merges trees, and edges that a task condenses.
 MERGED, TASK = 65_536, 200_000
@@ -98,10 +99,9 @@ def candidate_edges(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for same, a, b, p, q in zip(*(frame[c] for c in ("same", "a", "b", "block", "other"))):
-                (ids, x), (idb, y) = _matrix(a), _matrix(b)
+            for p, q, (ids, x), (idb, y) in chain.from_iterable(block_tiles(frame)):
                 d = measure(x, y)
-                if not same:
+                if p != q:
                     ids, n = np.concatenate([ids, idb]), len(ids)
                     across, d = d, np.full((len(ids), len(ids)), np.inf)
                     d[:n, n:], d[n:, :n] = across, across.T

@@ -42,10 +42,10 @@ class Distances:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def measured() -> Iterator[tuple]:
                 for frame in frames:
-                    for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
-                        (ida, x), (idb, y) = pairs._matrix(a), pairs._matrix(b)
-                        d = measure(x, y)
-                        yield ida, idb, np.where(ida[:, None] < idb[None, :], d, np.nan) if same else d
+                    for tiles in pairs.block_tiles(frame):
+                        for p, q, (ida, x), (idb, y) in tiles:
+                            d = measure(x, y)
+                            yield ida, idb, np.where(ida[:, None] < idb[None, :], d, np.nan) if p == q else d
 
             yield from reduce(measured())
 
@@ -162,20 +162,23 @@ def between_groups(items: DataFrame, metric: str = "cosine", block: int | None =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
-                (ida, x, la), (idb, y, lb) = _labelled(a), _labelled(b)
-                d = measure(x, y)
-                part = ida[:, None] < idb[None, :] if same else np.ones(d.shape, dtype=bool)
-                (ka, sa), (kb, sb) = np.unique(la, return_index=True), np.unique(lb, return_index=True)
-
-                def per_label(f: np.ufunc, values: np.ndarray) -> np.ndarray:
-                    return f.reduceat(f.reduceat(values, sa, axis=0), sb, axis=1).ravel()
-
-                out = pd.DataFrame({
-                    "x": np.repeat(ka, len(kb)), "y": np.tile(kb, len(ka)), "n": per_label(np.add, part.astype(np.int64)), "low": per_label(np.minimum, np.where(part, d, np.inf)),
-                    "high": per_label(np.maximum, np.where(part, d, -np.inf)), "total": per_label(np.add, np.where(part, d, 0.0)),
-                })
-                yield out[out["n"] > 0]
+            for tiles in pairs.block_tiles(frame, "label"):
+                out = []
+                for p, q, a, b in tiles:
+                    (ida, x, la), (idb, y, lb) = _by_label(*a), _by_label(*b)
+                    d = measure(x, y)
+                    part = ida[:, None] < idb[None, :] if p == q else np.ones(d.shape, dtype=bool)
+                    (ka, sa), (kb, sb) = np.unique(la, return_index=True), np.unique(lb, return_index=True)
+                    per_label = lambda f, values: f.reduceat(f.reduceat(values, sa, axis=0), sb, axis=1).ravel()  # noqa: B023, E731
+
+                    out.append(pd.DataFrame({
+                        "x": np.repeat(ka, len(kb)), "y": np.tile(kb, len(ka)), "n": per_label(np.add, part.astype(np.int64)), "low": per_label(np.minimum, np.where(part, d, np.inf)),
+                        "high": per_label(np.maximum, np.where(part, d, -np.inf)), "total": per_label(np.add, np.where(part, d, 0.0)),
+                    }))
+                    if len(out) == 64 or (p, q) == tiles[-1][:2]:
+                        met = pd.concat(out).groupby(["x", "y"], as_index=False).agg({"n": "sum", "low": "min", "high": "max", "total": "sum"})
+                        out = []
+                        yield met[met["n"] > 0]
 
     partial = pairs.meet(cut(blocks), count).mapInPandas(run, "x long, y long, n long, low double, high double, total double")
     found = partial.groupBy(F.least("x", "y").alias("label1"), F.greatest("x", "y").alias("label2")).agg(F.sum("n").alias("pairs"), F.min("low").alias("least"), F.max("high").alias("greatest"), F.sum("total").alias("total"))
@@ -234,9 +237,7 @@ def within_groups(items: DataFrame, metric: str = "cosine", block: int | None =
     return found.select("entity_id", "least", "greatest", (F.col("total") / F.col("n")).alias("mean"))
 
 
-def _labelled(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_label(ids: np.ndarray, x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, vectors and labels of a block, by label."""
-    ids, x = pairs._matrix(rows)
-    labels = np.array([r["label"] for r in rows], dtype=np.int64)
     order = np.argsort(labels, kind="stable")
     return ids[order], x[order], labels[order]

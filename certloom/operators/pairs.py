@@ -1,8 +1,11 @@
 """Distances between vectors, by blocks.
 
-Vectors are dealt into blocks of a bounded number of rows. Each unordered pair of blocks
-is one row of a join on block numbers, and a task multiplies two blocks at a time, so
-that no vector is held against others one by one and nothing whole is sent anywhere.
+Vectors are dealt into blocks of a bounded number of rows, and blocks into groups. Each
+unordered pair of groups is one row of a join, and a task multiplies two blocks at a time,
+so that no vector is held against others one by one and nothing whole is sent anywhere.
+A vector is sent once for each group. There are GROUPS of them until one would hold more
+than MOST_BLOCKS blocks, so that what is sent grows with the vectors up to there (524,288 of
+them) and as their square over 32,768 beyond.
 
 Pairs within a radius need not all be looked at: vectors are gathered in cells around
 pivots, and two cells meet only if the triangle inequality lets them hold a near pair
@@ -27,33 +30,89 @@ from certloom.operators.lineage import cut
 BLOCK = 1024
 #: Vectors from which on pairs within a radius are sought by cells, and pivots at most.
 CELLS_FROM, PIVOTS = 4_096, 1_024
+#: Groups of blocks that meet each other, blocks of one at most, and pairs that a task hands on at a time.
+GROUPS, MOST_BLOCKS, HANDED = 16, 32, 50_000
 #: What bounds of distances may be wrong by: roots of what squares of unit length are wrong by.
 SLACK = 1e-7
 
 
 def blocks_of(vectors: DataFrame, block: int = BLOCK, *more: str) -> tuple[DataFrame, int]:
-    """(block, rows) with the vectors, by id, and further columns of each block, and how many
-    blocks there are."""
+    """(number, part) with the packed vectors, by id, and further numbers of each block, and how
+    many blocks there are."""
     count = max(1, math.ceil(vectors.count() / block))
     row = F.struct("entity_id", "vector", *more).alias("row")
-    blocks = vectors.select(F.pmod(F.xxhash64("entity_id"), F.lit(count)).alias("block"), row).groupBy("block")
-    return blocks.agg(F.sort_array(F.collect_list("row")).alias("rows")), count
+    blocks = vectors.select(F.pmod(F.xxhash64("entity_id"), F.lit(count)).alias("number"), row).groupBy("number")
+    return packed(blocks.agg(F.sort_array(F.collect_list("row")).alias("rows")), "number", *more), count
+
+
+def packed(blocks: DataFrame, number: str, *more: str) -> DataFrame:
+    """(number, ids, vectors and further numbers) of blocks of rows, as bytes, so that a block that
+    meets many others is read as a matrix each time, without a step for each vector."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                parts = [(*_matrix(rows), *(np.array([r[m] for r in rows], dtype=np.int64) for m in more)) for rows in frame["rows"]]
+                columns = {name: [p[k].tobytes() for p in parts] for k, name in enumerate(("ids", "vectors", *more))}
+                yield pd.DataFrame({"number": frame[number].to_numpy(), **columns})
+
+    schema = ", ".join(["number long", *(f"{name} binary" for name in ("ids", "vectors", *more))])
+    return blocks.select(number, "rows").mapInPandas(run, schema)
+
+
+def group_size(count: int) -> int:
+    """Blocks of a group: as many as give GROUPS of them, MOST_BLOCKS at most."""
+    return max(1, min(MOST_BLOCKS, count // GROUPS))
 
 
 def meet(blocks: DataFrame, count: int) -> DataFrame:
-    """(same, a, b, block, other): all unordered pairs of ``count`` blocks."""
-    # a block is named once for every block at or after it, and meets each by equality
-    left = blocks.select("block", F.explode(F.sequence(F.col("block"), F.lit(count - 1).cast("long"))).alias("other"), F.col("rows").alias("a"))
-    right = blocks.select(F.col("block").alias("other"), F.col("rows").alias("b"))
-    return left.join(right, "other").select((F.col("block") == F.col("other")).alias("same"), "a", "b", "block", "other")
+    """(same, a, b): all unordered pairs of groups of ``count`` blocks, ``same`` where both are one.
+
+    Blocks travel in groups: one is sent once for every group, not for every block, and there
+    are few groups. ``block_tiles`` takes the pairs of blocks out of a row.
+    """
+    size = group_size(count)
+    groups = math.ceil(count / size)
+    grouped = blocks.withColumn("group", F.expr(f"number div {size}"))
+    met = blocks.sparkSession.range(groups).select(F.col("id").alias("x"), F.explode(F.sequence(F.col("id"), F.lit(groups - 1).cast("long"))).alias("y"))
+    return groups_met(grouped, met, groups * (groups + 1) // 2)
+
+
+def groups_met(grouped: DataFrame, met: DataFrame, n: int) -> DataFrame:
+    """(same, a, b) of the ``n`` pairs (x, y) of groups; each pair is dealt by itself, so that
+    tasks get equal shares."""
+    kinds = [c for c in grouped.columns if c != "group"]
+    groups = cut(grouped.groupBy("group").agg(F.sort_array(F.collect_list(F.struct(*kinds))).alias("blocks")))
+    tasks = max(1, min(n, 8 * grouped.sparkSession.sparkContext.defaultParallelism))
+    left = groups.join(F.broadcast(met), F.col("group") == F.col("x")).select("x", "y", F.col("blocks").alias("a")).repartition(tasks, "x", "y")
+    right = groups.join(F.broadcast(met), F.col("group") == F.col("y")).select("x", "y", F.col("blocks").alias("b")).repartition(tasks, "x", "y")
+    return left.hint("merge").join(right, ["x", "y"]).select((F.col("x") == F.col("y")).alias("same"), "a", "b")
+
+
+def unpacked(block, *more: str) -> tuple[np.ndarray, ...]:
+    ids = np.frombuffer(block["ids"], dtype=np.int64)
+    return ids, np.frombuffer(block["vectors"], dtype=np.float64).reshape(len(ids), -1), *(np.frombuffer(block[m], dtype=np.int64) for m in more)
+
+
+def block_tiles(frame: pd.DataFrame, *more: str) -> Iterator[list[tuple]]:
+    """Of each pair of groups the pairs of their blocks: (number, other, content, content), each
+    unordered pair once, number <= other."""
+    for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
+        left = [(int(x["number"]), unpacked(x, *more)) for x in a]
+        right = left if same else [(int(x["number"]), unpacked(x, *more)) for x in b]
+        yield [(p, q, x, y) for p, x in left for q, y in right if p <= q]
 
 
 def block_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(same, a, b, block, other): all unordered pairs of blocks, each an array of
-    (entity_id, vector), and the numbers of both."""
+    """(same, a, b): all unordered pairs of groups of blocks, each an array of packed blocks."""
     return meet(*blocks_of(vectors, block))
 
 
+def found_pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d})
+
+
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["entity_id"] for r in rows], dtype=np.int64), np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
 
@@ -84,14 +143,22 @@ def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = N
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
-                (ida, x), (idb, y) = _matrix(a), _matrix(b)
-                d = measure(x, y)
-                keep = np.ones(d.shape, dtype=bool) if most is None else (d < most if below else d <= most)
-                if same:
-                    keep &= ida[:, None] < idb[None, :]
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"a": np.minimum(ida[i], idb[j]), "b": np.maximum(ida[i], idb[j]), "distance": d[i, j]})
+            for tiles in block_tiles(frame):
+                found, held = [], 0
+                for p, q, (ida, x), (idb, y) in tiles:
+                    d = measure(x, y)
+                    keep = np.ones(d.shape, dtype=bool) if most is None else (d < most if below else d <= most)
+                    if p == q:
+                        keep &= ida[:, None] < idb[None, :]
+                    i, j = np.nonzero(keep)
+                    if len(i):
+                        found.append((ida[i], idb[j], d[i, j]))
+                        held += len(i)
+                    if held > HANDED:
+                        yield found_pairs(found)
+                        found, held = [], 0
+                if found:
+                    yield found_pairs(found)
 
     return block_pairs(vectors).mapInPandas(run, "a long, b long, distance double")
 
@@ -109,7 +176,7 @@ class Cells:
     """Vectors in cells around pivots, and the pairs of cells that may hold near pairs."""
 
     placed: DataFrame  # entity_id, vector, cell
-    meeting: DataFrame  # cell, other: cell <= other
+    meeting: np.ndarray  # whether two cells meet
     sizes: dict[int, int]
     pivots: np.ndarray
     radii: np.ndarray
@@ -121,7 +188,6 @@ class Cells:
     def of(cls, vectors: DataFrame, most: float, metric: str = "cosine") -> Cells:
         """Pivots are a sample of a bounded number, by a hash of the ids. Zero vectors are
         near nothing within a cosine distance below 1 and are left out."""
-        spark = vectors.sparkSession
         rows = vectors.select("entity_id", "vector")
         if metric == "cosine":
             rows = rows.where(F.exists("vector", lambda x: x != 0))
@@ -147,58 +213,117 @@ class Cells:
         keep = (apart - radii[i] - radii[j] <= reach + SLACK) & (sizes[i] > 0) & (sizes[j] > 0)
         together = float((sizes[i][keep] * sizes[j][keep]).sum())
         skipped = 1 - together / max(1.0, float((sizes[i] * sizes[j]).sum()))
-        meeting = spark.createDataFrame(pd.DataFrame({"cell": i[keep], "other": j[keep]}), "cell long, other long")
+        meeting = np.zeros((len(pivots), len(pivots)), dtype=bool)
+        meeting[i[keep], j[keep]] = meeting[j[keep], i[keep]] = True
         return cls(placed.drop("far"), meeting, {k: int(n) for k, n in enumerate(sizes) if n}, pivots, radii, most, metric, skipped)
 
+    def units(self) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """(cell, part, unit, group) of the parts of cells, of a block's size at most on average, and
+        (x, y) of the groups that meet. Cells that are near each other share a group."""
+        cells = np.array(sorted(self.sizes), dtype=np.int64)
+        sizes = np.array([self.sizes[c] for c in cells], dtype=np.int64)
+        step = max(1, len(cells) // GROUPS)
+        order = np.argsort(euclidean_distances(self.pivots[cells], self.pivots[cells[::step]]).argmin(axis=1), kind="stable") if len(cells) else cells
+        parts = -(-sizes[order] // BLOCK)
+        cell = np.repeat(cells[order], parts)
+        weight = np.repeat(sizes[order] / np.maximum(1, parts), parts)
+        most = BLOCK * group_size(math.ceil(sizes.sum() / BLOCK))
+        group = ((np.cumsum(weight) - weight) // most).astype(np.int64)
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(parts) - parts, parts)
+        units = pd.DataFrame({"cell": cell, "part": part, "unit": np.arange(len(cell)), "group": group})
+        n = int(group.max()) + 1 if len(group) else 0
+        held = np.zeros((n, len(self.pivots)), dtype=bool)
+        held[group, cell] = True
+        x, y = np.nonzero(np.triu(held.astype(np.int64) @ self.meeting.astype(np.int64) @ held.T.astype(np.int64)))
+        return units, pd.DataFrame({"x": x, "y": y})
+
     def near(self, below: bool = False) -> DataFrame:
         """(a, b, distance) of all pairs within the radius, a < b."""
-        measure, most, metric, pivots, radii = METRICS[self.metric], self.most, self.metric, self.pivots, self.radii
+        measure, most, metric, pivots, radii, meeting = METRICS[self.metric], self.most, self.metric, self.pivots, self.radii, self.meeting
         reach = math.sqrt(2 * most) if metric == "cosine" else most
         spark = self.placed.sparkSession
-        parts = spark.createDataFrame([(k, math.ceil(n / BLOCK)) for k, n in self.sizes.items()], "cell long, parts long")
+        units, met = self.units()
+        parts = spark.createDataFrame(units.groupby("cell", as_index=False).agg(parts=("part", "size")), "cell long, parts long")
         dealt = self.placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")))
-        blocks = cut(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("entity_id", "vector")).alias("rows")))
-        left = blocks.join(F.broadcast(self.meeting), "cell").select("cell", "part", F.col("rows").alias("a"), "other")
-        right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("other_part"), F.col("rows").alias("b"))
-        met = left.join(right, "other").where("cell < other or part <= other_part").select("cell", "other", (F.expr("cell = other and part = other_part")).alias("same"), "a", "b")
+        named = dealt.join(F.broadcast(spark.createDataFrame(units, "cell long, part long, unit long, group long")), ["cell", "part"])
+        blocks = packed(named.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("entity_id", "vector"))).alias("rows")), "unit")
+        grouped = blocks.join(F.broadcast(spark.createDataFrame(units[["unit", "group"]], "number long, group long")), "number")
+        at_cell = units["cell"].to_numpy()
+
+        def across(p: int, q: int, ida: np.ndarray, x: np.ndarray, idb: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            cell, other = at_cell[p], at_cell[q]
+            if cell != other:
+                at, to = (chords(v, pivots[c : c + 1], metric)[:, 0] <= radii[c] + reach + SLACK for v, c in ((x, other), (y, cell)))
+                ida, x, idb, y = ida[at], x[at], idb[to], y[to]
+            d = measure(x, y)
+            keep = d < most if below else d <= most
+            if p == q:
+                keep &= ida[:, None] < idb[None, :]
+            i, j = np.nonzero(keep)
+            return ida[i], idb[j], d[i, j]
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for cell, other, same, a, b in zip(*(frame[c] for c in ("cell", "other", "same", "a", "b"))):
-                    (ida, x), (idb, y) = _matrix(a), _matrix(b)
-                    if cell != other:
-                        at, to = (chords(v, pivots[c : c + 1], metric)[:, 0] <= radii[c] + reach + SLACK for v, c in ((x, other), (y, cell)))
-                        ida, x, idb, y = ida[at], x[at], idb[to], y[to]
-                    d = measure(x, y)
-                    keep = d < most if below else d <= most
-                    if same:
-                        keep &= ida[:, None] < idb[None, :]
-                    i, j = np.nonzero(keep)
-                    yield pd.DataFrame({"a": np.minimum(ida[i], idb[j]), "b": np.maximum(ida[i], idb[j]), "distance": d[i, j]})
-
-        return met.mapInPandas(run, "a long, b long, distance double")
+                for tiles in block_tiles(frame):
+                    found, held = [], 0
+                    for p, q, x, y in tiles:
+                        if meeting[at_cell[p], at_cell[q]] and len((new := across(p, q, *x, *y))[0]):
+                            found.append(new)
+                            held += len(new[0])
+                        if held > HANDED:
+                            yield found_pairs(found)
+                            found, held = [], 0
+                    if found:
+                        yield found_pairs(found)
+
+        return groups_met(grouped, spark.createDataFrame(met, "x long, y long"), len(met)).mapInPandas(run, "a long, b long, distance double")
+
+
+def nearer(held: tuple[np.ndarray, np.ndarray], d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids), ascending, of the nearest k that are known of each row of ``d`` and its
+    columns together; ties go to the smaller id, places without any hold infinity."""
+    known, who = held
+    n, k = known.shape
+    limit = known[:, -1]
+    if np.isinf(limit).any() and d.shape[1] > k:
+        limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+    i, j = np.nonzero((d <= limit[:, None]) & (d < np.inf))
+    if not len(i):
+        return held
+    changed = np.unique(i)
+    row = np.concatenate([np.repeat(changed, k), i])
+    distance, other = np.concatenate([known[changed].ravel(), d[i, j]]), np.concatenate([who[changed].ravel(), ids[j]])
+    order = np.lexsort((other, distance, row))
+    first = np.searchsorted(row[order], changed)
+    best = order[first[:, None] + np.arange(k)[None, :]]
+    known[changed], who[changed] = distance[best], other[best]
+    return known, who
 
 
 def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(entity_id, neighbour, distance, rank) of the k nearest others of every vector.
 
-    Each pair of blocks gives at most k candidates for each of its vectors; ties go to
+    Each pair of groups gives at most k candidates for each of its vectors; ties go to
     the smaller id.
     """
     measure = METRICS[metric]
 
-    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
-        for i, entity in enumerate(ids):
-            order = np.lexsort((others, d[i]))[: k + 1]
-            yield from [(int(entity), int(others[j]), float(d[i, j])) for j in order if others[j] != entity][:k]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for same, a, b in zip(frame["same"], frame["a"], frame["b"]):
-                (ida, x), (idb, y) = _matrix(a), _matrix(b)
-                d = measure(x, y)
-                out = list(best(ida, idb, d)) + ([] if same else list(best(idb, ida, d.T)))
-                yield pd.DataFrame(out, columns=["entity_id", "neighbour", "distance"])
+            for tiles in block_tiles(frame):
+                of: dict[int, np.ndarray] = {}
+                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                for p, q, (ida, x), (idb, y) in tiles:
+                    d = measure(x, y)
+                    if p == q:
+                        d[ida[:, None] == idb[None, :]] = np.inf
+                    for at, ids, others, m in ((p, ida, idb, d), (q, idb, ida, d.T))[: 1 if p == q else 2]:
+                        if at not in best:
+                            of[at], best[at] = ids, (np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max))
+                        best[at] = nearer(best[at], m, others)
+                for at, (distance, other) in best.items():
+                    i, j = np.nonzero(distance < np.inf)
+                    yield pd.DataFrame({"entity_id": of[at][i], "neighbour": other[i, j], "distance": distance[i, j]})
 
     found = block_pairs(vectors).mapInPandas(run, "entity_id long, neighbour long, distance double")
     order = Window.partitionBy("entity_id").orderBy("distance", "neighbour")

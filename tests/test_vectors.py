@@ -225,3 +225,18 @@ def test_cells_find_all_pairs_within_a_radius(spark, metric, most, monkeypatch):
         assert len(want) > 100 and set(got) == set(want) and all(abs(got[k] - d) < 1e-6 for k, d in want.items())
     assert pairs.Cells.of(df, most, metric).skipped > 0.6
     assert pairs.Cells.of(df.where("false"), most, metric).near().count() == 0
+
+
+def test_blocks_meet_in_few_groups(spark):
+    """A block is sent once for each of a bounded number of groups, not for every other block;
+    neighbours among copies go by id."""
+    x = np.random.default_rng(3).integers(0, 3, (200, 3)).astype(float) + 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    met = pairs.block_pairs(df, 1)
+    assert met.count() <= (pairs.GROUPS + 1) * (pairs.GROUPS + 2) // 2
+    held = np.full((200, 5), np.inf), np.full((200, 5), 10**9)
+    d = pairs.euclidean_distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    for at in range(0, 200, 7):
+        held = pairs.nearer(held, d[:, at : at + 7], np.arange(at, min(200, at + 7)))
+    assert (held[1] == np.array([np.lexsort((np.arange(200), row))[:5] for row in d])).all()
