@@ -3,11 +3,13 @@
 Every labelled good text is preferred to every labelled bad one. The score of a text is
 linear in its features; the chance that one text is preferred to another is the logistic
 function of the difference of their scores, so the weights minimise the logistic loss on
-feature differences. The cut is a quantile of the sample's scores: the share of bad
+feature differences. The cut is a quantile of the labelled rows' scores: the share of bad
 texts. Scores are mapped to 0..1 so that the cut falls on a fixed value.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE of them, taken by a
-hash of the id); every text is scored, whole.
+The model is fitted on all labelled rows. Their features are one table; every row is in
+pairs, made within blocks of rows that a hash deals; each step of Newton's method adds up
+gradients and curvatures of the blocks, and only such sums reach the driver. Every text
+is scored, whole.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from certloom.llm.common import map_rows, text_or_empty
+from certloom.llm.common import cut, few, map_rows, text_or_empty
+from certloom.operators.order import numbered
 
-#: Labelled rows of each label that the model is fitted on, at most.
-SAMPLE = 6_000
-PAIRS = 60_000
+#: Labelled rows of a block on average, and pairs that a row of the rarer label is in, at least.
+BLOCK, PAIRS = 4_096, 16
+#: Labels broadcast at most; beyond it the join shuffles.
+FEW = 200_000
 CUT = 0.7
 
 _LAST = 0x24F
@@ -107,42 +111,94 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, share_bad: float, pairs: int = PAIRS, ridge: float = 1e-2) -> Ranking:
-    """Weights by Newton's method on the logistic loss of pairs (good, bad).
-
-    Pairs are drawn with a fixed seed. With rows of one label only there are no pairs:
-    all texts then score above the cut (only good ones seen, or none) or below it.
-    """
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(N_FEATURES), np.ones(N_FEATURES))
+def differences(z: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Feature differences of pairs (good, bad): every row is in some, and those of one label in
+    as many as each other, but for one; the rarer ones in PAIRS at least."""
     highs, lows = np.flatnonzero(good), np.flatnonzero(~good)
-    weights = np.zeros(x.shape[1] if len(x) else N_FEATURES)
     if not len(highs) or not len(lows):
-        return Ranking(mean, scale, weights, 1.0 if len(lows) else -1.0, 1.0)
-    z = np.clip((x - mean) / scale, -8, 8)
+        return np.zeros((0, z.shape[1]))
     rng = np.random.default_rng(7)
-    diff = z[rng.choice(highs, pairs)] - z[rng.choice(lows, pairs)]
+    turns = -(-max(len(highs), len(lows), PAIRS * min(len(highs), len(lows))) // min(len(highs), len(lows))) * min(len(highs), len(lows))
+    return z[np.resize(rng.permutation(highs), turns)] - z[rng.permutation(np.resize(lows, turns))]
+
+
+def fit(rows: DataFrame, ridge: float = 1e-2) -> Ranking:
+    """Weights by Newton's method on the logistic loss of pairs (good, bad).
+
+    ``rows``: at (a hash), good (1 or 0) and the features x of all labelled rows, a table
+    that is read in each step. With rows of one label only there are no pairs: all texts then score
+    above the cut (only good ones seen, or none) or below it.
+    """
+    total = sums(rows, lambda x, good: [[len(x), good.sum()], x.sum(axis=0)])
+    n, n_good = (int(v) for v in total[0]) if total else (0, 0)
+    mean = total[1] / n if n else np.zeros(N_FEATURES)
+    scale = np.sqrt(sums(rows, lambda x, good: [((x - mean) ** 2).sum(axis=0)])[0] / n) + 1e-6 if n else np.ones(N_FEATURES)
+    weights = np.zeros(N_FEATURES)
+    if not n_good or n_good == n:
+        return Ranking(mean, scale, weights, 1.0 if n > n_good else -1.0, 1.0)
+
+    def step(weights: np.ndarray):
+        def run(x: np.ndarray, good: np.ndarray) -> list:
+            diff = differences(np.clip((x - mean) / scale, -8, 8), good)
+            p = 1 / (1 + np.exp(np.clip(diff @ weights, -40, 40)))
+            return [[len(diff)], diff.T @ p, ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()]
+
+        return run
+
+    blocked = in_blocks(rows, n)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(diff @ weights, -40, 40)))
-        gradient = diff.T @ p / pairs - ridge * weights
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + ridge * np.eye(len(weights))
-        step = np.linalg.solve(curve, gradient)
-        weights = weights + step
-        if np.abs(step).max() < 1e-8:
+        count, gradient, curve = sums(blocked, step(weights))
+        move = np.linalg.solve(curve.reshape(N_FEATURES, -1) / count[0] + ridge * np.eye(N_FEATURES), gradient / count[0] - ridge * weights)
+        weights = weights + move
+        if np.abs(move).max() < 1e-8:
             break
-    raw = z @ weights
-    # the sample holds other shares of labels than the corpus: weigh its rows
-    weight = np.where(good, (1 - share_bad) / len(highs), share_bad / len(lows))
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(weight[order])
-    # the quantile, moved to the widest gap between scores within one hundredth of it
-    near = np.flatnonzero(np.abs(below[:-1] - share_bad) <= 0.01)
-    if not len(near):
-        near = np.array([min(int(np.searchsorted(below, share_bad)), len(raw) - 2)])
-    ranked = raw[order]
-    at = near[np.argmax(ranked[near + 1] - ranked[near])]
-    cut = (ranked[at] + ranked[at + 1]) / 2
-    spread = max(1e-3, np.median(np.abs(raw - cut)) / 4)
-    return Ranking(mean, scale, weights, float(cut), float(spread))
+    return Ranking(mean, scale, weights, *_cut(rows, Ranking(mean, scale, weights, 0.0, 1.0), n, n - n_good))
+
+
+def _cut(rows: DataFrame, ranking: Ranking, n: int, n_bad: int) -> tuple[float, float]:
+    """The quantile of all labelled rows' scores, moved to the widest gap between scores within
+    one hundredth of it, and the spread: a quarter of the median distance from it."""
+    schema = T.StructType([T.StructField("raw", T.DoubleType())])
+    placed = numbered(map_rows(rows.select("x"), schema, lambda: lambda cols: [ranking.raw(np.array(cols[0])).tolist()]), "raw")
+    # as many rows as are bad are below the cut, give or take a hundredth
+    first, last = max(0, math.ceil(n_bad - 0.01 * n) - 1), min(n - 2, math.floor(n_bad + 0.01 * n) - 1)
+    first, last = (first, last) if first <= last else (min(n_bad - 1, n - 2),) * 2
+    near = placed.where(F.col("position").between(first, last + 1))
+    gap = near.select("position", "raw").join(near.select((F.col("position") - 1).alias("position"), F.col("raw").alias("next")), "position")
+    widest = gap.orderBy((F.col("raw") - F.col("next")), "position").first()
+    cut_at = (widest["raw"] + widest["next"]) / 2
+    far = numbered(placed.select(F.abs(F.col("raw") - cut_at).alias("far")), "far")
+    middle = [r["far"] for r in far.where(F.col("position").isin((n - 1) // 2, n // 2)).collect()]
+    return float(cut_at), float(max(1e-3, np.mean(middle) / 4))
+
+
+def in_blocks(rows: DataFrame, n: int) -> DataFrame:
+    """A row for each block of about BLOCK rows that a hash of the id deals: good and x as arrays,
+    sorted, so that the pairs don't depend on how the rows arrive."""
+    parts = max(1, n // BLOCK)
+    row = F.struct("good", "x")
+    return cut(rows.groupBy(F.pmod(F.col("at"), F.lit(parts)).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.col("rows.good").alias("good"), F.col("rows.x").alias("x")))
+
+
+def sums(rows: DataFrame, measure) -> list[np.ndarray] | None:
+    """The sums over all rows, or blocks of rows, of what ``measure`` makes of (features, good) of
+    a task's batch or block; None without rows."""
+    blocked = isinstance(rows.schema["good"].dataType, T.ArrayType)
+
+    def make():
+        def step(cols):
+            groups = list(zip(*cols)) if blocked else [cols]
+            found = [[np.asarray(v, dtype=np.float64).tolist() for v in measure(np.array(x, dtype=np.float64), np.array(good) == 1)] for good, x in groups]
+            return [[f[k] for f in found for k in range(len(f))], [k for f in found for k in range(len(f))]]
+
+        return step
+
+    parts = map_rows(rows.select("good", "x"), T.StructType([T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("k", T.LongType())]), make)
+    added = parts.select("k", F.posexplode("v").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).orderBy("k", "i").collect()
+    out: dict[int, list[float]] = {}
+    for r in added:
+        out.setdefault(r["k"], []).append(r["v"])
+    return [np.array(v) for _, v in sorted(out.items())] or None
 
 
 def bucket(id_col: Column, of: int) -> Column:
@@ -150,11 +206,11 @@ def bucket(id_col: Column, of: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % of
 
 
-FEATURES = T.StructType([T.StructField("good", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+FEATURES = T.StructType([T.StructField("at", T.LongType()), T.StructField("good", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Ranking:
-    """A ranking from at most ``sample`` labelled rows of each label.
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None) -> Ranking:
+    """A ranking from all labelled rows.
 
     ``labels``: doc_id and the label (1 good, 0 bad; rows with another label or none are
     left out; rows that repeat an id count as often as they meet). ``usable`` says which
@@ -164,20 +220,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label_col).cast("long").alias("_good")).where("_id is not null")
     if usable is not None:
         known = known.where(usable)
-    counts = {r["_good"]: r["n"] for r in known.groupBy("_good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("_id")
-    chosen = known.where("_good = 1").orderBy(order, "_id").limit(sample).unionByName(known.where("_good = 0").orderBy(order, "_id").limit(sample))
 
     def make():
-        return lambda cols: [cols[0], [features(t).tolist() for t in cols[1]]]
-
-    # the sample is bounded, so that its ids can go to every task
-    texts = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "_id").select("_good", "text")
-    rows = map_rows(texts, FEATURES, make).collect()
-    rows.sort(key=lambda r: (r["good"], r["x"]))
-    total = sum(counts.values())
-    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, N_FEATURES))
-    return fit(x, np.array([r["good"] == 1 for r in rows], dtype=bool), counts.get(0, 0) / total if total else 0.0)
+        return lambda cols: [cols[0], cols[1], [features(t).tolist() for t in cols[2]]]
+
+    # up to FEW labels go to every task; beyond it labels and texts meet by a shuffle
+    texts = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(few(known, FEW), "_id").select(F.xxhash64("_id").alias("_at"), "_good", "text")
+    return fit(cut(map_rows(texts, FEATURES, make)))
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])

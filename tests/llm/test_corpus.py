@@ -651,3 +651,21 @@ def test_nearest_ties_go_to_the_smaller_id(spark):
         want = sorted(exact, key=lambda r: (-r[1], r[0]))[:20]
         assert whole[int(q)] == want
         assert best(np.array([q]), 512)[int(q)] == want
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows that a sample would leave out count: mean and cut are those of all rows, in one block
+    or in several, and every row of a block is in some pair."""
+    monkeypatch.setattr(quality, "SAMPLE", 5, raising=False)
+    texts = [("word and other words follow here " * (1 + i % 5) if i % 4 else "!! ## ?? " * (1 + i % 7), int(i % 4 > 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(texts)], "doc_id long, quality int")
+    x = np.array([quality.features(t) for t, _ in texts])
+    for block in (4_096, 20):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        ranking = quality.learn(docs, labels)
+        assert np.allclose(ranking.mean, x.mean(axis=0)) and np.allclose(ranking.scale, x.std(axis=0) + 1e-6)
+        assert ((ranking.score(x) >= quality.CUT) == np.array([g for _, g in texts])).all()
+    z, good = np.eye(40), np.arange(40) < 31
+    diff = quality.differences(z, good)
+    assert (diff != 0).any(axis=0).all() and len(diff) >= quality.PAIRS * 9
