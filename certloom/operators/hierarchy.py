@@ -388,6 +388,20 @@ def lifted(clusters: DataFrame) -> DataFrame:
     return out
 
 
+def risen(parent: dict, birth: dict, chosen: set, epsilon: float) -> set:
+    """What the chosen clusters give way to; a way up is gone once, however many share it."""
+    to: dict = {}
+    for c in chosen:
+        way = []
+        while c not in to and birth[c] < epsilon and parent[c] is not None:
+            way.append(c)
+            c = parent[c]
+        top = to.setdefault(c, c)
+        for w in way:
+            to[w] = top
+    return {to[c] for c in chosen}
+
+
 def resolved(clusters: DataFrame, own: Column) -> DataFrame:
     """(setting, cluster, top): the final cluster that each is in, for so few clusters
     that a task holds those of a setting."""
@@ -414,12 +428,7 @@ def resolved(clusters: DataFrame, own: Column) -> DataFrame:
             parent = {r["cluster"]: r["parent"] for r in rows}
             birth = {r["cluster"]: r["birth"] for r in rows}
             chosen = {t for t in tops(parent, {r["cluster"] for r in rows if r["own"]}).values() if t is not None}
-            final = set()
-            for c in chosen:
-                while birth[c] < epsilon and parent[c] is not None:
-                    c = parent[c]
-                final.add(c)
-            found = [(c, t) for c, t in tops(parent, final).items() if t is not None]
+            found = [(c, t) for c, t in tops(parent, risen(parent, birth, chosen, epsilon)).items() if t is not None]
             for at in range(0, len(found), 10_000):
                 part = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([method] * len(part)), pa.array([epsilon] * len(part), pa.float64()), pa.array([c for c, _ in part]), pa.array([t for _, t in part])], schema=arrow)

@@ -163,3 +163,19 @@ def test_large_sizes_in_one_split(spark, monkeypatch):
     df = spark.range(400).select(F.col("id").alias("entity_id"), F.when(F.col("id") < 200, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector"))
     got = {r["entity_id"]: r["label"] for r in hierarchy.hdbscan(df, 0.2).collect()}
     assert got == {i: int(i >= 200) for i in range(400)}
+
+
+def test_a_way_up_is_gone_once():
+    """A leaf at every step of a long chain, all of which give way to the top."""
+    n, looked = 3_000, [0]
+
+    class Counted(dict):
+        def __getitem__(self, key):
+            looked[0] += 1
+            return super().__getitem__(key)
+
+    parent = Counted({0: None} | {i: i - 1 for i in range(1, n)} | {n + i: i for i in range(n)})
+    birth = {c: 1.0 if c == 0 else 0.5 for c in parent}
+    assert hierarchy.risen(parent, birth, set(range(n, 2 * n)), 0.9) == {0}
+    assert looked[0] <= 8 * n
+    assert hierarchy.risen(parent, birth, {n, n + 5}, 0.5) == {n, n + 5}
