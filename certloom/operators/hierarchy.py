@@ -2,8 +2,9 @@
 
 With min_samples 1 mutual reachability is the distance itself, so that the hierarchy is
 that of single linkage and needs only a minimum spanning tree. Each pair of blocks gives
-the spanning tree of its own distances: by the cycle property the whole tree is among
-those edges. Trees of neighbouring pairs are merged while a task meets at most MERGED
+its pairs within a radius that joins nearly all vectors, or the spanning tree of its own
+distances where these are many: by the cycle property the forest within the radius is
+among those edges, and what it leaves apart is joined after it. Trees of neighbouring pairs are merged while a task meets at most MERGED
 vectors; beyond that rounds of shortest edges out of each component finish the tree.
 
 The hierarchy grows from below, by subtrees. Edges up to a distance, chosen so that the
@@ -40,10 +41,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from certloom.operators.graph import components
 from certloom.operators.lineage import Tables, cut
 from certloom.operators.order import numbered
-from certloom.operators.pairs import BLOCK, METRICS, block_pairs, block_tiles
+from certloom.operators.pairs import BLOCK, METRICS, block_pairs, block_tiles, nearest_of
 
 #: Vectors of which a task merges trees, and edges that a task condenses.
 MERGED, TASK = 65_536, 200_000
+#: Vectors beyond which a tree is sought within a radius first, vectors that the radius is
+#: found by and how many others each has within it, and near pairs for each vector of a tile
+#: up to which they go on as they are.
+SOUGHT_FROM, SAMPLE, NEAR, DENSE = 4_096, 256, 8, 2
 #: What 1 / distance is cut at.
 LARGEST = 1e12
 EDGES = "p long, q long, a long, b long, distance double"
@@ -93,24 +98,59 @@ def dense_tree(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i, j, length
 
 
-def candidate_edges(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(p, q, a, b, distance): the spanning trees of all pairs of blocks p, q."""
+def tile_tree(ids: np.ndarray, idb: np.ndarray, d: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, id, distance) of the spanning tree of one tile of distances."""
+    if not same:
+        ids, n = np.concatenate([ids, idb]), len(ids)
+        across, d = d, np.full((len(ids), len(ids)), np.inf)
+        d[:n, n:], d[n:, :n] = across, across.T
+    i, j, length = dense_tree(d)
+    return ids[i], ids[j], length
+
+
+def candidate_edges(vectors: DataFrame, metric: str = "cosine", most: float = np.inf) -> DataFrame:
+    """(p, q, a, b, distance): of all pairs of blocks p, q what a spanning forest of the pairs
+    within ``most`` needs: those pairs, or the tile's spanning tree where they are many more."""
     measure = METRICS[metric]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, q, (ids, x), (idb, y) in chain.from_iterable(block_tiles(frame)):
                 d = measure(x, y)
-                if p != q:
-                    ids, n = np.concatenate([ids, idb]), len(ids)
-                    across, d = d, np.full((len(ids), len(ids)), np.inf)
-                    d[:n, n:], d[n:, :n] = across, across.T
-                i, j, length = dense_tree(d)
-                yield pd.DataFrame({"p": p, "q": q, "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "distance": length})
+                at = np.flatnonzero(d <= most) if np.isfinite(most) else None
+                if at is not None and len(at) <= DENSE * (len(ids) + len(idb)):
+                    i, j = np.divmod(at, len(idb))
+                    a, b, length = ids[i], idb[j], d[i, j]
+                    if p == q:
+                        a, b, length = (v[a < b] for v in (a, b, length))
+                else:
+                    a, b, length = tile_tree(ids, idb, d, p == q)
+                    a, b, length = (v[length <= most] for v in (a, b, length))
+                if len(a):
+                    yield pd.DataFrame({"p": p, "q": q, "a": np.minimum(a, b), "b": np.maximum(a, b), "distance": length})
 
     return block_pairs(vectors).mapInPandas(run, EDGES)
 
 
+def joining_radius(vectors: DataFrame, metric: str) -> float:
+    """A radius within which nearly every vector has a few others, from a bounded sample by a
+    hash of the ids. Any radius gives the same tree; this one leaves little to do beyond it."""
+    measure = METRICS[metric]
+    sample = np.array([r["vector"] for r in vectors.orderBy(F.xxhash64("entity_id", F.lit(7)), "entity_id").limit(SAMPLE).collect()], dtype=np.float64)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                d = measure(sample, np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]]))
+                k = min(NEAR + 1, d.shape[1])
+                least = np.partition(d, k - 1, axis=1)[:, :k]
+                yield pd.DataFrame({"at": np.repeat(np.arange(len(sample)), k), "distance": least.ravel()})
+
+    found = vectors.mapInPandas(run, "at long, distance double")
+    kth = found.groupBy("at").agg(F.element_at(F.sort_array(F.collect_list("distance")), NEAR + 1).alias("d"))  # itself is one
+    return float(np.quantile([r["d"] for r in kth.collect()], 0.98))
+
+
 def merged(edges: DataFrame) -> DataFrame:
     """The forests of two by two pairs of blocks as one."""
 
@@ -123,15 +163,16 @@ def merged(edges: DataFrame) -> DataFrame:
     return halved.groupBy("p", "q").applyInPandas(run, EDGES)
 
 
-def least_edges(edges: DataFrame) -> DataFrame:
-    """(a, b, distance) of a minimum spanning forest over any edges, in rounds.
+def least_edges(edges: DataFrame, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(a, b, distance) of a minimum spanning forest over any edges, in rounds; ``ends``: the
+    columns of what they connect, if not their own ids.
 
     Each component picks its shortest edge outward (ties by ids), picked edges join
     components, and of the edges between two components the shortest goes on.
     """
     tables, tree, number = Tables(edges.sparkSession), None, 0
     edge = F.struct("distance", "a", "b")
-    left = tables.keep("left", edges.select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e")))
+    left = tables.keep("left", edges.select(F.col(ends[0]).alias("x"), F.col(ends[1]).alias("y"), edge.alias("e")))
     while not left.isEmpty():
         both = left.union(left.select("y", "x", "e"))
         picked = cut(both.groupBy("x").agg(F.min("e").alias("e")).select("e").distinct().join(left, "e").select("x", "y", "e"))
@@ -149,14 +190,51 @@ def least_edges(edges: DataFrame) -> DataFrame:
     return found
 
 
-def spanning_tree(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(a, b, distance) of a minimum spanning tree: an edge less than there are ids."""
+def spanning_forest(vectors: DataFrame, metric: str = "cosine", most: float = np.inf) -> DataFrame:
+    """(a, b, distance) of a minimum spanning forest of the pairs within ``most``."""
     tables = Tables(vectors.sparkSession)
-    edges = tables.keep("edges", candidate_edges(vectors.select("entity_id", "vector"), metric))
+    edges = tables.keep("edges", candidate_edges(vectors.select("entity_id", "vector"), metric, most))
     last, vectors_each = edges.agg(F.max("q")).first()[0] or 0, 2 * BLOCK
     while last > 0 and 2 * vectors_each <= MERGED:
         edges, last, vectors_each = tables.keep("edges", merged(edges)), last >> 1, 2 * vectors_each
-    tree = cut(edges.select("a", "b", "distance") if last == 0 else least_edges(edges.select("a", "b", "distance")))
+    own = edges.select("a", "b", "distance")
+    # one block gives a forest only as a tile's tree
+    forest = cut(own if last == 0 and most == np.inf else least_edges(own))
+    tables.drop_all()
+    return forest
+
+
+def spanning_tree(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(a, b, distance) of a minimum spanning tree: an edge less than there are ids.
+
+    Of many vectors first the forest within a radius that joins nearly all of them, as most
+    pairs are farther and none of those that join the same component is in the tree. The
+    rest, what is not in the largest component, is joined by its own tree and by the nearest
+    vector of that component to each.
+    """
+    vectors = vectors.select("entity_id", "vector")
+    n = vectors.count()
+    if n <= SOUGHT_FROM:
+        return spanning_forest(vectors, metric)
+    tables = Tables(vectors.sparkSession)
+    forest = tables.keep("forest", spanning_forest(vectors, metric, joining_radius(vectors, metric)))
+    labels = tables.keep("labels", components(forest.select("a", "b")))
+    largest = labels.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    if largest is None or n - largest["count"] > n // 4:
+        tables.drop_all()
+        return spanning_forest(vectors, metric)
+    core = labels.where(F.col("label") == largest["label"]).select(F.col("node").alias("entity_id"))
+    rest = tables.keep("rest", vectors.join(core, "entity_id", "left_anti"))
+    out = forest
+    if not rest.isEmpty():
+        inner = vectors.join(core, "entity_id", "left_semi").withColumnRenamed("entity_id", "target")
+        links = nearest_of(rest, inner, metric).select(F.col("entity_id").alias("a"), F.col("target").alias("b"), "distance")
+        more = tables.keep("more", links.unionByName(spanning_tree(rest, metric)))
+        for side in ("a", "b"):
+            of = labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"))
+            more = more.join(of, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+        out = forest.unionByName(least_edges(more.where("_a <> _b"), ("_a", "_b")))
+    tree = cut(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance"))
     tables.drop_all()
     return tree
 

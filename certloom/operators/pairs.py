@@ -335,21 +335,19 @@ def nearest_of(vectors: DataFrame, targets: DataFrame, metric: str = "euclidean"
     smaller target. ``targets``: target, vector. Blocks of both meet by equality."""
     measure = METRICS[metric]
 
-    def blocks(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-        count = max(1, math.ceil(df.count() / BLOCK))
-        return df.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("block"), F.struct(F.col(key).alias("entity_id"), "vector").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows")), count
-
-    (left, _), (right, count) = blocks(vectors, "entity_id"), blocks(targets, "target")
-    met = left.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block")).join(right.select("block", F.col("rows").alias("b")), "block")
+    (left, n), (right, count) = blocks_of(vectors), blocks_of(targets.select(F.col("target").alias("entity_id"), "vector"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("number")
+    kinds = F.struct("number", "ids", "vectors")
+    tasks = max(1, min(n * count, 8 * vectors.sparkSession.sparkContext.defaultParallelism))
+    met = left.select(F.col("number").alias("x"), kinds.alias("a"), every).join(right.select("number", kinds.alias("b")), "number").repartition(tasks, "x", "number")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a, b in zip(frame["a"], frame["b"]):
-                (ida, x), (idb, y) = _matrix(a), _matrix(b)
-                order = np.argsort(idb)
-                d = measure(x, y[order])
+                (ida, x), (idb, y) = unpacked(a), unpacked(b)
+                d = measure(x, y)  # blocks are in the order of their ids
                 at = d.argmin(axis=1)
-                yield pd.DataFrame({"entity_id": ida, "target": idb[order][at], "distance": d[np.arange(len(ida)), at]})
+                yield pd.DataFrame({"entity_id": ida, "target": idb[at], "distance": d[np.arange(len(ida)), at]})
 
     found = met.select("a", "b").mapInPandas(run, "entity_id long, target long, distance double")
     best = found.groupBy("entity_id").agg(F.min(F.struct("distance", "target")).alias("m"))

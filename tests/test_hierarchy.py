@@ -179,3 +179,17 @@ def test_a_way_up_is_gone_once():
     assert hierarchy.risen(parent, birth, set(range(n, 2 * n)), 0.9) == {0}
     assert looked[0] <= 8 * n
     assert hierarchy.risen(parent, birth, {n, n + 5}, 0.5) == {n, n + 5}
+
+
+def test_a_tree_sought_within_a_radius(spark, monkeypatch):
+    """The same tree, from fewer edges, with copies, a clump and vectors far from all."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (500, 6)), rng.normal(8, 0.01, (60, 6)), np.repeat(rng.normal(4, 1, (5, 6)), 20, axis=0), rng.normal(40, 9, (12, 6))])
+    df = frame_of(spark, x)
+    monkeypatch.setattr(pairs.block_pairs, "__defaults__", (200,))
+    monkeypatch.setattr(hierarchy, "SOUGHT_FROM", 100)
+    radius = hierarchy.joining_radius(df, "euclidean")
+    assert hierarchy.candidate_edges(df, "euclidean", radius).count() < hierarchy.candidate_edges(df, "euclidean").count()
+    got = hierarchy.spanning_tree(df, "euclidean").collect()
+    want = sorted(hierarchy.dense_tree(pairs.euclidean_distances(x, x))[2])
+    assert len(got) == len(x) - 1 == len({(r["a"], r["b"]) for r in got}) and np.allclose(sorted(r["distance"] for r in got), want, atol=1e-6)
