@@ -45,7 +45,7 @@ def estimate_eps(vectors: DataFrame, k: int | None = None, metric: str = "cosine
 
 def dbscan(vectors: DataFrame, eps: float, metric: str = "cosine") -> DataFrame:
     """(entity_id, label): labels from 0 in the order of first members, -1 for noise."""
-    links = pairs.distances(vectors, metric, eps).select("a", "b")
+    links = pairs.distances(vectors, metric, eps, joining=True).select("a", "b")
     found = components(links)
     ranks = numbered(found.select(F.col("label").alias("first")).distinct(), "first", name="rank")
     labels = found.join(ranks, found["label"] == ranks["first"]).select(F.col("node").alias("entity_id"), "rank")

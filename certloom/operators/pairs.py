@@ -132,28 +132,79 @@ def euclidean_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Callable] = {"cosine": cosine_distances, "euclidean": euclidean_distances}
 
 
-def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = None, below: bool = False) -> DataFrame:
+class Joined:
+    """The components that a task has found among the vectors of its blocks."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, np.ndarray] = {}  # of each block the component of its vectors, by number
+        self.n = 0
+
+    def add(self, p: int, q: int, n: int, m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i of block p, j of block q) of n and m vectors a forest needs."""
+        for block, size in ((p, n), (q, m)):
+            if block not in self.of:
+                self.of[block] = np.arange(self.n, self.n + size)
+                self.n += size
+        a, b = self.of[p][i], self.of[q][j]
+        apart = np.flatnonzero(a != b)
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:
+                above = up[x]
+                if above in up:
+                    up[x] = up[above]
+                x = above
+            return x
+
+        needed = []
+        _, first = np.unique(a[apart] * np.int64(self.n) + b[apart], return_index=True)
+        for e in apart[first].tolist():
+            x, y = root(int(a[e])), root(int(b[e]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                needed.append(e)
+        if up:
+            to = np.arange(self.n)
+            for x in up:
+                to[x] = root(x)
+            self.of = {k: to[v] for k, v in self.of.items()}
+        return np.array(needed, dtype=np.int64)
+
+
+def forest(found: tuple, joined: Joined | None, p: int, q: int, n: int, m: int, i: np.ndarray, j: np.ndarray) -> tuple:
+    """Of what was found at (i, j) of a pair of blocks what goes on: all, or a forest."""
+    if joined is None or not len(i):
+        return found
+    needed = joined.add(p, q, n, m, i, j)
+    return tuple(f[needed] for f in found)
+
+
+def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = None, below: bool = False, joining: bool = False) -> DataFrame:
     """(a, b, distance) of all pairs a < b, or of those within ``most``.
 
-    ``below``: the limit itself is too far.
+    ``below``: the limit itself is too far. ``joining``: only pairs whose graph has the same
+    components, of each pair of groups fewer than it has vectors, so that what goes on
+    grows with the vectors and not with the pairs.
     """
     measure = METRICS[metric]
     if most is not None and (metric != "cosine" or most < 1) and vectors.limit(CELLS_FROM + 1).count() > CELLS_FROM:
-        return Cells.of(vectors, most, metric).near(below)
+        return Cells.of(vectors, most, metric).near(below, joining)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for tiles in block_tiles(frame):
-                found, held = [], 0
+                found, held, joined = [], 0, Joined() if joining else None
                 for p, q, (ida, x), (idb, y) in tiles:
                     d = measure(x, y)
                     keep = np.ones(d.shape, dtype=bool) if most is None else (d < most if below else d <= most)
                     if p == q:
                         keep &= ida[:, None] < idb[None, :]
                     i, j = np.nonzero(keep)
-                    if len(i):
-                        found.append((ida[i], idb[j], d[i, j]))
-                        held += len(i)
+                    new = forest((ida[i], idb[j], d[i, j]), joined, p, q, len(ida), len(idb), i, j)
+                    if len(new[0]):
+                        found.append(new)
+                        held += len(new[0])
                     if held > HANDED:
                         yield found_pairs(found)
                         found, held = [], 0
@@ -237,8 +288,8 @@ class Cells:
         x, y = np.nonzero(np.triu(held.astype(np.int64) @ self.meeting.astype(np.int64) @ held.T.astype(np.int64)))
         return units, pd.DataFrame({"x": x, "y": y})
 
-    def near(self, below: bool = False) -> DataFrame:
-        """(a, b, distance) of all pairs within the radius, a < b."""
+    def near(self, below: bool = False, joining: bool = False) -> DataFrame:
+        """(a, b, distance) of all pairs within the radius, a < b, or of those that join them."""
         measure, most, metric, pivots, radii, meeting = METRICS[self.metric], self.most, self.metric, self.pivots, self.radii, self.meeting
         reach = math.sqrt(2 * most) if metric == "cosine" else most
         spark = self.placed.sparkSession
@@ -250,8 +301,10 @@ class Cells:
         grouped = blocks.join(F.broadcast(spark.createDataFrame(units[["unit", "group"]], "number long, group long")), "number")
         at_cell = units["cell"].to_numpy()
 
-        def across(p: int, q: int, ida: np.ndarray, x: np.ndarray, idb: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def across(p: int, q: int, ida: np.ndarray, x: np.ndarray, idb: np.ndarray, y: np.ndarray, joined: Joined | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             cell, other = at_cell[p], at_cell[q]
+            n, m = len(ida), len(idb)
+            at, to = np.ones(n, dtype=bool), np.ones(m, dtype=bool)
             if cell != other:
                 at, to = (chords(v, pivots[c : c + 1], metric)[:, 0] <= radii[c] + reach + SLACK for v, c in ((x, other), (y, cell)))
                 ida, x, idb, y = ida[at], x[at], idb[to], y[to]
@@ -260,14 +313,14 @@ class Cells:
             if p == q:
                 keep &= ida[:, None] < idb[None, :]
             i, j = np.nonzero(keep)
-            return ida[i], idb[j], d[i, j]
+            return forest((ida[i], idb[j], d[i, j]), joined, p, q, n, m, np.flatnonzero(at)[i], np.flatnonzero(to)[j])
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for tiles in block_tiles(frame):
-                    found, held = [], 0
+                    found, held, joined = [], 0, Joined() if joining else None
                     for p, q, x, y in tiles:
-                        if meeting[at_cell[p], at_cell[q]] and len((new := across(p, q, *x, *y))[0]):
+                        if meeting[at_cell[p], at_cell[q]] and len((new := across(p, q, *x, *y, joined))[0]):
                             found.append(new)
                             held += len(new[0])
                         if held > HANDED:

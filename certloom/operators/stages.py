@@ -89,7 +89,7 @@ def recover_noise(items: DataFrame, limit: float | None = None, s: Settings = SE
 def pair_noise(items: DataFrame, threshold: float | None = None, s: Settings = SETTINGS) -> DataFrame:
     """Noise within the threshold of other noise forms new clusters, also by chains."""
     near = s.noise_pair_threshold if threshold is None else threshold
-    links = pairs.distances(items.where("label < 0").select("entity_id", "vector"), "euclidean", near, below=True).select("a", "b")
+    links = pairs.distances(items.where("label < 0").select("entity_id", "vector"), "euclidean", near, below=True, joining=True).select("a", "b")
     found = components(links).select(F.col("node").alias("entity_id"), F.col("label").alias("root"))
     largest = items.agg(F.max("label")).first()[0]
     return relabelled(items, first_appearance(found, "root", max(-1 if largest is None else largest, -1) + 1), "entity_id", "rank")

@@ -240,3 +240,24 @@ def test_blocks_meet_in_few_groups(spark):
     for at in range(0, 200, 7):
         held = pairs.nearer(held, d[:, at : at + 7], np.arange(at, min(200, at + 7)))
     assert (held[1] == np.array([np.lexsort((np.arange(200), row))[:5] for row in d])).all()
+
+
+@pytest.mark.parametrize("cells", [10, 10_000])
+def test_pairs_that_join_are_fewer_than_vectors(spark, cells, monkeypatch):
+    """A clump of copies makes a forest in each pair of groups, with the components of all its pairs."""
+    monkeypatch.setattr(pairs, "CELLS_FROM", cells)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(5, 0.01, (150, 3)), rng.normal(0, 1, (60, 3)), rng.normal(-9, 0.01, (40, 3))])
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    links = [(r["a"], r["b"]) for r in pairs.distances(df, "euclidean", 0.4, joining=True).collect()]
+    every = {(r["a"], r["b"]): r["distance"] for r in pairs.distances(df, "euclidean", 0.4).collect()}
+    assert len(links) < len(x) < len(every) and set(links) <= set(every)
+
+    def parts(edges):
+        up = {i * 3: i * 3 for i in range(len(x))}
+        for a, b in edges:
+            low, high = sorted((up[a], up[b]))
+            up = {k: low if v == high else v for k, v in up.items()}
+        return up
+
+    assert parts(links) == parts(every)
