@@ -10,11 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, scanned: DataFrame) -> DataFrame:
-    """``df``, dealt anew for work that costs much a row, if the table it comes from is
-    read by fewer tasks than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scanned.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew for work that costs much a row: a table's files may be read by few
+    tasks, or by many of which one has nearly all rows, as a file of one row group is."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,7 @@ def _chinese(year: Column) -> Column:
 
 def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised text of the credentials in four layouts, by entity_id mod 4."""
-    c = credentials(spark, sf_dir)
+    c = spread(credentials(spark, sf_dir))
     k, born = F.col("entity_id"), (F.col("enrollment_year").cast("int") - 18).cast("string")
     modern = F.concat_ws(
         "\n",
@@ -103,8 +102,7 @@ def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_json = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"ps_key_evidence":'), evidence, F.lit("}"))
     fenced = F.concat(F.lit("```json\n"), as_json, F.lit("\n```"))
     kind = F.col("entity_id") % 4
-    texts = c.select("entity_id", F.when(kind == 0, modern).when(kind == 1, old).when(kind == 2, as_json).otherwise(fenced).alias("ocr_text"))
-    return spread(texts, table(spark, sf_dir, "orders"))
+    return c.select("entity_id", F.when(kind == 0, modern).when(kind == 1, old).when(kind == 2, as_json).otherwise(fenced).alias("ocr_text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,21 @@ def test_regions(spark):
 @pytest.mark.parametrize("value,want", [('{"choices":[{"message":{"content":"a"}}],"text":"b"}', "a"), ('{"data":{"content":" ","result":"c"}}', "c"), ('{"output":"d"}', "d"), ("oops", None)])
 def test_envelopes(spark, value, want):
     assert one(spark, model_json.envelope_text(F.col("t")), value) == want
+
+
+def test_texts_of_one_row_group_are_dealt_to_all(spark, tmp_path):
+    """A file of one row group is split into many parts, of which one has all rows."""
+    from certloom.sources.records import ocr_texts
+
+    rows = {"orders": ("id as o_orderkey, id % 50 as o_custkey", 5_000), "customer": ("id as c_custkey, id % 5 as c_nationkey", 50), "nation": ("id as n_nationkey, string(id) as n_name", 5)}
+    for name, (columns, n) in rows.items():
+        spark.range(n).selectExpr(*columns.split(", ")).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    known = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in known:
+            spark.conf.set(k, "1024")
+        counts = [r["count"] for r in ocr_texts(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert sum(counts) == 5_000 and max(counts) < 1_000
