@@ -45,6 +45,20 @@ def blocks_of(vectors: DataFrame, block: int = BLOCK, *more: str) -> tuple[DataF
     return packed(blocks.agg(F.sort_array(F.collect_list("row")).alias("rows")), "number", *more), count
 
 
+def in_bytes(vectors: np.ndarray) -> bytes:
+    """A matrix as bytes, as single precision where that is exact (vectors that were stored so);
+    the first of eight bytes before it says how many a number has."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        half = vectors.astype(np.float32)
+    sent = half if np.array_equal(half, vectors, equal_nan=True) else vectors
+    return sent.itemsize.to_bytes(8, "little") + sent.tobytes()
+
+
+def of_bytes(sent: bytes, n: int) -> np.ndarray:
+    """The matrix of ``n`` rows, in double precision."""
+    return np.frombuffer(sent, dtype=f"f{sent[0]}", offset=8).reshape(n, -1).astype(np.float64, copy=False)
+
+
 def packed(blocks: DataFrame, number: str, *more: str) -> DataFrame:
     """(number, ids, vectors and further numbers) of blocks of rows, as bytes, so that a block that
     meets many others is read as a matrix each time, without a step for each vector."""
@@ -53,16 +67,16 @@ def packed(blocks: DataFrame, number: str, *more: str) -> DataFrame:
         for frame in frames:
             if len(frame):
                 parts = [(*_matrix(rows), *(np.array([r[m] for r in rows], dtype=np.int64) for m in more)) for rows in frame["rows"]]
-                columns = {name: [p[k].tobytes() for p in parts] for k, name in enumerate(("ids", "vectors", *more))}
+                columns = {name: [in_bytes(p[k]) if name == "vectors" else p[k].tobytes() for p in parts] for k, name in enumerate(("ids", "vectors", *more))}
                 yield pd.DataFrame({"number": frame[number].to_numpy(), **columns})
 
     schema = ", ".join(["number long", *(f"{name} binary" for name in ("ids", "vectors", *more))])
     return blocks.select(number, "rows").mapInPandas(run, schema)
 
 
-def group_size(count: int) -> int:
-    """Blocks of a group: as many as give GROUPS of them, MOST_BLOCKS at most."""
-    return max(1, min(MOST_BLOCKS, count // GROUPS))
+def group_size(count: int, groups: int = GROUPS, most: int = MOST_BLOCKS) -> int:
+    """Blocks of a group: as many as give so many groups, ``most`` at most."""
+    return max(1, min(most, count // groups))
 
 
 def meet(blocks: DataFrame, count: int) -> DataFrame:
@@ -91,7 +105,7 @@ def groups_met(grouped: DataFrame, met: DataFrame, n: int) -> DataFrame:
 
 def unpacked(block, *more: str) -> tuple[np.ndarray, ...]:
     ids = np.frombuffer(block["ids"], dtype=np.int64)
-    return ids, np.frombuffer(block["vectors"], dtype=np.float64).reshape(len(ids), -1), *(np.frombuffer(block[m], dtype=np.int64) for m in more)
+    return ids, of_bytes(block["vectors"], len(ids)), *(np.frombuffer(block[m], dtype=np.int64) for m in more)
 
 
 def block_tiles(frame: pd.DataFrame, *more: str) -> Iterator[list[tuple]]:

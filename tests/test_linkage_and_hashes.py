@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from certloom.operators import pairs, similarity
+from certloom.operators import linkage, pairs, similarity
 from certloom.operators.linkage import complete_linkage
 
 
@@ -37,6 +37,27 @@ def test_complete_linkage(spark, metric, limit, spread):
     assert 1 < len(want) < 50 and found(complete_linkage(df, limit, metric)) == want
 
 
+@pytest.mark.parametrize(("metric", "limit", "spread"), [("cosine", 0.4, None), ("euclidean", 2.5, 3), ("euclidean", 9.0, None)])
+def test_complete_linkage_keeps_no_pairs(spark, monkeypatch, metric, limit, spread):
+    """Rounds over blocks, with clusters larger than one, equal the greedy order; what goes on from a
+    round is no more than the nearest of each cluster, though most pairs are within the limit."""
+    monkeypatch.setattr(linkage, "FINISHED", 1)
+    monkeypatch.setattr(linkage, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((30, 3)) if spread is None else rng.integers(0, spread, (30, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    kept, keep = [], linkage.Tables.keep
+
+    def counted(self, name, table):
+        table = keep(self, name, table)
+        kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(linkage.Tables, "keep", counted)
+    assert found(complete_linkage(df, limit, metric)) == greedy(pairs.METRICS[metric](x, x).round(12), limit)
+    assert max(kept) <= len(x)
+
+
 def test_complete_linkage_of_few(spark):
     df = spark.createDataFrame([(3, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [0.0, 1.0])], "entity_id long, vector array<double>")
     assert found(complete_linkage(df, 0.5)) == [[3, 4], [9]]
