@@ -26,13 +26,14 @@ depend on an order.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from functools import reduce
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,7 +243,7 @@ def spanning_tree(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
 # the hierarchy
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A part of the hierarchy that is still to be joined: ``members`` while it is smaller
     than a cluster, else the open ``cluster`` with what its mass follows from."""
@@ -256,6 +257,9 @@ class Node:
     parted: bool = False  # there are clusters below
 
 
+FIELDS = [f.name for f in fields(Node)]
+
+
 def inverse(distance: float) -> float:
     return min(1 / distance, LARGEST) if distance > 0 else LARGEST
 
@@ -329,16 +333,26 @@ def condensed_step(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None,
     arrow = to_arrow_schema(_STEP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        start = {r["node"]: Node(r["size"], r["first"], r["members"], r["cluster"], r["weight"], r["below"], r["parted"]) for r in rows if r["kind"] == "node"}
-        a, b, distance = zip(*sorted(((r["a"], r["b"], r["distance"]) for r in rows if r["kind"] == "edge"), key=lambda e: (e[2], e[0], e[1]))) if len(rows) > len(start) else ([], [], [])
-        del rows
+        start, lists = {}, ([], [], [])
+        for batch in batches:  # of a row only what its kind has, as there are many columns
+            kinds = batch.column("kind")
+            for r in batch.filter(pc.equal(kinds, "node")).select(["node", *FIELDS]).to_pylist():
+                node = r.pop("node")
+                start[node] = Node(**r)
+            edge = batch.filter(pc.equal(kinds, "edge"))
+            for held, name in zip(lists, ("a", "b", "distance")):
+                held.append(edge.column(name).to_numpy())
+        a, b, distance = (np.concatenate(held) if held else np.zeros(0) for held in lists)
+        order = np.lexsort((b, a, distance))
+        a, b, distance = (v[order].tolist() for v in (a, b, distance))
         roots, closed, left = grown(start, a, b, distance, least)
-        out = [{"kind": "node", "node": n.first, **vars(n)} for n in roots.values()]
-        out += [dict(zip(("kind", "cluster", "parent", "birth", "parted", "greatest"), ("closed", *c))) for c in closed]
-        out += [{"kind": "left", "entity_id": p, "cluster": c} for p, c in left]
-        for at in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=arrow)
+        out = chain(
+            ({"kind": "node", "node": n.first, **{f: getattr(n, f) for f in FIELDS}} for n in roots.values()),
+            (dict(zip(("kind", "cluster", "parent", "birth", "parted", "greatest"), ("closed", *c))) for c in closed),
+            ({"kind": "left", "entity_id": p, "cluster": c} for p, c in left),
+        )
+        while part := list(islice(out, 10_000)):
+            yield pa.RecordBatch.from_pylist(part, schema=arrow)
 
     rows = _filled(of_nodes).unionByName(_filled(of_edges))
     return (rows.coalesce(1) if labels is None else rows.repartition(tasks, "component")).mapInArrow(run, _STEP)

@@ -263,9 +263,10 @@ class Cells:
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                if len(frame):
-                    d = chords(np.array([np.asarray(v, dtype=np.float64) for v in frame["vector"]]), pivots, metric)
-                    yield frame.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
+                for at in range(0, len(frame), BLOCK):  # a matrix of all pivots is wide
+                    part = frame.iloc[at : at + BLOCK]
+                    d = chords(np.array([np.asarray(v, dtype=np.float64) for v in part["vector"]]), pivots, metric)
+                    yield part.assign(cell=d.argmin(axis=1), far=d.min(axis=1))
 
         placed = cut(rows.mapInPandas(place, "entity_id long, vector array<double>, cell long, far double"))
         facts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
@@ -399,23 +400,36 @@ def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
 
 def nearest_of(vectors: DataFrame, targets: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(entity_id, target, distance) of the nearest target of every vector, ties to the
-    smaller target. ``targets``: target, vector. Blocks of both meet by equality."""
-    measure = METRICS[metric]
+    smaller target. ``targets``: target, vector.
 
+    Groups of blocks of both meet, so that a vector is sent once for each group of the other
+    side, and a task holds a few groups however many pairs of blocks there are.
+    """
+    measure = METRICS[metric]
     (left, n), (right, count) = blocks_of(vectors), blocks_of(targets.select(F.col("target").alias("entity_id"), "vector"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("number")
-    kinds = F.struct("number", "ids", "vectors")
-    tasks = max(1, min(n * count, 8 * vectors.sparkSession.sparkContext.defaultParallelism))
-    met = left.select(F.col("number").alias("x"), kinds.alias("a"), every).join(right.select("number", kinds.alias("b")), "number").repartition(tasks, "x", "number")
+    size, other = group_size(n), group_size(count)
+    first, groups = math.ceil(n / size), math.ceil(count / other)
+    of_targets = right.withColumns({"number": F.col("number") + n, "group": F.expr(f"{first} + number div {other}")})
+    grouped = left.withColumn("group", F.expr(f"number div {size}")).unionByName(of_targets)
+    every = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + groups - 1).cast("long")))
+    met = vectors.sparkSession.range(first).select(F.col("id").alias("x"), every.alias("y"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for a, b in zip(frame["a"], frame["b"]):
-                (ida, x), (idb, y) = unpacked(a), unpacked(b)
-                d = measure(x, y)  # blocks are in the order of their ids
-                at = d.argmin(axis=1)
-                yield pd.DataFrame({"entity_id": ida, "target": idb[at], "distance": d[np.arange(len(ida)), at]})
-
-    found = met.select("a", "b").mapInPandas(run, "entity_id long, target long, distance double")
+            for tiles in block_tiles(frame):
+                best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+                for p, _, (ida, x), (idb, y) in tiles:
+                    d = measure(x, y)  # blocks are in the order of their ids
+                    at = d.argmin(axis=1)
+                    d, target = d[np.arange(len(ida)), at], idb[at]
+                    if p in best:
+                        _, who, known = best[p]
+                        kept = (known < d) | ((known == d) & (who < target))
+                        d, target = np.where(kept, known, d), np.where(kept, who, target)
+                    best[p] = ida, target, d
+                for ids, target, d in best.values():
+                    yield pd.DataFrame({"entity_id": ids, "target": target, "distance": d})
+
+    found = groups_met(grouped, met, first * groups).mapInPandas(run, "entity_id long, target long, distance double")
     best = found.groupBy("entity_id").agg(F.min(F.struct("distance", "target")).alias("m"))
     return best.select("entity_id", "m.target", "m.distance")

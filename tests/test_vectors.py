@@ -261,3 +261,23 @@ def test_pairs_that_join_are_fewer_than_vectors(spark, cells, monkeypatch):
         return up
 
     assert parts(links) == parts(every)
+
+
+def test_nearest_of_meets_in_groups(spark, monkeypatch):
+    """Ties go to the smaller target in whatever block it is, and rows that meet are groups, not blocks."""
+    blocks_of, groups_met, met = pairs.blocks_of, pairs.groups_met, []
+    monkeypatch.setattr(pairs, "blocks_of", lambda vectors: blocks_of(vectors, 8))
+
+    def counted(grouped, pairs_of_groups, n):
+        met.append((pairs_of_groups.count(), n))
+        return groups_met(grouped, pairs_of_groups, n)
+
+    monkeypatch.setattr(pairs, "groups_met", counted)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 3, (300, 3)).astype(float), rng.integers(0, 3, (400, 3)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, vector array<double>")
+    targets = spark.createDataFrame([(1000 - i, v.tolist()) for i, v in enumerate(y)], "target long, vector array<double>")
+    d = pairs.euclidean_distances(x, y[::-1])
+    got = {r["entity_id"]: (r["target"], r["distance"]) for r in pairs.nearest_of(rows, targets).collect()}
+    assert got == {i: (601 + int(d[i].argmin()), float(d[i].min())) for i in range(300)}
+    assert len(met) == 1 and met[0][0] == met[0][1] < 38 * 50
