@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -143,44 +144,61 @@ WORDS = ("w0", "w1", "w2", "w3")
 HOT = 1_000
 
 
-def bands(binary: Column, length: int, threshold: int) -> Column:
-    """A text of bits in ``threshold`` bands: texts that differ in fewer bits share one whole.
-    ``rest``: the bits outside of the band."""
-    cuts = [round(i * length / threshold) for i in range(threshold + 1)]
-    return F.array(*[
-        F.struct(F.lit(i).alias("band"), F.substring(binary, a + 1, b - a).alias("bits"), F.concat(F.substring(binary, 1, a), F.substring(binary, b + 1, length - b)).alias("rest"))
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ])
+def dealt(places: list[int], n: int) -> list[list[int]]:
+    """Places of bits dealt into ``n`` bands like cards: each has some of every part of a hash, so
+    that bits that are alike in most hashes (a word's first ones) don't make up a band."""
+    return [places[i::n] for i in range(n)]
+
+
+def masks(places: list[int]) -> list[int]:
+    """The four 64-bit words, signed, in which the bits at these places of 256 are set."""
+    words = [sum(1 << p % 64 for p in places if p // 64 == w) for w in range(4)]
+    return [w - (1 << 64) if w >> 63 else w for w in words]
+
+
+def band_key(places: list[int]) -> Column:
+    """A number that hashes have in common if they agree at all of these places."""
+    return F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(WORDS, masks(places))])
+
+
+def agree(places: list[int]) -> Column:
+    """Whether a0..a3 and b0..b3 do agree there."""
+    differing = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")).bitwiseAND(F.lit(m)) for w, m in zip(WORDS, masks(places))]
+    return reduce(lambda x, y: x.bitwiseOR(y), differing) == 0
 
 
 def hash_classes(hashes: DataFrame, threshold: int = 10, region: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of equal hashes: (c1, c2, distance) of different ones that differ in fewer than
     ``threshold`` bits, and the members (entity_id, class) of all. With a region, by region.
 
-    A class is named by its smallest id. Classes meet in bands. A band that many share is
-    cut again: those of them that are near differ in fewer bits outside of it too, and share
-    one of as many bands of the rest.
+    A class is named by its smallest id. Classes meet in bands: two that differ in fewer bits
+    than there are bands have one in common, and the first of these gives the pair. A band that
+    many share is cut again: those of them that are near differ in fewer bits outside of it
+    too, and share one of as many bands of the rest.
     """
     keys = [region] if region else []
     classes = cut(hashes.groupBy(*keys, *WORDS).agg(F.min("entity_id").alias("class")))
-    binary = F.concat(*[F.lpad(F.bin(w), 64, "0") for w in WORDS])
-    banded = classes.select(*keys, "class", *WORDS, F.explode(bands(binary, 256, threshold)).alias("b")).select(*keys, "class", *WORDS, "b.*")
-    counts = banded.groupBy(*keys, "band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(banded.join(shuffled(counts), [*keys, "band", "bits"]))
-    crowded = F.col("n") > HOT
-    plain = met.where(~crowded).select(*keys, "class", *WORDS, "band", "bits", F.lit(-1).alias("band2"), F.lit("").alias("bits2"))
-    again = []
-    for band in range(threshold):  # the rest of a band has a length of its own
-        length = 256 - (round((band + 1) * 256 / threshold) - round(band * 256 / threshold))
-        more = met.where(crowded & (F.col("band") == band)).select(*keys, "class", *WORDS, "band", "bits", F.explode(bands(F.col("rest"), length, threshold)).alias("b"))
-        again.append(more.select(*keys, "class", *WORDS, "band", "bits", F.col("b.band").alias("band2"), F.col("b.bits").alias("bits2")))
-    for more in again:
-        plain = plain.unionByName(more)
-    on = [*keys, "band", "bits", "band2", "bits2"]
-    left = plain.select(*on, F.col("class").alias("c1"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-    right = plain.select(*on, F.col("class").alias("c2"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    places = dealt(list(range(256)), threshold)
+    banded = classes.select(*keys, "class", *WORDS, F.posexplode(F.array(*[band_key(p) for p in places])).alias("band", "key"))
+    crowded = cut(banded.groupBy(*keys, "band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).drop("n"))
     distance = bits([F.col(f"a{w}") for w in WORDS], [F.col(f"b{w}") for w in WORDS])
-    near = shuffled(left).join(shuffled(right), on).where((F.col("c1") < F.col("c2")) & (distance < threshold)).select(*keys, "c1", "c2", distance.alias("distance")).distinct()
+
+    def met(some: DataFrame, on: list[str]) -> DataFrame:
+        """Near pairs among classes with equal ``on``, each at the first band that it shares."""
+        first = F.coalesce(*[F.when(agree(p), i) for i, p in enumerate(places)])
+        left = some.select(*on, F.col("class").alias("c1"), *[F.col(w).alias(f"a{w}") for w in WORDS])
+        right = some.select(*on, F.col("class").alias("c2"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+        pairs = shuffled(left).join(shuffled(right), on).where((F.col("c1") < F.col("c2")) & (distance < threshold) & (first == F.col("band")))
+        return pairs.select(*keys, "c1", "c2", distance.alias("distance"))
+
+    on = [*keys, "band", "key"]
+    if crowded.isEmpty():
+        near = met(banded, on)
+    else:
+        rests = [dealt([p for p in range(256) if p not in held], threshold) for held in places]
+        again = F.coalesce(*[F.when(F.col("band") == i, F.array(*[band_key(p) for p in rest])) for i, rest in enumerate(rests)])
+        full = shuffled(banded).join(shuffled(crowded), on, "left_semi").select(*on, "class", *WORDS, F.posexplode(again).alias("band2", "key2"))
+        near = met(shuffled(banded).join(shuffled(crowded), on, "left_anti"), on).unionByName(met(full, [*on, "band2", "key2"]).distinct())
     return near, hashes.join(shuffled(classes), [*keys, *WORDS]).select(*keys, "entity_id", "class")
 
 

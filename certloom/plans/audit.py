@@ -35,17 +35,26 @@ def hash_issues(hashes: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return pairs.select(F.lit("区域图像高度相似").alias("rule"), detail.alias("detail"), F.lit(rules.HIGH).alias("severity"), F.array("id1", "id2").alias("related_ids"))
 
 
-def cross_validate(records: DataFrame, hashes: DataFrame | None = None, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
-    """The issues across records, and the header of the run."""
+def all_issues(records: DataFrame, hashes: DataFrame | None = None, s: Settings = SETTINGS) -> DataFrame:
+    """The issues of all rules across records, and those of the images' regions if given."""
     issues = rules.cross_issues(records, s)
-    if hashes is not None:
-        issues = issues.unionByName(hash_issues(hashes, s))
-    issues = cut(issues)
+    return issues if hashes is None else issues.unionByName(hash_issues(hashes, s))
+
+
+def run_header(records: DataFrame, issues: DataFrame) -> DataFrame:
+    """The header of a run. Of the issues only what is counted is made: neither their texts nor
+    a table of them."""
     totals = records.agg(F.count(F.lit(1)).alias("total_certs"), F.count_if(~F.coalesce(F.col("ocr_error"), F.lit(False))).alias("ocr_success"))
     counted = issues.agg(F.count(F.lit(1)).alias("issue_count"), F.count_if(F.col("severity") == rules.HIGH).alias("high_severity_count"))
     header = totals.withColumn("_run", F.lit(1)).join(counted.withColumn("_run", F.lit(1)), "_run").drop("_run")
     message = F.concat(F.lit("共 "), F.col("total_certs").cast("string"), F.lit(" 张证件，发现 "), F.col("issue_count").cast("string"), F.lit(" 个问题"))
-    return issues, header.withColumn("message", message)
+    return header.withColumn("message", message)
+
+
+def cross_validate(records: DataFrame, hashes: DataFrame | None = None, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
+    """The issues across records, and the header of the run."""
+    issues = cut(all_issues(records, hashes, s))
+    return issues, run_header(records, issues)
 
 
 def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:

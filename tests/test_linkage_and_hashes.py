@@ -111,3 +111,11 @@ def test_bands_of_hashes_are_not_broadcast(spark):
     for found in (similarity.similar_hashes(df, 10, "region"), similarity.hash_links(df, 10, "region")):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_bands_tell_hashes_with_like_ends_apart(spark):
+    """The words of multiples begin and end alike: no band of theirs may have many of them."""
+    classes = spark.range(20_000).select(*[(F.col("id") * k).alias(w) for w, k in zip(similarity.WORDS, (2654435761, 2246822519, 3266489917, 668265263))])
+    keys = F.array(*[similarity.band_key(p) for p in similarity.dealt(list(range(256)), 10)])
+    counts = classes.select(F.posexplode(keys).alias("band", "key")).groupBy("band", "key").count()
+    assert counts.agg(F.max("count")).first()[0] < 20 and counts.where("count > 1").agg(F.sum("count")).first()[0] < 40_000

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from certloom.plans import extract_queries, rule_queries
+from certloom.plans import audit, extract_queries, ledger_queries, rule_queries
 from certloom.sources.records import credentials
 
 
@@ -69,3 +69,13 @@ def test_patterns_apply_to_every_recognised_text(spark, folder):
             assert rows[k]["cert_no"] == r["cert_no"]
         else:  # JSON has no Chinese keys; the pattern of schools takes up to 20 characters
             assert rows[k] == {"school": ('{"school":"' + r["school"].removesuffix("大学"))[-20:] + "大学"}
+
+
+def test_a_whole_header_writes_no_table_of_issues(spark, folder, monkeypatch):
+    """Of three regions of 30 images and all rules; what is counted needs no texts and no table."""
+    spark.range(30).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    regions = ledger_queries.cross_validate_regions(spark, folder).count()
+    found = brute_issues(credentials(spark, folder).collect())
+    monkeypatch.setattr(audit, "cut", None)
+    header = ledger_queries.cross_validate_whole(spark, folder).first()
+    assert regions > 0 and header["issue_count"] == len(found) + regions and header["high_severity_count"] == header["issue_count"] - sum(s == "中" for _, s, _ in found)
