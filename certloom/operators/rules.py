@@ -160,7 +160,7 @@ def similar_number_issues(records: DataFrame, s: Settings = SETTINGS) -> DataFra
     """Records whose certificate numbers differ but are alike."""
     pairs = similar_numbers(readable(records).where(given("cert_no")).select("entity_id", "cert_no"), s.number_similarity)
     detail = F.concat(
-        F.lit("ID "), F.col("id1").cast("string"), F.lit(" 编号『"), "no1", F.lit("』与 ID "), F.col("id2").cast("string"), F.lit(" 编号『"), "no2", F.lit("』相似度 "), F.format_string("%.1f%%", F.col("similarity") * 100)
+        F.lit("ID "), F.col("id1").cast("string"), F.lit(" 编号『"), "no1", F.lit("』与 ID "), F.col("id2").cast("string"), F.lit(" 编号『"), "no2", F.lit("』相似度 "), F.round(F.col("similarity") * 100, 1).cast("string"), F.lit("%")
     )
     return _issues(pairs, ["id1", "id2", "similarity"], issue("similar_number", detail, HIGH, F.array("id1", "id2")))
 

@@ -12,7 +12,10 @@ from functools import reduce
 from itertools import combinations
 from math import comb
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,8 @@ from certloom.operators.lineage import cut
 
 #: Variants of one number that are listed, at most; longer ones use pieces.
 MOST_VARIANTS = 300
+#: Characters from which on difflib itself compares two texts, and pairs compared at a time.
+PLAIN, ROWS = 200, 4_096
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -29,10 +34,95 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all characters (Ratcliff and Obershelp)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def characters(texts: pa.Array, at: np.ndarray, length: int) -> np.ndarray:
+    """A row of codes for each of the texts ``at``, which have ``length`` characters."""
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1, offset=4 * texts.offset)
+    data = texts.buffers()[2]
+    if (np.diff(ends)[at] == length).all() and data is not None:  # a byte for each
+        codes = np.frombuffer(data, dtype=np.uint8)
+        return codes[ends[at][:, None] + np.arange(length)[None, :]]
+    return np.array(texts.take(pa.array(at)).to_pylist(), dtype=f"U{max(1, length)}").view(np.uint32).reshape(len(at), -1)[:, :length]
+
+
+def matched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of codes ``x`` and ``y`` the characters that matching blocks have: the longest
+    one (the first in x, then in y), and so on to its left and to its right."""
+    total = np.zeros(len(x), dtype=np.int64)
+    for at in range(0, len(x), ROWS):
+        total[at : at + ROWS] = _matched(np.ascontiguousarray(x[at : at + ROWS].T), np.ascontiguousarray(y[at : at + ROWS].T))
+    return total
+
+
+def _matched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same of columns; a round takes the longest block of all stretches that are left."""
+    n, total = x.shape[1], np.zeros(x.shape[1], dtype=np.int64)
+    row = np.arange(n)
+    low, start = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.uint8)
+    high, end = np.full(n, len(x), dtype=np.uint8), np.full(n, len(y), dtype=np.uint8)
+    places = np.arange(len(y))[:, None]
+    cells = len(x) * len(y)
+    kind = np.uint16 if cells * (1 + min(len(x), len(y))) < 1 << 16 else np.uint32
+    while len(row):
+        left, right = (x, y) if len(row) == n and total.max(initial=0) == 0 else (x[:, row], y[:, row])
+        inside = ((places >= start) & (places < end)).view(np.uint8)
+        run, found = np.zeros((len(y) + 1, len(row)), dtype=np.uint8), np.zeros(len(row), dtype=kind)
+        for i in range(int(low.min()), int(high.max())):
+            same = (right == left[i]).view(np.uint8)
+            same &= inside
+            same &= ((low <= i) & (i < high)).view(np.uint8)
+            np.multiply(run[:-1] + np.uint8(1), same, out=run[1:])
+            # the length of a block before the place where it ends, the earlier the greater
+            ended = run[1:] * kind(cells)
+            ended += (cells - 1 - i * len(y) - places).astype(kind)
+            np.maximum(found, ended.max(axis=0), out=found)
+        best, place = (found // kind(cells)).astype(np.uint8), cells - 1 - (found % kind(cells)).astype(np.int64)
+        at, to = ((v + 1 - best).astype(np.uint8) for v in np.divmod(place, len(y)))
+        total += np.bincount(row, best, n).astype(np.int64)
+        # what is left on a side if both have something there that may be equal
+        before, after = (best > 0) & (at > low) & (to > start), (best > 0) & (at + best < high) & (to + best < end)
+        row, low, high, start, end = (
+            np.concatenate([u[before], v[after]]) for u, v in ((row, row), (low, at + best), (at, high), (start, to + best), (to, end))
+        )
+        alone = (high - low == 1) & (end - start == 1)
+        if alone.any():
+            total += np.bincount(row[alone], x[low[alone], row[alone]] == y[start[alone], row[alone]], n).astype(np.int64)
+            row, low, high, start, end = (v[~alone] for v in (row, low, high, start, end))
+    return total
+
+
+def twice(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether numbers of one length that become equal by a deletion each do so in another way,
+    too: what differs is one step left, and one step right, of what the other has there."""
+    differ = x != y
+    places = np.arange(x.shape[1] - 1)
+    first, last = differ.argmax(axis=1)[:, None], x.shape[1] - 1 - differ[:, ::-1].argmax(axis=1)[:, None]
+    beside = (places < first) | (places >= last)
+    return (first < last)[:, 0] & ((x[:, 1:] == y[:, :-1]) | beside).all(axis=1) & ((x[:, :-1] == y[:, 1:]) | beside).all(axis=1)
+
+
+def ratios(a: pa.Array, b: pa.Array, late: pa.Array) -> pa.Array:
+    """Twice the matched characters over all characters (Ratcliff and Obershelp), as difflib has it.
+
+    Where ``late``, null for a pair of numbers that meets elsewhere as well.
+    """
+    out, skipped = np.zeros(len(a)), np.zeros(len(a), dtype=bool)
+    pairs = np.left_shift(pc.utf8_length(a).to_numpy(zero_copy_only=False).astype(np.int64), 32) + pc.utf8_length(b).to_numpy(zero_copy_only=False)
+    late = late.to_numpy(zero_copy_only=False)
+    for pair in np.unique(pairs).tolist():
+        at, (la, lb) = np.flatnonzero(pairs == pair), divmod(pair, 1 << 32)
+        if max(la, lb) >= PLAIN:  # difflib leaves out frequent characters of long texts
+            out[at] = [SequenceMatcher(None, x, y).ratio() for x, y in zip(a.take(pa.array(at)).to_pylist(), b.take(pa.array(at)).to_pylist())]
+        elif la and lb:
+            x, y = characters(a, at, la), characters(b, at, lb)
+            out[at] = 2.0 * matched(x, y) / (la + lb)
+            if la == lb > 1:
+                skipped[at] = late[at] & twice(x, y)
+        else:
+            out[at] = float(la == lb)
+    return pa.array(out, mask=skipped)
+
+
+ratio = F.arrow_udf(ratios, T.DoubleType())
 
 
 def length_bounds(l1: int, l2: int, threshold: float) -> tuple[int, int] | None:
@@ -55,35 +145,63 @@ def similar_numbers(numbers: DataFrame, threshold: float) -> DataFrame:
     """(id1, no1, id2, no2, similarity) of records whose different numbers are alike.
 
     ``numbers``: entity_id, cert_no. The shorter number is the first, the smaller id on
-    equal lengths; as the ratio depends on the order, both orders of distinct numbers of
-    one length are verified if their ids ask for it. Distinct numbers are joined on
-    their length pair and what is left after deletions; long ones on pieces that a hit
-    leaves intact. Pairs of records are made after verification.
+    equal lengths, as the ratio depends on the order. Numbers are joined on their length
+    pair and what is left after deletions; long ones on pieces that a hit leaves intact.
+    Where a deletion each is enough, records of a number that at most two have travel as they
+    are and pairs meet once, so that nothing is dealt out after the join; pairs with a number
+    of more records, and long ones, are pairs of numbers until they are verified.
     """
-    distinct = cut(numbers.select(F.col("cert_no").alias("no"), F.length("cert_no").alias("l")).distinct())
+    counted = cut(numbers.groupBy(F.col("cert_no").alias("no")).agg(F.length("cert_no").alias("l"), F.min("entity_id").alias("low"), F.max("entity_id").alias("high"), F.count(F.lit(1)).alias("n")))
     # one number for each length that occurs
-    lengths = sorted(r["l"] for r in distinct.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect())
+    known = {r["l"]: r["most"] for r in counted.groupBy("l").agg(F.max("n").alias("most")).collect()}
+    lengths = sorted(known)
     bounds = {(l1, l2): b for l1 in lengths for l2 in lengths if l1 <= l2 and (b := length_bounds(l1, l2, threshold)) is not None}
     single = {pair: b for pair, b in bounds.items() if max(b) <= 1}
-    candidates = by_pieces(distinct, {pair: b for pair, b in bounds.items() if pair not in single})
+    direct, candidates = None, by_pieces(counted, {pair: b for pair, b in bounds.items() if pair not in single})
     for (l1, l2), (d1, d2) in single.items():
-        left = distinct.where(F.col("l") == l1).select(F.col("no").alias("no1"), F.explode(single_deletions(F.col("no"), l1, d1)).alias("key"))
-        right = distinct.where(F.col("l") == l2).select(F.col("no").alias("no2"), F.explode(single_deletions(F.col("no"), l2, d2)).alias("key"))
-        candidates = candidates.union(shuffled(left).join(shuffled(right), "key").where("no1 <> no2").select("no1", "no2"))
-    candidates = candidates.distinct()
-    near = candidates.where(F.levenshtein("no1", "no2") <= F.ceil((F.length("no1") + F.length("no2")) * (1 - threshold)))
-    verified = near.withColumn("similarity", ratio("no1", "no2")).where(F.col("similarity") >= threshold)
+        if l1 == l2 and not d1:
+            continue  # only equal numbers
+        met = by_deletions(counted, l1, d1, l2, d2)
+        found = met.where("id1 < id2" if l1 == l2 else "id1 is not null and id2 is not null").select("id1", "no1", "id2", "no2", "late")
+        direct = found if direct is None else direct.union(found)
+        if max(known[l1], known[l2]) > 2:
+            candidates = candidates.union(met.where("id1 is null or id2 is null").select("no1", "no2"))
     first = numbers.select(F.col("entity_id").alias("id1"), F.col("cert_no").alias("no1"))
     second = numbers.select(F.col("entity_id").alias("id2"), F.col("cert_no").alias("no2"))
+    near = candidates.distinct().where(F.levenshtein("no1", "no2") <= F.ceil((F.length("no1") + F.length("no2")) * (1 - threshold)))
+    verified = near.withColumn("similarity", ratio("no1", "no2", F.lit(False))).where(F.col("similarity") >= threshold)
     pairs = verified.join(shuffled(first), "no1").join(shuffled(second), "no2")
     ordered = (F.length("no1") < F.length("no2")) | (F.col("id1") < F.col("id2"))
-    return pairs.where(ordered).select("id1", "no1", "id2", "no2", F.round("similarity", 6).alias("similarity"))
+    found = pairs.where(ordered).select("id1", "no1", "id2", "no2", "similarity")
+    if direct is not None:
+        near = direct.withColumn("similarity", ratio("no1", "no2", "late")).where(F.col("similarity") >= threshold).drop("late")
+        found = near if len(single) == len(bounds) and max(known.values()) <= 2 else near.union(found)
+    return found.select("id1", "no1", "id2", "no2", F.round("similarity", 6).alias("similarity"))
 
 
-def single_deletions(no: Column, length: int, n: int) -> Column:
-    """A number's different rests after ``n`` deletions, none or one; the hashes of them."""
-    rests = F.array(no) if n == 0 else F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.concat(F.substring(no, F.lit(1), i - 1), F.substring(no, i + 1, F.lit(length)))))
-    return F.transform(rests, lambda x: F.xxhash64(x))
+def by_deletions(counted: DataFrame, l1: int, d1: int, l2: int, d2: int) -> DataFrame:
+    """(no1, id1, no2, id2, late) of different numbers of two lengths that are equal after one
+    deletion at most on each side; the id is null where more than two records have the number.
+
+    Two of one length may become equal in two ways: the second is ``late``, as the first number
+    loses a later character than the other.
+    """
+
+    def keyed(length: int, n: int) -> DataFrame:
+        no = F.col("no")
+        ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array(F.lit(None).cast("long")))
+        rows = counted.where(F.col("l") == length).select("no", F.explode(ids).alias("id"))
+        if not n:
+            return rows.select("no", "id", F.lit(0).alias("at"), F.xxhash64("no").alias("key"))
+        rests = [F.xxhash64(F.concat(F.substring(no, 1, i), F.substring(no, i + 2, length))) for i in range(length)]
+        every = rows.select("no", "id", F.posexplode(F.array(*rests)).alias("at", "key"))
+        # a run of equal characters leaves the same wherever one goes
+        return every.where((F.col("at") == 0) | (F.expr("substring(no, at + 1, 1)") != F.expr("substring(no, at, 1)")))
+
+    left = keyed(l1, d1).select("key", F.col("no").alias("no1"), F.col("id").alias("id1"), F.col("at").alias("at1"))
+    right = keyed(l2, d2).select("key", F.col("no").alias("no2"), F.col("id").alias("id2"), F.col("at").alias("at2"))
+    late = F.col("at1") > F.col("at2") if l1 == l2 else F.lit(False)
+    return shuffled(left).join(shuffled(right), "key").where("no1 <> no2").select("no1", "id1", "no2", "id2", late.alias("late"))
 
 
 def by_pieces(distinct: DataFrame, bounds: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:

@@ -109,3 +109,47 @@ def test_exploded_numbers_are_not_broadcast(spark, length):
     df = spark.range(50).select(F.col("id").alias("entity_id"), F.lpad(F.col("id").cast("string"), length, "0").alias("cert_no"))
     plan = similarity.similar_numbers(df, 0.85)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_similar_numbers_of_few_and_of_many_records(spark):
+    """Numbers of one, two, three and more records, among them swapped neighbours, which become
+    equal in two ways, and runs: each pair of records once."""
+    numbers = ["123456789", "213456789", "123456798", "112233445", "112233454", "121212121", "212121212", "12345678", "1234567890", "111111111", "111111112"]
+    rows = [(i, numbers[i % len(numbers)]) for i in range(25)] + [(100 + i, numbers[i]) for i in (0, 0, 5, 9, 10)]
+    rows = [(at, no) for at, (_, no) in enumerate(rows)]
+    for some in (rows, rows[:20], rows[:11]):
+        got = [(r["id1"], r["id2"], r["similarity"]) for r in similarity.similar_numbers(spark.createDataFrame(some, "entity_id long, cert_no string"), 0.85).collect()]
+        assert len(got) == len(set(got)) > 5 and set(got) == brute(some)
+
+
+def test_pairs_of_similar_numbers_meet_once(spark):
+    """One join and no grouping or joins of pairs after it, where numbers have few records."""
+    df = spark.range(50).select(F.col("id").alias("entity_id"), F.lpad(F.col("id").cast("string"), 9, "0").alias("cert_no"))
+    plan = similarity.similar_numbers(df, 0.85)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("alphabet", ["01", "0123456789", "一甲a"])
+def test_ratios_are_those_of_difflib(alphabet):
+    import random
+
+    import pyarrow as pa
+
+    rng, a, b = random.Random(5), ["", "", "ab" * 120], ["", "x", "ba" * 120]
+    for _ in range(2_000):
+        no = [rng.choice(alphabet) for _ in range(rng.choice([1, 8, 9, 13, 24]))]
+        a.append("".join(no))
+        for _ in range(rng.choice([1, 2, 3])):
+            at = rng.randrange(len(no) + 1)
+            no[at : at + 1] = rng.choice([[], [rng.choice(alphabet)], [rng.choice(alphabet), *no[at : at + 1]]])
+        b.append("".join(no))
+    for first in (0, 5):  # a slice has an offset
+        got = similarity.ratios(*(pa.array(x).slice(first) for x in (a, b, [False] * len(a)))).to_pylist()
+        assert got == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a[first:], b[first:])]
+
+
+def test_percentages_of_similar_numbers(spark):
+    """As a format of one decimal place writes them."""
+    found = spark.createDataFrame([(x / 400,) for x in range(401)], "similarity double")
+    got = found.select(F.round(F.col("similarity") * 100, 1).cast("string").alias("got"), F.format_string("%.1f", F.col("similarity") * 100).alias("want")).where("got <> want")
+    assert got.count() == 0
