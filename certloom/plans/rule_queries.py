@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certloom.operators import rules, similarity
-from certloom.plans.audit import batch_analyze, batch_events, batch_result, cross_validate
+from certloom.plans.audit import all_issues, batch_analyze, batch_events, batch_result, run_header
 from certloom.sources.records import CREDENTIALS_SQL, FACES_SQL, HASHES_SQL, METRICS_SQL, credentials, faces, forensic_metrics, region_hashes
 
 CERTS = f"with {CREDENTIALS_SQL}"
@@ -101,8 +101,8 @@ def cross_validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_validate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header of a run: records, readable ones, issues and severe ones."""
-    _, header = cross_validate(credentials(spark, sf_dir))
-    return header.select("total_certs", "ocr_success", "issue_count", "high_severity_count")
+    records = credentials(spark, sf_dir)
+    return run_header(records, all_issues(records)).select("total_certs", "ocr_success", "issue_count", "high_severity_count")
 
 
 QUERIES = {
