@@ -7,6 +7,9 @@ border points, and points without neighbours are noise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from certloom.config import SETTINGS, Settings
 from certloom.functions.vectors import nonzero
 from certloom.operators import pair_stats, pairs
 from certloom.operators.graph import components
+from certloom.operators.hierarchy import TASK, least_edges
+from certloom.operators.lineage import cut
 from certloom.operators.order import numbered
 
 
@@ -95,17 +100,32 @@ def histogram(distances: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def eps_sweep(vectors: DataFrame, radii: list[float], metric: str = "cosine") -> DataFrame:
-    """(eps, n_clusters, n_noise) of several radii; distances are measured once."""
-    from certloom.operators.lineage import cut
-
-    links = cut(pairs.distances(vectors, metric, max(radii)))
-    n = vectors.count()
-    out = None
-    for eps in radii:
-        found = components(links.where(F.col("distance") <= eps).select("a", "b"))
-        row = found.agg(F.count_distinct("label").alias("n_clusters"), (F.lit(n) - F.count(F.lit(1))).alias("n_noise")).select(F.lit(eps).alias("eps"), "n_clusters", "n_noise")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(eps, n_clusters, n_noise) of several radii; distances are measured once.
+
+    A minimum spanning forest within the greatest radius has for each radius a tree of every
+    cluster, and of each vector an edge to its nearest. So the vectors with an edge within a radius
+    are those in clusters, and there is one cluster more for each edge that they lack.
+    """
+    links = cut(pairs.distances(vectors.select("entity_id", "vector"), metric, max(radii), shortest=True))
+    tree = cut(whole_forest(links))
+    nearest = tree.select(F.explode(F.array("a", "b")).alias("id"), "distance").groupBy("id").agg(F.min("distance").alias("distance"))
+    within = [F.count_if(F.col("distance") <= eps) for eps in radii]
+    facts = nearest.agg(F.array(*within).alias("held")).join(F.broadcast(tree.agg(F.array(*within).alias("edges"))), F.lit(True)).join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("n"))), F.lit(True))
+    row = [F.struct(F.lit(eps).alias("eps"), (F.col("held")[i] - F.col("edges")[i]).alias("n_clusters"), (F.col("n") - F.col("held")[i]).alias("n_noise")) for i, eps in enumerate(radii)]
+    return facts.select(F.inline(F.array(*row)))
+
+
+def whole_forest(links: DataFrame) -> DataFrame:
+    """(a, b, distance) of a minimum spanning forest of the edges: by one task if they are few, else
+    in rounds of shortest edges out of each component."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [tuple(f[c].to_numpy() for c in ("a", "b", "distance")) for f in frames if len(f)]
+        yield from pairs.handed(found, True, True)
+
+    if links.limit(TASK + 1).count() > TASK:
+        return least_edges(links)
+    return links.coalesce(1).mapInPandas(run, "a long, b long, distance double")
 
 
 def members(labelled: DataFrame, names: DataFrame | None = None, s: Settings = SETTINGS) -> DataFrame:
@@ -127,6 +147,16 @@ def visible(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped.where("not is_noise"), grouped.agg(F.count_if("is_noise").alias("n_hidden"))
 
 
+def eps_candidates(vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(eps, n_clusters, n_noise) of 13 radii from 0.03 to 0.15.
+
+    ValueError for two vectors or fewer.
+    """
+    if vectors.limit(3).count() <= 2:
+        raise ValueError("too few vectors to describe a clustering")
+    return eps_sweep(vectors, [round(0.03 + 0.01 * i, 2) for i in range(13)], metric)
+
+
 def cluster_debug(vectors: DataFrame, metric: str = "cosine", s: Settings = SETTINGS) -> dict:
     """What helps to choose a radius: the k-distance curve, a histogram of 20 bins, the
     clusters of 13 radii from 0.03 to 0.15, the suggested radius and the vectors' number.
@@ -134,15 +164,12 @@ def cluster_debug(vectors: DataFrame, metric: str = "cosine", s: Settings = SETT
     The first three are DataFrames; k is 4, or one less than the vectors if they are few.
     ValueError for two vectors or fewer. Templates are measured with ``metric`` euclidean.
     """
-    n = vectors.count()
-    if n <= 2:
-        raise ValueError("too few vectors to describe a clustering")
+    candidates, n = eps_candidates(vectors, metric), vectors.count()
     k = min(4, n - 1)
-    radii = [round(0.03 + 0.01 * i, 2) for i in range(13)]
     return {
         "k_distance_curve": k_distances(vectors, k, metric),
         "distance_histogram": pair_stats.Distances(vectors, metric).histogram(20),
-        "eps_candidates": eps_sweep(vectors, radii, metric),
+        "eps_candidates": candidates,
         "suggested_eps": round(estimate_eps(vectors, k, metric, s), 4),
         "sample_count": n,
     }

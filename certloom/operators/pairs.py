@@ -127,6 +127,34 @@ def found_pairs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.Da
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d})
 
 
+def handed(found: list[tuple], shortest: bool, over: bool) -> Iterator[pd.DataFrame]:
+    """What goes on of the pairs that are ``found``; while the shortest are sought they stay, as a
+    forest, until it is ``over``."""
+    if shortest and found:
+        found[:] = [shortest_forest(*(np.concatenate([f[k] for f in found]) for k in range(3)))]
+    if found and (over or not shortest):
+        yield found_pairs(found)
+
+
+def shortest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the edges (a, b) of length ``d`` those of a minimum spanning forest."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, kept = list(range(len(ids))), []
+    order = np.argsort(d, kind="stable")
+    for e, x, y in zip(order.tolist(), ends[order].tolist(), ends[order + len(a)].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(e)
+            if len(kept) == len(ids) - 1:
+                break
+    kept = np.array(kept, dtype=np.int64)
+    return a[kept], b[kept], d[kept]
+
+
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["entity_id"] for r in rows], dtype=np.int64), np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
 
@@ -194,21 +222,22 @@ def forest(found: tuple, joined: Joined | None, p: int, q: int, n: int, m: int,
     return tuple(f[needed] for f in found)
 
 
-def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = None, below: bool = False, joining: bool = False) -> DataFrame:
+def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = None, below: bool = False, joining: bool = False, shortest: bool = False) -> DataFrame:
     """(a, b, distance) of all pairs a < b, or of those within ``most``.
 
     ``below``: the limit itself is too far. ``joining``: only pairs whose graph has the same
     components, of each pair of groups fewer than it has vectors, so that what goes on
-    grows with the vectors and not with the pairs.
+    grows with the vectors and not with the pairs. ``shortest``: the same for every radius
+    up to ``most``: of each pair of groups a minimum spanning forest.
     """
     measure = METRICS[metric]
     if most is not None and (metric != "cosine" or most < 1) and vectors.limit(CELLS_FROM + 1).count() > CELLS_FROM:
-        return Cells.of(vectors, most, metric).near(below, joining)
+        return Cells.of(vectors, most, metric).near(below, joining, shortest)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for tiles in block_tiles(frame):
-                found, held, joined = [], 0, Joined() if joining else None
+                found, held, kept, joined = [], 0, 0, Joined() if joining else None
                 for p, q, (ida, x), (idb, y) in tiles:
                     d = measure(x, y)
                     keep = np.ones(d.shape, dtype=bool) if most is None else (d < most if below else d <= most)
@@ -219,11 +248,11 @@ def distances(vectors: DataFrame, metric: str = "cosine", most: float | None = N
                     if len(new[0]):
                         found.append(new)
                         held += len(new[0])
-                    if held > HANDED:
-                        yield found_pairs(found)
-                        found, held = [], 0
-                if found:
-                    yield found_pairs(found)
+                    if held > HANDED + kept:
+                        yield from handed(found, shortest, False)
+                        found = found if shortest else []
+                        held = kept = sum(len(f[0]) for f in found)
+                yield from handed(found, shortest, True)
 
     return block_pairs(vectors).mapInPandas(run, "a long, b long, distance double")
 
@@ -303,8 +332,9 @@ class Cells:
         x, y = np.nonzero(np.triu(held.astype(np.int64) @ self.meeting.astype(np.int64) @ held.T.astype(np.int64)))
         return units, pd.DataFrame({"x": x, "y": y})
 
-    def near(self, below: bool = False, joining: bool = False) -> DataFrame:
-        """(a, b, distance) of all pairs within the radius, a < b, or of those that join them."""
+    def near(self, below: bool = False, joining: bool = False, shortest: bool = False) -> DataFrame:
+        """(a, b, distance) of all pairs within the radius, a < b, or of those that join them, or
+        join those within each smaller radius as well."""
         measure, most, metric, pivots, radii, meeting = METRICS[self.metric], self.most, self.metric, self.pivots, self.radii, self.meeting
         reach = math.sqrt(2 * most) if metric == "cosine" else most
         spark = self.placed.sparkSession
@@ -333,16 +363,16 @@ class Cells:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for tiles in block_tiles(frame):
-                    found, held, joined = [], 0, Joined() if joining else None
+                    found, held, kept, joined = [], 0, 0, Joined() if joining else None
                     for p, q, x, y in tiles:
                         if meeting[at_cell[p], at_cell[q]] and len((new := across(p, q, *x, *y, joined))[0]):
                             found.append(new)
                             held += len(new[0])
-                        if held > HANDED:
-                            yield found_pairs(found)
-                            found, held = [], 0
-                    if found:
-                        yield found_pairs(found)
+                        if held > HANDED + kept:
+                            yield from handed(found, shortest, False)
+                            found = found if shortest else []
+                            held = kept = sum(len(f[0]) for f in found)
+                    yield from handed(found, shortest, True)
 
         return groups_met(grouped, spark.createDataFrame(met, "x long, y long"), len(met)).mapInPandas(run, "a long, b long, distance double")
 

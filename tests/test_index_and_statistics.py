@@ -157,3 +157,29 @@ def test_debug_of_templates(spark):
     sweep = {round(r["eps"], 2): (r["n_clusters"], r["n_noise"]) for r in found["eps_candidates"].collect()}
     assert (sweep[0.03], sweep[0.05], sweep[0.1]) == ((0, 12), (4, 4), (4, 0)) and found["sample_count"] == 12
     assert sum(r["count"] for r in found["distance_histogram"].collect()) == 66
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_radii_of_one_forest(spark, monkeypatch, metric, few):
+    """Clusters and noise of every radius equal those of the whole graph, by blocks and by cells, by one
+    task and in rounds; no neighbours and no histogram are sought for them."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    monkeypatch.setattr(pairs, "HANDED", 20)
+    monkeypatch.setattr(pairs, "CELLS_FROM", 1000 if few else 10)
+    monkeypatch.setattr(clustering, "TASK", 1000 if few else 10)
+    monkeypatch.setattr(clustering, "k_distances", None)
+    rng = np.random.default_rng(3)
+    x = np.eye(6)[rng.integers(0, 6, 90)] + rng.standard_normal((90, 6)) * rng.choice([0.02, 0.1, 0.3], (90, 1))
+    x[40:43] = x[4]
+    d = pairs.METRICS[metric](x, x)
+    got = {r["eps"]: (r["n_clusters"], r["n_noise"]) for r in clustering.eps_candidates(frame(spark, x), metric).collect()}
+    assert len(got) == 13 and len(set(got.values())) > 4
+    for eps, facts in got.items():
+        up = list(range(90))
+        for _ in range(90):
+            up = [min(up[j] for j in np.flatnonzero((d[i] <= eps) | (np.arange(90) == i))) for i in range(90)]
+        sizes = np.unique(up, return_counts=True)[1]
+        assert facts == ((sizes > 1).sum(), (sizes == 1).sum())
+    with pytest.raises(ValueError, match="too few"):
+        clustering.eps_candidates(frame(spark, x[:2]), metric)
